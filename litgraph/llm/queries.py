@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .warc import OP7_SQL, op7_warc
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
-ORACLES = {"op1_decontaminate": OP1_SQL}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op7_warc": op7_warc}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op7_warc": OP7_SQL}
