@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op4_langid
+from .lm_score import op2_lm_score
 from .pii import op9_pii
 from .toxicity import op5_toxicity
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_lm_score": op2_lm_score,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op7_warc": op7_warc,
