@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op4_langid
 from .lm_score import op2_lm_score
+from .packing import op10_packing
 from .pii import op9_pii
 from .toxicity import op5_toxicity
 from .warc import OP7_SQL, op7_warc
@@ -16,5 +17,6 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_warc": op7_warc,
     "op9_pii": op9_pii,
+    "op10_packing": op10_packing,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op7_warc": OP7_SQL}
