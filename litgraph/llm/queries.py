@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op4_langid
 from .lm_score import op2_lm_score
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_lm_score": op2_lm_score,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
+    "op6_ann": op6_ann,
     "op7_warc": op7_warc,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
