@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op6_ann
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .jaccard_join import op3_jaccard_join
 from .langid import op4_langid
 from .lm_score import op2_lm_score
 from .packing import op10_packing
@@ -14,6 +15,7 @@ from .warc import OP7_SQL, op7_warc
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_score": op2_lm_score,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
