@@ -9,6 +9,7 @@ from .langid import op4_langid
 from .lm_score import op2_lm_score
 from .packing import op10_packing
 from .pii import op9_pii
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op5_toxicity
 from .warc import OP7_SQL, op7_warc
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op7_warc": op7_warc,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
