@@ -5,7 +5,8 @@ their common part by at most a tenth of its elements, so both have that part amo
 these subsets and meet in one. *Heavy* sets (and the largest light ones, which may link to them) go to inverted lists. An element of a
 list is a block of shingles, not a single one: the shingles of a set are dealt by hash to one block more than two linked sets of its
 size class can differ in, so linked sets agree on a whole block, and a shingle that every document holds makes no common list. A block
-without shingles says nothing; sets that have one are dealt again with another seed, and only the last deal lists empty blocks.
+without shingles says nothing, so there are a few blocks to spare, about as many as are empty; sets with more empty ones are dealt again
+with another seed, and only the last deal lists empty blocks.
 The boundary between light and heavy is the one of least cost on a sample: subsets and list entries to write, and sets to verify.
 
 Lists hold candidates. First every member is compared with the smallest id of its list; then, in lists whose members aren't yet in one
@@ -75,6 +76,7 @@ class Signatures:
         self.num, self.den, self.boundary = num, den, boundary
         #: First size of each class; sets that link are in one class or in neighbours.
         self.first = [boundary + 1]
+        self._spare: dict[int, int] = {}
 
     def klass(self, n: int) -> int:
         """-1 for light sets."""
@@ -87,7 +89,18 @@ class Signatures:
         while len(self.first) <= k + 1:
             self.klass(self.first[-1])
         largest = self.first[k + 1] - 1
-        return 2 * largest * (self.den - self.num) // (self.den + self.num) + 1
+        return 2 * largest * (self.den - self.num) // (self.den + self.num) + 1 + self.spare(k)
+
+    def spare(self, k: int) -> int:
+        """Blocks beyond one more than linked sets can differ in. Sets with no more empty blocks than that agree on one with shingles."""
+        if k not in self._spare:
+            least, largest = self.first[k] * self.num / self.den, self.first[k + 1] - 1
+            needed, out = 2 * largest * (self.den - self.num) // (self.den + self.num) + 1, 0
+            for _ in range(4):
+                empty = (needed + out) * np.exp(-least / (needed + out))
+                out = 0 if empty < 0.02 else int(np.ceil(empty + 2 * np.sqrt(empty)))
+            self._spare[k] = out
+        return self._spare[k]
 
     def missing(self, n: int) -> int:
         """Shingles that a set of n may hold beyond its common part with one it links to."""
@@ -116,9 +129,10 @@ class Signatures:
         last = np.full(1, -1)
         for _ in range(self.missing(len(h))):
             pairs = [(s, i) for s, at in zip(sums[-1], last, strict=True) for i in range(at + 1, len(v))]
-            sums.append(np.array([s - v[i] for s, i in pairs], U) if pairs else np.zeros(0, U))
-            last = np.array([i for _, i in pairs], np.int64)
-        return np.concatenate([mix(s + U(len(h) - d) * U(0xD6E8FEB86659FD93)) for d, s in enumerate(sums)])
+            own = np.array([i for _, i in pairs], np.int64)
+            sums.append(np.array([s for s, _ in pairs], U) - v[own])
+            last = own
+        return np.concatenate([mix(s + U((len(h) - d) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) for d, s in enumerate(sums)])
 
     def _blocks(self, h: np.ndarray, t: int) -> np.ndarray:
         n, out = self.blocks(t), []
@@ -130,7 +144,7 @@ class Signatures:
             keys = mix(mix(sums + U(1)) + base + np.arange(n, dtype=U) * U(0x9E3779B97F4A7C15))
             empty = sizes == 0
             out.append(keys if deal == DEALS - 1 else keys[~empty])
-            if not empty.any():
+            if empty.sum() <= self.spare(t):
                 break
         return np.concatenate(out)
 
