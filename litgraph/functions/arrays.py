@@ -17,7 +17,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Sum of minima over sum of maxima; null where both are zero."""
     part = lambda f: F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return F.try_divide(part(F.least), part(F.greatest))
+    return F.try_divide(part(lambda x, y: F.least(x, y)), part(lambda x, y: F.greatest(x, y)))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

@@ -65,7 +65,7 @@ def entity_partitions(edges: DataFrame, parts: int, kinds: list[str] | None = No
 
 def part_counts(nodes: DataFrame, parts: int) -> DataFrame:
     """Nodes of each type and part; parts without nodes count 0."""
-    grid = nodes.select("type").distinct().select("type", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("part"))
+    grid = nodes.select("type").distinct().select("type", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
     counts = nodes.groupBy("type", "part").agg(F.count(F.lit(1)).alias("n"))
     return grid.join(counts, ["type", "part"], "left").select("type", "part", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import graph_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-ORACLES: dict = {**text_queries.ORACLES}
+QUERIES: dict = {**text_queries.QUERIES, **graph_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES, **graph_queries.ORACLES}

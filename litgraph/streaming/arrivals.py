@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def daily_counts(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
