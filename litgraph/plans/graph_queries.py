@@ -15,7 +15,7 @@ from ..operators import knn as V
 from ..operators.ordering import top_per_group
 from ..operators.topics import fit_topics, plaintext, topic_network
 from ..streaming.arrivals import daily_counts
-from .text_queries import _bows, h32, h64, table
+from .text_queries import _TOK, _bows, h64, table
 
 PARTS = 8
 CUT = "1997-01-01"
@@ -431,5 +431,6 @@ ORACLES = {
     "masked_accuracy": "SELECT round(avg(CAST(quality = toxic AS INT)) FILTER (WHERE toxic <> 0), 6) AS accuracy FROM labels",
     "min_year": "SELECT o_orderpriority, CAST(min(year(o_orderdate)) AS BIGINT) AS first_year FROM orders GROUP BY 1",
     "event_daily_increment": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "key_plaintext": f"WITH {_TOK}, f AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) SELECT w AS word, CAST(count(*) AS BIGINT) AS n FROM tok WHERE good AND doc_id IN (SELECT doc_id FROM f) GROUP BY w ORDER BY count(*) DESC, min((doc_id, pos)) LIMIT 1",
     "top_customers": "SELECT o_custkey, o_orderkey, CAST(k AS BIGINT) AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3",
 }
