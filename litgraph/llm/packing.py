@@ -7,7 +7,7 @@ first: whole ones while they fit, then a part of the best one that is left, whos
 end short, so padding is at most one window for each SHARD_DOCS documents.
 
 Words between ASCII white space are tokenised alone and remembered, which gives the same ids for tokenizers that drop white space and
-never merge across it; for others set `split_words` to False.
+never merge across it; for others set `split_words` to False. How pieces of a word are cached doesn't change an id.
 
 Edge cases: a null text is empty and has its end id only; repeated rows are packed each; ties in the retrieval score go to the document
 that comes first by id; a document longer than many windows fills them alone; an empty table gives no row.
@@ -15,7 +15,10 @@ that comes first by id; a document longer than many windows fills them alone; an
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +39,12 @@ K1, B = 1.2, 0.75
 
 
 class WordTokenizer:
-    """Ids of whole texts as little-endian bytes, through a cache of words."""
+    """Ids of whole texts as little-endian bytes, through caches of words and of their pieces.
+
+    Words between white space go to the tokenizer one by one, once each. Where its rules are the usual ones of lower-case byte-level
+    models (checked in the definition), words of Latin letters, digits and ASCII signs are cut into pieces here, and only new pieces go
+    to its merges; all other words take the tokenizer's own way.
+    """
 
     def __init__(self, definition: str, split_words: bool, end_id: int, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,20 +52,63 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.split_words, self.most, self.cache = split_words, most, {}
+        self.split_words, self.most, self.cache, self.pieces = split_words, most, {}, {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
         self.end = np.array([end_id], self.dtype).tobytes()
+        rules = json.loads(definition)
+        self.plain = split_words and (rules["normalizer"], rules["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER) and not rules["model"].get("dropout")
+
+    def _of_piece(self, piece: str) -> bytes:
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        ids = [t.id for t in self.tokenize(piece if piece.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode())))]
+        found = self.pieces[piece] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return found
+
+    def _of_words(self, words: list[bytes]) -> None:
+        odd = []
+        known = self.pieces.get
+        for w in words:
+            text = w.decode()
+            if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+                self.cache[w] = b"".join([known(p) or self._of_piece(p) for p in _PIECE.findall(text.lower())])
+            else:
+                odd.append((w, text))
+        for k in range(0, len(odd), 10_000):
+            part = odd[k : k + 10_000]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                self.cache[w] = np.array(e.ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        units = [((t or b"").split() if self.split_words else [t or b""]) for t in texts]
-        fresh = list({w for u in units for w in u if w not in self.cache})
-        if len(self.cache) + len(fresh) > self.most:
-            self.cache, fresh = {}, list({w for u in units for w in u})
-        for k in range(0, len(fresh), 10_000):
-            part = fresh[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, self.dtype).tobytes()
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join([*map(get, u), self.end]), self.dtype) for u in units]
+        out = []
+        for t in texts:
+            units = (t or b"").split() if self.split_words else [t or b""]
+            if len(self.cache) > self.most:
+                self.cache.clear()
+            found = list(map(self.cache.get, units))
+            if None in found:
+                self._of_words(list({w for w, x in zip(units, found, strict=True) if x is None}))
+                found = list(map(self.cache.__getitem__, units))
+            found.append(self.end)
+            out.append(np.frombuffer(b"".join(found), self.dtype))
+        return out
+
+
+# The rules of the tokenizers that pieces may be cut for, and what they say for printable ASCII and Latin letters.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Byte-level models write printable bytes of Latin-1 as themselves and the others as characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARACTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def crc_of(ids: np.ndarray) -> int:
