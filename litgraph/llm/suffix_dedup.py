@@ -254,3 +254,17 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i - 1, 800)) AS m FROM (SELECT r, h, unnest(range(1, n - 400 + 2)) AS i FROM d WHERE n >= 400)),
+s AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(CAST(gap AS INT)) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS gap FROM s)),
+p AS (SELECT r, min(i) AS a, max(i) + 399 AS b FROM g GROUP BY r, k),
+q AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM p),
+x AS (SELECT r, count(*) AS n_spans, sum(b - a + 1) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS head FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
