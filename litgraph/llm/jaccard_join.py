@@ -9,9 +9,12 @@ without shingles says nothing, so there are a few blocks to spare, about as many
 with another seed, and only the last deal lists empty blocks.
 The boundary between light and heavy is the one of least cost on a sample: subsets and list entries to write, and sets to verify.
 
-Lists hold candidates. First every member is compared with the smallest id of its list; then, in lists whose members aren't yet in one
-component, all pairs of different components are. Comparisons count both sets' common shingles exactly. Pairs inside a component need
-no comparison, so a group of thousands of near copies costs about one for each member, and no link between components is lost.
+Lists hold candidates. First every member is compared with the smallest id of its list. Lists whose members aren't in one component then
+make groups of documents that lists connect; a group is cut into blocks of about BLOCK sets of similar size, and each pair of blocks whose
+sizes allow links is one task's piece of work. There, common shingles of all sets that aren't in the block's largest component with all
+others are counted at once, as a product of incidence matrices. Before texts move, sketches of 256 bytes (counts of shingles by hash,
+whose difference is never more than that of the sets) rule out most pairs. All counts are exact, and no pair of documents is ever a row, so a group
+of thousands of near copies costs its members once for each block beside theirs, and no link between components is lost.
 
 Edge cases: null texts and texts without words have no set, link with nothing and are their own component; a text of fewer words than
 a shingle has its whole sequence as the one shingle; rows that repeat an id are one document's and share a component; null ids get a
@@ -20,12 +23,15 @@ null component; lists, groups and components are joined and aggregated, never co
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +43,8 @@ VERIFY_COST = 10.0
 COST_SAMPLE = 1000
 FILTER_BITS = 1 << 23
 DEALS = 3
+BLOCK = 512
+KEY_BITS = 1 << 25
 U = np.uint64
 
 
@@ -78,22 +86,26 @@ class Signatures:
         self.first = [boundary + 1]
         self._spare: dict[int, int] = {}
 
+    def _extend(self) -> None:
+        self.first.append(self.first[-1] * self.den // self.num + 1)
+
     def klass(self, n: int) -> int:
         """-1 for light sets."""
         while self.first[-1] <= n:
-            self.first.append(self.first[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.first, n, side="right")) - 1
+            self._extend()
+        return bisect_right(self.first, n) - 1
 
     def blocks(self, k: int) -> int:
-        self.klass(self.first[-1])
         while len(self.first) <= k + 1:
-            self.klass(self.first[-1])
+            self._extend()
         largest = self.first[k + 1] - 1
         return 2 * largest * (self.den - self.num) // (self.den + self.num) + 1 + self.spare(k)
 
     def spare(self, k: int) -> int:
         """Blocks beyond one more than linked sets can differ in. Sets with no more empty blocks than that agree on one with shingles."""
         if k not in self._spare:
+            while len(self.first) <= k + 1:
+                self._extend()
             least, largest = self.first[k] * self.num / self.den, self.first[k + 1] - 1
             needed, out = 2 * largest * (self.den - self.num) // (self.den + self.num) + 1, 0
             for _ in range(4):
@@ -161,12 +173,13 @@ def best_boundary(sizes: list[int], num: int, den: int) -> int:
 
 
 def set_rows(docs: DataFrame, doc_id: str, text: str, words: int, signatures: Signatures) -> DataFrame:
-    """doc_id, n_shingles, hi, lo (fingerprint) and keys; keys are empty for sets that the task has seen before."""
+    """doc_id, n_shingles, hi, lo (fingerprint), keys and sketch; keys are empty for sets that the task has seen before. A sketch counts
+    shingles by hash into 256 groups: two sketches differ by no more than their sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(words), OrderedDict()
         for b in batches:
-            n, hi, lo, keys = [], [], [], []
+            n, hi, lo, keys, sketch = [], [], [], [], []
             for data in byte_list(b, text):
                 h = shingles(data)
                 n.append(len(h))
@@ -174,12 +187,13 @@ def set_rows(docs: DataFrame, doc_id: str, text: str, words: int, signatures: Si
                 hi.append((digest >> 64) - (1 << 63))
                 lo.append((digest & (1 << 64) - 1) - (1 << 63))
                 keys.append(signatures(h).view(np.int64) if len(h) and digest not in seen else [])
+                sketch.append(np.minimum(np.bincount((mix(h ^ U(0x51ED270B)) >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                 seen[digest] = None
                 if len(seen) > 200_000:
                     seen.popitem(last=False)
-            yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "hi", "lo", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "hi", "lo", "keys", "sketch"])
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, keys array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, keys array<long>, sketch binary")
 
 
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -227,6 +241,167 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def entries_of(known: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(key, doc_id) of a superset of the keys in `hubs`. The filter has KEY_BITS bits whatever the number of keys; the fuller it is, the
+    more rows pass, and the join that follows is exact. It is put together from pieces of 2^16 bits."""
+    piece = F.shiftright("bit", 16)
+    bits = hubs.select(F.pmod("key", F.lit(KEY_BITS)).alias("bit")).distinct()
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << 16, bool)
+        own[part["bit"].to_numpy() & 0xFFFF] = True
+        return pd.DataFrame({"piece": [int(part["bit"].iloc[0]) >> 16], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    held = np.zeros((KEY_BITS >> 16, 1 << 13), np.uint8)
+    for r in bits.groupBy(piece).applyInPandas(pack, "piece long, bits binary").collect():
+        held[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
+    shared = known.sparkSession.sparkContext.broadcast(held.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = shared.value
+        for b in batches:
+            keys = b.column("keys")
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(keys).to_numpy(zero_copy_only=False)
+            owner = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), n.astype(np.int64))
+            bit = flat & (KEY_BITS - 1)
+            keep = filled[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep], pa.int64()), pa.array(owner[keep], pa.int64())], ["key", "doc_id"])
+
+    return known.filter("size(keys) > 0").select("doc_id", "keys").mapInArrow(run, "key long, doc_id long")
+
+
+def block_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, component, work (a number for each pair of blocks that the row takes part in), n1 and sketch. A block holds sets within a
+    twentieth of each other in size; blocks of a group that is all one component make no pair."""
+    level = F.floor(F.log(F.col("set.n0").cast("double")) / F.log(F.lit(1.05))).cast("int")
+    rows = rest.select("gid", "doc_id", "component", level.alias("level"), F.col("set.n1").alias("n1"), F.col("set.n0").alias("n0"), "set.sketch")
+    blocks = rows.groupBy("gid", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("count"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    dealt = rows.join(blocks.select("gid", "level", "count"), ["gid", "level"]).withColumn("b", F.pmod(F.xxhash64("doc_id"), "count")).select("gid", "doc_id", "component", "level", "b", "n1", "sketch")
+    each = blocks.select("gid", "level", "n0", "n1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("b"))
+    x, y = each.alias("x"), each.alias("y")
+    ordered = F.struct("x.level", "x.b") <= F.struct("y.level", "y.b")
+    pairs = x.join(y, (F.col("x.gid") == F.col("y.gid")) & ordered & (F.least("x.n1", "y.n1") * den >= F.greatest("x.n0", "y.n0") * num))
+    work = F.xxhash64("x.gid", "x.level", "x.b", "y.level", "y.b").alias("work")
+    sides = F.array_distinct(F.array(F.struct(F.col("x.level").alias("level"), F.col("x.b").alias("b")), F.struct(F.col("y.level").alias("level"), F.col("y.b").alias("b"))))
+    parts = pairs.select(F.col("x.gid").alias("gid"), work, F.explode(sides).alias("s")).select("gid", "work", "s.level", "s.b")
+    return dealt.join(parts, ["gid", "level", "b"]).select("doc_id", "component", "work", "n1", "sketch")
+
+
+def links_in_block(sets: list[np.ndarray], component: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Index pairs that link and between them join all components that links of these sets join."""
+    labels, own = np.unique(component, return_inverse=True)
+    if len(labels) < 2:
+        return []
+    asked = np.flatnonzero(own != np.bincount(own).argmax())
+    sizes = np.array([len(s) for s in sets])
+    who = np.repeat(np.arange(len(sets)), sizes)
+    _, shingle, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((len(asked), len(sets)), np.float32)
+    place = np.full(len(sets), -1)
+    place[asked] = np.arange(len(asked))
+    # Frequent shingles as columns of incidence matrices, a few at a time; rare ones pair by pair.
+    frequent = np.flatnonzero(df > 24)
+    column = np.full(len(df), -1)
+    column[frequent] = np.arange(len(frequent))
+    for at in range(0, len(frequent), 2048):
+        use = np.flatnonzero((column[shingle] >= at) & (column[shingle] < at + 2048))
+        m = np.zeros((len(sets), min(2048, len(frequent) - at)), np.float32)
+        m[who[use], column[shingle[use]] - at] = 1
+        common += m[asked] @ m.T
+    rare = np.flatnonzero((df[shingle] > 1) & (df[shingle] <= 24))
+    rare = rare[np.argsort(shingle[rare], kind="stable")]
+    begin = np.flatnonzero(np.concatenate(([True], np.diff(shingle[rare]) != 0))) if len(rare) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate((begin, [len(rare)]))) if len(rare) else begin
+    for d in np.unique(length).tolist():
+        rows = who[rare[begin[length == d][:, None] + np.arange(d)]]
+        i, j = np.repeat(rows, d, 1).ravel(), np.tile(rows, d).ravel()
+        keep = place[i] >= 0
+        np.add.at(common, (place[i[keep]], j[keep]), 1)
+    common = np.rint(common).astype(np.int64)
+    yes = (den * common >= num * (sizes[asked][:, None] + sizes[None, :] - common)) & (own[asked][:, None] != own[None, :])
+    out, root = [], list(range(len(labels)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for i, j in np.argwhere(yes).tolist():
+        a, b = find(own[asked[i]]), find(own[j])
+        if a != b:
+            root[a] = b
+            out.append((int(asked[i]), j))
+    return out
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of absolute differences of sketches (uint8), along the last axis."""
+    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(-1, dtype=np.int64)
+
+
+def possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sketches don't rule a link out; linked sets differ in at most (den - num) / (den + num) of both sizes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            known = (part["x"].notna() & part["y"].notna()).to_numpy()
+            keep = ~known
+            if known.any():
+                x, y = (np.frombuffer(b"".join(part.loc[known, c]), np.uint8).reshape(-1, 256) for c in ("x", "y"))
+                keep[known] = differ(x, y) * (den + num) <= part.loc[known, "n"].to_numpy() * (den - num)
+            yield part.loc[keep, ["a", "b"]]
+
+    sizes = F.col("a_set.n1") + F.col("b_set.n1")
+    return pairs.select("a", "b", F.col("a_set.sketch").alias("x"), F.col("b_set.sketch").alias("y"), sizes.alias("n")).mapInPandas(run, "a long, b long")
+
+
+def sifted(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (doc_id, component, work) of `block_pairs` whose sketch leaves a link to another component of the same work possible."""
+    rows = written(rows, "jaccard-blocks")
+    bins = max(1, rows.count() // (4 * BLOCK))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, one in part.groupby("work", sort=True):
+            keep = one["sketch"].isna().to_numpy().copy()
+            everything = keep.any()
+            own, n = np.unique(one["component"].to_numpy(), return_inverse=True)[1], one["n1"].to_numpy()
+            asked = np.flatnonzero(own != np.bincount(own).argmax())
+            if everything:
+                keep[:] = True
+            elif len(asked):
+                x = np.frombuffer(b"".join(one["sketch"]), np.uint8).reshape(-1, 256)
+                for i in asked.tolist():
+                    near = (own != own[i]) & (differ(x, x[i]) * (den + num) <= (n + n[i]) * (den - num))
+                    if near.any():
+                        keep |= near
+                        keep[i] = True
+            out.append(one.loc[keep, ["doc_id", "component", "work"]])
+        return pd.concat(out)
+
+    kept = written(rows.groupBy(F.pmod("work", F.lit(bins))).applyInPandas(run, "doc_id long, component long, work long"), "jaccard-sifted")
+    drop(rows)
+    return kept
+
+
+def verified_blocks(rows: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components in each work of rows (doc_id, component, work)."""
+    bins = max(1, rows.count() // (4 * BLOCK))
+
+    def run(part):
+        shingles, out = Shingler(words), []
+        sets_of = {t: shingles(t.encode()) for t in set(part["text"])}
+        for _, one in part.groupby("work", sort=True):
+            one = one.sort_values("doc_id")
+            ids = one["doc_id"].tolist()
+            out += [(ids[i], ids[j]) for i, j in links_in_block([sets_of[t] for t in one["text"]], one["component"].to_numpy(), num, den)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.join(texts, "doc_id").groupBy(F.pmod("work", F.lit(bins))).applyInPandas(run, "a long, b long")
+
+
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id for each row; documents link when den * common >= num * union."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -238,30 +413,63 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Equal sets: everyone to the smallest id of the set.
     groups = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     equal = known.join(groups, ["hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    # Lists: the key's smallest id is its hub; rows of keys with one id go.
-    entries = known.select(F.explode("keys").alias("key"), "doc_id", "n_shingles", "hi")
-    hubs = entries.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "hi"), "doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lists = written(entries.join(hubs, "key"), "jaccard-lists")
-    fits = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
-    star = lists.filter((F.col("doc_id") != F.col("hub.doc_id")) & (F.col("hi") != F.col("hub.hi")) & fits(F.col("n_shingles"), F.col("hub.n_shingles")))
-    first = written(star.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct(), "jaccard-pairs")
-    texts = written(only_ids(docs, lists.filter("n > 2").select("doc_id").unionByName(first.select(F.col("a").alias("doc_id"))).unionByName(first.select(F.col("b").alias("doc_id")))), "jaccard-texts")
+    # Lists: the key's smallest id is its hub, and every other member makes a row. Minima of the keys are partial aggregates; a filter of
+    # fixed size keeps most keys of a single document out of the join that follows.
+    hubs = written(known.select(F.explode("keys").alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub"), "jaccard-hubs")
+    entries = entries_of(known, hubs)
+    lists = written(entries.join(hubs, "key").filter("doc_id <> hub"), "jaccard-lists")
+    drop(hubs)
+    star = lists.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    about = known.groupBy("doc_id").agg(F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.min("hi").alias("h0"), F.max("hi").alias("h1"), F.min("sketch").alias("sketch"))
+    about = written(about.withColumn("sketch", F.when(F.col("h0") == F.col("h1"), F.col("sketch"))), "jaccard-about")  # texts that share an id have no one sketch
+    of = lambda end: about.select(F.col("doc_id").alias(end), F.struct("n0", "n1", "h0", "h1", "sketch").alias(f"{end}_set"))
+    fits = lambda x, y: F.least(x["n1"], y["n1"]) * den >= F.greatest(x["n0"], y["n0"]) * num
+    same = F.greatest("a_set.h1", "b_set.h1") == F.least("a_set.h0", "b_set.h0")
+    first = written(possible(star.join(of("a"), "a").join(of("b"), "b").filter(~same & fits(F.col("a_set"), F.col("b_set"))), num, den), "jaccard-pairs")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = written(only_ids(docs, ends(first)), "jaccard-texts")
     links = written(equal.unionByName(verified(first, texts, words, num, den)), "jaccard-links")
     labels = written(connected(links), "jaccard-labels")
-    # Lists that still hold several components: all pairs between them which haven't been compared.
-    named = lists.filter("n > 2").select("key", "doc_id", "n_shingles", F.col("hub.doc_id").alias("hub")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # Lists of three and more that still hold several components.
+    long = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("hub").alias("hub")).filter("n > 1").select("key", "hub")
+    rows = lists.join(long.select("key"), "key", "left_semi").select("key", "doc_id", "hub").unionByName(long.select("key", F.col("hub").alias("doc_id"), "hub"))
+    named = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    members = written(named.join(mixed, "key"), "jaccard-members")
-    x, y = members.alias("x"), members.alias("y")
-    between = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") != F.col("x.hub")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles"))
-    rest = x.join(y, between).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(verified(rest, texts, words, num, den), "jaccard-more")
-    if not more.isEmpty():
-        labels = written(connected(links.unionByName(more)), "jaccard-labels")
-    for used in (lists, texts, members, first):
+    members = written(named.join(mixed, "key").select("doc_id", "hub", "component").distinct(), "jaccard-members")
+    drop(texts)
+    if not members.isEmpty():
+        groups = connected(members.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"node": "doc_id", "component": "gid"})
+        rest = written(members.select("doc_id", "component").distinct().join(groups, "doc_id").join(of("doc_id"), "doc_id").withColumnRenamed("doc_id_set", "set"), "jaccard-rest")
+        work = sifted(block_pairs(rest, num, den), num, den)
+        drop(rest)
+        texts = written(only_ids(docs, work.select("doc_id")), "jaccard-texts")
+        more = written(verified_blocks(work, texts, words, num, den), "jaccard-more")
+        drop(texts)
+        drop(work)
+        if not more.isEmpty():
+            labels = written(connected(links.unionByName(more)), "jaccard-labels")
+    for used in (lists, members, first, about):
         drop(used)
-    return sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    sizes = written(sets.select("doc_id", "n_shingles"), "jaccard-sizes")
+    drop(sets)
+    return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 90 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.y AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN m ON d.doc_id = m.x
+"""

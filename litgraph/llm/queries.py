@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .ann import op6_ann
 from .decontaminate import OP1_SQL, op1_decontaminate
-from .jaccard_join import op3_jaccard_join
+from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .langid import op4_langid
 from .lm_score import op2_lm_score
 from .packing import op10_packing
 from .pii import op9_pii
-from .suffix_dedup import op8_suffix_dedup
+from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 from .toxicity import op5_toxicity
 from .warc import OP7_SQL, op7_warc
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op7_warc": OP7_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op7_warc": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
