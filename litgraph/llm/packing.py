@@ -1,10 +1,13 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Texts are tokenised once. A document's whole windows become sequences of their own; its tail waits for company. Tails go to shards of
-about SHARD_DOCS documents, dealt by row, so that no key can fill a shard. Each shard builds a BM25 inverted index of its tails' token
-ids. A seed, the first tail that waits, queries the index with its rarest terms, and unused neighbours fill its window greedily, best
-first: whole ones while they fit, then a part of the best one that is left, whose rest keeps waiting. Only a shard's last window can
-end short, so padding is at most one window for each SHARD_DOCS documents.
+Texts are tokenised once. A document's whole windows become sequences of their own; its tail waits for company. Document frequencies and
+the mean length are those of all tails. Tails go to shards of about SHARD_DOCS documents by their words: cells of similar vectors (random
+projections of inverse document frequencies) come one after another, a cell's tails lie in the order of two weighted minimum hashes, and
+what is still equal in the order of row hashes, so that no key can fill a shard. This order is cut where shards have equal shares of a
+sample. Each shard builds a BM25 inverted index of its tails' token ids. A seed, the first tail that waits, queries the index with its
+rarest terms that another tail of the shard holds, and unused neighbours fill its window greedily, best first: whole ones while they fit,
+then a part of the best one that is left, whose rest keeps waiting. Only a shard's last window can end short, so padding is at most one
+window for each SHARD_DOCS documents.
 
 Words between ASCII white space are tokenised alone and remembered, which gives the same ids for tokenizers that drop white space and
 never merge across it; for others set `split_words` to False. How pieces of a word are cached doesn't change an id.
@@ -29,13 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, table
+from .common import byte_list, table, written
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 2000
 QUERY_TERMS = 48
 K1, B = 1.2, 0.75
+CELLS = 256
+AXES = 48
+CELL_SAMPLE = 4096
+CUT_SAMPLE = 64
 
 
 class WordTokenizer:
@@ -115,38 +122,175 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+class Statistics:
+    """Of all tails that aren't empty: their number, mean length, and for each id the tails that hold it."""
+
+    def __init__(self, n: int, total: int, df: np.ndarray) -> None:
+        self.n, self.mean, self.df = n, total / max(n, 1), df
+
+    @staticmethod
+    def of(documents: list[np.ndarray]) -> Statistics:
+        df = np.zeros(1 + max((int(d.max()) for d in documents if len(d)), default=0), np.int64)
+        for d in documents:
+            df[np.unique(d)] += 1
+        return Statistics(sum(len(d) > 0 for d in documents), sum(map(len, documents)), df)
+
+    def idf(self, terms: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return np.log1p((self.n - self.df[terms] + 0.5) / (self.df[terms] + 0.5))
+
+
 class Bm25Index:
-    """Inverted index of a shard: for each term the documents that hold it, with their BM25 weights."""
+    """Inverted index of a shard: for each term the documents that hold it, with their BM25 weights by the statistics of all tails."""
 
-    def __init__(self, documents: list[np.ndarray]) -> None:
+    def __init__(self, documents: list[np.ndarray], statistics: Statistics | None = None) -> None:
+        statistics = statistics or Statistics.of(documents)
         lengths = np.array([len(d) for d in documents], np.int64)
         n = len(documents)
         flat = np.concatenate(documents).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
         pairs, tf = np.unique(flat, return_counts=True)
         terms, self.docs = np.divmod(pairs, n)
-        self.terms, self.begin, df = np.unique(terms, return_index=True, return_counts=True)
-        self.end = self.begin + df
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
-        self.weights = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
+        self.terms, self.begin, held = np.unique(terms, return_index=True, return_counts=True)
+        self.end = self.begin + held
+        self.idf = statistics.idf(self.terms)
+        norm = K1 * (1 - B + B * lengths / statistics.mean)
+        self.weights = np.repeat(self.idf, held) * tf * (K1 + 1) / (tf + norm[self.docs])
         self.n = n
 
     def search(self, ids: np.ndarray, terms: int = QUERY_TERMS) -> np.ndarray:
-        """Documents with a positive score for the rarest terms of ids, best first."""
+        """Documents with a positive score for the rarest terms of ids which two documents or more hold, best first."""
         own = np.searchsorted(self.terms, np.unique(ids))
+        own = own[self.end[own] - self.begin[own] > 1]
         own = own[np.argsort(-self.idf[own], kind="stable")][:terms]
+        if not len(own):
+            return own
         at = np.concatenate([np.arange(self.begin[t], self.end[t]) for t in own.tolist()])
         score = np.bincount(self.docs[at], self.weights[at], self.n)
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(tails: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+class Deal:
+    """Places of tails in one order in which tails with common rare terms are near each other, and the cuts of this order."""
+
+    def __init__(self, statistics: Statistics) -> None:
+        #: Terms of a single tail bring nothing together.
+        self.idf = np.where(statistics.df > 1, statistics.idf(), 0).astype(np.float32)
+        self.centers = np.zeros((1, AXES), np.float32)
+        self.cuts = np.zeros(0, np.int64)
+        self._tables = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_tables": None}
+
+    def _own(self):
+        if self._tables is None:
+            rng = np.random.default_rng(17)
+            axes = rng.standard_normal((len(self.idf), AXES), np.float32) * self.idf[:, None]
+            with np.errstate(divide="ignore"):
+                races = [(rng.standard_exponential(len(self.idf)) + 1e-9) / self.idf.astype(np.float64) ** 2 for _ in range(2)]
+            self._tables = axes, races, np.zeros(len(self.idf), np.int64)
+        return self._tables
+
+    def vectors(self, tails: list[np.ndarray]) -> np.ndarray:
+        axes, _, last = self._own()
+        out = np.zeros((len(tails), AXES), np.float32)
+        for i, t in enumerate(tails):
+            order = np.arange(len(t))
+            last[t] = order
+            out[i] = axes[t[last[t] == order]].sum(0)
+        return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
+
+    def learn(self, sample: np.ndarray, cells: int, rounds: int = 8) -> None:
+        """Spherical k-means; cells are numbered along the sample's main axis."""
+        centers = sample[np.linspace(0, len(sample) - 1, cells).astype(np.int64)].copy()
+        for _ in range(rounds):
+            near = (sample @ centers.T).argmax(1)
+            sums = np.zeros_like(centers)
+            np.add.at(sums, near, sample)
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            centers = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centers)
+        main = np.linalg.eigh(sample.T @ sample)[1][:, -1]
+        self.centers = centers[np.argsort(centers @ main, kind="stable")]
+
+    def places(self, tails: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """Cell (8 bits), two terms (16 bits each), row hash (20 bits)."""
+        _, races, _ = self._own()
+        out = (self.vectors(tails) @ self.centers.T).argmax(1).astype(np.int64)
+        for race in races:
+            out = out << 16 | np.array([int(t[race[t].argmin()]) & 0xFFFF if len(t) else 0 for t in tails], np.int64)
+        return out << 20 | (row_hash(rows) >> np.uint64(44)).astype(np.int64)
+
+    def shards(self, tails: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, self.places(tails, rows), side="right")
+
+
+def row_hash(rows: np.ndarray) -> np.ndarray:
+    return rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def tails_of(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(t, f"<u{w}") for t, w in zip(b.column("tail").to_pylist(), b.column("width").to_pylist(), strict=True)]
+
+
+def statistics_of(rows: DataFrame) -> tuple[int, Statistics]:
+    """The number of rows, and the statistics of their tails; what reaches the driver has a row for each id of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        n_rows = n = total = 0
+        for b in batches:
+            n_rows += b.num_rows
+            for t in tails_of(b):
+                if len(t):
+                    if (top := int(t.max())) >= len(df):
+                        df, last = (np.concatenate((x, np.zeros(top + 1 - len(x), np.int64))) for x in (df, last))
+                    order = np.arange(len(t))
+                    last[t] = order
+                    df[t[last[t] == order]] += 1
+                    n, total = n + 1, total + len(t)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-3, -2, -1], held))), pa.array(np.concatenate(([n_rows, n, total], df[held])))], ["term", "df"])
+
+    found = dict(map(tuple, rows.select("tail", "width").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df")).collect()))
+    n_rows, n, total = (found.pop(k, 0) for k in (-3, -2, -1))
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return n_rows, Statistics(n, total, df)
+
+
+def learned_deal(rows: DataFrame, n_rows: int, statistics: Statistics, shards: int) -> Deal:
+    """Cells from at most about CELL_SAMPLE tails, and cuts from about CUT_SAMPLE places for each shard; both only say where tails meet."""
+    deal, context = Deal(statistics), rows.sparkSession.sparkContext
+    if shards == 1:
+        return deal
+
+    def sampled(target: int, column: str, kind: str, of) -> list:
+        least = np.uint64(min(1.0, target / n_rows) * (2**64 - 2**12))
+        held = context.broadcast(deal)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(row_hash(b.column("row").to_numpy()) * np.uint64(0xD6E8FEB86659FD93) <= least))
+                yield pa.RecordBatch.from_arrays([pa.array(of(held.value, tails_of(b), b.column("row").to_numpy()))], [column])
+
+        return [r[0] for r in rows.select("row", "tail", "width").mapInArrow(run, f"{column} {kind}").collect()]
+
+    vectors = sampled(CELL_SAMPLE, "vector", "binary", lambda d, tails, _: [v.tobytes() for v in d.vectors(tails)])
+    if vectors:
+        sample = np.frombuffer(b"".join(map(bytes, sorted(vectors))), np.float32).reshape(-1, AXES)
+        deal.learn(sample, min(CELLS, shards, len(sample)))
+    places = np.sort(np.array(sampled(CUT_SAMPLE * shards, "place", "long", lambda d, tails, at: d.places(tails, at)), np.int64))
+    if len(places):
+        deal.cuts = places[np.arange(1, shards) * len(places) // shards]
+    return deal
+
+
+def pack_shard(tails: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start in its tail, length); every id of every tail lies in exactly one."""
     waiting = [i for i, t in enumerate(tails) if len(t)]
     if not waiting:
         return
-    index = Bm25Index([tails[i] for i in waiting])
+    index = Bm25Index([tails[i] for i in waiting], statistics)
     docs = [tails[i] for i in waiting]
     at, left = [0] * len(docs), len(docs)
     used = np.zeros(len(docs), bool)
@@ -192,7 +336,6 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     the driver reads; tasks get its content."""
     with open(tokenizer, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
-    shards = max(1, -(-docs.count() // shard_docs))
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +348,12 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                 whole = [len(i) // window * window for i in all_ids]
                 rows = np.arange(row, row + b.num_rows)
                 row += b.num_rows
-                shard = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(shards)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(shard.astype(np.int64)), pa.array(rows), b.column(doc_id), pa.array([len(i) for i in all_ids], pa.int64()),
+                    pa.array(rows), b.column(doc_id), pa.array([len(i) for i in all_ids], pa.int64()),
                     pa.array([[crc_of(i[s : s + window]) for s in range(0, w, window)] for i, w in zip(all_ids, whole, strict=True)], pa.list_(pa.int64())),
                     pa.array([i[w:].astype("<u4").astype(own.dtype).tobytes() for i, w in zip(all_ids, whole, strict=True)], pa.binary()),
                     pa.array([own.dtype.itemsize] * b.num_rows, pa.int32()),
-                ], ["shard", "row", doc_id, "n", "whole", "tail", "width"])
+                ], ["row", doc_id, "n", "whole", "tail", "width"])
 
     def shard_pieces(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([doc_id, "row"], kind="stable")
@@ -223,7 +365,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                 out.append((i, k * window, window, int(crc), number, 0))
                 number += 1
         tails = [np.frombuffer(t, f"<u{w}") for t, w in zip(group["tail"], group["width"], strict=True)]
-        for pieces in pack_shard(tails, window):
+        for pieces in pack_shard(tails, window, shared.value):
             offset = 0
             for i, s, length in pieces:
                 out.append((i, n[i] - len(tails[i]) + s, length, crc_of(tails[i][s : s + length]), number, offset))
@@ -232,9 +374,19 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         own, start, length, crc, seq, offset = zip(*out, strict=True)
         return pd.DataFrame({doc_id: pd.Series([ids[i] for i in own], dtype=group[doc_id].dtype), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": [n[i] for i in own], "sequence_id": seq, "offset": offset})
 
-    rows = docs.select(doc_id, text).mapInArrow(tokenise, f"shard long, row long, {doc_id} {id_type}, n long, whole array<long>, tail binary, width int")
+    rows = written(docs.select(doc_id, text).mapInArrow(tokenise, f"row long, {doc_id} {id_type}, n long, whole array<long>, tail binary, width int"), "packing-tails")
+    n_rows, statistics = statistics_of(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(statistics)
+    held = docs.sparkSession.sparkContext.broadcast(learned_deal(rows, n_rows, statistics, max(1, -(-n_rows // shard_docs))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard = held.value.shards(tails_of(b), b.column("row").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), *b.columns], ["shard", *b.schema.names])
+
+    dealt = rows.mapInArrow(deal, f"shard long, row long, {doc_id} {id_type}, n long, whole array<long>, tail binary, width int")
     schema = f"{doc_id} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.groupBy("shard").applyInPandas(shard_pieces, schema)
+    return dealt.groupBy("shard").applyInPandas(shard_pieces, schema)
 
 
 def default_tokenizer() -> str:

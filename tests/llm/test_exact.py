@@ -198,6 +198,28 @@ def test_retrieval_prefers_shared_rare_terms():
     assert packing.Bm25Index(docs).search(docs[0])[:2].tolist() == [0, 2]
 
 
+def test_retrieval_ignores_terms_of_the_seed_alone():
+    import numpy as np
+
+    docs = [np.array([1, 2, 900, *range(2000, 2060)]), np.array([1, 2, 3]), np.array([5, 900, 6]), *[np.array([1, 2, 7 + k]) for k in range(9)]]
+    assert [d for d in packing.Bm25Index(docs).search(docs[0]).tolist() if d][:1] == [2]
+    assert packing.Bm25Index([np.array([3, 4]), np.array([5])]).search(np.array([3])).tolist() == []
+
+
+def test_packing_deals_related_tails_to_one_shard(spark):
+    rng = random.Random(8)
+    groups = [[f"{a}{b}{a}" for a in rng.sample("bcdfghjklmnpqrstvwxz", 5) for b in "aeiou"] for _ in range(12)]
+    texts = [" ".join(rng.choice(groups[i % 12] if rng.random() < 0.6 else ["the", "of", "and", "to"]) for _ in range(40)) for i in range(960)]
+    docs = spark.createDataFrame(list(enumerate(texts)), EMPTY).repartition(3)
+    shards = {}
+    for p in packing.pack(docs, packing.default_tokenizer(), window=256, shard_docs=80).collect():
+        shards.setdefault(p.sequence_id >> 32, set()).add(p.doc_id)
+    assert len(shards) > 6 and sum(map(len, shards.values())) == 960 and max(map(len, shards.values())) < 240
+    # Of a document's shard, the part of its own group: a twelfth, if words didn't matter.
+    same = [sum(i % 12 == j % 12 for j in s) / len(s) for s in shards.values() for i in s]
+    assert sum(same) / len(same) > 0.4
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(2)
     html = [f"<html><body><p>{' '.join(rng.choice(['some', 'page', 'text']) for _ in range(80))}</p></body></html>" for _ in range(40)]
