@@ -1,9 +1,12 @@
 """Language-model scores with a gated recurrent network, trained in numpy.
 
 All tokens of all documents are counted first, apart for training rows. The most frequent training tokens are the network's own
-vocabulary; every other token is the network's `unknown`, and its share is split by the counts. The output softmax has two factors, the
+vocabulary, which grows with the square root of the training tokens, up to HEAD; every other token is the network's `unknown`, and its
+share is split by the counts. The output softmax has two factors, the
 class of a token and the token in its class, with classes of about equal frequency; both start from the counts over the whole corpus.
-Training is truncated backpropagation: windows of TIME steps, the state carried from one to the next. Scoring carries the state through
+Training is truncated backpropagation: windows of TIME steps, the state carried from one to the next. A sample of SAMPLE_DOCS rows gives
+the weights to start from; then each partition of the training rows makes a gradient pass over all of its documents, and the weights are
+the mean of the partitions' weights by their tokens. Scoring carries the state through
 a document of any length, so its log-likelihood is that of the complete text.
 
 Counts of frequent tokens (at most HEAD of them, by a threshold on their counts) are broadcast. Rarer tokens are joined with the count
@@ -15,11 +18,13 @@ N and V are 0 and both scores come from the uniform remainder; very long texts o
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,6 +39,9 @@ CLASSES = 32
 HIDDEN = 24
 TIME = 32
 SAMPLE_DOCS = 600
+TRAIN_ROWS = 2048
+SCORE_ROWS = 2048
+PART = 1 << 14
 LANES = 256
 END = b""
 
@@ -112,49 +120,48 @@ class Gru:
 
     def train(self, ids: np.ndarray, lengths: np.ndarray, epochs: int = 4, width: int = 64, rate: float = 0.003) -> None:
         """Adam with a falling rate over windows of TIME steps; the gradient stops at a window's edge, the state doesn't."""
-        lanes = Lanes(lengths, width)
-        target = lanes.place(self.rank[ids], 0)
-        inputs = lanes.place(self.rank[previous(ids, lengths)], 0)
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        updates, n = 0, self.hidden
+        lanes, adam = Lanes(lengths, width), Adam(self.p)
         all_updates = epochs * -(-lanes.steps // TIME)
         for _ in range(epochs):
-            h = np.zeros((lanes.width, n), np.float32)
-            for t0 in range(0, lanes.steps, TIME):
-                t1 = min(t0 + TIME, lanes.steps)
-                tape, states, wanted = [], [], []
-                for t in range(t0, t1):
-                    k = lanes.active[t]
-                    before = np.where(lanes.starts[t, :k, None], 0, h[:k]).astype(np.float32)
-                    h, z, r, fresh, un = self.step(self.p["x"][inputs[t, :k]], before)
-                    tape.append((k, before, z, r, fresh, un))
-                    states.append(h)
-                    wanted.append(target[t, :k])
-                grad = {k: np.zeros_like(a) for k, a in self.p.items()}
-                sizes = [len(s) for s in states]
-                _, d_out = self.log_p(np.concatenate(states), np.concatenate(wanted), grad, 1 / sum(sizes))
-                edges = np.concatenate(([0], np.cumsum(sizes)))
-                carried = np.zeros((0, n), np.float32)
-                for t in range(t1 - 1, t0 - 1, -1):
-                    k, before, z, r, fresh, un = tape[t - t0]
-                    d = d_out[edges[t - t0] : edges[t - t0 + 1]].copy()
-                    d[: len(carried)] += carried
-                    d_fresh = d * (1 - z) * (1 - fresh * fresh)
-                    d_z = d * (before - fresh) * z * (1 - z)
-                    d_r = d_fresh * un * r * (1 - r)
-                    d_x = np.concatenate([d_z, d_r, d_fresh], 1)
-                    d_u = np.concatenate([d_z, d_r, d_fresh * r], 1)
-                    np.add.at(grad["x"], inputs[t, :k], d_x)
-                    grad["u"] += before.T @ d_u
-                    carried = np.where(lanes.starts[t, :k, None], 0, d * z + d_u @ self.p["u"].T).astype(np.float32)
-                updates += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                for name, g in grad.items():
-                    g *= min(1.0, 1.0 / (norm + 1e-9))
-                    m[name] += 0.1 * (g - m[name])
-                    v[name] += 0.001 * (g * g - v[name])
-                    now = rate * min(1.0, updates / 20) * (1 - (updates - 1) / all_updates)
-                    self.p[name] += now * (m[name] / (1 - 0.9**updates)) / (np.sqrt(v[name] / (1 - 0.999**updates)) + 1e-6)
+            for grad in self.gradients(ids, lengths, lanes):
+                adam.update(self.p, grad, rate * (1 - adam.updates / all_updates))
+
+    def gradients(self, ids: np.ndarray, lengths: np.ndarray, lanes: Lanes) -> Iterator[dict]:
+        """Of each window in turn, at the weights as they are then."""
+        target, inputs = lanes.place(self.rank[ids], 0), lanes.place(self.rank[previous(ids, lengths)], 0)
+        n = self.hidden
+        h = np.zeros((lanes.width, n), np.float32)
+        for t0 in range(0, lanes.steps, TIME):
+            t1 = min(t0 + TIME, lanes.steps)
+            tape, states, wanted = [], [], []
+            for t in range(t0, t1):
+                k = lanes.active[t]
+                before = np.where(lanes.starts[t, :k, None], 0, h[:k]).astype(np.float32)
+                h, z, r, fresh, un = self.step(self.p["x"][inputs[t, :k]], before)
+                tape.append((k, before, z, r, fresh, un))
+                states.append(h)
+                wanted.append(target[t, :k])
+            grad = {k: np.zeros_like(a) for k, a in self.p.items()}
+            sizes = [len(s) for s in states]
+            _, d_out = self.log_p(np.concatenate(states), np.concatenate(wanted), grad, 1 / sum(sizes))
+            edges = np.concatenate(([0], np.cumsum(sizes)))
+            carried, d_inputs = np.zeros((0, n), np.float32), []
+            for t in range(t1 - 1, t0 - 1, -1):
+                k, before, z, r, fresh, un = tape[t - t0]
+                d = d_out[edges[t - t0] : edges[t - t0 + 1]].copy()
+                d[: len(carried)] += carried
+                d_fresh = d * (1 - z) * (1 - fresh * fresh)
+                d_z = d * (before - fresh) * z * (1 - z)
+                d_r = d_fresh * un * r * (1 - r)
+                d_inputs.append(np.concatenate([d_z, d_r, d_fresh], 1))
+                d_u = np.concatenate([d_z, d_r, d_fresh * r], 1)
+                grad["u"] += before.T @ d_u
+                carried = np.where(lanes.starts[t, :k, None], 0, d * z + d_u @ self.p["u"].T).astype(np.float32)
+            rows = np.concatenate([inputs[t, : lanes.active[t]] for t in range(t1 - 1, t0 - 1, -1)])
+            order = np.argsort(rows, kind="stable")
+            found, first = np.unique(rows[order], return_index=True)
+            grad["x"][found] = np.add.reduceat(np.concatenate(d_inputs)[order], first)
+            yield grad
 
     def log10_likelihood(self, ids: np.ndarray, lengths: np.ndarray, width: int = LANES) -> np.ndarray:
         """For each sequence, the sum over its tokens; the state runs through whole sequences, window by window."""
@@ -180,6 +187,23 @@ class Gru:
         return np.add.reduceat(flat, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / np.log(10)
 
 
+class Adam:
+    def __init__(self, p: dict) -> None:
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+        self.updates = 0
+
+    def update(self, p: dict, grad: dict, rate: float) -> None:
+        self.updates += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        now = rate * min(1.0, self.updates / 20)
+        for name, g in grad.items():
+            g *= min(1.0, 1.0 / (norm + 1e-9))
+            m, v = self.m[name], self.v[name]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p[name] += now * (m / (1 - 0.9**self.updates)) / (np.sqrt(v / (1 - 0.999**self.updates)) + 1e-6)
+
+
 def previous(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Each token's predecessor; the end token for the first of a sequence."""
     out = np.concatenate(([1], ids[:-1]))
@@ -229,6 +253,45 @@ def head_tokens(counts: DataFrame, most: int = HEAD) -> tuple[list, int]:
     return counts.filter(level >= least).collect(), least
 
 
+def vocabulary(total: int) -> int:
+    """The network's tokens, unknown and end among them, for so many training tokens; HEAD is the most that is broadcast."""
+    return max(VOCABULARY, min(HEAD, int(total**0.5)))
+
+
+def average_pass(train: DataFrame, text: str, scorer: Scorer, rate: float = 0.003) -> None:
+    """A gradient pass of each partition over all of its rows, from the scorer's weights, which become the mean over the partitions.
+    Weights are summed in parts, so that no task and not the driver holds more than one model beside its own part."""
+    held = train.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        gru = copy.copy(model.gru)
+        gru.p = {k: a.copy() for k, a in model.gru.p.items()}
+        adam, seen, widest = Adam(gru.p), 0, min(1024, max(64, len(gru.class_of) // 16))
+        for batch in batches:
+            for k in range(0, batch.num_rows, TRAIN_ROWS):
+                codes, lengths, _ = model.encode(byte_list(batch.slice(k, TRAIN_ROWS), text))
+                lanes = Lanes(lengths, min(widest, max(8, len(lengths) // 32)))
+                for grad in gru.gradients(model.ids[codes], lengths, lanes):
+                    adam.update(gru.p, grad, rate)
+                seen += int(lengths.sum())
+        if seen:
+            parts = [(name, k, seen, ((a.ravel()[k : k + PART] - model.gru.p[name].ravel()[k : k + PART]) * np.float32(seen)).tobytes()) for name, a in gru.p.items() for k in range(0, a.size, PART)]
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in part], ["name", "at", "seen", "moved"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(group["moved"].iloc[0]) // 4)
+        for m in group["moved"]:
+            total += np.frombuffer(m, np.float32)
+        return pd.DataFrame({"name": group["name"].iloc[:1], "at": group["at"].iloc[:1], "moved": [(total / group["seen"].sum()).astype(np.float32).tobytes()]})
+
+    moved = train.select(text).mapInArrow(run, "name string, at long, seen long, moved binary").groupBy("name", "at").applyInPandas(add, "name string, at long, moved binary")
+    for name, at, m in moved.collect():
+        own = scorer.gru.p[name].reshape(-1)
+        own[at : at + PART] += np.frombuffer(bytes(m), np.float32)
+
+
 class Scorer:
     """What tasks need: head tokens with counts, the network, and the totals."""
 
@@ -237,7 +300,7 @@ class Scorer:
         self.index = {bytes(r.token): i for i, r in enumerate(head)}
         self.log_count = np.log10(np.array([r.n_train + 1.0 for r in head])) if head else np.zeros(0)
         self.known = np.array([r.n_train > 0 for r in head], bool)
-        inner = [r for r in head if r.n_train > 0 and bytes(r.token) != END][: VOCABULARY - 2]
+        inner = [r for r in head if r.n_train > 0 and bytes(r.token) != END][: vocabulary(total) - 2]
         self.ids = np.zeros(len(head) + 1, np.int64)  # the last is for tokens beyond the head
         frequency = np.zeros(2 + len(inner))
         for k, r in enumerate(inner, 2):
@@ -250,7 +313,7 @@ class Scorer:
         self.unknown = max(0, total - int(frequency.sum()))
         frequency[0] = self.unknown
         self.unknown_log = np.log10(self.unknown + max(0, distinct - len(inner) - (ends > 0)) + 1.0)
-        self.gru = Gru(frequency)
+        self.gru = Gru(frequency, classes=max(CLASSES, int(len(frequency) ** 0.5)))
 
     def encode(self, data: list[bytes | None]):
         """Head indices (one past the last for others) of all tokens, lengths, and each text's tokens beyond the head with their counts."""
@@ -270,7 +333,7 @@ class Scorer:
 
 def score_documents(docs: DataFrame, key: str, text: str = "text", mod: int = 7, held_out_rest: int = 2, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score for each row. Rows with crc32(key) mod `mod` = held_out_rest teach
-    nothing. The network's weights come from a sample of about sample_docs training rows; counts cover every row."""
+    nothing. The network's weights start from a sample of about sample_docs training rows and learn from all of them; counts cover every row."""
     spark = docs.sparkSession
     counts = written(count_tokens(docs, held_out_rest, mod, text, key), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
@@ -281,12 +344,13 @@ def score_documents(docs: DataFrame, key: str, text: str = "text", mod: int = 7,
     if sample:
         codes, lengths, _ = scorer.encode(sorted(sample, key=lambda d: d or b""))
         scorer.gru.train(scorer.ids[codes], lengths)
+        average_pass(train, text, scorer)
     held = spark.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, uid = held.value, TaskContext.get().partitionId() << 33
         log_count, known = np.append(model.log_count, 0), np.append(model.known, False)
-        for b in batches:
+        for b in (batch.slice(k, SCORE_ROWS) for batch in batches for k in range(0, batch.num_rows, SCORE_ROWS)):
             codes, lengths, tails = model.encode(byte_list(b, text))
             at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             ids = model.ids[codes]

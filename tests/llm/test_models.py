@@ -57,6 +57,22 @@ def test_language_model_beyond_the_head(spark, corpus, monkeypatch):
         assert few[r.doc_id].base_score == pytest.approx(r.base_score) and few[r.doc_id].n_known == r.n_known
 
 
+def test_language_model_learns_from_all_training_rows(spark):
+    words = [f"w{k * 7 % 20}x" for k in range(20)]
+    rng = random.Random(9)
+    texts = [" ".join(words[(at + k) % 20] for k in range(60)) for at in (rng.randrange(20) for _ in range(8000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), EMPTY).repartition(3)
+    got = lm_score.score_documents(docs, "doc_id", sample_docs=4).filter("n_tokens = 61").agg(F.avg("score"), F.avg("base_score")).first()
+    assert got[0] > 0.8 * got[1]
+
+
+def test_language_model_vocabulary_grows():
+    from pyspark.sql import Row
+
+    head = [Row(token=f"t{k}".encode(), n_train=10_000, n_all=10_000) for k in range(3000)]
+    assert len(lm_score.Scorer(head, 30_000_000, 3000).gru.class_of) == 3002
+
+
 def test_gru_gradients_and_probabilities():
     rng = np.random.default_rng(1)
     gru = lm_score.Gru(rng.integers(0, 50, 12).astype(float), hidden=5, classes=3)
