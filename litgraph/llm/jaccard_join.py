@@ -173,24 +173,26 @@ def best_boundary(sizes: list[int], num: int, den: int) -> int:
 
 
 def set_rows(docs: DataFrame, doc_id: str, text: str, words: int, signatures: Signatures) -> DataFrame:
-    """doc_id, n_shingles, hi, lo (fingerprint), keys and sketch; keys are empty for sets that the task has seen before. A sketch counts
+    """doc_id, n_shingles, hi, lo (fingerprint), keys and sketch; keys are empty for null ids and for sets that the task has seen
+    under an id before. A sketch counts
     shingles by hash into 256 groups: two sketches differ by no more than their sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(words), OrderedDict()
         for b in batches:
             n, hi, lo, keys, sketch = [], [], [], [], []
-            for data in byte_list(b, text):
+            for i, data in zip(b.column(doc_id).to_pylist(), byte_list(b, text), strict=True):
                 h = shingles(data)
                 n.append(len(h))
                 digest = xxhash.xxh3_128_intdigest(h.tobytes()) if len(h) else 0
                 hi.append((digest >> 64) - (1 << 63))
                 lo.append((digest & (1 << 64) - 1) - (1 << 63))
-                keys.append(signatures(h).view(np.int64) if len(h) and digest not in seen else [])
+                keys.append(signatures(h).view(np.int64) if len(h) and i is not None and digest not in seen else [])
                 sketch.append(np.minimum(np.bincount((mix(h ^ U(0x51ED270B)) >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
-                seen[digest] = None
-                if len(seen) > 200_000:
-                    seen.popitem(last=False)
+                if i is not None:
+                    seen[digest] = None
+                    if len(seen) > 200_000:
+                        seen.popitem(last=False)
             yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "hi", "lo", "keys", "sketch"])
 
     return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, keys array<long>, sketch binary")
@@ -221,17 +223,18 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     def run(batches):
         shingles, cache = Shingler(words), OrderedDict()
 
-        def of(i, data):
-            if i not in cache:
-                cache[i] = shingles(data)
+        def of(data):
+            at = xxhash.xxh3_128_digest(data)
+            if at not in cache:
+                cache[at] = shingles(data)
                 if len(cache) > 512:
                     cache.popitem(last=False)
-            return cache[i]
+            return cache[at]
 
         for b in batches:
             out = []
             for i, j, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), byte_list(b, "text_a"), byte_list(b, "text_b"), strict=True):
-                x, y = of(i, s), of(j, t)
+                x, y = of(s), of(t)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if den * common >= num * (len(x) + len(y) - common):
                     out.append((i, j))

@@ -56,6 +56,21 @@ def test_jaccard_edges(spark):
     assert got == sorted([(None, 2, None), (5, 2, 5), (5, 2, 5), (9, 2, 5), (7, 0, 7)], key=str)
 
 
+def test_jaccard_null_id_before_its_copy(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, text), (7, text), (8, text.replace("w79", "other"))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(spark.createDataFrame(rows, EMPTY).coalesce(1)).collect()}
+    assert got == {None: None, 7: 7, 8: 7}
+
+
+def test_jaccard_second_text_of_an_id(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(80)) for c in "vw")
+    for first, second in ((one, two), (two, one)):
+        rows = [(5, first), (5, second), (8, two.replace("w79", "other")), (9, one.replace("v79", "other"))]
+        got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(spark.createDataFrame(rows, EMPTY).coalesce(1)).collect()}
+        assert got == {5: 5, 8: 5, 9: 5}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sets(st.integers(0, 14), min_size=1), st.integers(0, 3)), min_size=1, max_size=30), st.sampled_from([(1, 2), (4, 5)]))
 def test_links_in_block(rows, threshold):
