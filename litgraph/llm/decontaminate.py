@@ -6,7 +6,7 @@ window's items are read off the automaton's states. The automaton is broadcast i
 size is bounded however large the benchmark is: a benchmark beyond one block takes one pass for each block, and the passes add up.
 
 Edge cases: null or wordless texts have no words and no hits; items without words match nothing; repeated items count once for each
-item_id; repeated documents are handled row by row; an empty benchmark hits nothing; an item longer than a block is cut in pieces
+item_id; items without an id match like others and count as one id, which items_sha256 leaves out; repeated documents are handled row by row; an empty benchmark hits nothing; an item longer than a block is cut in pieces
 which overlap by one window less a word, so that no window is lost. Extra columns pass through; the columns that the operator adds
 replace columns of the same name.
 """
@@ -180,7 +180,7 @@ def merge_spans(a: list[int], b: list[int]) -> list[int]:
 def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """Items in blocks of about block_words words; rows come to the driver one partition after another."""
     block, size = [], 0
-    for row in items.select(F.col(item_id).alias("i"), F.col(text).cast("binary").alias("t")).filter("i is not null and t is not null").toLocalIterator():
+    for row in items.select(F.col(item_id).alias("i"), F.col(text).cast("binary").alias("t")).filter("t is not null").toLocalIterator():
         words = words_of(bytes(row.t))
         step = max(block_words - window + 1, 1)
         pieces = [words] if len(words) <= block_words else [words[k : k + block_words] for k in range(0, len(words) - window + 1, step)]
@@ -194,7 +194,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_wo
 
 
 def match_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, hit_spans (word offsets start, end, start, end, ...; merged) and hit_items (sorted ids) added."""
+    """docs with n_words, hit_spans (word offsets start, end, start, end, ...; merged) and hit_items (sorted ids, null last) added."""
     docs = docs.drop(*ADDED)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in ADDED.items())])
     spark, out, first = docs.sparkSession, docs, True
@@ -219,7 +219,7 @@ def _pass(matcher, text: str, first: bool, names: list[str]):
                 s, i = find(words)
                 n_words.append(len(words))
                 spans.append(merge_spans(old_spans, s) if old_spans else s)
-                items.append(sorted(i.union(old_items)))
+                items.append(sorted(i.union(old_items), key=lambda x: (x is None, x or 0)))
             kept = [b.column(k) for k in names[: len(names) - len(ADDED)]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names)
 

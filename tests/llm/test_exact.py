@@ -33,6 +33,15 @@ def test_decontamination(spark, documents, corpus):
     assert decontaminate.match_benchmark(spark.createDataFrame([], EMPTY), bench).count() == 0
 
 
+def test_decontamination_without_item_id(spark, tmp_path):
+    import hashlib
+
+    spark.createDataFrame([(1, "x a b c y"), (2, "z")], EMPTY).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "a b c"), (None, "b c"), (3, "c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.op1_decontaminate(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: (5, 3, 2, hashlib.sha256(b"3").hexdigest(), True), 2: (1, 0, 0, hashlib.sha256(b"").hexdigest(), False)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=9), max_size=5), st.lists(st.sampled_from("abcd"), max_size=40))
 def test_automaton_finds_every_window(items, text):
