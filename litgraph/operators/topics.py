@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import weighted_jaccard
 
 
-def fit_topics(docs: DataFrame, bow: str, k: int = 20, rounds: int = 50, seed: int = 7, vocabulary: int = 1 << 14, least_df: int = 2):
+def fit_topics(docs: DataFrame, bow: str, k: int = 20, rounds: int = 50, seed: int = 7, vocabulary: int = (1 << 31) - 1, least_df: int = 2):
     """The document mixes (column topics: array of k weights) and the topics (topic, word, weight; the ten heaviest words)."""
     vector = CountVectorizer(inputCol=bow, outputCol="_v", vocabSize=vocabulary, minDF=least_df).fit(docs)
     counted = vector.transform(docs)
@@ -18,9 +18,9 @@ def fit_topics(docs: DataFrame, bow: str, k: int = 20, rounds: int = 50, seed: i
     from pyspark.ml.functions import vector_to_array
 
     mixes = model.transform(counted).withColumn("topics", vector_to_array("_t")).drop("_v", "_t")
-    words = F.array(*map(F.lit, vector.vocabulary))
-    terms = model.describeTopics(10).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("x"))
-    return mixes, terms.select("topic", F.get(words, F.col("x.termIndices")).alias("word"), F.col("x.termWeights").alias("weight"))
+    words = vector.vocabulary
+    heaviest = [(r.topic, words[i], float(w)) for r in model.describeTopics(10).collect() for i, w in zip(r.termIndices, r.termWeights, strict=True)]  # ten for each topic
+    return mixes, docs.sparkSession.createDataFrame(heaviest, "topic int, word string, weight double")
 
 
 def topic_network(terms: DataFrame, source: str, target: str) -> DataFrame:

@@ -86,12 +86,15 @@ def ngram_partial_support(spark, d):
 
 
 def phrase_annotate(spark, d):
-    """Phrases of two or three words, longest first, with the most frequent mined ones as the model: at most 500, which is its size."""
+    """Phrases of two or three words, longest first, with all mined ones that reach the support. Each document's own n-grams are joined
+    with these, so no task holds them all."""
     rows = _token_rows(spark, d)
-    model = N.mine_ngrams(rows, N.candidate_ngrams(F.col("tokens"), 3), LATE).orderBy(F.desc("n"), "ngram").limit(500)
-    packed = model.agg(F.map_from_entries(F.collect_list(F.struct("ngram", F.lit(True)))).alias("phrases"))
-    lemmas = rows.select("doc_id", F.transform("tokens", lambda t: t["lemma"]).alias("lemmas")).repartition("doc_id")
-    found = lemmas.join(F.broadcast(packed)).select("doc_id", mask_phrases(F.col("lemmas"), F.col("phrases"), 3).alias("found"))
+    model = N.mine_ngrams(rows, N.candidate_ngrams(F.col("tokens"), 3), LATE).select("ngram")
+    lemmas = rows.select("doc_id", F.transform("tokens", lambda t: t["lemma"]).alias("lemmas"))
+    candidates = lemmas.select("doc_id", F.explode(N.plain_ngrams(F.col("lemmas"), 2, 3)).alias("ngram")).distinct()
+    own = candidates.join(model, "ngram").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("ngram", F.lit(True)))).alias("phrases")).withColumnRenamed("doc_id", "of")
+    matched = lemmas.join(own, F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumn("phrases", F.coalesce("phrases", F.create_map().cast("map<string,boolean>")))
+    found = matched.select("doc_id", mask_phrases(F.col("lemmas"), F.col("phrases"), 3).alias("found"))
     return found.select("doc_id", F.size("found").cast("long").alias("n_phrases"), F.array_join("found", ",").alias("phrases"))
 
 
