@@ -68,6 +68,13 @@ class IvfPq:
         return top_per_group(pairs.select("src", "dst", total.alias("dist")), ["src"], [F.col("dist"), F.col("dst")], k)
 
 
+def rerank(candidates: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """src, dst, dist (squared, exact) and rank of the k nearest of the candidates (src, dst)."""
+    q, x = (rows.select(F.col(key).alias(end), F.col(vector).alias(f"_{end}")) for end in ("src", "dst"))
+    pairs = candidates.select("src", "dst").join(q, "src").join(x, "dst")
+    return top_per_group(pairs.select("src", "dst", F.round(squared_distance(F.col("_src"), F.col("_dst")), 9).alias("dist")), ["src"], [F.col("dist"), F.col("dst")], k)
+
+
 def knn_edges(neighbours: DataFrame, prefix: str = "s:") -> DataFrame:
     """Both directions of each found pair, as keys."""
     a, b = F.concat(F.lit(prefix), F.col("src").cast("string")), F.concat(F.lit(prefix), F.col("dst").cast("string"))

@@ -18,6 +18,8 @@ from ..streaming.arrivals import daily_counts
 from .text_queries import _TOK, _bows, h64, table
 
 PARTS = 8
+PROBES = 7
+CANDIDATES = 1000
 CUT = "1997-01-01"
 
 
@@ -248,10 +250,10 @@ def knn_edges(spark, d):
     return V.knn_edges(knn_exact(spark, d))
 
 
-def _index(spark, d):
+def _index(spark, d, parts=8):
     x = table(spark, d, "embeddings").select("vec_id", "embedding")
-    sample = np.array([r[0] for r in x.orderBy("vec_id").limit(2000).select("embedding").collect()], np.float64)  # training only; every row is indexed
-    return V.IvfPq.train(sample, 8, 8, 16), x
+    sample = np.array([r[0] for r in x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000).select("embedding").collect()], np.float64)  # training only; every row is indexed
+    return V.IvfPq.train(sample, 8, parts, 16), x
 
 
 def ivf_assign(spark, d):
@@ -267,8 +269,9 @@ def pq_encode(spark, d):
 
 
 def ivf_search(spark, d):
-    index, x = _index(spark, d)
-    found = index.search(index.encode(x, "vec_id", "embedding"), x.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10, 4)
+    index, x = _index(spark, d, 16)
+    found = index.search(index.encode(x, "vec_id", "embedding"), x.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", CANDIDATES, PROBES)
+    found = V.rerank(found, x, "vec_id", "embedding", 10)
     return found.select("src", "dst", F.col("rank").cast("long").alias("rank"), F.round("dist", 6).alias("dist"))
 
 

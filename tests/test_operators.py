@@ -106,6 +106,15 @@ def test_knn_matches_brute_force(spark):
         knn.IvfPq.train(x.astype(np.float64), 4, 3, 16)
 
 
+def test_registered_index_search_recall(spark, tmp_path):
+    from litgraph.plans import graph_queries
+
+    x = np.random.default_rng(3).normal(size=(3000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    exact, found = ({(r.src, r.dst) for r in q(spark, f"file://{tmp_path}").collect()} for q in (graph_queries.knn_exact, graph_queries.ivf_search))
+    assert len(exact) == 300 and len(exact & found) >= 270
+
+
 def test_ranking(spark):
     df = spark.createDataFrame([(1, 0.9, 1), (2, 0.8, 0), (3, 0.8, 1), (4, 0.1, 0)], "id long, score double, label int")
     assert rows(ranking.ranked(df, "score", "label", "id").select("rank", "id")) == [(1, 1), (2, 3), (3, 2), (4, 4)]
