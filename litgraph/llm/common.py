@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +83,29 @@ def words_of(data: bytes | None) -> list[bytes]:
 def tokens_of(data: bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
     return data.lower().split() if data else []
+
+
+_SPACE = re.compile(rb"\s")
+
+
+def token_lists(data: bytes | None, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """`tokens_of` in lists from about `most` bytes each, so that a very long text is never whole in Python objects. At least one list."""
+    data, at = data or b"", 0
+    while len(data) - at > most and (m := _SPACE.search(data, at + most)):
+        yield tokens_of(data[at : m.start()])
+        at = m.start()
+    yield tokens_of(data[at:])
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `most` bytes of a string column; a row is never cut."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        begin = held = 0
+        for i, n in enumerate(sizes):
+            if i > begin and (held + n > most or i - begin == rows):
+                yield b.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n
+        if begin < b.num_rows:
+            yield b.slice(begin)

@@ -1,14 +1,80 @@
-"""Many sequences of unequal length side by side in time-major lanes, for recurrent models in numpy."""
+"""Many sequences of unequal length side by side in time-major lanes, for recurrent models in numpy.
+
+`Lanes` holds whole sequences at once, for models that look both ways. `windows` feeds sequences of any length through a fixed number of
+lanes, a window of steps at a time, for models that carry a state."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
 
+@dataclass
+class Window:
+    """target, inputs (the token before), starts and held (False beyond a lane's end): (steps, lanes). parts are (tag, whether the
+    sequence ends here) of each piece of a sequence; first, the piece's begin in the transposed, flat window. kept: the lanes of the
+    window before that go on, in order; lanes beyond them are new."""
+
+    target: np.ndarray
+    inputs: np.ndarray
+    starts: np.ndarray
+    held: np.ndarray
+    parts: list[tuple]
+    first: np.ndarray
+    kept: np.ndarray
+
+    def resumed(self, h: np.ndarray) -> np.ndarray:
+        """The lanes' states, from those after the window before."""
+        out = np.zeros((self.target.shape[1], h.shape[1]), h.dtype)
+        out[: len(self.kept)] = h[self.kept]
+        return out
+
+
+def windows(sequences: Iterator[tuple], width: int, steps: int, begin: int) -> Iterator[Window]:
+    """All (tag, ids) side by side; a lane whose sequence ends takes the next one at once, so memory has a bound and lanes stay full
+    however lengths differ. `begin` is the input of a sequence's first step. Sequences have an element or more."""
+    waiting, lanes, kept = iter(sequences), [], np.zeros(0, np.int64)
+    while True:
+        while len(lanes) < width and (new := next(waiting, None)) is not None:
+            lanes.append((*new, 0))
+        if not lanes:
+            return
+        n = len(lanes)
+        target, held, starts = np.zeros((n, steps), np.int32), np.zeros((n, steps), bool), np.zeros((n, steps), bool)
+        inputs, parts, first, going, rest = np.empty((n, steps), np.int32), [], [], [], []
+        for k, lane in enumerate(lanes):
+            at = 0
+            inputs[k, 0] = lane[1][lane[2] - 1] if lane[2] else begin
+            while at < steps and lane is not None:
+                tag, ids, pos = lane
+                m = min(steps - at, len(ids) - pos)
+                target[k, at : at + m] = ids[pos : pos + m]
+                if not pos:
+                    starts[k, at] = True
+                ends = pos + m == len(ids)
+                parts.append((tag, ends))
+                first.append(k * steps + at)
+                at += m
+                lane = (tag, ids, pos + m)
+                if ends:
+                    new = next(waiting, None)
+                    lane = None if new is None else (*new, 0)
+            held[k, :at] = True
+            if lane is not None:
+                going.append(k)
+                rest.append(lane)
+        inputs[:, 1:] = target[:, :-1]
+        inputs[starts] = begin
+        yield Window(*(np.ascontiguousarray(a.T) for a in (target, inputs, starts, held)), parts, np.array(first), kept)
+        lanes, kept = rest, np.array(going, np.int64)
+
+
 class Lanes:
-    """Sequences packed one after another into at most `width` lanes of similar length; no sequence is cut.
+    """Sequences packed one after another into at most `width` lanes of similar length; no sequence is cut. There are no more lanes than
+    the longest sequence fits into all of them, so the arrays stay within about twice the sequences, however long one is.
 
     `place` scatters values of the concatenated sequences to a (steps, width) array, `collect` is the inverse. Lanes are sorted by
     length, so the lanes that still run at step t are the first `active[t]`. `starts` marks the first element of each sequence.
@@ -17,7 +83,8 @@ class Lanes:
     def __init__(self, lengths: np.ndarray, width: int) -> None:
         lengths = np.asarray(lengths, np.int64)
         offsets = np.concatenate(([0], np.cumsum(lengths)))
-        heap = [(0, k) for k in range(max(1, min(width, len(lengths))))]
+        width = min(width, -(-int(lengths.sum()) // max(1, int(lengths.max(initial=0)))), len(lengths))
+        heap = [(0, k) for k in range(max(1, width))]
         members: list[list[int]] = [[] for _ in heap]
         for i in np.argsort(-lengths, kind="stable").tolist():
             if lengths[i]:

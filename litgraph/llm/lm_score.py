@@ -6,22 +6,24 @@ share is split by the counts. The output softmax has two factors, the
 class of a token and the token in its class, with classes of about equal frequency; both start from the counts over the whole corpus.
 Training is truncated backpropagation: windows of TIME steps, the state carried from one to the next. A sample of SAMPLE_DOCS rows gives
 the weights to start from; then each partition of the training rows makes a gradient pass over all of its documents, and the weights are
-the mean of the partitions' weights by their tokens. Scoring carries the state through
-a document of any length, so its log-likelihood is that of the complete text.
+the mean of the partitions' weights by their tokens. Scoring carries the state through a document of any length, so its log-likelihood is
+that of the complete text. Both run documents through a fixed number of lanes, a window of steps at a time (`lanes.windows`): memory has a
+bound whatever the lengths, and a lane whose document ends takes the next one at once.
 
 Counts of frequent tokens (at most HEAD of them, by a threshold on their counts) are broadcast. Rarer tokens are joined with the count
 table; none of them is frequent, in training rows or elsewhere, so this join has no hot key.
 
 Edge cases: a null or blank text is one token, its end; rows that repeat are scored alike; without training tokens every count is 0,
-N and V are 0 and both scores come from the uniform remainder; very long texts only lengthen their lane.
+N and V are 0 and both scores come from the uniform remainder; very long texts keep their lane for longer, and their words are read from
+a mebibyte at a time.
 """
 
 from __future__ import annotations
 
-import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_sample, byte_list, crc_mod, table, tokens_of, written
-from .lanes import Lanes
+from .common import bounded_sample, byte_list, crc_mod, slices, table, token_lists, written
+from .lanes import Window, windows
 
 HEAD = 65_536
 VOCABULARY = 1024
@@ -39,10 +42,11 @@ CLASSES = 32
 HIDDEN = 24
 TIME = 32
 SAMPLE_DOCS = 600
-TRAIN_ROWS = 2048
-SCORE_ROWS = 2048
 PART = 1 << 14
-LANES = 256
+LANES = 512
+ROWS = 2048
+#: Rare tokens with their counts that a row of the table of scores holds at most.
+TAIL = 20_000
 END = b""
 
 
@@ -56,7 +60,7 @@ class Gru:
         of = np.minimum((mass - 0.5 * mass[0]) / mass[-1] * classes, classes - 1).astype(np.int64)
         of = np.unique(of, return_inverse=True)[1]
         #: Tokens are renumbered by frequency inside, so that a class is a range.
-        self.rank = np.empty(v, np.int64)
+        self.rank = np.empty(v, np.int32)
         self.rank[order] = np.arange(v)
         self.class_of = of
         self.bounds = np.concatenate(([0], np.cumsum(np.bincount(of))))
@@ -71,144 +75,190 @@ class Gru:
         self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
         self.hidden = hidden
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One time step of n lanes: x holds input rows, h states."""
-        n, u = self.hidden, h @ self.p["u"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * n] + u[:, : 2 * n])))
-        z, r = gates[:, :n], gates[:, n:]
-        fresh = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-        return fresh + z * (h - fresh), z, r, fresh, u[:, 2 * n :]
-
-    def log_p(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None, scale: float = 1.0):
-        """Natural log-probability of each target after its state; with `grad`, adds gradients and returns that of the states, too."""
-        cls = self.class_of[target]
-        rows = np.arange(len(h))
-        z = h @ self.p["c"] + self.p["cb"]
-        z -= z.max(1, keepdims=True)
+    def run(self, w: Window, h: np.ndarray, tape: list | None = None) -> np.ndarray:
+        """States after each step (steps, lanes, hidden) of a window, from the lanes' states before it."""
+        n, x, u_all = self.hidden, self.p["x"], self.p["u"]
+        out = np.empty((*w.target.shape, n), np.float32)
+        fresh_lanes = w.starts.any(1)
+        with np.errstate(over="ignore"):
+            for t in range(len(out)):
+                if fresh_lanes[t]:
+                    h = np.where(w.starts[t, :, None], np.float32(0), h)
+                a, u = x.take(w.inputs[t], axis=0), h @ u_all
+                gates = a[:, : 2 * n] + u[:, : 2 * n]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                z, r = gates[:, :n], gates[:, n:]
+                fresh = r * u[:, 2 * n :]
+                fresh += a[:, 2 * n :]
+                np.tanh(fresh, out=fresh)
+                np.subtract(h, fresh, out=out[t])
+                out[t] *= z
+                out[t] += fresh
+                if tape is not None:
+                    tape.append((h, z, r, fresh, u[:, 2 * n :]))
+                h = out[t]
+        return out
+
+    @staticmethod
+    def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, their exponentials and the sums of these. States lie between -1 and 1, so small weights can't overflow."""
+        z = h @ weights
+        z += bias
+        if (np.abs(weights).sum(0) + np.abs(bias)).max() > 60:
+            z -= z.max(1, keepdims=True)
         e = np.exp(z)
-        total = e.sum(1)
-        out = z[rows, cls] - np.log(total)
-        d_h = None
-        if grad is not None:
-            d = -e / total[:, None]
-            d[rows, cls] += 1
-            d *= scale
-            grad["c"] += h.T @ d
-            grad["cb"] += d.sum(0)
-            d_h = d @ self.p["c"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.bounds)))
-        for k in range(len(self.bounds) - 1):
-            own = order[cuts[k] : cuts[k + 1]]
-            a, b = self.bounds[k], self.bounds[k + 1]
-            if not len(own) or b - a == 1:
+        return z, e, e @ np.ones(e.shape[1], np.float32)
+
+    @staticmethod
+    def _back(h: np.ndarray, e: np.ndarray, total: np.ndarray, own: tuple, scale: np.ndarray, weights: np.ndarray, d_weights: np.ndarray, d_bias: np.ndarray) -> np.ndarray:
+        """Adds to the gradients of weights and bias; the states' gradient. `own` are the targets' places in e."""
+        e *= (-scale / total)[:, None]
+        e[own] += scale
+        d_weights += h.T @ e
+        d_bias += np.ones(len(e), np.float32) @ e
+        return e @ weights.T
+
+    def log_p(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None, scale: float | np.ndarray = 1.0):
+        """Natural log-probability of each target after its state; with `grad`, adds gradients and returns that of the states, too."""
+        cls, rows = self.class_of[target], np.arange(len(h))
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        h, target, cls = h[order], target[order], cls[order]
+        scale = np.broadcast_to(np.asarray(scale, np.float32), len(h))[order]
+        out, d_h = np.empty(len(h), np.float32), None if grad is None else np.empty_like(h)
+        for i in range(0, len(h), ROWS):  # few enough for the logits to stay in a cache
+            own, hk = (rows[: len(h) - i][:ROWS], cls[i : i + ROWS]), h[i : i + ROWS]
+            z, e, total = self._softmax(hk, self.p["c"], self.p["cb"])
+            out[i : i + ROWS] = z[own] - np.log(total)
+            if grad is not None:
+                d_h[i : i + ROWS] = self._back(hk, e, total, own, scale[i : i + ROWS], self.p["c"], grad["c"], grad["cb"])
+        cuts = np.searchsorted(cls, np.arange(len(self.bounds)))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            i, j, a, b = cuts[k], cuts[k + 1], self.bounds[k], self.bounds[k + 1]
+            if b - a == 1:
                 continue
-            w, hk, t = self.p["w"][:, a:b], h[own], target[own] - a
-            z = hk @ w + self.p["wb"][a:b]
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(1)
-            out[own] += z[np.arange(len(own)), t] - np.log(total)
+            w, bias, own, hk = self.p["w"][:, a:b], self.p["wb"][a:b], (rows[: j - i], target[i:j] - a), h[i:j]
+            z, e, total = self._softmax(hk, w, bias)
+            out[i:j] += z[own] - np.log(total)
             if grad is not None:
-                d = -e / total[:, None]
-                d[np.arange(len(own)), t] += 1
-                d *= scale
-                grad["w"][:, a:b] += hk.T @ d
-                grad["wb"][a:b] += d.sum(0)
-                d_h[own] += d @ w.T
-        return out if grad is None else (out, d_h)
+                d_h[i:j] += self._back(hk, e, total, own, scale[i:j], w, grad["w"][:, a:b], grad["wb"][a:b])
+        back = np.empty_like(order)
+        back[order] = rows
+        return out[back] if grad is None else (out[back], d_h[back])
 
     def train(self, ids: np.ndarray, lengths: np.ndarray, epochs: int = 4, width: int = 64, rate: float = 0.003) -> None:
         """Adam with a falling rate over windows of TIME steps; the gradient stops at a window's edge, the state doesn't."""
-        lanes, adam = Lanes(lengths, width), Adam(self.p)
-        all_updates = epochs * -(-lanes.steps // TIME)
+        sequences, adam = cut(ids, lengths), Adam(self.p)
+        all_updates = epochs * (1 + len(ids) // (TIME * min(width, len(sequences))))
         for _ in range(epochs):
-            for grad in self.gradients(ids, lengths, lanes):
-                adam.update(self.p, grad, rate * (1 - adam.updates / all_updates))
-
-    def gradients(self, ids: np.ndarray, lengths: np.ndarray, lanes: Lanes) -> Iterator[dict]:
-        """Of each window in turn, at the weights as they are then."""
-        target, inputs = lanes.place(self.rank[ids], 0), lanes.place(self.rank[previous(ids, lengths)], 0)
-        n = self.hidden
-        h = np.zeros((lanes.width, n), np.float32)
-        for t0 in range(0, lanes.steps, TIME):
-            t1 = min(t0 + TIME, lanes.steps)
-            tape, states, wanted = [], [], []
-            for t in range(t0, t1):
-                k = lanes.active[t]
-                before = np.where(lanes.starts[t, :k, None], 0, h[:k]).astype(np.float32)
-                h, z, r, fresh, un = self.step(self.p["x"][inputs[t, :k]], before)
-                tape.append((k, before, z, r, fresh, un))
-                states.append(h)
-                wanted.append(target[t, :k])
-            grad = {k: np.zeros_like(a) for k, a in self.p.items()}
-            sizes = [len(s) for s in states]
-            _, d_out = self.log_p(np.concatenate(states), np.concatenate(wanted), grad, 1 / sum(sizes))
-            edges = np.concatenate(([0], np.cumsum(sizes)))
-            carried, d_inputs = np.zeros((0, n), np.float32), []
-            for t in range(t1 - 1, t0 - 1, -1):
-                k, before, z, r, fresh, un = tape[t - t0]
-                d = d_out[edges[t - t0] : edges[t - t0 + 1]].copy()
-                d[: len(carried)] += carried
-                d_fresh = d * (1 - z) * (1 - fresh * fresh)
-                d_z = d * (before - fresh) * z * (1 - z)
-                d_r = d_fresh * un * r * (1 - r)
-                d_inputs.append(np.concatenate([d_z, d_r, d_fresh], 1))
-                d_u = np.concatenate([d_z, d_r, d_fresh * r], 1)
-                grad["u"] += before.T @ d_u
-                carried = np.where(lanes.starts[t, :k, None], 0, d * z + d_u @ self.p["u"].T).astype(np.float32)
-            rows = np.concatenate([inputs[t, : lanes.active[t]] for t in range(t1 - 1, t0 - 1, -1)])
-            order = np.argsort(rows, kind="stable")
-            found, first = np.unique(rows[order], return_index=True)
-            grad["x"][found] = np.add.reduceat(np.concatenate(d_inputs)[order], first)
-            yield grad
+            for grad in self.gradients(iter(sequences), width):
+                adam.update(self.p, grad, rate * max(0.02, 1 - adam.updates / all_updates))
+
+    def gradients(self, sequences: Iterator[np.ndarray], width: int) -> Iterator[dict]:
+        """Of each window in turn, at the weights as they are then; windows of few lanes, when sequences run out, are put together. `x`
+        comes as rows and their gradients."""
+        n, u_all, h = self.hidden, self.p["u"], np.zeros((0, self.hidden), np.float32)
+        grad, seen = None, 0.0
+        for w in windows(((k, self.rank[s]) for k, s in enumerate(sequences)), width, TIME, int(self.rank[1])):
+            tape: list[tuple] = []
+            states = self.run(w, w.resumed(h), tape)
+            grad = grad or {k: [] if k == "x" else np.zeros_like(a) for k, a in self.p.items()}
+            _, d_out = self.log_p(states.reshape(-1, n), w.target.ravel(), grad, w.held.ravel())
+            d_out = d_out.reshape(states.shape)
+            # What doesn't depend on the steps after it, for all steps at once.
+            tape = [np.stack(x) for x in zip(*tape, strict=True)]
+            before, z, r, fresh, un = tape
+            to_fresh = (1 - z) * (1 - fresh * fresh)
+            to_z = (before - fresh) * z * (1 - z)
+            to_r = un * r * (1 - r)
+            d_in, back = np.empty((*w.target.shape, 3 * n), np.float32), np.ascontiguousarray(u_all.T)
+            carried = np.zeros_like(d_out[0])
+            for t in range(len(d_in) - 1, -1, -1):
+                d, own = d_out[t], d_in[t]
+                d += carried
+                np.multiply(d, to_z[t], out=own[:, :n])
+                np.multiply(d, to_fresh[t], out=own[:, 2 * n :])
+                np.multiply(own[:, 2 * n :], to_r[t], out=own[:, n : 2 * n])
+                np.multiply(d, z[t], out=carried)
+                carried += own[:, : 2 * n] @ back[: 2 * n]
+                carried += (own[:, 2 * n :] * r[t]) @ back[2 * n :]
+                carried[w.starts[t]] = 0
+            flat, before = d_in.reshape(-1, 3 * n), before.reshape(-1, n)
+            grad["u"] += np.concatenate([before.T @ flat[:, : 2 * n], before.T @ (flat[:, 2 * n :] * r.reshape(-1, n))], 1)
+            grad["x"].append((w.inputs.ravel(), flat))
+            seen += float(w.held.sum())
+            h = states[-1]
+            if seen >= 0.75 * width * TIME:
+                yield self._mean(grad, seen)
+                grad, seen = None, 0.0
+        if grad:
+            yield self._mean(grad, seen)
+
+    def _mean(self, grad: dict, seen: float) -> dict:
+        rows, flat = (np.concatenate(a) if len(grad["x"]) > 1 else a[0] for a in zip(*grad["x"], strict=True))
+        order = np.argsort(rows.astype(np.uint16) if len(self.class_of) <= 1 << 16 else rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        out = {k: a for k, a in grad.items() if k != "x"}
+        for a in out.values():
+            a /= np.float32(seen)
+        return out | {"x": (rows[first], np.add.reduceat(flat.take(order, axis=0), first) / np.float32(seen))}
+
+    def scores(self, sequences: Iterator[tuple], width: int = LANES) -> Iterator[tuple]:
+        """(tag, log10-likelihood) of (tag, ids) as sequences end; tags must differ. The state runs through whole sequences, window by window."""
+        sums: dict = {}
+        h = np.zeros((0, self.hidden), np.float32)
+        for w in windows(((tag, self.rank[s]) for tag, s in sequences), width, 2 * TIME, int(self.rank[1])):
+            states = self.run(w, w.resumed(h))
+            found = self.log_p(states.reshape(-1, self.hidden), w.target.ravel()).reshape(w.target.shape)
+            parts = np.add.reduceat(np.where(w.held, found, 0).T.ravel().astype(np.float64), w.first)
+            for (tag, done), part in zip(w.parts, parts.tolist(), strict=True):
+                sums[tag] = sums.get(tag, 0.0) + part
+                if done:
+                    yield tag, sums.pop(tag) / np.log(10)
+            h = states[-1]
 
     def log10_likelihood(self, ids: np.ndarray, lengths: np.ndarray, width: int = LANES) -> np.ndarray:
-        """For each sequence, the sum over its tokens; the state runs through whole sequences, window by window."""
-        lanes = Lanes(lengths, width)
-        target, inputs = lanes.place(self.rank[ids], 0), lanes.place(self.rank[previous(ids, lengths)], 0)
-        out = np.zeros((lanes.steps, lanes.width), np.float32)
-        h = np.zeros((lanes.width, self.hidden), np.float32)
-        for t0 in range(0, lanes.steps, TIME):
-            states, wanted, t1 = [], [], min(t0 + TIME, lanes.steps)
-            for t in range(t0, t1):
-                k = lanes.active[t]
-                h = h[:k]
-                if lanes.starts[t, :k].any():
-                    h = np.where(lanes.starts[t, :k, None], np.float32(0), h)
-                h = self.step(self.p["x"][inputs[t, :k]], h)[0]
-                states.append(h)
-                wanted.append(target[t, :k])
-            found, at = self.log_p(np.concatenate(states), np.concatenate(wanted)), 0
-            for t, s in zip(range(t0, t1), states, strict=True):
-                out[t, : len(s)] = found[at : at + len(s)]
-                at += len(s)
-        flat = lanes.collect(out).astype(np.float64)
-        return np.add.reduceat(flat, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / np.log(10)
+        """For each sequence, the sum over its tokens."""
+        out = np.zeros(len(lengths))
+        for k, v in self.scores(enumerate(cut(ids, lengths)), width):
+            out[k] = v
+        return out
 
 
 class Adam:
+    """With `x` given as rows and their gradients, only these rows and their moments move."""
+
     def __init__(self, p: dict) -> None:
         self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
         self.updates = 0
 
     def update(self, p: dict, grad: dict, rate: float) -> None:
         self.updates += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        now = rate * min(1.0, self.updates / 20)
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in (v[1] if isinstance(v, tuple) else v for v in grad.values())))
+        now, shrink = rate * min(1.0, self.updates / 20), np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         for name, g in grad.items():
-            g *= min(1.0, 1.0 / (norm + 1e-9))
-            m, v = self.m[name], self.v[name]
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p[name] += now * (m / (1 - 0.9**self.updates)) / (np.sqrt(v / (1 - 0.999**self.updates)) + 1e-6)
-
-
-def previous(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Each token's predecessor; the end token for the first of a sequence."""
-    out = np.concatenate(([1], ids[:-1]))
-    out[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = 1
-    return out
+            rows = slice(None)
+            if isinstance(g, tuple):
+                rows, g = g
+            g *= shrink
+            m, v = self.m[name][rows], self.v[name][rows]
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            v += np.float32(0.001) * (g - v)
+            step = np.sqrt(v * np.float32(1 / (1 - 0.999**self.updates)))
+            step += np.float32(1e-6)
+            np.divide(m, step, out=step)
+            step *= np.float32(now / (1 - 0.9**self.updates))
+            p[name][rows] += step
+            if not isinstance(rows, slice):
+                self.m[name][rows], self.v[name][rows] = m, v
+
+
+def cut(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    return np.split(ids, np.cumsum(lengths)[:-1])
 
 
 def count_tokens(docs: DataFrame, held_out_rest: int, mod: int, text: str, key: str, most: int = 400_000) -> DataFrame:
@@ -226,12 +276,13 @@ def count_tokens(docs: DataFrame, held_out_rest: int, mod: int, text: str, key:
         for b in batches:
             for i, data in zip(b.column(key).to_pylist(), byte_list(b, text), strict=True):
                 own = rest if zlib.crc32(b"" if i is None else str(i).encode()) % mod == held_out_rest else train
-                own.update(tokens_of(data))
+                for tokens in token_lists(data):
+                    own.update(tokens)
+                    if len(train) + len(rest) > most:
+                        yield flush()
+                        train.clear()
+                        rest.clear()
                 own[END] += 1
-                if len(train) + len(rest) > most:
-                    yield flush()
-                    train.clear()
-                    rest.clear()
         yield flush()
 
     parts = docs.select(key, text).mapInArrow(run, "token binary, n_train long, n_all long")
@@ -258,27 +309,33 @@ def vocabulary(total: int) -> int:
     return max(VOCABULARY, min(HEAD, int(total**0.5)))
 
 
-def average_pass(train: DataFrame, text: str, scorer: Scorer, rate: float = 0.003) -> None:
+def average_pass(train: DataFrame, text: str, scorer: Scorer, total: int, rate: float = 0.003) -> None:
     """A gradient pass of each partition over all of its rows, from the scorer's weights, which become the mean over the partitions.
-    Weights are summed in parts, so that no task and not the driver holds more than one model beside its own part."""
-    held = train.sparkSession.sparkContext.broadcast(scorer)
+    Partitions are put together until one's text is some ten times the model, which each of them sends. Weights are summed in parts,
+    so that no task and not the driver holds more than one model beside its own part."""
+    spark = train.sparkSession
+    held, size = spark.sparkContext.broadcast(scorer), sum(a.nbytes for a in scorer.gru.p.values())
+    parts = max(2 * spark.sparkContext.defaultParallelism, 6 * total // (10 * size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        gru = copy.copy(model.gru)
-        gru.p = {k: a.copy() for k, a in model.gru.p.items()}
-        adam, seen, widest = Adam(gru.p), 0, min(1024, max(64, len(gru.class_of) // 16))
-        for batch in batches:
-            for k in range(0, batch.num_rows, TRAIN_ROWS):
-                codes, lengths, _ = model.encode(byte_list(batch.slice(k, TRAIN_ROWS), text))
-                lanes = Lanes(lengths, min(widest, max(8, len(lengths) // 32)))
-                for grad in gru.gradients(model.ids[codes], lengths, lanes):
-                    adam.update(gru.p, grad, rate)
-                seen += int(lengths.sum())
-        if seen:
-            parts = [(name, k, seen, ((a.ravel()[k : k + PART] - model.gru.p[name].ravel()[k : k + PART]) * np.float32(seen)).tobytes()) for name, a in gru.p.items() for k in range(0, a.size, PART)]
-            for part in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in part], ["name", "at", "seen", "moved"])
+        model, seen = held.value, [0]
+        gru, before = model.gru, {k: a.copy() for k, a in model.gru.p.items()}
+
+        def sequences():
+            for b in slices(batches, text):
+                for data in byte_list(b, text):
+                    seen[0] += len(ids := model.encode(data).ids)
+                    yield ids
+
+        adam = Adam(gru.p)
+        for grad in gru.gradients(sequences(), min(4096, max(64, len(gru.class_of) // 8))):
+            adam.update(gru.p, grad, rate)
+        after, gru.p = gru.p, before  # another task of this worker starts from the same weights
+        if seen[0]:
+            for name, a in after.items():
+                for k in range(0, a.size, PART):
+                    moved = ((a.ravel()[k : k + PART] - before[name].ravel()[k : k + PART]) * np.float32(seen[0])).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, k, seen[0], moved)], ["name", "at", "seen", "moved"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(group["moved"].iloc[0]) // 4)
@@ -286,22 +343,35 @@ def average_pass(train: DataFrame, text: str, scorer: Scorer, rate: float = 0.00
             total += np.frombuffer(m, np.float32)
         return pd.DataFrame({"name": group["name"].iloc[:1], "at": group["at"].iloc[:1], "moved": [(total / group["seen"].sum()).astype(np.float32).tobytes()]})
 
-    moved = train.select(text).mapInArrow(run, "name string, at long, seen long, moved binary").groupBy("name", "at").applyInPandas(add, "name string, at long, moved binary")
+    moved = train.select(text).coalesce(parts).mapInArrow(run, "name string, at long, seen long, moved binary").groupBy("name", "at").applyInPandas(add, "name string, at long, moved binary")
     for name, at, m in moved.collect():
         own = scorer.gru.p[name].reshape(-1)
         own[at : at + PART] += np.frombuffer(bytes(m), np.float32)
 
 
+@dataclass
+class Encoded:
+    """The network's ids of a text's tokens; of those in the head the sum of log10(count + 1), in all and of the network's unknown ones,
+    and how many are known; the tokens beyond the head, with their counts, in lists of at most TAIL."""
+
+    ids: np.ndarray
+    base: float
+    lost: float
+    known: int
+    tails: list[list[tuple]]
+
+
 class Scorer:
     """What tasks need: head tokens with counts, the network, and the totals."""
 
     def __init__(self, head: list, total: int, distinct: int) -> None:
         head = sorted(head, key=lambda r: (-r.n_train, bytes(r.token)))
         self.index = {bytes(r.token): i for i, r in enumerate(head)}
-        self.log_count = np.log10(np.array([r.n_train + 1.0 for r in head])) if head else np.zeros(0)
-        self.known = np.array([r.n_train > 0 for r in head], bool)
+        #: The last is for tokens beyond the head, here and in `ids`.
+        self.log_count = np.log10(np.array([*(r.n_train + 1.0 for r in head), 1.0]))
+        self.known = np.array([*(r.n_train > 0 for r in head), False])
         inner = [r for r in head if r.n_train > 0 and bytes(r.token) != END][: vocabulary(total) - 2]
-        self.ids = np.zeros(len(head) + 1, np.int64)  # the last is for tokens beyond the head
+        self.ids = np.zeros(len(head) + 1, np.int32)
         frequency = np.zeros(2 + len(inner))
         for k, r in enumerate(inner, 2):
             self.ids[self.index[bytes(r.token)]] = k
@@ -313,22 +383,28 @@ class Scorer:
         self.unknown = max(0, total - int(frequency.sum()))
         frequency[0] = self.unknown
         self.unknown_log = np.log10(self.unknown + max(0, distinct - len(inner) - (ends > 0)) + 1.0)
-        self.gru = Gru(frequency, classes=max(CLASSES, int(len(frequency) ** 0.5)))
-
-    def encode(self, data: list[bytes | None]):
-        """Head indices (one past the last for others) of all tokens, lengths, and each text's tokens beyond the head with their counts."""
-        get, out, tails, n = self.index.get, [], [], len(self.index)
+        self.gru = Gru(frequency, classes=max(CLASSES, int(len(frequency) ** 0.5 / 2)))
+
+    def encode(self, data: bytes | None) -> Encoded:
+        get, n, parts, tail, tails = self.index.get, len(self.index), [], Counter(), []
+        for tokens in token_lists(data):
+            codes = np.fromiter((get(t, n) for t in tokens), np.int32, len(tokens))
+            parts.append(codes)
+            tail.update([tokens[i] for i in np.flatnonzero(codes == n).tolist()])
+            if len(tail) >= TAIL:
+                tails, tail = tails + pieces_of(tail), Counter()
         end = get(END, n)
-        for d in data:
-            tokens = tokens_of(d)
-            codes = np.fromiter((get(t, n) for t in tokens), np.int64, len(tokens))
-            out += (codes, [end])
-            lost = np.flatnonzero(codes == n)
-            tails.append(Counter(tokens[i] for i in lost.tolist()) if len(lost) else Counter())
-            if end == n:
-                tails[-1][END] += 1
-        lengths = np.array([len(c) for c in out[::2]]) + 1
-        return np.concatenate(out).astype(np.int64), lengths, tails
+        parts.append(np.array([end], np.int32))
+        if end == n:
+            tail[END] += 1
+        codes = np.concatenate(parts)
+        ids, logs = self.ids[codes], self.log_count[codes]
+        return Encoded(ids, float(logs.sum()), float(logs[ids == 0].sum()), int(self.known[codes].sum()), tails + pieces_of(tail))
+
+
+def pieces_of(tail: Counter) -> list[list[tuple]]:
+    items = list(tail.items())
+    return [items[k : k + TAIL] for k in range(0, len(items), TAIL)]
 
 
 def score_documents(docs: DataFrame, key: str, text: str = "text", mod: int = 7, held_out_rest: int = 2, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -342,32 +418,48 @@ def score_documents(docs: DataFrame, key: str, text: str = "text", mod: int = 7,
     train = docs.filter(crc_mod(key, mod) != held_out_rest).select(key, text)
     sample = [bytes(r[0]) if r[0] is not None else None for r in bounded_sample(train, key, sample_docs).select(F.col(text).cast("binary")).collect()]
     if sample:
-        codes, lengths, _ = scorer.encode(sorted(sample, key=lambda d: d or b""))
-        scorer.gru.train(scorer.ids[codes], lengths)
-        average_pass(train, text, scorer)
+        ids = [scorer.encode(d).ids for d in sorted(sample, key=lambda d: d or b"")]
+        scorer.gru.train(np.concatenate(ids), np.array(list(map(len, ids))))
+        average_pass(train, text, scorer, total)
     held = spark.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, uid = held.value, TaskContext.get().partitionId() << 33
-        log_count, known = np.append(model.log_count, 0), np.append(model.known, False)
-        for b in (batch.slice(k, SCORE_ROWS) for batch in batches for k in range(0, batch.num_rows, SCORE_ROWS)):
-            codes, lengths, tails = model.encode(byte_list(b, text))
-            at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            ids = model.ids[codes]
-            seen = np.where(codes < len(model.index), log_count[codes], 0)
-            base = np.add.reduceat(seen, at)
-            lm = model.gru.log10_likelihood(ids, lengths) + np.add.reduceat(np.where(ids == 0, seen - model.unknown_log, 0), at)
-            tail = pa.array([list(t.items()) for t in tails], pa.map_(pa.binary(), pa.int64()))
-            n_known = np.add.reduceat(known[codes].astype(np.int64), at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + b.num_rows)), b.column(key), pa.array(lengths.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(lm), tail], ["uid", "row_key", "n_tokens", "n_known", "base", "lm", "tail"])
-            uid += b.num_rows
-
-    key_type = docs.schema[key].dataType.simpleString()
-    rows = written(docs.select(key, text).mapInArrow(run, f"uid long, row_key {key_type}, n_tokens long, n_known long, base double, lm double, tail map<binary,long>"), "lm-rows")
+        """Rows in the order in which their documents end, and rows with no key that hold the tails."""
+        model, uid, waiting, done = held.value, TaskContext.get().partitionId() << 33, {}, []
+
+        def sequences():
+            nonlocal uid
+            for b in slices(batches, text):
+                for k, data in zip(b.column(key), byte_list(b, text), strict=True):
+                    found = model.encode(data)
+                    waiting[uid] = k, found
+                    uid += 1
+                    yield uid - 1, found.ids
+
+        def flush():
+            rows = [(u, k, len(f.ids), f.known, f.base, lm + f.lost - int((f.ids == 0).sum()) * model.unknown_log, None) for u, k, f, lm in done]
+            rows += [(u, None, None, None, None, None, part) for u, _, f, _ in done for part in f.tails]
+            done.clear()
+            u, k, *rest = zip(*rows, strict=True)
+            columns = [pa.array(u, pa.int64()), pa.array([None if x is None else x.as_py() for x in k], docs_key)]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(rest, _ROW, strict=True))], ["uid", "row_key", "n_tokens", "n_known", "base", "lm", "tail"])
+
+        docs_key, size = to_arrow_type(key_field), 0
+        for u, lm in model.gru.scores(sequences()):
+            done.append((u, *waiting.pop(u), lm))
+            size += len(done[-1][2].ids)
+            if size > 400_000 or len(done) >= 2048:
+                yield flush()
+                size = 0
+        if done:
+            yield flush()
+
+    key_field = docs.schema[key].dataType
+    rows = written(docs.select(key, text).mapInArrow(run, f"uid long, row_key {key_field.simpleString()}, n_tokens long, n_known long, base double, lm double, tail map<binary,long>"), "lm-rows")
     rare = counts.filter(F.floor(F.log2("n_all") * 8) < least).select("token", "n_train")
-    tails = rows.select("uid", F.explode("tail").alias("token", "n")).join(rare, "token")
-    more = tails.groupBy("uid").agg(F.sum(F.log10(F.col("n_train") + 1.0) * F.col("n")).alias("more"), F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum("n").alias("rare"))
-    out = rows.drop("tail").join(more, "uid", "left").fillna(0, ["more", "more_known", "rare"])
+    tails = rows.filter("tail IS NOT NULL").select("uid", F.explode("tail").alias("token", "n")).join(rare, "token")
+    more = tails.groupBy("uid").agg(F.sum(F.log10(F.col("n_train") + 1.0) * F.col("n")).alias("more"), F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("more_known"))
+    out = rows.filter("n_tokens IS NOT NULL").drop("tail").join(more, "uid", "left").fillna(0, ["more", "more_known"])
     whole = np.log10(float(total + distinct + 1))
     return out.select(
         F.col("row_key").alias(key), "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
@@ -376,6 +468,9 @@ def score_documents(docs: DataFrame, key: str, text: str = "text", mod: int = 7,
     )
 
 
+_ROW = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int64()))
+
+
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_documents(docs, "doc_id")
