@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import new_folder, table, written
 
 SKIPPABLE = 0x184D2A5D
-FRAME = 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 4 << 20

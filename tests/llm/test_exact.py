@@ -263,7 +263,7 @@ def test_warc_round_trip(spark):
 def test_warc_dictionary_is_embedded_and_used():
     records = [warc.record(i, "http://a/", f"<html><head><title>number {i}</title></head><body>{'the same boilerplate ' * 8}{i * 7919}</body></html>".encode(), "D" * 32) for i in range(200)]
     data = warc.archive_bytes_of(records)
-    assert list(warc.read_archive(data)) == records and data[:4] == bytes.fromhex("502a4d18") and data[8:12] == bytes.fromhex("37a430ec")
+    assert list(warc.read_archive(data)) == records and data[:4] == bytes.fromhex("5d2a4d18") and data[8:12] == bytes.fromhex("37a430ec")
     with pytest.raises(ValueError):
         list(warc.read_archive(data[8:]))
 
