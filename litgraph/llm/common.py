@@ -8,6 +8,8 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -109,3 +111,54 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20,
             held += n
         if begin < b.num_rows:
             yield b.slice(begin)
+
+
+U = np.uint64
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+class Bits:
+    """A Bloom filter of one hash for 64-bit numbers, which says whether one may be in a table. It has about eight bits for each row of
+    the table, up to `most` (128 MB). Beyond that there is none and every number passes: what follows the filter is an exact join, so
+    only the rows that it saves are lost."""
+
+    def __init__(self, held: np.ndarray) -> None:
+        self.held, self.shift = held, U(64 - (len(held) * 8).bit_length() + 1)
+
+    @staticmethod
+    def places(x: np.ndarray, shift) -> np.ndarray:
+        return (mix(x.view(U) + U(0x2545F4914F6CDD1D)) >> shift).astype(np.int64)
+
+    @staticmethod
+    def of(rows: DataFrame, column: str, most: int = 1 << 30) -> Bits | None:
+        size = 1 << 16
+        while size < 8 * (n := rows.count()):
+            size *= 2
+            if size > most:
+                return None
+        shift, piece = U(64 - size.bit_length() + 1), 16
+
+        def place(batches):
+            for b in batches:
+                at = np.unique(Bits.places(b.column(0).to_numpy(zero_copy_only=False), shift))
+                yield pa.RecordBatch.from_arrays([pa.array(at >> piece), pa.array(at & (1 << piece) - 1)], ["piece", "bit"])
+
+        def pack(part: pd.DataFrame) -> pd.DataFrame:
+            own = np.zeros(1 << piece, bool)
+            own[part["bit"].to_numpy()] = True
+            return pd.DataFrame({"piece": part["piece"].iloc[:1], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+        held = np.zeros((size >> piece, 1 << piece - 3), np.uint8)
+        found = rows.select(F.col(column).cast("long")).mapInArrow(place, "piece long, bit long").distinct()
+        for r in found.groupBy("piece").applyInPandas(pack, "piece long, bits binary").collect() if n else ():
+            held[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
+        return Bits(held.ravel())
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        bit = self.places(x, self.shift)
+        return self.held[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1

@@ -11,18 +11,21 @@ from .common import drop, written
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a, b: long).
 
-    Each round points every node's larger neighbours, then its smaller ones, to its smallest neighbour. Minima are partial aggregates
-    and are joined back, so a node with a third of all edges isn't gathered anywhere. Ends when a round changes nothing.
+    Each round points every node's larger neighbours, then its smaller ones, to its smallest neighbour. Minima are partial aggregates,
+    written down before they meet the edges again, so that the join can split a node with a third of all edges. Ends when a round changes
+    nothing.
     """
     current = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc")
         large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        drop(least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = large.join(least, "u")
         new = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
         drop(large)
+        drop(least)
         same = new.count() == current.count() and new.join(current, ["u", "v"], "left_anti").isEmpty()
         drop(current)
         current = new

@@ -36,28 +36,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, byte_list, drop, table, tokens_of, written
+from .common import Bits, bounded_sample, byte_list, drop, mix, slices, table, tokens_of, written
 from .components import connected
 
 VERIFY_COST = 10.0
 COST_SAMPLE = 1000
-FILTER_BITS = 1 << 23
 DEALS = 3
 BLOCK = 512
-KEY_BITS = 1 << 25
 U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 class Shingler:
     """64-bit hashes of the distinct shingles of a text, sorted."""
 
-    def __init__(self, words: int, most: int = 400_000) -> None:
+    def __init__(self, words: int, most: int = 100_000) -> None:
         self.words, self.most, self.cache = words, most, {}
 
     def __call__(self, data: bytes | None) -> np.ndarray:
@@ -161,6 +153,17 @@ class Signatures:
         return np.concatenate(out)
 
 
+def set_sizes(docs: DataFrame, words: int) -> list[int]:
+    """Of a bounded sample's texts; they are counted where they lie, and only numbers come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([len(shingles(t)) for t in byte_list(b, "text")], pa.int64())], ["n"])
+
+    return [r[0] for r in docs.select("text").mapInArrow(run, "n long").collect()]
+
+
 def best_boundary(sizes: list[int], num: int, den: int) -> int:
     """Of the sizes at which one more shingle may be missing, and those between, the boundary of least cost for the sampled sizes."""
     limit = 3 * den // (den - num)
@@ -173,13 +176,12 @@ def best_boundary(sizes: list[int], num: int, den: int) -> int:
 
 
 def set_rows(docs: DataFrame, doc_id: str, text: str, words: int, signatures: Signatures) -> DataFrame:
-    """doc_id, n_shingles, hi, lo (fingerprint), keys and sketch; keys are empty for null ids and for sets that the task has seen
-    under an id before. A sketch counts
-    shingles by hash into 256 groups: two sketches differ by no more than their sets do."""
+    """doc_id, n_shingles, hi, lo (fingerprint), keys and sketch; keys are empty for null ids and for sets that the task has lately seen
+    under an id. A sketch counts shingles by hash into 256 groups: two sketches differ by no more than their sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(words), OrderedDict()
-        for b in batches:
+        shingles, seen = Shingler(words), set()
+        for b in slices(batches, text):
             n, hi, lo, keys, sketch = [], [], [], [], []
             for i, data in zip(b.column(doc_id).to_pylist(), byte_list(b, text), strict=True):
                 h = shingles(data)
@@ -190,31 +192,26 @@ def set_rows(docs: DataFrame, doc_id: str, text: str, words: int, signatures: Si
                 keys.append(signatures(h).view(np.int64) if len(h) and i is not None and digest not in seen else [])
                 sketch.append(np.minimum(np.bincount((mix(h ^ U(0x51ED270B)) >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                 if i is not None:
-                    seen[digest] = None
-                    if len(seen) > 200_000:
-                        seen.popitem(last=False)
+                    if len(seen) > 50_000:
+                        seen.clear()
+                    seen.add(digest)
             yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "hi", "lo", "keys", "sketch"])
 
     return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, keys array<long>, sketch binary")
 
 
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of a superset of the rows whose id is in `ids`: a one-hash Bloom filter of fixed size reaches the scan, so texts
-    that no pair needs aren't shuffled."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")).collect()
-    held = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words:
-        held[r[0]] = r[1]
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    """doc_id and text of a superset of the rows whose id is in `ids`; see `Bits`."""
+    bits = Bits.of(ids, "doc_id")
+    if bits is None:
+        return docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        bits = np.unpackbits(shared.value.view(np.uint8), bitorder="little")
         for b in batches:
-            keep = bits[b.column("bit").to_numpy(zero_copy_only=False)].astype(bool)
-            yield b.filter(pa.array(keep)).select(["doc_id", "text"])
+            yield b.filter(pa.array(held.value.holds(b.column("doc_id").to_numpy(zero_copy_only=False))))
 
-    return docs.filter("doc_id is not null and text is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text string")
+    return docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -231,7 +228,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
                     cache.popitem(last=False)
             return cache[at]
 
-        for b in batches:
+        for b in slices(slices(batches, "text_a"), "text_b"):
             out = []
             for i, j, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), byte_list(b, "text_a"), byte_list(b, "text_b"), strict=True):
                 x, y = of(s), of(t)
@@ -244,31 +241,20 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def entries_of(known: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(key, doc_id) of a superset of the keys in `hubs`. The filter has KEY_BITS bits whatever the number of keys; the fuller it is, the
-    more rows pass, and the join that follows is exact. It is put together from pieces of 2^16 bits."""
-    piece = F.shiftright("bit", 16)
-    bits = hubs.select(F.pmod("key", F.lit(KEY_BITS)).alias("bit")).distinct()
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(1 << 16, bool)
-        own[part["bit"].to_numpy() & 0xFFFF] = True
-        return pd.DataFrame({"piece": [int(part["bit"].iloc[0]) >> 16], "bits": [np.packbits(own, bitorder="little").tobytes()]})
-
-    held = np.zeros((KEY_BITS >> 16, 1 << 13), np.uint8)
-    for r in bits.groupBy(piece).applyInPandas(pack, "piece long, bits binary").collect():
-        held[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
-    shared = known.sparkSession.sparkContext.broadcast(held.ravel())
+def entries_of(known: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, doc_id) of a superset of the keys in `shared`; see `Bits`."""
+    bits = Bits.of(shared, "key")
+    if bits is None:
+        return known.select(F.explode("keys").alias("key"), "doc_id")
+    held = known.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = shared.value
         for b in batches:
             keys = b.column("keys")
             flat = keys.flatten().to_numpy(zero_copy_only=False)
             n = pc.list_value_length(keys).to_numpy(zero_copy_only=False)
+            keep = held.value.holds(flat)
             owner = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), n.astype(np.int64))
-            bit = flat & (KEY_BITS - 1)
-            keep = filled[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep], pa.int64()), pa.array(owner[keep], pa.int64())], ["key", "doc_id"])
 
     return known.filter("size(keys) > 0").select("doc_id", "keys").mapInArrow(run, "key long, doc_id long")
@@ -408,20 +394,23 @@ def verified_blocks(rows: DataFrame, texts: DataFrame, words: int, num: int, den
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id for each row; documents link when den * common >= num * union."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shingler = Shingler(words)
-    sizes = [len(shingler(bytes(r[0]))) for r in bounded_sample(docs.filter("text is not null"), "doc_id", COST_SAMPLE).select(F.col("text").cast("binary")).collect()]
-    signatures = Signatures(num, den, best_boundary(sizes, num, den))
+    signatures = Signatures(num, den, best_boundary(set_sizes(bounded_sample(docs.filter("text is not null"), "doc_id", COST_SAMPLE), words), num, den))
     sets = written(set_rows(docs, "doc_id", "text", words, signatures), "jaccard-sets")
     known = sets.filter("doc_id is not null and n_shingles > 0")
+    # Aggregates that go back to their rows are tables first: a join with a table can be split where a key has many rows.
     # Equal sets: everyone to the smallest id of the set.
-    groups = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    equal = known.join(groups, ["hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    # Lists: the key's smallest id is its hub, and every other member makes a row. Minima of the keys are partial aggregates; a filter of
-    # fixed size keeps most keys of a single document out of the join that follows.
-    hubs = written(known.select(F.explode("keys").alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub"), "jaccard-hubs")
-    entries = entries_of(known, hubs)
+    groups = written(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "jaccard-groups")
+    equal = written(known.select("doc_id", "hi", "lo").join(groups, ["hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b"), "jaccard-equal")
+    drop(groups)
+    # Lists: keys that occur once end in the first count, which moves nothing but keys. Of the others, the smallest id is the hub, and
+    # every other member makes a row.
+    shared = written(known.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "jaccard-shared")
+    entries = written(entries_of(known, shared), "jaccard-entries")
+    drop(shared)
+    hubs = written(entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub"), "jaccard-hubs")
     lists = written(entries.join(hubs, "key").filter("doc_id <> hub"), "jaccard-lists")
     drop(hubs)
+    drop(entries)
     star = lists.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     about = known.groupBy("doc_id").agg(F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.min("hi").alias("h0"), F.max("hi").alias("h1"), F.min("sketch").alias("sketch"))
     about = written(about.withColumn("sketch", F.when(F.col("h0") == F.col("h1"), F.col("sketch"))), "jaccard-about")  # texts that share an id have no one sketch
@@ -432,14 +421,17 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = written(only_ids(docs, ends(first)), "jaccard-texts")
     links = written(equal.unionByName(verified(first, texts, words, num, den)), "jaccard-links")
+    drop(equal)
     labels = written(connected(links), "jaccard-labels")
     # Lists of three and more that still hold several components.
-    long = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("hub").alias("hub")).filter("n > 1").select("key", "hub")
+    long = written(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("hub").alias("hub")).filter("n > 1").select("key", "hub"), "jaccard-long")
     rows = lists.join(long.select("key"), "key", "left_semi").select("key", "doc_id", "hub").unionByName(long.select("key", F.col("hub").alias("doc_id"), "hub"))
     named = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    named = written(named.select("key", "doc_id", "hub", "component"), "jaccard-named")
+    mixed = written(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), "jaccard-mixed")
     members = written(named.join(mixed, "key").select("doc_id", "hub", "component").distinct(), "jaccard-members")
-    drop(texts)
+    for used in (texts, long, named, mixed):
+        drop(used)
     if not members.isEmpty():
         groups = connected(members.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"node": "doc_id", "component": "gid"})
         rest = written(members.select("doc_id", "component").distinct().join(groups, "doc_id").join(of("doc_id"), "doc_id").withColumnRenamed("doc_id_set", "set"), "jaccard-rest")

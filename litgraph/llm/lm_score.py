@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -39,12 +40,14 @@ from .lanes import Window, windows
 HEAD = 65_536
 VOCABULARY = 1024
 CLASSES = 32
-HIDDEN = 24
+HIDDEN = 16
 TIME = 32
 SAMPLE_DOCS = 600
 PART = 1 << 14
 LANES = 512
 ROWS = 2048
+#: The network tells this many tokens of a class apart, the most frequent ones; it knows the classes of the others.
+TOLD_APART = 4096
 #: Rare tokens with their counts that a row of the table of scores holds at most.
 TAIL = 20_000
 END = b""
@@ -74,33 +77,43 @@ class Gru:
         }
         self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
         self.hidden = hidden
-
-    def run(self, w: Window, h: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """States after each step (steps, lanes, hidden) of a window, from the lanes' states before it."""
+        #: Classes whose tokens the network tells apart; tokens of the others have their share of the class by their counts.
+        self.learnt = int(np.searchsorted(self.bounds, TOLD_APART, side="left"))
+        told = self.bounds[min(self.learnt, len(in_class))]
+        self.share = np.log(f / in_class[of]).astype(np.float32)[told:]
+        self.p["w"], self.p["wb"] = np.ascontiguousarray(self.p["w"][:, :told]), self.p["wb"][:told]
+
+    def run(self, w: Window, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, ...]:
+        """States after each step (steps, lanes, hidden) of a window, from the lanes' states before it. With `keep`, what training needs
+        of each step, too: the state before, the gates, the fresh state, and the state's own part of what goes into it."""
         n, x, u_all = self.hidden, self.p["x"], self.p["u"]
-        out = np.empty((*w.target.shape, n), np.float32)
-        fresh_lanes = w.starts.any(1)
+        steps, lanes = w.target.shape
+        out = np.empty((steps, lanes, n), np.float32)
+        before, all_gates, all_fresh, all_u = (np.empty((steps if keep else 1, lanes, k * n), np.float32) for k in (1, 2, 1, 3))
+        begins = w.starts.any(1)
         with np.errstate(over="ignore"):
-            for t in range(len(out)):
-                if fresh_lanes[t]:
+            for t in range(steps):
+                if begins[t]:
                     h = np.where(w.starts[t, :, None], np.float32(0), h)
-                a, u = x.take(w.inputs[t], axis=0), h @ u_all
-                gates = a[:, : 2 * n] + u[:, : 2 * n]
+                k = t if keep else 0
+                gates, fresh, u = all_gates[k], all_fresh[k], all_u[k]
+                if keep:
+                    before[k] = h
+                a = x.take(w.inputs[t], axis=0)
+                np.matmul(h, u_all, out=u)
+                np.add(a[:, : 2 * n], u[:, : 2 * n], out=gates)
                 np.negative(gates, out=gates)
                 np.exp(gates, out=gates)
                 gates += 1
                 np.reciprocal(gates, out=gates)
-                z, r = gates[:, :n], gates[:, n:]
-                fresh = r * u[:, 2 * n :]
+                np.multiply(gates[:, n:], u[:, 2 * n :], out=fresh)
                 fresh += a[:, 2 * n :]
                 np.tanh(fresh, out=fresh)
                 np.subtract(h, fresh, out=out[t])
-                out[t] *= z
+                out[t] *= gates[:, :n]
                 out[t] += fresh
-                if tape is not None:
-                    tape.append((h, z, r, fresh, u[:, 2 * n :]))
                 h = out[t]
-        return out
+        return (out, before, all_gates, all_fresh, all_u) if keep else (out,)
 
     @staticmethod
     def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +148,10 @@ class Gru:
             if grad is not None:
                 d_h[i : i + ROWS] = self._back(hk, e, total, own, scale[i : i + ROWS], self.p["c"], grad["c"], grad["cb"])
         cuts = np.searchsorted(cls, np.arange(len(self.bounds)))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
+        told = len(self.p["wb"])
+        if self.learnt < len(cuts):
+            out[cuts[self.learnt] :] += self.share[target[cuts[self.learnt] :] - told]
+        for k in np.flatnonzero(np.diff(cuts[: self.learnt + 1])).tolist():
             i, j, a, b = cuts[k], cuts[k + 1], self.bounds[k], self.bounds[k + 1]
             if b - a == 1:
                 continue
@@ -162,19 +178,23 @@ class Gru:
         n, u_all, h = self.hidden, self.p["u"], np.zeros((0, self.hidden), np.float32)
         grad, seen = None, 0.0
         for w in windows(((k, self.rank[s]) for k, s in enumerate(sequences)), width, TIME, int(self.rank[1])):
-            tape: list[tuple] = []
-            states = self.run(w, w.resumed(h), tape)
+            states, before, gates, fresh, u = self.run(w, w.resumed(h), keep=True)
             grad = grad or {k: [] if k == "x" else np.zeros_like(a) for k, a in self.p.items()}
             _, d_out = self.log_p(states.reshape(-1, n), w.target.ravel(), grad, w.held.ravel())
             d_out = d_out.reshape(states.shape)
             # What doesn't depend on the steps after it, for all steps at once.
-            tape = [np.stack(x) for x in zip(*tape, strict=True)]
-            before, z, r, fresh, un = tape
-            to_fresh = (1 - z) * (1 - fresh * fresh)
-            to_z = (before - fresh) * z * (1 - z)
-            to_r = un * r * (1 - r)
+            z, r = gates[:, :, :n], gates[:, :, n:]
+            to_fresh = 1 - z
+            to_z = before - fresh
+            to_z *= z
+            to_z *= to_fresh
+            to_r = 1 - r
+            to_r *= r
+            to_r *= u[:, :, 2 * n :]
+            fresh *= fresh
+            to_fresh *= np.subtract(1, fresh, out=fresh)
             d_in, back = np.empty((*w.target.shape, 3 * n), np.float32), np.ascontiguousarray(u_all.T)
-            carried = np.zeros_like(d_out[0])
+            carried, begins = np.zeros_like(d_out[0]), w.starts.any(1)
             for t in range(len(d_in) - 1, -1, -1):
                 d, own = d_out[t], d_in[t]
                 d += carried
@@ -184,7 +204,8 @@ class Gru:
                 np.multiply(d, z[t], out=carried)
                 carried += own[:, : 2 * n] @ back[: 2 * n]
                 carried += (own[:, 2 * n :] * r[t]) @ back[2 * n :]
-                carried[w.starts[t]] = 0
+                if begins[t]:
+                    carried[w.starts[t]] = 0
             flat, before = d_in.reshape(-1, 3 * n), before.reshape(-1, n)
             grad["u"] += np.concatenate([before.T @ flat[:, : 2 * n], before.T @ (flat[:, 2 * n :] * r.reshape(-1, n))], 1)
             grad["x"].append((w.inputs.ravel(), flat))
@@ -211,7 +232,7 @@ class Gru:
         sums: dict = {}
         h = np.zeros((0, self.hidden), np.float32)
         for w in windows(((tag, self.rank[s]) for tag, s in sequences), width, 2 * TIME, int(self.rank[1])):
-            states = self.run(w, w.resumed(h))
+            (states,) = self.run(w, w.resumed(h))
             found = self.log_p(states.reshape(-1, self.hidden), w.target.ravel()).reshape(w.target.shape)
             parts = np.add.reduceat(np.where(w.held, found, 0).T.ravel().astype(np.float64), w.first)
             for (tag, done), part in zip(w.parts, parts.tolist(), strict=True):
@@ -324,11 +345,11 @@ def average_pass(train: DataFrame, text: str, scorer: Scorer, total: int, rate:
         def sequences():
             for b in slices(batches, text):
                 for data in byte_list(b, text):
-                    seen[0] += len(ids := model.encode(data).ids)
+                    seen[0] += len(ids := model.network_ids(data))
                     yield ids
 
         adam = Adam(gru.p)
-        for grad in gru.gradients(sequences(), min(4096, max(64, len(gru.class_of) // 8))):
+        for grad in gru.gradients(sequences(), min(4096, max(64, len(gru.class_of) // 16))):
             adam.update(gru.p, grad, rate)
         after, gru.p = gru.p, before  # another task of this worker starts from the same weights
         if seen[0]:
@@ -385,10 +406,15 @@ class Scorer:
         self.unknown_log = np.log10(self.unknown + max(0, distinct - len(inner) - (ends > 0)) + 1.0)
         self.gru = Gru(frequency, classes=max(CLASSES, int(len(frequency) ** 0.5 / 2)))
 
+    def network_ids(self, data: bytes | None) -> np.ndarray:
+        get, n = self.index.get, len(self.index)
+        codes = [np.fromiter(map(get, tokens, repeat(n)), np.int32, len(tokens)) for tokens in token_lists(data)]
+        return self.ids[np.concatenate([*codes, [get(END, n)]])]
+
     def encode(self, data: bytes | None) -> Encoded:
         get, n, parts, tail, tails = self.index.get, len(self.index), [], Counter(), []
         for tokens in token_lists(data):
-            codes = np.fromiter((get(t, n) for t in tokens), np.int32, len(tokens))
+            codes = np.fromiter(map(get, tokens, repeat(n)), np.int32, len(tokens))
             parts.append(codes)
             tail.update([tokens[i] for i in np.flatnonzero(codes == n).tolist()])
             if len(tail) >= TAIL:
@@ -418,7 +444,7 @@ def score_documents(docs: DataFrame, key: str, text: str = "text", mod: int = 7,
     train = docs.filter(crc_mod(key, mod) != held_out_rest).select(key, text)
     sample = [bytes(r[0]) if r[0] is not None else None for r in bounded_sample(train, key, sample_docs).select(F.col(text).cast("binary")).collect()]
     if sample:
-        ids = [scorer.encode(d).ids for d in sorted(sample, key=lambda d: d or b"")]
+        ids = [scorer.network_ids(d) for d in sorted(sample, key=lambda d: d or b"")]
         scorer.gru.train(np.concatenate(ids), np.array(list(map(len, ids))))
         average_pass(train, text, scorer, total)
     held = spark.sparkContext.broadcast(scorer)

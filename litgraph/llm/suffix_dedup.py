@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, table, written
-from .jaccard_join import FILTER_BITS, mix
+from .common import Bits, byte_list, drop, mix, slices, table, written
 
 WIDTH = 400
 Q = 32
@@ -145,7 +144,7 @@ def context_rows(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = Contexts(width)
-        for b in batches:
+        for b in slices(batches, "text"):
             rows = []
             for data in byte_list(b, "text"):
                 data = data or b""
@@ -159,24 +158,23 @@ def context_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def only_hashes(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """A superset of the rows whose text_hash is in `hashes`, by a one-hash Bloom filter of fixed size."""
-    bit = F.pmod("text_hash", F.lit(FILTER_BITS))
-    rows = hashes.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")).collect()
-    held = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows:
-        held[r[0]] = r[1]
-    shared, names = docs.sparkSession.sparkContext.broadcast(held), docs.columns
+    """A superset of the rows whose text_hash is in `hashes`; see `Bits`."""
+    bits = Bits.of(hashes, "text_hash")
+    if bits is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        bits = np.unpackbits(shared.value.view(np.uint8), bitorder="little")
         for b in batches:
-            yield b.filter(pa.array(bits[b.column("bit").to_numpy(zero_copy_only=False)].astype(bool))).select(names)
+            yield b.filter(pa.array(held.value.holds(b.column("text_hash").to_numpy(zero_copy_only=False))))
 
-    return docs.withColumn("bit", bit).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def window_prints(reps: DataFrame, width: int) -> DataFrame:
-    """g, c, start, w1, w2 (fingerprint of the width bytes at start) for every string of the contexts."""
+    """g, c, start, w1, w2 (fingerprint of the width bytes at start) for every string of the contexts. Bucket pointers need the buckets of
+    later offsets in the same place, or a join of all suffixes for each doubling; the suffixes of one hot anchor fit no task, and six
+    joins move eight times what one count of fingerprints does."""
 
     def run(batches):
         down_q = powers(_INVERSE, 4096)
@@ -202,10 +200,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = written(context_rows(docs, width), "suffix-contexts")
     one = F.explode(F.arrays_zip("first", "last", "g", "c")).alias("x")
     flat = rows.select("doc_id", "text_hash", one).select("doc_id", "text_hash", "x.first", "x.last", "x.g", "x.c")
-    anchors = flat.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1").select("g", (F.col("low") != F.col("high")).alias("mixed"))
+    # Aggregates that go back to their rows are tables first: a join with a table can be split where an anchor has many rows.
+    anchors = flat.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
+    anchors = written(anchors.select("g", (F.col("low") != F.col("high")).alias("mixed")), "suffix-anchors")
     shared = written(flat.join(anchors, "g"), "suffix-shared")
+    drop(anchors)
     kinds = written(shared.filter("mixed").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_hash", "first", "last")).alias("at")), "suffix-kinds")
-    per_anchor = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"))
+    per_anchor = written(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")), "suffix-kinds-of")
     wanted = kinds.join(per_anchor, "g").select("g", "c", "n", "kinds", "at.*")
     texts = written(only_hashes(docs.select("text_hash", "text"), kinds.select("at.text_hash")).dropDuplicates(["text_hash"]), "suffix-texts")
     content = F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, (F.col("last") - F.col("first")).cast("int") + width)
@@ -228,10 +229,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = shared.filter(~F.col("mixed")).select("doc_id", "text_hash", own.alias("parts"))
     repeated = shared.filter("mixed").join(kinds.filter("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("doc_id", "text_hash", own.alias("parts"))
     partly = shared.filter("mixed").join(parts, ["g", "c"]).select("doc_id", "text_hash", pieces.alias("parts"))
-    spans = written(whole.unionByName(repeated).unionByName(partly).groupBy(F.col("text_hash").alias("h"), F.col("doc_id").alias("i")).agg(F.flatten(F.collect_list("parts")).alias("spans")), "suffix-spans")
+    spans = written(whole.unionByName(repeated).unionByName(partly).groupBy(F.col("text_hash").alias("h"), F.col("doc_id").alias("i")).agg(F.flatten(F.collect_set("parts")).alias("spans")), "suffix-spans")
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             out = []
             for data, spans_of in zip(byte_list(b, "text"), b.column("spans").to_pylist(), strict=True):
                 edge = np.zeros(len(data) + 1, np.int64)
