@@ -90,13 +90,18 @@ def tokens_of(data: bytes | None) -> list[bytes]:
 _SPACE = re.compile(rb"\s")
 
 
-def token_lists(data: bytes | None, most: int = 1 << 20) -> Iterator[list[bytes]]:
-    """`tokens_of` in lists from about `most` bytes each, so that a very long text is never whole in Python objects. At least one list."""
+def text_parts(data: bytes | None, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about `most` bytes, cut at white space, so that a very long text is never whole in Python objects. One at least."""
     data, at = data or b"", 0
     while len(data) - at > most and (m := _SPACE.search(data, at + most)):
-        yield tokens_of(data[at : m.start()])
+        yield data[at : m.start()]
         at = m.start()
-    yield tokens_of(data[at:])
+    yield data[at:] if at else data
+
+
+def token_lists(data: bytes | None) -> Iterator[list[bytes]]:
+    """`tokens_of` the parts."""
+    return map(tokens_of, text_parts(data))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ fitted to these tags by gradient ascent on its likelihood, with the word, its be
 A document's score comes from forward-backward marginals: from the largest one and from the expected number of toxic words, through a
 logistic calibration on the training documents. Offending offsets are the byte ranges of words whose marginal is at least one half.
 
-Edge cases: null, empty and wordless texts have the lowest score and no offsets; repeated rows get equal scores; with no labelled
+Edge cases: null, empty and wordless texts have the lowest score and no offsets; repeated rows get equal scores; of a very long text only
+numbers are held, two a word, since its words are read from a mebibyte at a time; with no labelled
 document of one of the classes nothing can be learnt and every score is 1 or 0, as the labels say (0 without labels).
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_list, crc_mod, table, words_of
+from .common import byte_list, crc_mod, slices, table, text_parts, words_of
 from .lanes import Lanes
 
 PER_CLASS = 1500
@@ -144,24 +145,38 @@ class ToxicField:
             g_t += d_t * d_t
             self.transition = np.clip(self.transition + 0.3 * rate * d_t / np.sqrt(g_t), -4, 4)
 
-    def evidence(self, sequences: list[list[bytes]], cache: dict[bytes, float]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def emissions(self, data: bytes | None, cache: dict[bytes, float]) -> np.ndarray:
+        """Of a text's words. `cache` holds the scores of words."""
+        out = []
+        for part in text_parts(data):
+            words = words_of(part)
+            found = list(map(cache.get, words))
+            if None in found:
+                fresh = [w for w in dict.fromkeys(words) if w not in cache]
+                if len(cache) > 100_000:
+                    cache.clear()
+                    fresh = list(dict.fromkeys(words))
+                cache.update(zip(fresh, self.word_scores(fresh).tolist(), strict=True))
+                found = list(map(cache.__getitem__, words))
+            out.append(np.array(found, np.float64))
+        return np.concatenate(out)
+
+    def evidence(self, emissions: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Two numbers a document (log-odds of the largest marginal, logarithm of one plus the expected toxic words), and where they are."""
-        fresh = [w for w in {w for s in sequences for w in s} if w not in cache]
-        cache.update(zip(fresh, self.word_scores(fresh).tolist(), strict=True))
-        lengths = np.array([len(s) for s in sequences])
-        x = np.zeros((len(sequences), 2))
+        lengths = np.array([len(e) for e in emissions])
+        x = np.zeros((len(emissions), 2))
         x[:, 0] = -8
-        places = [np.zeros(0, np.int64)] * len(sequences)
+        places = [np.zeros(0, np.int64)] * len(emissions)
         if lengths.sum():
-            p = self.marginals(np.array([cache[w] for s in sequences for w in s]), lengths)[0]
+            p = self.marginals(np.concatenate(emissions), lengths)[0]
             own = np.flatnonzero(lengths)
-            at = np.concatenate(([0], np.cumsum(lengths)))[:-1][own]
+            starts = np.concatenate(([0], np.cumsum(lengths)))
+            at = starts[:-1][own]
             top = np.clip(np.maximum.reduceat(p, at), 1e-4, 1 - 1e-4)
             x[own, 0] = np.clip(np.log(top / (1 - top)), -8, 8)
             x[own, 1] = np.log1p(np.add.reduceat(np.where(p >= 0.5, p, 0), at))
             for i in own[top >= 0.5].tolist():
-                k = int(lengths[:i].sum())
-                places[i] = np.flatnonzero(p[k : k + lengths[i]] >= 0.5)
+                places[i] = np.flatnonzero(p[starts[i] : starts[i + 1]] >= 0.5)
         return x, places
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> None:
@@ -205,12 +220,12 @@ def train_field(rows: DataFrame, text: str = "text", label: str = "toxic") -> To
                 if w not in marked:
                     marked[w] = any(f in signals for f in feature_names(w))
                 tag[i] = marked[w]
-        for i in range(0, len(words), 400):  # training segments; scoring runs over whole texts
-            if len(words) <= 400 or y and tag[i : i + 400].any() or i == 0:
-                sequences.append(words[i : i + 400])
-                tags.append(tag[i : i + 400])
+        for i in range(0, len(words), 400):  # all of a text in segments; scoring runs over whole texts
+            sequences.append(words[i : i + 400])
+            tags.append(tag[i : i + 400])
     field.fit(sequences, tags)
-    x, _ = field.evidence([w for w, _ in documents], {})
+    cache: dict[bytes, float] = {}
+    x, _ = field.evidence([field.emissions(t, cache) for t in sorted(sample)])
     field.calibrate(x, np.array([y for _, y in documents], float))
     return field
 
@@ -223,17 +238,13 @@ def score_toxicity(docs: DataFrame, field: ToxicField, text: str = "text", offse
 
     def run(batches):
         model, cache = held.value, {}
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                if len(cache) > 400_000:
-                    cache = {}
-                data = byte_list(part, text)
-                x, places = model.evidence([words_of(d) for d in data], cache)
-                columns = [pa.array(model.scores(x))]
-                if offsets:
-                    columns.append(pa.array([_byte_spans(d, p) for d, p in zip(data, places, strict=True)], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, *(f.name for f in added)])
+        for b in slices(batches, text, rows=1024):
+            data = byte_list(b, text)
+            x, places = model.evidence([model.emissions(d, cache) for d in data])
+            columns = [pa.array(model.scores(x))]
+            if offsets:
+                columns.append(pa.array([_byte_spans(d, p) for d, p in zip(data, places, strict=True)], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *columns], [*kept, *(f.name for f in added)])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
