@@ -19,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, crc_mod_py, table
+from .common import crc_mod, crc_mod_py, slices, table
 
 WINDOW = 160
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 PER_LANGUAGE = 600
-_LETTER = re.compile(r"[^\W\d_]")
+#: Windows that training goes through, epochs together, unless one epoch has more.
+WINDOWS = 100_000
+#: Letters, and numerals that are none (`isalpha` tells them apart).
+_LETTER = re.compile(r"[^\W\d_]+")
 _STEP = WINDOW - max(WIDTHS) + 1
 
 
@@ -131,9 +134,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train_model(rows: DataFrame, key: str, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, windows_each: int = 6) -> ByteCNN | None:
-    """From a sample of about per_language rows of each language (all, if fewer), picked by a hash of key; six windows of each text,
-    spread over its whole length."""
+def has_letter(text: str) -> bool:
+    return any(any(map(str.isalpha, m[0])) for m in _LETTER.finditer(text))
+
+
+def train_model(rows: DataFrame, key: str, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> ByteCNN | None:
+    """From all windows of a sample of about per_language rows of each language (all, if fewer), picked by a hash of key. There are fewer
+    epochs the more windows there are, six at most and one at least."""
     rows = rows.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
@@ -145,12 +152,10 @@ def train_model(rows: DataFrame, key: str, text: str = "text", lang: str = "lang
     languages = sorted({r[0] for r in sample})
     x, y = [], []
     for r in sorted(sample):
-        w = windows_of(r[1].encode())
-        picked = w[np.unique(np.linspace(0, len(w) - 1, windows_each).astype(int))]
-        x.append(picked)
-        y += [languages.index(r[0])] * len(picked)
+        x.append(windows_of(r[1].encode()))
+        y += [languages.index(r[0])] * len(x[-1])
     model = ByteCNN(languages)
-    model.train(np.concatenate(x), np.array(y))
+    model.train(np.concatenate(x), np.array(y), epochs=max(1, min(6, WINDOWS // len(y))))
     return model
 
 
@@ -162,9 +167,9 @@ def identify(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> Data
 
     def run(batches):
         net = held.value
-        for b in batches:
+        for b in slices(batches, text):
             texts = b.column(text).to_pylist()
-            own = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
+            own = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
             if own:
                 best, p = net.predict([texts[i].encode() for i in own])
