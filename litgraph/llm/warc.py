@@ -2,8 +2,8 @@
 
 An archive is a skippable frame (magic 0x184D2A5D) that holds the dictionary, then one Zstandard frame for each record, compressed with
 that dictionary, so a record can be read alone. Every task writes archives of about `archive_bytes` of records; each archive trains its
-dictionary on its own first records (at most `sample_bytes` of them), so nothing about the whole table passes through the driver, and
-an archive needs no other file. Archives lie in the cluster's shared folder; a manifest table, written through Spark's commit protocol,
+dictionary on its own first records (at most `sample_bytes` of them, the first 128 KiB of each; a dictionary only makes records smaller,
+it decides nothing), so nothing about the whole table passes through the driver, and an archive needs no other file. Archives lie in the cluster's shared folder; a manifest table, written through Spark's commit protocol,
 names those of the tasks that counted, so a task that ran twice leaves a stray file which no one reads.
 
 Edge cases: a null payload is the empty payload; equal payloads (SHA-1, SHA-256 and length) are stored once, in the record with the
@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, table, written
+from .common import drop, new_folder, table, written
 
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,16 +114,21 @@ def read_archive(data: bytes) -> Iterator[bytes]:
 def with_decisions(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, url, payload, digest and refers_to (null for responses).
 
-    The smallest page_id of each payload is a partial aggregate, so a payload that a third of the pages share comes to one row per task;
-    only digests are joined back, and the pages' own rows stay whole on their side of the join.
+    Digests meet before payloads move. The smallest page_id of each payload is a partial aggregate, so a payload that a third of the pages
+    share comes to one row per task; it is written down, and pages' ids and digests join it, which Spark can split. Payloads then go by page
+    and digest, so that pages with one payload are dealt like all others.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumns({"sha1": F.unhex(F.sha1("payload")), "key": F.unhex(F.sha2("payload", 256))})
-    groups = rows.groupBy("key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key", "first_id")
-    joined = rows.join(groups, "key", "left")
-    is_revisit = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id"))) & (F.length("payload") >= min_bytes)
-    return joined.select("page_id", "url", "payload", "sha1", F.when(is_revisit, F.col("first_id")).alias("refers_to"))
+    slim = rows.filter(F.length("payload") >= min_bytes).select("page_id", "key")
+    groups = slim.groupBy("key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 AND first_id IS NOT NULL")
+    groups = written(groups.select("key", "first_id"), "warc-groups")
+    revisits = slim.join(groups, "key").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("_page"), F.col("key").alias("_key"), "first_id").distinct()
+    revisits = written(revisits, "warc-revisits")
+    drop(groups)
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("key") == F.col("_key"))
+    return rows.join(revisits, same, "left").select("page_id", "url", "payload", "sha1", F.col("first_id").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
