@@ -12,8 +12,9 @@ window for each SHARD_DOCS documents.
 Words between ASCII white space are tokenised alone and remembered, which gives the same ids for tokenizers that drop white space and
 never merge across it; for others set `split_words` to False. How pieces of a word are cached doesn't change an id.
 
-Edge cases: a null text is empty and has its end id only; repeated rows are packed each; ties in the retrieval score go to the document
-that comes first by id; a document longer than many windows fills them alone; an empty table gives no row.
+Edge cases: a null text is empty and has its end id only; repeated rows are packed each; a null id stays null and comes last in its shard;
+ties in the retrieval score go to the document that comes first by id; a document longer than many windows fills them alone; an empty
+table gives no row. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, table, written
+from .common import byte_list, slices, table, written
 
 WINDOW = 2048
 END_ID = 1
@@ -228,7 +229,7 @@ def row_hash(rows: np.ndarray) -> np.ndarray:
     return rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def tails_of(b: pa.RecordBatch) -> list[np.ndarray]:
+def tails_of(b: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(t, f"<u{w}") for t, w in zip(b.column("tail").to_pylist(), b.column("width").to_pylist(), strict=True)]
 
 
@@ -290,44 +291,44 @@ def pack_shard(tails: list[np.ndarray], window: int = WINDOW, statistics: Statis
     waiting = [i for i, t in enumerate(tails) if len(t)]
     if not waiting:
         return
-    index = Bm25Index([tails[i] for i in waiting], statistics)
     docs = [tails[i] for i in waiting]
-    at, left = [0] * len(docs), len(docs)
-    used = np.zeros(len(docs), bool)
-    first = 0
+    index = Bm25Index(docs, statistics)
+    at, rest = [0] * len(docs), np.array([len(d) for d in docs])
+    left, first = len(docs), 0
     while left:
-        while used[first]:
+        while not rest[first]:
             first += 1
-        room, pieces, skipped = window, [], []
+        room, pieces = window, []
 
         def place(d: int, n: int):
             nonlocal room, left
             pieces.append((waiting[d], at[d], n))
             at[d] += n
+            rest[d] -= n
             room -= n
-            if at[d] == len(docs[d]):
-                used[d] = True
-                left -= 1
+            left -= not rest[d]
 
         seed = first
-        place(seed, min(room, len(docs[seed]) - at[seed]))
+        place(seed, min(room, int(rest[seed])))
         if room and left:
             near = index.search(docs[seed])
-            for d in near[~used[near]].tolist():
-                if len(docs[d]) - at[d] <= room:
-                    place(d, len(docs[d]) - at[d])
-                elif len(skipped) < 64:
-                    skipped.append(d)
-                if room < window // 16:
-                    break
-            for d in skipped:
-                if room:
-                    place(d, min(room, len(docs[d]) - at[d]))
+            near = near[rest[near] > 0]
+            sizes, k, best = rest[near], 0, None  # best: the first of the neighbours that don't fit whole
+            while room >= window // 16 and len(fits := np.flatnonzero(sizes[k:] <= room)):
+                j = k + int(fits[0])
+                if best is None and j > k:
+                    best = int(near[k])
+                place(int(near[j]), int(sizes[j]))
+                k = j + 1
+            if best is None and k < len(near):
+                best = int(near[k])
+            if room and best is not None:
+                place(best, min(room, int(rest[best])))
             d = first
             while room and left:
-                while used[d]:
+                while not rest[d]:
                     d += 1
-                place(d, min(room, len(docs[d]) - at[d]))
+                place(d, min(room, int(rest[d])))
         yield pieces
 
 
@@ -341,38 +342,36 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = WordTokenizer(definition.value, split_words, end_id)
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                b = batch.slice(k, 1024)
-                all_ids = own(byte_list(b, text))
-                whole = [len(i) // window * window for i in all_ids]
-                rows = np.arange(row, row + b.num_rows)
-                row += b.num_rows
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rows), b.column(doc_id), pa.array([len(i) for i in all_ids], pa.int64()),
-                    pa.array([[crc_of(i[s : s + window]) for s in range(0, w, window)] for i, w in zip(all_ids, whole, strict=True)], pa.list_(pa.int64())),
-                    pa.array([i[w:].astype("<u4").astype(own.dtype).tobytes() for i, w in zip(all_ids, whole, strict=True)], pa.binary()),
-                    pa.array([own.dtype.itemsize] * b.num_rows, pa.int32()),
-                ], ["row", doc_id, "n", "whole", "tail", "width"])
-
-    def shard_pieces(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([doc_id, "row"], kind="stable")
-        number = int(group["shard"].iloc[0]) << 32
-        out = []
-        ids, n = group[doc_id].tolist(), group["n"].tolist()
-        for i, whole in enumerate(group["whole"]):
+        for b in slices(batches, text, rows=1024):
+            all_ids = own(byte_list(b, text))
+            whole = [len(i) // window * window for i in all_ids]
+            rows = np.arange(row, row + b.num_rows)
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([
+                pa.array(rows), b.column(doc_id), pa.array([len(i) for i in all_ids], pa.int64()),
+                pa.array([[crc_of(i[s : s + window]) for s in range(0, w, window)] for i, w in zip(all_ids, whole, strict=True)], pa.list_(pa.int64())),
+                pa.array([i[w:].tobytes() for i, w in zip(all_ids, whole, strict=True)], pa.binary()),
+                pa.array([own.dtype.itemsize] * b.num_rows, pa.int32()),
+            ], ["row", doc_id, "n", "whole", "tail", "width"])
+
+    def shard_pieces(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [(doc_id, "ascending"), ("row", "ascending")])).combine_chunks()
+        number = group.column("shard")[0].as_py() << 32
+        out, n = [], group.column("n").to_pylist()
+        for i, whole in enumerate(group.column("whole").to_pylist()):
             for k, crc in enumerate(whole):
-                out.append((i, k * window, window, int(crc), number, 0))
+                out.append((i, k * window, window, crc, number, 0))
                 number += 1
-        tails = [np.frombuffer(t, f"<u{w}") for t, w in zip(group["tail"], group["width"], strict=True)]
+        tails = tails_of(group)
         for pieces in pack_shard(tails, window, shared.value):
             offset = 0
             for i, s, length in pieces:
                 out.append((i, n[i] - len(tails[i]) + s, length, crc_of(tails[i][s : s + length]), number, offset))
                 offset += length
             number += 1
-        own, start, length, crc, seq, offset = zip(*out, strict=True)
-        return pd.DataFrame({doc_id: pd.Series([ids[i] for i in own], dtype=group[doc_id].dtype), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": [n[i] for i in own], "sequence_id": seq, "offset": offset})
+        own, start, length, crc, seq, offset = (pa.array(c, pa.int64()) for c in zip(*out, strict=True))
+        columns = [group.column(doc_id).take(own), start, length, crc, group.column("n").take(own), seq, offset]
+        return pa.Table.from_arrays(columns, [doc_id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     rows = written(docs.select(doc_id, text).mapInArrow(tokenise, f"row long, {doc_id} {id_type}, n long, whole array<long>, tail binary, width int"), "packing-tails")
     n_rows, statistics = statistics_of(rows)
@@ -386,7 +385,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     dealt = rows.mapInArrow(deal, f"shard long, row long, {doc_id} {id_type}, n long, whole array<long>, tail binary, width int")
     schema = f"{doc_id} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInPandas(shard_pieces, schema)
+    return dealt.groupBy("shard").applyInArrow(shard_pieces, schema)
 
 
 def default_tokenizer() -> str:
