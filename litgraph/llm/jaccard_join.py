@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bounded_sample, byte_list, drop, mix, slices, table, tokens_of, written
+from .common import Bits, bounded_sample, byte_list, drop, mix, release, slices, table, tokens_of, written
 from .components import connected
 
 VERIFY_COST = 10.0
@@ -196,6 +196,9 @@ def set_rows(docs: DataFrame, doc_id: str, text: str, words: int, signatures: Si
                         seen.clear()
                     seen.add(digest)
             yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "hi", "lo", "keys", "sketch"])
+        shingles.cache.clear()
+        seen.clear()
+        release()
 
     return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, keys array<long>, sketch binary")
 

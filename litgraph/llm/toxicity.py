@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_list, crc_mod, slices, table, text_parts, words_of
+from .common import byte_list, crc_mod, release, slices, table, text_parts, words_of
 from .lanes import Lanes
 
 PER_CLASS = 1500
@@ -245,6 +245,8 @@ def score_toxicity(docs: DataFrame, field: ToxicField, text: str = "text", offse
             if offsets:
                 columns.append(pa.array([_byte_spans(d, p) for d, p in zip(data, places, strict=True)], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *columns], [*kept, *(f.name for f in added)])
+        cache.clear()
+        release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
