@@ -25,33 +25,41 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose score reaches the threshold. Null and empty texts have the lowest score and stay."""
+    """Without documents whose score reaches the threshold. Null and empty texts have the lowest score and stay; equal texts go or stay
+    together; without labels of both classes nothing is learnt: all stay, or all go where every label is toxic."""
     field = learn(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs.select(COLUMNS), field, offsets=False).filter(F.col("toxic_score") < THRESHOLD).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group. Rows that share an id are one document, of which the least text stays; rows with
-    a null id are no one's duplicate."""
+    """One row of each group stays: that with the smallest id. Rows are told apart by a hash of id and text, so rows that share an id go
+    only if their texts link or are equal. Null and empty texts link with nothing, so of them only repeated rows go. Rows with a null id
+    are no one's duplicate and stay. Ids and hashes settle what stays; a text moves once."""
     docs = docs.select(COLUMNS)
-    first = link_documents(docs, **NEAR).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return kept.withColumn("row_of_id", F.row_number().over(one)).filter("row_of_id = 1").select(COLUMNS).unionByName(docs.filter("doc_id is null"))
+    rows = docs.filter("doc_id is not null").withColumn("row_key", F.xxhash64("doc_id", "text"))
+    groups = link_documents(rows, "row_key", **NEAR).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = rows.select("row_key", "doc_id").distinct().join(groups, "row_key")
+    first = written(ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("one")).select("one.row_key"), "pipeline-first")
+    kept = rows.join(first, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select(COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in benchmark windows are cut; documents of which they are more than half go."""
+    """Words in benchmark windows are cut; documents of which they are more than half go. Null and empty texts have no words and stay;
+    each row is judged alone, whatever its id; an empty benchmark cuts nothing."""
     return _documents(cut_spans(match_benchmark(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")), max_coverage=0.5))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span becomes the name of its kind in brackets."""
+    """Every span becomes the name of its kind in brackets. Null and empty texts have no spans; each row is judged alone; the detector
+    learns from these documents, and without any that has personal data only the base rules hold."""
     docs = docs.select(COLUMNS)
     return _documents(redact(find_spans(docs, train_detector(docs, "doc_id"))))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences. A null or empty text is one piece, its end id; repeated rows are packed each; a null id stays null; without
+    documents there are no sequences."""
     return pack(docs.select("doc_id", "text"), default_tokenizer())
 
 
