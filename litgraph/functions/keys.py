@@ -66,3 +66,31 @@ def predicate_subject(key: Column) -> Column:
 
 def predicate_object(key: Column) -> Column:
     return F.concat(F.lit("m:"), F.get(F.split(key, ":"), F.lit(3)))
+
+
+def adjacent_sentence_keys(pmid: Column, version: Column, idx: Column, total: Column) -> Column:
+    """Keys of the sentences before and after, where there are any."""
+    before = F.when(idx > 0, sentence_key(pmid, version, idx - 1))
+    after = F.when(idx < total - 1, sentence_key(pmid, version, idx + 1))
+    return F.filter(F.array(before, after), lambda k: k.isNotNull())
+
+
+def lemma_keys(tokens: Column) -> Column:
+    """Of the interesting tokens. The rules' parts of speech are too coarse to tell nodes apart, so all are nouns."""
+    from .text import interesting
+
+    return F.transform(F.filter(tokens, interesting), lambda t: lemma_key(F.lit("noun"), t["lemma"]))
+
+
+def entity_keys(entities: Column, tokens: Column) -> Column:
+    from .text import entity_text
+
+    return F.transform(entities, lambda e: F.lower(F.concat(F.lit("e:"), entity_text(e, tokens))))
+
+
+def coded_keys(codes: Column) -> Column:
+    return F.transform(codes, coded_key)
+
+
+def ngram_keys(ngrams: Column) -> Column:
+    return F.transform(ngrams, ngram_key)

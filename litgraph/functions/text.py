@@ -40,6 +40,60 @@ def tokens(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.struct(w.alias("lemma"), part_of_speech(w).alias("pos"), is_stop(w).alias("stop")))
 
 
+def is_interesting(word: Column) -> Column:
+    """What `interesting` says of a word by rule, as plain column expressions: the only part of speech that marks no topic is the adverb."""
+    return ~is_stop(word) & ~word.rlike("(ly|ment)$")
+
+
+def cased_tokens(text: Column) -> Column:
+    """Structs lemma, pos, stop, and upper: whether the word begins with a capital."""
+    cased = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+    def one(w: Column) -> Column:
+        low = F.lower(w)
+        return F.struct(low.alias("lemma"), part_of_speech(low).alias("pos"), is_stop(low).alias("stop"), w.rlike(r"^\p{Lu}").alias("upper"))
+
+    return F.transform(cased, one)
+
+
+def entity_spans(tokens: Column) -> Column:
+    """Entities by rule: runs of two or more words with capitals, as structs tok_start, tok_end (exclusive) and label."""
+    empty = F.array().cast("array<struct<tok_start:int,tok_end:int>>")
+    state = lambda i, begin, spans: F.struct(i.alias("i"), begin.alias("begin"), spans.alias("spans"))
+    ended = lambda acc: F.concat(acc["spans"], F.array(F.struct(acc["begin"].alias("tok_start"), acc["i"].alias("tok_end"))))
+
+    def step(acc: Column, t: Column) -> Column:
+        after, upper, inside = acc["i"] + 1, t["upper"], acc["begin"] >= 0
+        return F.when(upper & ~inside, state(after, acc["i"], acc["spans"])).when(~upper & inside, state(after, F.lit(-1), ended(acc))).otherwise(state(after, acc["begin"], acc["spans"]))
+
+    finish = lambda acc: F.when(acc["begin"] >= 0, ended(acc)).otherwise(acc["spans"])
+    spans = F.coalesce(F.aggregate(tokens, state(F.lit(0), F.lit(-1), empty), step, finish), empty)
+    return multi_token(F.transform(spans, lambda e: F.struct(e["tok_start"].alias("tok_start"), e["tok_end"].alias("tok_end"), F.lit("ENT").alias("label"))))
+
+
+def multi_token(entities: Column) -> Column:
+    return F.filter(entities, lambda e: e["tok_end"] - e["tok_start"] > 1)
+
+
+def span_tokens(entity: Column, tokens: Column) -> Column:
+    return F.slice(tokens, entity["tok_start"] + 1, entity["tok_end"] - entity["tok_start"])
+
+
+def without_stop_entities(entities: Column, tokens: Column) -> Column:
+    """Without entities of which every word is a stop word."""
+    return F.filter(entities, lambda e: F.exists(span_tokens(e, tokens), lambda t: ~t["stop"]))
+
+
+def entity_text(entity: Column, tokens: Column) -> Column:
+    """Lemmas of its span, joined by an underscore."""
+    return F.array_join(F.transform(span_tokens(entity, tokens), lambda t: t["lemma"]), "_")
+
+
+def all_text(parts: Column) -> Column:
+    """The texts of a document's parts, joined by a space."""
+    return F.array_join(F.transform(parts, lambda p: p["text"]), " ")
+
+
 def interesting(token: Column) -> Column:
     return ~token["stop"] & token["pos"].isin(*TOPIC_POS)
 
@@ -68,8 +122,20 @@ def mask_phrases(items: Column, phrases: Column, longest: int) -> Column:
     return F.aggregate(places, start, step, lambda acc: acc["found"])
 
 
+# Names of the Greek letters.
+GREEK = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split(), strict=True))
+
+
+def greek_names(text: Column) -> Column:
+    """Greek letters become their names; a capital's name begins with a capital."""
+    for letter, name in GREEK.items():
+        text = F.replace(F.replace(text, F.lit(letter), F.lit(name)), F.lit(letter.upper()), F.lit(name.capitalize()))
+    return F.replace(text, F.lit("ς"), F.lit("sigma"))
+
+
 def ascii_fold(text: Column) -> Column:
-    """Accents of common Latin letters go, then everything beyond ASCII."""
+    """Greek letters become names, accents of common Latin letters go, then everything beyond ASCII."""
+    text = F.when(text.rlike(r"\p{InGreek}"), greek_names(text)).otherwise(text)
     return F.regexp_replace(F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÉÈÊËÍÎÏÓÔÖÚÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncAAAAEEEEIIIOOOUUUNC"), r"[^\x00-\x7F]", "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import top_per_group
+from .edges import gathered
 
 
 def filter_atoms(atoms: DataFrame, language: str | None = "ENG", codes: DataFrame | None = None, suppressed: bool = False) -> DataFrame:
@@ -22,11 +22,12 @@ def preferred_texts(atoms: DataFrame, order: str) -> DataFrame:
 
 
 def code_texts(atoms: DataFrame) -> DataFrame:
-    return atoms.groupBy(F.upper("cui").alias("cui")).agg(F.sort_array(F.collect_set(F.lower("str"))).alias("texts"))
+    """cui and its texts; see `gathered` for chunk."""
+    return gathered(atoms.select(F.upper("cui").alias("cui"), F.lower("str").alias("text")), "cui", "text").withColumnRenamed("values", "texts")
 
 
 def text_codes(atoms: DataFrame) -> DataFrame:
-    return atoms.groupBy(F.lower("str").alias("text")).agg(F.sort_array(F.collect_set(F.upper("cui"))).alias("codes"))
+    return gathered(atoms.select(F.lower("str").alias("text"), F.upper("cui").alias("cui")), "text", "cui").withColumnRenamed("values", "codes")
 
 
 def codes_by_pattern(atoms: DataFrame, pattern: str) -> DataFrame:

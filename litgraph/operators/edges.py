@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket
-from .ordering import dense_ids, global_row_number
+from ..plans.stage import scratch
+from .ordering import dense_ids, first_appearance_ids, global_row_number
 
 
-def bipartite_edges(rows: DataFrame, src: Column, neighbours: Column, both_ways: bool = True) -> DataFrame:
-    """Distinct (src, dst); with both_ways, the reverse of each, too."""
-    pair = F.struct(src.alias("src"), F.col("_n").alias("dst"))
-    one = rows.select("*", F.explode(neighbours).alias("_n"))
+def both_directions(pairs: DataFrame) -> DataFrame:
+    """Each (src, dst) and its reverse."""
+    return pairs.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
+
+
+def bipartite_edges(rows: DataFrame, src: Column, neighbours: Column, both_ways: bool = True, disjoint: bool = False) -> DataFrame:
+    """Distinct (src, dst); with both_ways, the reverse of each, too. Where no node is on both sides (`disjoint`), pairs are made distinct
+    before they are reversed."""
+    one = rows.select(src.alias("src"), F.explode(neighbours).alias("dst"))
     if not both_ways:
-        return one.select(pair.alias("e")).select("e.*").distinct()
-    return one.select(F.explode(F.array(pair, F.struct(F.col("_n").alias("src"), src.alias("dst")))).alias("e")).select("e.*").distinct()
+        return one.distinct()
+    return both_directions(one.distinct()) if disjoint else both_directions(one).distinct()
 
 
 def edge_families(families: dict[str, DataFrame]) -> DataFrame:
@@ -27,8 +33,25 @@ def edge_families(families: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("neighbors"))
+#: Values that a row of gathered values holds at most, about.
+GATHERED = 100_000
+
+
+def gathered(rows: DataFrame, key: str, value: str, most: int = GATHERED) -> DataFrame:
+    """key, chunk and values: the key's distinct values, sorted. A key with more than about `most` of them has several rows, numbered
+    by chunk, among which its values are dealt by hash; all others have chunk 0."""
+    one = rows.select(key, value).distinct()
+    hot = scratch(one.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("_n")).filter("_n > 1"))
+    chunk = F.lit(0).cast("long")
+    if not hot.isEmpty():
+        one = one.join(hot.withColumnRenamed(key, "_hot"), F.col(key).eqNullSafe(F.col("_hot")), "left")
+        chunk = F.coalesce(F.pmod(F.xxhash64(value), "_n"), chunk)
+    return one.groupBy(key, chunk.alias("chunk")).agg(F.sort_array(F.collect_list(value)).alias("values"))
+
+
+def adjacency(edges: DataFrame, most: int = GATHERED) -> DataFrame:
+    """src, chunk, neighbors: a row for each node, or several for one of very many neighbours (see `gathered`)."""
+    return gathered(edges, "src", "dst", most).withColumnRenamed("values", "neighbors")
 
 
 def explode_adjacency(adj: DataFrame) -> DataFrame:
@@ -47,20 +70,27 @@ def cap_degree(edges: DataFrame, most: int, seed: str = "") -> DataFrame:
     return top_per_group(edges, ["src"], [hash64(F.concat_ws("|", "src", "dst", F.lit(seed))), F.col("dst")], most).drop("rank")
 
 
-def merge_duplicate_keys(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key and its distinct values, sorted."""
-    return rows.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))
+def merge_duplicate_keys(rows: DataFrame, key: str, value: str, most: int = GATHERED) -> DataFrame:
+    """key, chunk and its distinct values, sorted; see `gathered`."""
+    return gathered(rows, key, value, most)
 
 
 def entity_partitions(edges: DataFrame, parts: int, kinds: list[str] | None = None) -> DataFrame:
-    """Nodes of both ends: name, type, part (by hash), and idx, their place in that part."""
-    from pyspark.sql import Window
-
+    """Nodes of both ends: name, type, part (by hash), and idx, their place in that part. Nodes are numbered along one order by ranges, so
+    there are as many tasks as the nodes need, not one for each type and part."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
     nodes = nodes.withColumn("type", F.substring("name", 1, 1)).withColumn("part", hash_bucket(F.col("name"), parts))
     if kinds:
         nodes = nodes.filter(F.col("type").isin(*kinds))
-    return nodes.withColumn("idx", F.row_number().over(Window.partitionBy("type", "part").orderBy("name")).cast("long") - 1)
+    numbered = global_row_number(nodes, [F.col("type"), F.col("part"), F.col("name")], "_k")
+    first = scratch(numbered.groupBy("type", "part").agg(F.min("_k").alias("_first")))
+    return numbered.join(F.broadcast(first), ["type", "part"]).select("name", "type", "part", (F.col("_k") - F.col("_first")).alias("idx"))
+
+
+def relations(buckets: DataFrame) -> DataFrame:
+    """The relations that occur, in order, with their numbers from 0; there are no more than pairs of node types."""
+    found = buckets.select("rel").distinct()
+    return global_row_number(found, [F.col("rel")], "_k").select("rel", (F.col("_k") - 1).alias("rel_id"))
 
 
 def part_counts(nodes: DataFrame, parts: int) -> DataFrame:
@@ -88,3 +118,23 @@ def edge_list_ids(edges: DataFrame) -> DataFrame:
 def numbered_edges(edges: DataFrame) -> DataFrame:
     """edge_list_ids from 1, with a running edge number, for exports that need it."""
     return global_row_number(edge_list_ids(edges).select((F.col("src_id") + 1).alias("src_id"), (F.col("dst_id") + 1).alias("dst_id")), [F.col("src_id"), F.col("dst_id")], "edge_id")
+
+
+def edge2vec_rows(edges: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of edges (src, dst, relation, and the columns of `order`, which number them): rows src_id, dst_id, rel_id, edge_id, and the ids of nodes
+    and of relations, all from 1 in the order of their first appearance. An edge's source appears before its target."""
+    place = F.struct(*order)
+    ends = edges.select(F.posexplode(F.array("src", "dst")).alias("_end", "name"), *order)
+    nodes = first_appearance_ids(ends, "name", [*order, "_end"], 1)
+    rels = first_appearance_ids(edges, "relation", order, 1)
+    numbered = global_row_number(edges.select("src", "dst", "relation", place.alias("_at")), [F.col("_at")], "edge_id")
+    end = lambda side: nodes.select(F.col("name").alias(side), F.col("id").alias(f"{side}_id"))
+    out = numbered.join(end("src"), "src").join(end("dst"), "dst").join(rels.withColumnRenamed("id", "rel_id"), "relation")
+    return out.select("src_id", "dst_id", "rel_id", "edge_id"), nodes, rels
+
+
+def predicate_nodes(edges: DataFrame) -> DataFrame:
+    """The set of predicate keys among both ends."""
+    from ..functions.keys import is_predicate
+
+    return edges.select(F.explode(F.array("src", "dst")).alias("name")).filter(is_predicate(F.col("name"))).distinct()

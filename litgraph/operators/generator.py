@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
 from ..functions.text import plain_tokens
+from ..plans.stage import scratch
 
 
 def regroup_abstracts(sentences: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
@@ -29,27 +30,41 @@ def training_pairs(abstracts: DataFrame, sentences: str, key: str) -> DataFrame:
 
 
 def encode_words(words: Column, vocabulary: dict[str, int], offset: int = 3, unknown: int = 1) -> Column:
-    """Vocabulary ids moved by offset; a bounded vocabulary travels as a literal map."""
+    """Vocabulary ids moved by offset; a bounded vocabulary travels as a literal map. Text ids take an offset of TEXT_OFFSET."""
     pairs = [F.lit(x) for kv in vocabulary.items() for x in kv]
     ids = F.create_map(*pairs)
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(ids, w) + offset, F.lit(unknown)))
 
 
-def decode_words(ids: Column, words: list[str], offset: int = 3) -> Column:
+#: Fixed value: ids below it are those of the special markers of a text.
+TEXT_OFFSET = 5
+
+
+def encode_by_join(rows: DataFrame, key: str, words: str, vocabulary: DataFrame, offset: int = 3, unknown: int = 1) -> DataFrame:
+    """(key, pos, code) for a vocabulary (word, id) of any size."""
+    one = rows.select(key, F.posexplode(words).alias("pos", "word"))
+    return one.join(vocabulary.select("word", F.col("id").alias("_id")), "word", "left").select(key, "pos", F.coalesce(F.col("_id") + offset, F.lit(unknown)).alias("code"))
+
+
+def decode_words(ids: Column, words: list[str], offset: int = 3, markers: dict[int, str] | None = None) -> Column:
+    """Words of ids; ids of `markers` (padding, unknown, beginning, end, ...) are written as these."""
     table = F.array(*map(F.lit, words))
-    return F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(table, i - offset), F.lit("[unk]"))), " ")
+    special = F.create_map(*(F.lit(x) for kv in (markers or {1: "[unk]"}).items() for x in kv))
+    return F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(special, i), F.get(table, i - offset), F.lit("[unk]"))), " ")
 
 
-def tokenizer_corpus(sentences: DataFrame, key: Column, rate: float = 0.1) -> DataFrame:
-    """Lower-case sentences, a share of them picked by hash."""
+def tokenizer_corpus(sentences: DataFrame, document: Column, key: Column, document_rate: float = 0.3, rate: float = 0.1) -> DataFrame:
+    """Lower-case sentences: a share of the documents, then a share of their sentences, both picked by hash."""
     from ..functions.hashing import sample_by_hash
 
-    return sentences.filter(sample_by_hash(key, rate, "tokenizer")).select(F.lower("sent_text").alias("value"))
+    own = sentences.filter(sample_by_hash(document, document_rate, "documents"))
+    return own.filter(sample_by_hash(key, rate, "tokenizer")).select(F.lower("sent_text").alias("value"))
 
 
 def recall_minus_title(rows: DataFrame, key: str, generated: Column, target: Column, title: Column, frequency: DataFrame) -> DataFrame:
     """Of the target's n-grams that the title lacks, the weight of those generated. A weight is 1 / log2(n + 1), or 1 for an n-gram that
     `frequency` (ngram, n) lacks. A target without such n-grams scores 1."""
+    frequency = scratch(frequency)  # a table, so that the join can split an n-gram of every row
     wanted = rows.select(key, F.array_except(target, title).alias("_t"), F.array_except(F.array_intersect(generated, target), title).alias("_g"))
     grams = wanted.select(key, "_g", F.explode_outer("_t").alias("ngram")).join(frequency, "ngram", "left")
     weight = F.when(F.col("ngram").isNull(), 0.0).otherwise(F.coalesce(1.0 / F.log2(F.col("n") + 1.0), F.lit(1.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import shlex
 import subprocess
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.ml.feature import HashingTF
@@ -12,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import cased_tokens, entity_spans, tokens
 
 _LOADED: dict[str, object] = {}
 
@@ -31,6 +32,22 @@ def analyse(rows: DataFrame, text: str, model: Callable[[pd.Series], pd.Series]
     return rows.withColumn("tokens", F.pandas_udf(model, schema)(F.col(text)))
 
 
+def with_entities(rows: DataFrame, text: str) -> DataFrame:
+    """Adds tokens (with capitals marked) and entities, both by rule."""
+    return rows.withColumn("tokens", cased_tokens(F.col(text))).withColumn("entities", entity_spans(F.col("tokens")))
+
+
+def locate(root: str, wanted: dict[str, str]) -> dict[str, str]:
+    """Files of a local installation by glob patterns under root; each pattern must name exactly one."""
+    out = {}
+    for name, pattern in wanted.items():
+        found = sorted(str(p) for p in Path(root).glob(pattern))
+        if len(found) != 1:
+            raise FileNotFoundError(f"{name}: {pattern} matches {len(found)} files under {root}: {', '.join(found[:5])}")
+        out[name] = found[0]
+    return out
+
+
 def embed(rows: DataFrame, key: str, words: str, dimensions: int = 64, model: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
     """key and embedding: hashed word counts, or a model's vectors. A row's vector depends on that row alone."""
     if model is not None:

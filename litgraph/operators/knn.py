@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,13 +59,20 @@ class IvfPq:
         codes = F.array(*(nearest(F.slice(F.col(vector), i * self.width + 1, self.width), b).cast("short") for i, b in enumerate(self.books)))
         return rows.select(key, nearest(F.col(vector), self.coarse).alias("cell"), codes.alias("codes"))
 
-    def search(self, index: DataFrame, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> DataFrame:
-        """src, dst, dist, rank by table look-ups over the probed cells."""
+    @staticmethod
+    def merge(*indexes: DataFrame) -> DataFrame:
+        """Parts of one index, encoded apart, as one."""
+        return reduce(DataFrame.unionByName, indexes)
+
+    def search(self, index: DataFrame, queries: DataFrame, key: str, vector: str, k: int, probes: int, blocks: int = BLOCKS) -> DataFrame:
+        """src, dst, dist, rank by table look-ups over the probed cells. A cell's rows are dealt to blocks, to each of which a query goes."""
         options = F.array(*(F.struct(squared_distance(F.col(vector), F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.coarse.tolist())))
         part = lambda i: F.slice(F.col(vector), i * self.width + 1, self.width)
         tables = F.array(*(F.array(*(squared_distance(part(i), F.array(*map(F.lit, c))) for c in b.tolist())) for i, b in enumerate(self.books)))
         q = queries.select(F.col(key).alias("src"), tables.alias("_t"), F.explode(F.transform(F.slice(F.sort_array(options), 1, probes), lambda o: o["i"])).alias("cell"))
-        pairs = q.join(index.withColumnRenamed(key, "dst"), "cell").filter("src <> dst")
+        q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+        x = index.withColumnRenamed(key, "dst").withColumn("_b", F.pmod(F.xxhash64("dst"), F.lit(blocks)).cast("int"))
+        pairs = q.join(x, ["cell", "_b"]).filter("src <> dst")
         total = F.aggregate(F.zip_with("_t", "codes", lambda t, c: F.get(t, c.cast("int"))), F.lit(0.0), lambda s, d: s + d)
         return top_per_group(pairs.select("src", "dst", total.alias("dist")), ["src"], [F.col("dist"), F.col("dst")], k)
 
@@ -75,6 +84,27 @@ def rerank(candidates: DataFrame, rows: DataFrame, key: str, vector: str, k: int
     return top_per_group(pairs.select("src", "dst", F.round(squared_distance(F.col("_src"), F.col("_dst")), 9).alias("dist")), ["src"], [F.col("dist"), F.col("dst")], k)
 
 
+def named(neighbours: DataFrame, names: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """src and dst as names, from neighbours by hash and names (hash, name); a hash may have several names. Hashes without a name go, and so
+    do rows of a name and itself."""
+    root = names.select(F.col("hash").alias(src), F.col("name").alias("_root"))
+    near = names.select(F.col("hash").alias(dst), F.col("name").alias("_near"))
+    return neighbours.join(root, src).join(near, dst).filter("_root <> _near").select(F.col("_root").alias("src"), F.col("_near").alias("dst")).distinct()
+
+
+def to_matrix(rows: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a bounded table as arrays, by Arrow."""
+    table = rows.select(key, vector).toArrow()
+    flat = table.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table.column(0).to_numpy().astype(np.int64), flat.reshape(table.num_rows, -1).astype(np.float32)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """The share of the exact pairs (src, dst) that were found."""
+    hit = found.select("src", "dst", F.lit(1).alias("hit")).distinct()
+    return exact.join(hit, ["src", "dst"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 def knn_edges(neighbours: DataFrame, prefix: str = "s:") -> DataFrame:
     """Both directions of each found pair, as keys."""
     a, b = F.concat(F.lit(prefix), F.col("src").cast("string")), F.concat(F.lit(prefix), F.col("dst").cast("string"))

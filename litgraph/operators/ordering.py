@@ -23,6 +23,12 @@ def dense_ids(names: DataFrame, column: str, name: str = "id", base: int = 0) ->
     return global_row_number(names.select(column).distinct(), [F.col(column)], name).withColumn(name, F.col(name) - 1 + base)
 
 
+def first_appearance_ids(rows: DataFrame, column: str, order: list[str], base: int = 0, name: str = "id") -> DataFrame:
+    """Distinct values of a column with consecutive ids in the order in which they first occur along `order`. Nulls have none."""
+    first = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
+    return global_row_number(first, [F.col("_first"), F.col(column)], name).select(column, (F.col(name) - 1 + base).alias(name))
+
+
 def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     """Adds the batch number of consecutive rows; rows whose ordering column is null are left out."""
     kept = df

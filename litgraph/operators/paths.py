@@ -1,43 +1,52 @@
-"""Graph search: hops, shortest paths, nearby nodes."""
+"""Graph search by hops and by weight: distances, shortest paths, nearby nodes. Edges are written down once, each step's new nodes make a
+table of their own, and no step writes again what an earlier one found."""
 
 from __future__ import annotations
 
-import heapq
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stage import scratch
+from ..plans.stage import drop, scratch
 
 
-def hop_distances(edges: DataFrame, source: str, most: int) -> DataFrame:
-    """node and d, its hops from source, for all nodes within `most` hops. Each hop is a join of the frontier with the edges."""
-    seen = scratch(edges.sparkSession.createDataFrame([(source, 0)], "node string, d int"))
-    frontier = seen
-    for d in range(1, most + 1):
-        reached = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = scratch(reached.join(seen, "node", "left_anti").withColumn("d", F.lit(d)))
-        if frontier.isEmpty():
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def hop_distances(edges: DataFrame, source: str, most: int | None = None, kind: str | None = None, enough: int = 0) -> DataFrame:
+    """node and d, its hops from source, for all nodes within `most` hops, or for all that can be reached. With `kind`, the search ends
+    after the step that brings the nodes of this type to `enough`. Each hop is a join of the frontier with the edges."""
+    edges = scratch(edges.select("src", "dst"))
+    levels = [scratch(edges.sparkSession.createDataFrame([(source, 0)], "node string, d int"))]
+    found = 0
+    while (most is None or len(levels) <= most) and (kind is None or found < enough):
+        reached = edges.join(levels[-1].select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        new = scratch(reached.join(_all(levels).select("node"), "node", "left_anti").withColumn("d", F.lit(len(levels))))
+        if new.isEmpty():
             break
-        seen = scratch(seen.unionByName(frontier))
-    return seen
+        levels.append(new)
+        if kind is not None:
+            found += new.filter(F.substring("node", 1, 1) == kind).count()
+    drop(edges)
+    return _all(levels)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 8) -> list[str] | None:
-    """A path of fewest hops between two nodes, the first by name among equals. Both sides' frontiers grow in turn until they meet;
-    only the path itself comes to the driver."""
+def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> list[str] | None:
+    """A path of fewest hops between two nodes, the first by name among equals, or None where none connects them. Both sides' frontiers grow
+    in turn until they meet; only the path itself comes to the driver. With `most`, a search that ends before it knows is an error."""
     if source == target:
         return [source]
+    edges = scratch(edges.select("src", "dst"))
     one = lambda n: scratch(edges.sparkSession.createDataFrame([(n, None)], "node string, via string"))
     sides = [[one(source)], [one(target)]]
-    for step in range(most):
-        side = sides[step % 2]
-        frontier = side[-1].select(F.col("node").alias("src"))
-        new = edges.join(frontier, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
-        for old in side:
-            new = new.join(old.select("node"), "node", "left_anti")
-        side.append(scratch(new))
-        meet = side[-1].join(sides[1 - step % 2][-1].select("node"), "node").agg(F.min("node")).first()[0]
+    step = 0
+    while most is None or step < most:
+        side, other = sides[step % 2], sides[1 - step % 2]
+        new = edges.join(side[-1].select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
+        side.append(scratch(new.join(_all(side).select("node"), "node", "left_anti")))
+        meet = side[-1].join(other[-1].select("node"), "node").agg(F.min("node")).first()[0]
         if meet is not None:
             parts = []
             for levels in sides:
@@ -46,41 +55,91 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 8) ->
                     walk.append(node)
                     node = level.filter(F.col("node") == node).first().via
                 parts.append(walk)
+            drop(edges, *sides[0], *sides[1])
             return parts[0][::-1] + parts[1][1:]
         if side[-1].isEmpty():
+            drop(edges, *sides[0], *sides[1])
             return None
-    return None
-
-
-def weighted_path(fetch, source: str, target: str, limit: int = 100_000) -> tuple[float, list[str]] | None:
-    """Dijkstra on the driver for one pair: `fetch(nodes)` returns {node: [(neighbour, weight)]}. At most `limit` nodes are expanded."""
-    best, via, heap = {source: 0.0}, {}, [(0.0, source)]
-    done: set[str] = set()
-    while heap and len(done) < limit:
-        d, node = heapq.heappop(heap)
-        if node in done:
-            continue
-        if node == target:
-            path = [node]
-            while path[-1] != source:
-                path.append(via[path[-1]])
-            return d, path[::-1]
-        done.add(node)
-        for other, w in fetch([node]).get(node, []):
-            if d + w < best.get(other, float("inf")):
-                best[other], via[other] = d + w, node
-                heapq.heappush(heap, (d + w, other))
-    return None
+        step += 1
+    raise LookupError(f"no path of at most {most} steps; a longer one may exist")
 
 
 def edge_weights(edges: DataFrame) -> DataFrame:
     """log2 of one plus the smaller degree of both ends: an edge costs more between busier nodes, never nothing."""
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    degree = scratch(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")))  # a table, so that the joins can split a busy node
     both = edges.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
     return both.select("src", "dst", F.log2(F.lit(1.0) + F.least("n", "m")).alias("weight"))
 
 
-def nearby_nodes(edges: DataFrame, source: str, kind: str, most: int, hops: int = 6) -> DataFrame:
-    """Up to `most` nodes of a type, nearest first: node, d, rank."""
-    found = hop_distances(edges, source, hops).filter(F.substring("node", 1, 1) == kind).filter(F.col("node") != source)
+def weighted_distances(edges: DataFrame, source: str, rounds: int | None = None, target: str | None = None, kind: str | None = None, enough: int = 0) -> DataFrame:
+    """node, d and via (the node before it) by the least sum of weights from source; edges have src, dst and a positive weight.
+
+    Each round relaxes the edges of the nodes whose distance has just become less. It ends when none does, or after `rounds`, which then
+    means paths of at most so many edges. Nodes at least as far as `target`, or as the `enough`-th nearest node of type `kind`, are not
+    expanded, as no shorter path leads through them; distances beyond that are then upper bounds. Distances are rounded to nine places.
+    """
+    edges = scratch(edges.select(F.col("src").alias("node"), "dst", "weight"))
+    tables = [scratch(edges.sparkSession.createDataFrame([(source, 0.0, None)], "node string, d double, via string"))]
+    while rounds is None or len(tables) <= rounds:
+        known = _all(tables).groupBy("node").agg(F.min("d").alias("known"))
+        frontier, limit = tables[-1], None
+        if target is not None:
+            limit = known.filter(F.col("node") == target).first()
+            limit = limit and limit.known
+        elif kind is not None:
+            near = known.filter((F.substring("node", 1, 1) == kind) & (F.col("node") != source)).orderBy("known").limit(enough).agg(F.count(F.lit(1)), F.max("known")).first()
+            limit = near[1] if near[0] == enough else None
+        if limit is not None:
+            frontier = frontier.filter(F.col("d") < limit)
+        step = frontier.join(edges, "node").select(F.col("dst").alias("to"), F.struct(F.round(F.col("d") + F.col("weight"), 9).alias("d"), F.col("node").alias("via")).alias("at"))
+        best = step.groupBy(F.col("to").alias("node")).agg(F.min("at").alias("m")).select("node", "m.d", "m.via")
+        better = scratch(best.join(known, "node", "left").filter("known IS NULL OR d < known").drop("known"))
+        if better.isEmpty():
+            break
+        tables.append(better)
+    drop(edges)
+    return _all(tables).groupBy("node").agg(F.min(F.struct("d", "via")).alias("m")).select("node", "m.d", "m.via")
+
+
+def weighted_path(edges: DataFrame, source: str, target: str) -> tuple[float, list[str]] | None:
+    """The least sum of weights and its path, or None where no path connects the two. Only the path comes to the driver, by the pointers
+    to the nodes before."""
+    found = scratch(weighted_distances(edges, source, target=target))
+    end = found.filter(F.col("node") == target).first()
+    if end is None:
+        drop(found)
+        return None
+    walk, node = [target], end.via
+    while node is not None:
+        walk.append(node)
+        node = found.filter(F.col("node") == node).first().via
+    drop(found)
+    return end.d, walk[::-1]
+
+
+def nearby_nodes(edges: DataFrame, source: str, kind: str | None, most: int, hops: int | None = None) -> DataFrame:
+    """Up to `most` nodes of a type (of any, if None), nearest first by hops, then by name: node and d. The search widens until it has them."""
+    found = hop_distances(edges, source, hops, kind, most).filter(F.col("node") != source)
+    if kind is not None:
+        found = found.filter(F.substring("node", 1, 1) == kind)
     return found.orderBy("d", "node").limit(most)
+
+
+def nearby_by_weight(edges: DataFrame, source: str, kind: str, most: int, rounds: int | None = None, max_degree: int | None = None) -> DataFrame:
+    """Up to `most` nodes of a type, nearest first by weight: node and d. With max_degree, a node has no more edges than that, picked by hash."""
+    from .edges import cap_degree
+
+    if max_degree is not None:
+        edges = cap_degree(edges, max_degree)
+    found = weighted_distances(edges, source, rounds, kind=kind, enough=most)
+    return found.filter((F.substring("node", 1, 1) == kind) & (F.col("node") != source)).select("node", "d").orderBy("d", "node").limit(most)
+
+
+def near_path(edges: DataFrame, path: list[str], kind: str, most: int, hops: int | None = None) -> DataFrame:
+    """The distinct nodes of a type near any node of a path, up to `most` for each: node. A path has few nodes."""
+    return _all([nearby_nodes(edges, p, kind, most, hops).select("node") for p in path]).distinct()
+
+
+def reset(nodes: DataFrame, column: str, value=None) -> DataFrame:
+    """An attribute of all nodes gets a value again, or goes."""
+    return nodes.drop(column) if value is None else nodes.withColumn(column, F.lit(value))

@@ -5,15 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import dot
 from ..functions.hashing import hash64, sample_by_hash
+from ..functions.keys import is_type
 from .ordering import dense_ids, global_row_number, top_per_group
 
 
-def disjoint_neighbourhoods(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """subj, obj, and the neighbours that only one of them has."""
-    a = adjacency.select(F.col("src").alias("subj"), F.col("neighbors").alias("_s"))
-    b = adjacency.select(F.col("src").alias("obj"), F.col("neighbors").alias("_o"))
-    return pairs.join(a, "subj").join(b, "obj").select("subj", "obj", F.array_except("_s", "_o").alias("only_subj"), F.array_except("_o", "_s").alias("only_obj"), F.size(F.array_intersect("_s", "_o")).alias("n_both"), F.size(F.array_union("_s", "_o")).alias("n_any"))
+def neighbour_rows(pairs: DataFrame, edges: DataFrame, kind: str | None = "predicate") -> DataFrame:
+    """subj, obj, neighbour, and whether it is the subject's (s) and the object's (o): 0 or 1. Only neighbours of type `kind`, if it is
+    given. Set work is done on edges, so no node's neighbours are gathered in a row."""
+    if kind is not None:
+        edges = edges.filter(is_type(F.col("dst"), kind))
+    pairs = pairs.select("subj", "obj").distinct()
+    side = lambda end, s, o: pairs.join(edges.select(F.col("src").alias(end), F.col("dst").alias("neighbour")), end).select("subj", "obj", "neighbour", F.lit(s).alias("s"), F.lit(o).alias("o"))
+    return side("subj", 1, 0).unionByName(side("obj", 0, 1)).groupBy("subj", "obj", "neighbour").agg(F.max("s").alias("s"), F.max("o").alias("o"))
+
+
+def disjoint_neighbourhoods(pairs: DataFrame, edges: DataFrame, kind: str | None = "predicate") -> DataFrame:
+    """subj, obj, and how many neighbours only the subject has, only the object has, both have, and either has; for pairs whose terms both
+    are in the graph. `missing_pairs` reports the others."""
+    own = in_vocabulary(pairs.select("subj", "obj").distinct(), edges.select(F.col("src").alias("node")).distinct())
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias
+    s, o = F.col("s") == 1, F.col("o") == 1
+    counts = neighbour_rows(pairs, edges, kind).groupBy("subj", "obj").agg(n(s & ~o)("n_subj"), n(o & ~s)("n_obj"), n(s & o)("n_both"), F.count(F.lit(1)).alias("n_any"))
+    return own.join(counts, ["subj", "obj"], "left").fillna(0, ["n_subj", "n_obj", "n_both", "n_any"])
+
+
+def missing_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of which a term isn't among the nodes."""
+    known = in_vocabulary(pairs.select("subj", "obj").distinct(), nodes)
+    return pairs.join(known, ["subj", "obj"], "left_anti")
+
+
+def sampled_neighbourhoods(pairs: DataFrame, edges: DataFrame, n: int, seed: str = "", kind: str | None = "predicate") -> DataFrame:
+    """subj, obj, side (subj or obj), and at most n of the neighbours that only this side has, picked and ordered by hash."""
+    rows = neighbour_rows(pairs, edges, kind).filter("s <> o").withColumn("side", F.when(F.col("s") == 1, "subj").otherwise("obj"))
+    top = top_per_group(rows, ["subj", "obj", "side"], [hash64(F.concat("neighbour", F.lit(seed))), F.col("neighbour")], n)
+    return top.groupBy("subj", "obj", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("neighbours"))
 
 
 def sample_neighbours(items: Column, n: int, seed: str) -> Column:
@@ -23,16 +51,52 @@ def sample_neighbours(items: Column, n: int, seed: str) -> Column:
 
 
 def overlap_score(neighbourhoods: DataFrame) -> DataFrame:
-    """The default scorer: shared over all neighbours, in the pairs' own order if they have one."""
-    return neighbourhoods.withColumn("score", F.col("n_both") / F.col("n_any"))
+    """The default scorer: shared over all neighbours."""
+    return neighbourhoods.withColumn("score", F.coalesce(F.try_divide(F.col("n_both"), F.col("n_any")), F.lit(0.0)))
 
 
-def predict_pairs(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:
+def predict_pairs(pairs: DataFrame, edges: DataFrame, kind: str | None = None) -> DataFrame:
     """Scores of (ord, subj, obj), 0 for terms the graph lacks, in the order asked."""
-    scored = overlap_score(disjoint_neighbourhoods(pairs.select("subj", "obj").distinct(), adjacency)).select("subj", "obj", "score")
+    scored = overlap_score(disjoint_neighbourhoods(pairs, edges, kind)).select("subj", "obj", "score")
     return pairs.join(scored, ["subj", "obj"], "left").select("ord", "subj", "obj", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy("ord")
 
 
+FEATURES = ["overlap", "log_both", "log_subj", "log_obj", "cosine"]
+
+
+def pair_features(pairs: DataFrame, edges: DataFrame, vectors: DataFrame, kind: str | None = "predicate") -> DataFrame:
+    """The pairs with what a scorer looks at: shared over all neighbours, logarithms of one plus the shared and the disjoint ones, and the
+    cosine of the terms' vectors (name, embedding; 0 where one is missing)."""
+    counts = overlap_score(disjoint_neighbourhoods(pairs, edges, kind))
+    end = lambda e: vectors.select(F.col("name").alias(e), F.col("embedding").alias(f"_{e}"))
+    both = pairs.join(counts, ["subj", "obj"]).join(end("subj"), "subj", "left").join(end("obj"), "obj", "left")
+    length = F.sqrt(dot(F.col("_subj"), F.col("_subj")) * dot(F.col("_obj"), F.col("_obj")))
+    more = {f"log_{c}": F.log1p(F.col(f"n_{c}").cast("double")) for c in ("both", "subj", "obj")}
+    cosine = F.coalesce(F.try_divide(dot(F.col("_subj"), F.col("_obj")), length), F.lit(0.0))
+    return both.withColumns({"overlap": F.col("score"), "cosine": cosine, **more}).select(*pairs.columns, *FEATURES)
+
+
+def fit_scorer(features: DataFrame, label: str = "label"):
+    """A logistic regression over the features, as a pipeline model; `score_with` applies it."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol=label, regParam=1e-3)]).fit(features)
+
+
+def score_with(model, features: DataFrame) -> DataFrame:
+    """The features' rows with score, the probability of label 1."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(features).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "probability", "prediction")
+
+
+def dropped_by_label(pairs: DataFrame, nodes: DataFrame, label: str = "label") -> DataFrame:
+    """How many pairs of each label the vocabulary filter drops."""
+    return missing_pairs(pairs, nodes).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
 def in_vocabulary(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(nodes.select(F.col("node").alias("subj")), "subj", "left_semi").join(nodes.select(F.col("node").alias("obj")), "obj", "left_semi")
 
@@ -53,6 +117,21 @@ def negative_pairs(positives: DataFrame, terms: DataFrame, rate: int, seed: str
     return out.join(positives.select(F.col("subj").alias("neg_subj"), F.col("obj").alias("neg_obj")).distinct(), ["neg_subj", "neg_obj"], "left_anti")
 
 
+def scrambled_neighbourhoods(positives: DataFrame, predicates: DataFrame, rate: int, n: int, seed: str = "scramble") -> DataFrame:
+    """For each (subj, obj), `rate` draws of n predicates for either side, picked by hash among all: subj, obj, draw, k (from 1; the subject's
+    are the first n) and predicate. What a scorer must not take for the pair's own neighbourhood."""
+    numbered = dense_ids(predicates, "predicate")
+    total = numbered.count()
+    draws = positives.select("subj", "obj", F.explode(F.sequence(F.lit(1), F.lit(rate))).alias("draw")).select("*", F.explode(F.sequence(F.lit(1), F.lit(2 * n))).alias("k"))
+    at = hash64(F.concat_ws("|", "subj", "obj", F.col("draw").cast("string"), F.col("k").cast("string"), F.lit(seed))) % max(total, 1)
+    return draws.withColumn("id", at).join(numbered, "id").select("subj", "obj", "draw", "k", "predicate")
+
+
+def batch_means(rows: DataFrame, batch: str, *metrics: str) -> DataFrame:
+    """The mean over batches of each metric's mean in a batch."""
+    return rows.groupBy(batch).agg(*(F.avg(m).alias(m) for m in metrics)).agg(*(F.avg(m).alias(m) for m in metrics))
+
+
 def ranked(rows: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     """rank by falling score; positives come first among equals."""
     return global_row_number(rows, [F.desc(score), F.desc(label), F.col(tie)], "rank")
@@ -108,5 +187,6 @@ def percent_positive(rows: DataFrame, group: str, label: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("share"))
 
 
-def masked_accuracy(rows: DataFrame, predicted: str, expected: str, padding: int = 0) -> DataFrame:
-    return rows.agg(F.avg(F.when(F.col(expected) != padding, (F.col(predicted) == F.col(expected)).cast("int"))).alias("accuracy"))
+def masked_accuracy(rows: DataFrame, heads: dict[str, tuple[str, str]], padding: int = 0) -> DataFrame:
+    """For each head, given by the columns of what it predicts and of what is right, the share of right ones where that isn't padding."""
+    return rows.agg(*(F.avg(F.when(F.col(right) != padding, (F.col(guess) == F.col(right)).cast("int"))).alias(head) for head, (guess, right) in heads.items()))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import weighted_jaccard
+from .paths import nearby_nodes
 
 
 def fit_topics(docs: DataFrame, bow: str, k: int = 20, rounds: int = 50, seed: int = 7, vocabulary: int = (1 << 31) - 1, least_df: int = 2):
@@ -24,25 +24,26 @@ def fit_topics(docs: DataFrame, bow: str, k: int = 20, rounds: int = 50, seed: i
 
 
 def topic_network(terms: DataFrame, source: str, target: str) -> DataFrame:
-    """a, b, similarity in both directions where it is above 0. Topics are 0, 1, ...; the source is -1 and the target -2, each a single
-    word of weight 1. Vectors are as long as the few words that topics list."""
-    ends = terms.sparkSession.createDataFrame([(-1, source, 1.0), (-2, target, 1.0)], terms.schema)
-    every = terms.unionByName(ends)
-    words = [r[0] for r in every.select("word").distinct().orderBy("word").collect()]  # at most ten for each topic, and two
-    weights = every.groupBy("topic").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("weight").cast("double").alias("w")))).alias("m"))
-    vectors = weights.select("topic", F.transform(F.array(*map(F.lit, words)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0.0))).alias("v"))
-    packed = vectors.agg(F.collect_list(F.struct("topic", "v")).alias("all"))  # a row for each topic
-    pairs = packed.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).filter("x.topic <> y.topic")
-    return pairs.select(F.col("x.topic").alias("a"), F.col("y.topic").alias("b"), weighted_jaccard(F.col("x.v"), F.col("y.v")).alias("similarity")).filter("similarity > 0")
+    """a, b, similarity (sum of lesser over sum of greater weights) in both directions where it is above 0. Topics are 0, 1, ...; the
+    source is -1 and the target -2, each a single word of weight 1. Topics that share no word have nothing in common, so only those that
+    do meet, by their words."""
+    ends = terms.sparkSession.createDataFrame([(-1, source, 1.0), (-2, target, 1.0)], "topic int, word string, weight double")
+    every = terms.select(F.col("topic").cast("int").alias("topic"), "word", F.col("weight").cast("double").alias("weight")).unionByName(ends)
+    total = every.groupBy("topic").agg(F.sum("weight").alias("total"))
+    x, y = (every.select(F.col("topic").alias(t), "word", F.col("weight").alias(w)) for t, w in (("a", "u"), ("b", "v")))
+    common = x.join(y, "word").filter("a <> b").groupBy("a", "b").agg(F.sum(F.least("u", "v")).alias("low"))
+    both = common.join(total.select(F.col("topic").alias("a"), F.col("total").alias("p")), "a").join(total.select(F.col("topic").alias("b"), F.col("total").alias("q")), "b")
+    return both.select("a", "b", (F.col("low") / (F.col("p") + F.col("q") - F.col("low"))).alias("similarity")).filter("similarity > 0")
 
 
 def node_name(topic, source: str, target: str):
     return F.when(topic == -1, F.lit(f"Source: {source}")).when(topic == -2, F.lit(f"Target: {target}")).otherwise(F.concat(F.lit("Topic "), topic.cast("string")))
 
 
-def plaintext(bags: DataFrame, bow: str, order: str, most: int = 100) -> DataFrame:
-    """The most frequent word of the `most` nearest sentences, the first seen among equals."""
-    near = bags.orderBy(order).limit(most)
-    words = near.select(F.posexplode(bow).alias("i", "word"), order)
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "i")).alias("first"))
+def plaintext(bags: DataFrame, key: str, bow: str, edges: DataFrame, node: str, most: int = 100, kind: str = "s") -> DataFrame:
+    """The most frequent word of the `most` sentences nearest to a graph key (word, n), the first seen among equals. `bags` have a sentence
+    key and its words; the walk over the edges widens until it has the sentences."""
+    near = nearby_nodes(edges, node, kind, most).withColumn("_place", F.row_number().over(Window.orderBy("d", "node")))  # `most` rows
+    words = bags.join(F.broadcast(near.select(F.col("node").alias(key), "_place")), key).select(F.posexplode(bow).alias("_i", "word"), "_place")
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_place", "_i")).alias("first"))
     return counts.orderBy(F.desc("n"), "first").limit(1).select("word", "n")

@@ -6,21 +6,23 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..functions.arrays import set_jaccard, weighted_jaccard
+from ..functions.arrays import weighted_jaccard
 from ..functions.dates import UNKNOWN, clean_date, earliest_date, padded_date
-from ..functions.text import ascii_fold
+from ..functions.hashing import hash64
+from ..functions.text import ascii_fold, words
 from ..operators import concepts, kv, paths, predicates, ranking
 from ..operators import edges as E
 from ..operators import knn as V
 from ..operators.ordering import top_per_group
-from ..operators.topics import fit_topics, plaintext, topic_network
-from ..streaming.arrivals import daily_counts
-from .text_queries import _TOK, _bows, h64, table
+from ..operators.topics import fit_topics, node_name, plaintext, topic_network
+from ..streaming.arrivals import daily_counts, windowed_counts
+from .text_queries import _EDGES, _TOK, _bows, bipartite_edges, h64, table
 
 PARTS = 8
 PROBES = 7
 CANDIDATES = 1000
 CUT = "1997-01-01"
+KEY = "l:noun:tion"
 
 
 def _customer_parts(spark, d):
@@ -53,7 +55,7 @@ def customer_part_degree(spark, d):
 
 def merge_duplicate_keys(spark, d):
     one = E.merge_duplicate_keys(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
-    return one.select("l_orderkey", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("parts"))
+    return one.select("l_orderkey", "chunk", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("parts"))
 
 
 def explode_adjacency(spark, d):
@@ -117,7 +119,7 @@ def hop_distance(spark, d):
 
 
 def shortest_path(spark, d):
-    found = paths.shortest_path(_graph(spark, d), "e:c1", "e:c2", 10) or []
+    found = paths.shortest_path(_graph(spark, d), "e:c1", "e:c2") or []
     return spark.createDataFrame([(i, n) for i, n in enumerate(found)], "step int, node string")
 
 
@@ -126,24 +128,63 @@ def nearby_nodes(spark, d):
     return paths.nearby_nodes(_graph(spark, d), "e:c1", "l", 100).select("node", F.col("d").cast("long").alias("d"))
 
 
+def weighted_distance(spark, d):
+    """By paths of at most three edges."""
+    found = paths.weighted_distances(paths.edge_weights(_graph(spark, d)), "e:c1", rounds=3)
+    return found.select("node", F.round("d", 6).alias("d"))
+
+
+def nearby_by_weight(spark, d):
+    """The 50 customers nearest to one, by paths of at most two edges: a top-k search."""
+    return paths.nearby_by_weight(paths.edge_weights(_graph(spark, d)), "e:c1", "e", 50, rounds=2).select("node", F.round("d", 6).alias("d"))
+
+
+def path_sentences(spark, d):
+    """The union of what is near the nodes of a path."""
+    return paths.near_path(_graph(spark, d), ["e:c1", "e:c2"], "l", 30, hops=1)
+
+
 def path_weights(spark, d):
     return paths.edge_weights(_graph(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 def disjoint_neighbourhoods(spark, d):
-    one = ranking.disjoint_neighbourhoods(_pairs(spark, d), E.adjacency(_graph(spark, d)))
-    return one.select("subj", "obj", F.size("only_subj").cast("long").alias("n_subj"), F.size("only_obj").cast("long").alias("n_obj"), F.md5(F.array_join(F.sort_array("only_subj"), ",").cast("binary")).alias("subj_md5"))
+    return ranking.disjoint_neighbourhoods(_pairs(spark, d), _graph(spark, d), None)
+
+
+def sampled_neighbourhoods(spark, d):
+    one = ranking.sampled_neighbourhoods(_pairs(spark, d), _graph(spark, d), 15, "s", None)
+    return one.select("subj", "obj", "side", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+def predicate_neighbourhoods(spark, d):
+    """Of coded terms in the graph of predicates: each nation with the next one, which the graph may lack."""
+    edges = predicate_edges(spark, d)
+    nation = table(spark, d, "nation")
+    pairs = nation.select(F.concat(F.lit("m:n"), "n_nationkey").alias("subj"), F.concat(F.lit("m:n"), F.col("n_nationkey") + 1).alias("obj"))
+    return ranking.disjoint_neighbourhoods(pairs, edges)
+
+
+def missing_pairs(spark, d):
+    """Pairs that the vocabulary filter drops, by label: whether the customer's number is even."""
+    pairs = _pairs(spark, d).withColumn("label", (F.regexp_replace("subj", "^e:c", "").cast("long") % 2).cast("int"))
+    return ranking.dropped_by_label(pairs, _graph(spark, d).select(F.col("src").alias("node")).distinct())
 
 
 def pair_jaccard(spark, d):
-    adj = E.adjacency(_graph(spark, d))
-    one = _pairs(spark, d).join(adj.select(F.col("src").alias("subj"), F.col("neighbors").alias("a")), "subj").join(adj.select(F.col("src").alias("obj"), F.col("neighbors").alias("b")), "obj")
-    return one.select("subj", "obj", F.round(set_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    one = ranking.overlap_score(ranking.disjoint_neighbourhoods(_pairs(spark, d), _graph(spark, d), None))
+    return one.filter("n_any > 0").select("subj", "obj", F.round("score", 6).alias("jaccard"))
+
+
+def pair_features(spark, d):
+    """What the scorer looks at; the terms' vectors are those of the embeddings with their numbers."""
+    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("e:c"), "vec_id").alias("name"), "embedding")
+    return ranking.pair_features(_pairs(spark, d), _graph(spark, d), vectors, None).select("subj", "obj", *(F.round(c, 6).alias(c) for c in ranking.FEATURES))
 
 
 def predict_pairs(spark, d):
     pairs = _pairs(spark, d).withColumn("ord", F.regexp_replace("subj", "^e:c", "").cast("long"))
-    return ranking.predict_pairs(pairs, E.adjacency(_graph(spark, d))).select("ord", "subj", "obj", F.round("score", 6).alias("score"))
+    return ranking.predict_pairs(pairs, _graph(spark, d)).select("ord", "subj", "obj", F.round("score", 6).alias("score"))
 
 
 def weighted_jaccard_nations(spark, d):
@@ -250,7 +291,7 @@ def knn_edges(spark, d):
     return V.knn_edges(knn_exact(spark, d))
 
 
-def _index(spark, d, parts=8):
+def _index(spark, d, parts):
     x = table(spark, d, "embeddings").select("vec_id", "embedding")
     sample = np.array([r[0] for r in x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000).select("embedding").collect()], np.float64)  # training only; every row is indexed
     return V.IvfPq.train(sample, 8, parts, 16), x
@@ -263,8 +304,19 @@ def ivf_assign(spark, d):
     return x.select("vec_id", V.nearest(F.col("embedding"), centers).cast("long").alias("cell"))
 
 
+def knn_names(spark, d):
+    """Neighbours by hash, as names."""
+    found = knn_exact(spark, d)
+    key = lambda c: F.concat(F.lit("s:"), F.col(c).cast("string"), F.lit(":1:0"))
+    names = table(spark, d, "embeddings").select(hash64(key("vec_id")).alias("hash"), key("vec_id").alias("name"))
+    return V.named(found.select(hash64(key("src")).alias("src"), hash64(key("dst")).alias("dst")), names)
+
+
 def pq_encode(spark, d):
-    index, x = _index(spark, d)
+    """Codes by fixed books, the parts of the first vector of each label, so that SQL can follow."""
+    x = table(spark, d, "embeddings")
+    centers = np.array([r[1] for r in sorted(x.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).collect())], np.float64)
+    index = V.IvfPq(centers, [centers[:, i : i + 8] for i in range(0, centers.shape[1], 8)])
     return index.encode(x, "vec_id", "embedding").select("vec_id", F.col("cell").cast("long").alias("cell"), F.array_join("codes", ",").alias("codes"))
 
 
@@ -281,6 +333,11 @@ def negative_pairs(spark, d):
     return ranking.negative_pairs(positives, terms, 2)
 
 
+def scrambled_neighbourhoods(spark, d):
+    keyed = predicates.with_keys(predicates.split_terms(_predications(spark, d))).select("key").distinct()
+    return ranking.scrambled_neighbourhoods(_pairs(spark, d), keyed.withColumnRenamed("key", "predicate"), 2, 3).select("subj", "obj", "draw", "k", "predicate")
+
+
 def pair_vocab_filter(spark, d):
     nodes = _graph(spark, d).select(F.col("src").alias("node")).distinct()
     return ranking.in_vocabulary(_pairs(spark, d), nodes)
@@ -324,8 +381,42 @@ def percent_positive(spark, d):
 
 
 def masked_accuracy(spark, d):
-    rows = table(spark, d, "labels").select(F.col("quality").alias("predicted"), F.col("toxic").alias("expected"))
-    return ranking.masked_accuracy(rows, "predicted", "expected").select(F.round("accuracy", 6).alias("accuracy"))
+    found = ranking.masked_accuracy(table(spark, d, "labels"), {"toxic_head": ("quality", "toxic"), "quality_head": ("toxic", "quality")})
+    return found.select(F.round("toxic_head", 6).alias("toxic_head"), F.round("quality_head", 6).alias("quality_head"))
+
+
+def batch_means(spark, d):
+    rows = table(spark, d, "labels").withColumn("batch", F.col("doc_id") % 10)
+    return ranking.batch_means(rows, "batch", "quality", "toxic").select(F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"))
+
+
+def relation_list(spark, d):
+    graph = _graph(spark, d)
+    return E.relations(E.edge_buckets(graph, E.entity_partitions(graph, PARTS)))
+
+
+def edge2vec(spark, d):
+    """Customers and parts with the line's status as the relation, numbered by first appearance along orders and lines."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    one = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = one.select(F.concat(F.lit("e:c"), "o_custkey").alias("src"), F.concat(F.lit("l:p"), "l_partkey").alias("dst"), F.col("l_linestatus").alias("relation"), "l_orderkey", "l_linenumber", "l_partkey")
+    return E.edge2vec_rows(edges, ["l_orderkey", "l_linenumber", "l_partkey", "relation"])[0]
+
+
+def predicate_set(spark, d):
+    return E.predicate_nodes(predicate_edges(spark, d))
+
+
+def kv_get_many(spark, d):
+    """Rows of the keys that exist among those asked for."""
+    wanted = table(spark, d, "lineitem").select((F.col("l_orderkey") * 3).cast("string").alias("key"))
+    return kv.get_many(_kv(spark, d), wanted)
+
+
+def predication_dates(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    return predicates.before(rows, CUT).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def min_year(spark, d):
@@ -339,6 +430,12 @@ def event_daily_increment(spark, d):
     return daily_counts(table(spark, d, "events"))
 
 
+def event_windows(spark, d):
+    """The stream's windowed counts, over all events at once."""
+    found = windowed_counts(table(spark, d, "events"))
+    return found.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def top_customers(spark, d):
     """The three largest orders of each customer."""
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -351,20 +448,28 @@ def lda_topics(spark, d):
 
 
 def topic_links(spark, d):
-    _, terms = fit_topics(_bows(spark, d), "bow", k=5, rounds=5)
-    return topic_network(terms, "the", "and").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Between fixed topics: the ten most frequent words of each language, by their share of these."""
+    counts = table(spark, d, "documents").select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    top = top_per_group(counts, ["lang"], [F.desc("n"), F.col("word")], 10)
+    total = top.groupBy("lang").agg(F.sum("n").alias("total"))
+    topic = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(["de", "en", "es", "fr"]) for x in (k, i))), F.col("lang"))
+    terms = top.join(total, "lang").select(topic.alias("topic"), "word", (F.col("n") / F.col("total")).alias("weight"))
+    found = topic_network(terms, "the", "und")
+    return found.select(node_name(F.col("a"), "the", "und").alias("a"), node_name(F.col("b"), "the", "und").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
 def key_plaintext(spark, d):
-    """The most frequent word of the 100 first documents' bags: a search's report."""
-    return plaintext(_bows(spark, d), "bow", "doc_id")
+    """The most frequent word of the 100 sentences nearest to a term: a search's report."""
+    bags = _bows(spark, d).withColumn("id", K.sentence_key(F.col("doc_id"), F.lit(1), F.lit(0)))
+    return plaintext(bags, "id", "bow", bipartite_edges(spark, d), KEY)
 
 
 QUERIES = {f.__name__: f for f in (
     customer_part_degree, merge_duplicate_keys, explode_adjacency, kv_point_get, kv_contains, kv_where, kv_keys, kv_len, kv_json, entity_partitions, part_counts, edge_buckets, edge_list_ids, numbered_edges, hop_distance, shortest_path,
     nearby_nodes, path_weights, disjoint_neighbourhoods, pair_jaccard, predict_pairs, multi_term_split, predicate_keys, predicate_edges, earliest_occurrence, doc_cut_date, clean_dates, earliest_dates, four_way_join, atom_filter, preferred_text,
     code_texts, codes_by_regex, closest_text, knn_exact, knn_edges, ivf_assign, pq_encode, ivf_search, negative_pairs, pair_vocab_filter, roc_auc, pr_auc, rank_by_score, reciprocal_rank, precision_at_k, ap_at_k, class_balance, percent_positive,
-    masked_accuracy, min_year, event_daily_increment, top_customers, lda_topics, topic_links, key_plaintext,
+    masked_accuracy, min_year, event_daily_increment, top_customers, lda_topics, topic_links, key_plaintext, weighted_distance, nearby_by_weight, path_sentences, sampled_neighbourhoods, predicate_neighbourhoods, missing_pairs,
+    event_windows, pair_features, knn_names, scrambled_neighbourhoods, batch_means, relation_list, edge2vec, predicate_set, kv_get_many, predication_dates,
 )} | {"weighted_jaccard": weighted_jaccard_nations}
 
 _HOPS = f"""WITH RECURSIVE {_G}, r(node, d) AS (SELECT 'e:c1', 0 UNION SELECT dst, d + 1 FROM r JOIN g ON src = node WHERE d < 6), h AS (SELECT node, CAST(min(d) AS BIGINT) AS d FROM r GROUP BY node)"""
@@ -381,11 +486,53 @@ def _buckets(column: str) -> str:
     return ", ".join(f"CAST(sum(CASE WHEN {column} BETWEEN {lo} AND {lo + 1999.99} THEN 1 ELSE 0 END) AS DOUBLE)" for lo in range(0, 10_000, 2000))
 
 
+_W = f"{_G}, dg AS (SELECT src AS k, count(*) AS n FROM g GROUP BY src), w AS (SELECT src, dst, log2(1.0::DOUBLE + least(a.n, b.n)) AS weight FROM g JOIN dg a ON src = a.k JOIN dg b ON dst = b.k)"
+_RELAX = "d{1} AS (SELECT node, min(d) AS d FROM (SELECT node, d FROM d{0} UNION ALL SELECT dst, round(d + weight, 9) FROM d{0} JOIN w ON src = node) GROUP BY node)"
+_NEAR = "nb AS (SELECT subj, obj, n, max(s) AS s, max(o) AS o FROM (SELECT subj, obj, dst AS n, 1 AS s, 0 AS o FROM pr JOIN g ON src = subj UNION ALL SELECT subj, obj, dst, 0, 1 FROM pr JOIN g ON src = obj) GROUP BY ALL), known AS (SELECT DISTINCT src FROM g), own AS (SELECT DISTINCT subj, obj FROM pr WHERE subj IN (SELECT src FROM known) AND obj IN (SELECT src FROM known))"
 _TEXT_KEY = "CASE WHEN contains(t, '_') THEN 'n:' || t ELSE 'l:noun:' || t END"
 
 ORACLES = {
+    "topic_links": r"""WITH c AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS k FROM c QUALIFY k <= 10),
+e AS (SELECT 'Topic ' || list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS a, w, n::DOUBLE / sum(n) OVER (PARTITION BY lang) AS x FROM (SELECT lang, w, n FROM t) UNION ALL SELECT 'Source: the', 'the', 1 UNION ALL SELECT 'Target: und', 'und', 1),
+s AS (SELECT a, sum(x) AS p FROM e GROUP BY a), m AS (SELECT u.a, v.a AS b, sum(least(u.x, v.x)) AS low FROM e u JOIN e v ON u.w = v.w AND u.a <> v.a GROUP BY ALL)
+SELECT m.a, m.b, round(low / (f.p + g.p - low), 6) AS similarity FROM m JOIN s f ON f.a = m.a JOIN s g ON g.a = m.b""",
+    "predication_dates": f"SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(count(*) AS BIGINT) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '{CUT}' GROUP BY 1",
+    "kv_get_many": "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS value FROM orders WHERE o_orderkey IN (SELECT l_orderkey * 3 FROM lineitem)",
+    "predicate_set": f"WITH {_PRED} SELECT DISTINCT {_PKEY} AS name FROM pd",
+    "edge2vec": """WITH l AS (SELECT 'e:c' || o_custkey AS s, 'l:p' || l_partkey AS t, l_linestatus AS r, l_orderkey AS k, l_linenumber AS n, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+nd AS (SELECT name, row_number() OVER (ORDER BY min((k, n, p, r, e)), name) AS id FROM (SELECT s AS name, k, n, p, r, 0 AS e FROM l UNION ALL SELECT t, k, n, p, r, 1 FROM l) GROUP BY name), rl AS (SELECT r, row_number() OVER (ORDER BY min((k, n, p)), r) AS id FROM l GROUP BY r)
+SELECT CAST(a.id AS BIGINT) AS src_id, CAST(b.id AS BIGINT) AS dst_id, CAST(rl.id AS BIGINT) AS rel_id, CAST(row_number() OVER (ORDER BY k, n, p, r) AS BIGINT) AS edge_id FROM l JOIN nd a ON s = a.name JOIN nd b ON t = b.name JOIN rl USING (r)""",
+    "relation_list": "SELECT rel, CAST(id AS BIGINT) AS rel_id FROM (SELECT unnest(['el', 'le']) AS rel, unnest([0, 1]) AS id)",
+    "batch_means": "SELECT round(avg(q), 6) AS quality, round(avg(t), 6) AS toxic FROM (SELECT avg(quality) AS q, avg(toxic) AS t FROM labels GROUP BY doc_id % 10)",
+    "scrambled_neighbourhoods": f"""WITH {_PRED}, {_PAIRS}, t AS (SELECT predicate, CAST(row_number() OVER (ORDER BY predicate) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT {_PKEY} AS predicate FROM pd)), n AS (SELECT count(*) AS n FROM t),
+dr AS (SELECT subj, obj, draw, unnest(range(1, 7)) AS k FROM (SELECT subj, obj, unnest([1, 2]) AS draw FROM pr)), pk AS (SELECT *, {h64("subj || '|' || obj || '|' || draw || '|' || k || '|scramble'")} % (SELECT n FROM n) AS i FROM dr)
+SELECT subj, obj, draw, CAST(k AS INT) AS k, predicate FROM pk JOIN t ON i = id""",
+    "pq_encode": f"""WITH c AS (SELECT label, CAST(min_by(embedding, vec_id) AS DOUBLE[]) AS e, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS cell FROM embeddings GROUP BY label),
+x AS (SELECT vec_id, cell, round({_DIST.format(a='embedding', b='e')}, 9) AS dist FROM embeddings CROSS JOIN c), cells AS (SELECT vec_id, cell FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cell) = 1),
+p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, unnest(range(8)) AS part FROM embeddings), y AS (SELECT vec_id, part, cell, round({_DIST.format(a='p.e[8 * part + 1:8 * part + 8]', b='c.e[8 * part + 1:8 * part + 8]')}, 9) AS dist FROM p CROSS JOIN c),
+codes AS (SELECT vec_id, string_agg(cell, ',' ORDER BY part) AS codes FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY dist, cell) = 1) GROUP BY vec_id)
+SELECT vec_id, cell, codes FROM cells JOIN codes USING (vec_id)""",
+    "knn_names": f"WITH {_KNN} SELECT 's:' || src || ':1:0' AS src, 's:' || dst || ':1:0' AS dst FROM kr WHERE rank <= 10",
+    "pair_features": f"""WITH {_G}, {_PAIRS}, {_NEAR}, j AS (SELECT subj, obj, count(*) FILTER (s = o) AS b, count(*) FILTER (s > o) AS x, count(*) FILTER (o > s) AS y, count(*) AS n FROM own JOIN nb USING (subj, obj) GROUP BY subj, obj),
+v AS (SELECT 'e:c' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT subj, obj, round(b::DOUBLE / n, 6) AS overlap, round(ln(1.0::DOUBLE + b), 6) AS log_both, round(ln(1.0::DOUBLE + x), 6) AS log_subj, round(ln(1.0::DOUBLE + y), 6) AS log_obj, round(coalesce(list_cosine_similarity(p.e, q.e), 0), 6) AS cosine
+FROM j LEFT JOIN v p ON p.name = subj LEFT JOIN v q ON q.name = obj""",
+    "missing_pairs": f"WITH {_CP}, c AS (SELECT DISTINCT c FROM cp), {_PAIRS} SELECT CAST(CAST(substr(subj, 4) AS BIGINT) % 2 AS INT) AS label, CAST(count(*) AS BIGINT) AS n FROM pr WHERE subj NOT IN (SELECT c FROM c) OR obj NOT IN (SELECT c FROM c) GROUP BY 1",
+    "predicate_neighbourhoods": f"""WITH {_PRED}, e AS (SELECT DISTINCT {_PKEY} AS p, lower('m:' || obj_ids) AS t FROM pd UNION SELECT {_PKEY}, lower('m:' || subj_ids) FROM pd), pr AS (SELECT 'm:n' || n_nationkey AS subj, 'm:n' || (n_nationkey + 1) AS obj FROM nation),
+own AS (SELECT subj, obj FROM pr WHERE subj IN (SELECT t FROM e) AND obj IN (SELECT t FROM e)),
+nb AS (SELECT subj, obj, p, max(s) AS s, max(o) AS o FROM (SELECT subj, obj, p, 1 AS s, 0 AS o FROM own JOIN e ON t = subj UNION ALL SELECT subj, obj, p, 0, 1 FROM own JOIN e ON t = obj) GROUP BY ALL)
+SELECT subj, obj, CAST(count(*) FILTER (s > o) AS BIGINT) AS n_subj, CAST(count(*) FILTER (o > s) AS BIGINT) AS n_obj, CAST(count(*) FILTER (s = o) AS BIGINT) AS n_both, CAST(count(*) AS BIGINT) AS n_any FROM nb GROUP BY subj, obj""",
+    "sampled_neighbourhoods": f"WITH {_G}, {_PAIRS}, {_NEAR}, x AS (SELECT subj, obj, CASE WHEN s > o THEN 'subj' ELSE 'obj' END AS side, n, {h64("n || 's'")} AS h FROM nb WHERE s <> o), k AS (SELECT *, row_number() OVER (PARTITION BY subj, obj, side ORDER BY h, n) AS k FROM x) SELECT subj, obj, side, string_agg(n, ',' ORDER BY k) AS neighbours FROM k WHERE k <= 15 GROUP BY subj, obj, side",
+    "path_sentences": f"WITH {_CP}, r AS (SELECT c, p, row_number() OVER (PARTITION BY c ORDER BY p) AS k FROM cp WHERE c IN ('e:c1', 'e:c2')) SELECT DISTINCT p AS node FROM r WHERE k <= 30",
+    "nearby_by_weight": f"WITH {_W}, d0 AS (SELECT 'e:c1' AS node, 0.0::DOUBLE AS d), {_RELAX.format(0, 1)}, {_RELAX.format(1, 2)} SELECT node, round(d, 6) AS d FROM (SELECT node, d FROM d2 WHERE substr(node, 1, 1) = 'e' AND node <> 'e:c1' ORDER BY d, node LIMIT 50)",
+    "weighted_distance": f"WITH {_W}, d0 AS (SELECT 'e:c1' AS node, 0.0::DOUBLE AS d), {_RELAX.format(0, 1)}, {_RELAX.format(1, 2)}, {_RELAX.format(2, 3)} SELECT node, round(d, 6) AS d FROM d3",
+    "shortest_path": f"""WITH {_CP}, p1 AS (SELECT p FROM cp WHERE c = 'e:c1'), p2 AS (SELECT p FROM cp WHERE c = 'e:c2'), com AS (SELECT min(p) AS p FROM p1 WHERE p IN (SELECT p FROM p2)),
+mid AS (SELECT min(c) AS m FROM cp WHERE p IN (SELECT p FROM p1) AND c NOT IN ('e:c1', 'e:c2') AND c IN (SELECT c FROM cp WHERE p IN (SELECT p FROM p2))),
+a AS (SELECT min(p) AS p FROM cp WHERE c = (SELECT m FROM mid) AND p IN (SELECT p FROM p1)), b AS (SELECT min(p) AS p FROM cp WHERE c = (SELECT m FROM mid) AND p IN (SELECT p FROM p2)),
+w AS (SELECT CASE WHEN (SELECT p FROM com) IS NOT NULL THEN ['e:c1', (SELECT p FROM com), 'e:c2'] ELSE ['e:c1', (SELECT p FROM a), (SELECT m FROM mid), (SELECT p FROM b), 'e:c2'] END AS n)
+SELECT CAST(unnest(range(len(n))) AS INT) AS step, unnest(n) AS node FROM w""",
     "customer_part_degree": f"WITH {_G} SELECT src, CAST(count(*) AS BIGINT) AS degree FROM g GROUP BY src",
-    "merge_duplicate_keys": "SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_partkey) AS parts FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_orderkey",
+    "merge_duplicate_keys": "SELECT l_orderkey, 0::BIGINT AS chunk, string_agg(l_partkey, ',' ORDER BY l_partkey) AS parts FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_orderkey",
     "explode_adjacency": f"WITH {_G} SELECT src, dst FROM g",
     "kv_point_get": "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS value FROM orders WHERE o_orderkey = 7",
     "kv_contains": "SELECT key, key IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders) AS found FROM (SELECT DISTINCT CAST(l_orderkey * 2 AS VARCHAR) AS key FROM lineitem)",
@@ -401,9 +548,9 @@ ORACLES = {
     "hop_distance": f"{_HOPS} SELECT node, d FROM h",
     "nearby_nodes": f"{_HOPS} SELECT node, d FROM h WHERE substr(node, 1, 1) = 'l' ORDER BY d, node LIMIT 100",
     "path_weights": f"WITH {_G}, n AS (SELECT src AS k, count(*) AS n FROM g GROUP BY src) SELECT src, dst, round(log2(1.0::DOUBLE + least(a.n, b.n)), 6) AS weight FROM g JOIN n a ON src = a.k JOIN n b ON dst = b.k",
-    "disjoint_neighbourhoods": f"WITH {_G}, {_ADJ}, {_PAIRS}, j AS (SELECT subj, obj, list_sort(list_filter(a.n, lambda x: NOT list_contains(b.n, x))) AS s, list_filter(b.n, lambda x: NOT list_contains(a.n, x)) AS o FROM pr JOIN adj a ON subj = a.src JOIN adj b ON obj = b.src) SELECT subj, obj, CAST(len(s) AS BIGINT) AS n_subj, CAST(len(o) AS BIGINT) AS n_obj, md5(array_to_string(s, ',')) AS subj_md5 FROM j",
-    "pair_jaccard": f"WITH {_G}, {_ADJ}, {_PAIRS} SELECT subj, obj, round(len(list_intersect(a.n, b.n))::DOUBLE / len(list_distinct(list_concat(a.n, b.n))), 6) AS jaccard FROM pr JOIN adj a ON subj = a.src JOIN adj b ON obj = b.src",
-    "predict_pairs": f"WITH {_G}, {_ADJ}, {_PAIRS} SELECT CAST(substr(subj, 4) AS BIGINT) AS ord, subj, obj, round(coalesce(len(list_intersect(a.n, b.n))::DOUBLE / len(list_distinct(list_concat(a.n, b.n))), 0), 6) AS score FROM pr LEFT JOIN adj a ON subj = a.src LEFT JOIN adj b ON obj = b.src",
+    "disjoint_neighbourhoods": f"WITH {_G}, {_PAIRS}, {_NEAR} SELECT subj, obj, CAST(count(*) FILTER (s > o) AS BIGINT) AS n_subj, CAST(count(*) FILTER (o > s) AS BIGINT) AS n_obj, CAST(count(*) FILTER (s = o) AS BIGINT) AS n_both, CAST(count(*) AS BIGINT) AS n_any FROM own JOIN nb USING (subj, obj) GROUP BY subj, obj",
+    "pair_jaccard": f"WITH {_G}, {_PAIRS}, {_NEAR} SELECT subj, obj, round(count(*) FILTER (s = o)::DOUBLE / count(*), 6) AS jaccard FROM own JOIN nb USING (subj, obj) GROUP BY subj, obj",
+    "predict_pairs": f"WITH {_G}, {_PAIRS}, {_NEAR}, j AS (SELECT subj, obj, count(*) FILTER (s = o)::DOUBLE / count(*) AS score FROM own JOIN nb USING (subj, obj) GROUP BY subj, obj) SELECT CAST(substr(subj, 4) AS BIGINT) AS ord, subj, obj, round(coalesce(score, 0), 6) AS score FROM pr LEFT JOIN j USING (subj, obj)",
     "weighted_jaccard": f"WITH a AS (SELECT c_nationkey AS k, {_BAL.format(_buckets('c_acctbal'))} AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, {_BAL.format(_buckets('s_acctbal'))} AS v FROM supplier GROUP BY 1), m AS (SELECT a.k, list_sum(list_transform(list_zip(a.v, b.v), lambda z: least(z[1], z[2]))) AS lo, list_sum(list_transform(list_zip(a.v, b.v), lambda z: greatest(z[1], z[2]))) AS hi FROM a JOIN b ON a.k = b.k) SELECT k AS nation, round(CASE WHEN hi = 0 THEN NULL ELSE lo / hi END, 6) AS similarity FROM m",
     "multi_term_split": f"WITH {_PRED} SELECT pmid, subj_ids, subj_names, obj_ids, obj_names FROM pd",
     "predicate_keys": f"WITH {_PRED} SELECT {_PKEY} AS key, true AS valid, lower('m:' || subj_ids) AS subj, lower('m:' || obj_ids) AS obj, lower('m:' || subj_ids) AS term FROM pd",
@@ -422,7 +569,7 @@ ORACLES = {
     "knn_edges": f"WITH {_KNN}, k AS (SELECT 's:' || src AS a, 's:' || dst AS b FROM kr WHERE rank <= 10) SELECT a AS src, b AS dst FROM k UNION SELECT b, a FROM k",
     "ivf_assign": f"WITH c AS (SELECT label, min_by(embedding, vec_id) AS e, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS cell FROM embeddings GROUP BY label), x AS (SELECT vec_id, cell, round({_DIST.format(a='embedding', b='e')}, 9) AS dist FROM embeddings CROSS JOIN c) SELECT vec_id, cell FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cell) = 1",
     "negative_pairs": f"WITH {_CP}, t AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS id FROM (SELECT c AS term FROM cp UNION SELECT p FROM cp)), n AS (SELECT count(*) AS n FROM t), dr AS (SELECT c AS subj, p AS obj, unnest([1, 2]) AS draw FROM cp), pk AS (SELECT subj, obj, draw, {h64("subj || '|' || obj || '|' || draw || '|swaps'")} % (SELECT n FROM n) AS i, {h64("subj || '|' || obj || '|' || draw || '|swapo'")} % (SELECT n FROM n) AS j FROM dr) SELECT subj, obj, draw, a.term AS neg_subj, b.term AS neg_obj FROM pk JOIN t a ON i = a.id JOIN t b ON j = b.id WHERE (a.term, b.term) NOT IN (SELECT (c, p) FROM cp)",
-    "pair_vocab_filter": f"WITH {_G}, {_PAIRS} SELECT subj, obj FROM pr WHERE subj IN (SELECT src FROM g) AND obj IN (SELECT src FROM g)",
+    "pair_vocab_filter": f"WITH {_CP}, c AS MATERIALIZED (SELECT DISTINCT c FROM cp), {_PAIRS} SELECT subj, obj FROM pr WHERE subj IN (SELECT c FROM c) AND obj IN (SELECT c FROM c)",
     "roc_auc": f"WITH {_SC}, s AS (SELECT score, sum(label) AS p, count(*) - sum(label) AS q FROM sc GROUP BY score), r AS (SELECT *, sum(q) OVER (ORDER BY score) - q AS below FROM s) SELECT round(sum(p * (below + q / 2.0))::DOUBLE / (sum(p) * sum(q)), 6) AS auc FROM r",
     "pr_auc": f"WITH {_SC}, s AS (SELECT score, sum(label) AS p, count(*) AS n FROM sc GROUP BY score), r AS (SELECT p, sum(p) OVER w AS h, sum(n) OVER w AS t FROM s WINDOW w AS (ORDER BY score DESC)) SELECT round(sum(p * h::DOUBLE / t) / sum(p), 6) AS ap FROM r",
     "rank_by_score": f"WITH {_SC} SELECT doc_id, CAST(rank AS BIGINT) AS rank FROM rk",
@@ -431,9 +578,10 @@ ORACLES = {
     "ap_at_k": f"WITH {_SC}, t AS (SELECT label, rank, sum(label) OVER (ORDER BY rank) AS h FROM rk WHERE rank <= 100) SELECT round(sum(label * h::DOUBLE / rank) / sum(label), 6) AS ap FROM t",
     "class_balance": f"WITH {_SC}, m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM sc GROUP BY label)), r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS k FROM sc) SELECT doc_id, CAST(label AS BIGINT) AS label FROM r WHERE k <= (SELECT m FROM m)",
     "percent_positive": f"WITH {_SC} SELECT source, CAST(count(*) AS BIGINT) AS n, round(avg(label), 6) AS share FROM sc GROUP BY source",
-    "masked_accuracy": "SELECT round(avg(CAST(quality = toxic AS INT)) FILTER (WHERE toxic <> 0), 6) AS accuracy FROM labels",
+    "masked_accuracy": "SELECT round(avg(CAST(quality = toxic AS INT)) FILTER (WHERE toxic <> 0), 6) AS toxic_head, round(avg(CAST(quality = toxic AS INT)) FILTER (WHERE quality <> 0), 6) AS quality_head FROM labels",
     "min_year": "SELECT o_orderpriority, CAST(min(year(o_orderdate)) AS BIGINT) AS first_year FROM orders GROUP BY 1",
+    "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_daily_increment": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "key_plaintext": f"WITH {_TOK}, f AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) SELECT w AS word, CAST(count(*) AS BIGINT) AS n FROM tok WHERE good AND doc_id IN (SELECT doc_id FROM f) GROUP BY w ORDER BY count(*) DESC, min((doc_id, pos)) LIMIT 1",
+    "key_plaintext": f"WITH {_TOK}, {_EDGES}, f AS (SELECT dst AS node, row_number() OVER (ORDER BY dst) AS k FROM edges WHERE src = '{KEY}' ORDER BY dst LIMIT 100) SELECT w AS word, CAST(count(*) AS BIGINT) AS n FROM tok JOIN f ON node = 's:' || doc_id || ':1:0' WHERE good GROUP BY w ORDER BY count(*) DESC, min((k, pos)) LIMIT 1",
     "top_customers": "SELECT o_custkey, o_orderkey, CAST(k AS BIGINT) AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3",
 }

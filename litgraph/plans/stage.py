@@ -54,13 +54,30 @@ class StageStore:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.stage(n, lambda: None) for n in self.names(suffix)])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="litgraph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def scratch(df: DataFrame) -> DataFrame:
-    """df, read back from a table in the cluster's shared folder, so that later reads see the same rows and partitions."""
+    """df, read back from a table in the shared folder, so that later reads see the same rows and partitions. `drop` deletes it."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="litgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path_ = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of `scratch` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.path_)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

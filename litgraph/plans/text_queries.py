@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.hashing import hash32, hash64, sample_by_hash
-from ..functions.text import STOPWORDS, interesting, is_stop, mask_phrases, plain_tokens, tokens, words
+from ..functions.text import STOPWORDS, all_text, entity_text, interesting, is_interesting, is_stop, ngrams, plain_tokens, tokens, words
 from ..operators import edges as E
 from ..operators import generator as G
 from ..operators import ngrams as N
+from ..operators import hooks
 from ..operators import sentences as S
-from ..operators.ordering import batches, global_row_number
+from ..operators.ordering import batches, first_appearance_ids, global_row_number
 
 LATE = 20
 
@@ -77,25 +78,23 @@ def interesting_tokens(spark, d):
     return _token_rows(spark, d).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(good).cast("long").alias("n_interesting"), F.size(F.filter("tokens", lambda t: t["stop"])).cast("long").alias("n_stop"))
 
 
+def _gram_rows(spark, d):
+    return N.ngram_rows(_docs(spark, d).select("source", words(F.col("text")).alias("w")), F.col("w"), 3, "source")
+
+
 def ngram_mine(spark, d):
-    return N.mine_ngrams(_token_rows(spark, d), N.candidate_ngrams(F.col("tokens"), 3), LATE)
+    return N.mine_ngrams(_gram_rows(spark, d), LATE)
 
 
 def ngram_partial_support(spark, d):
-    return N.mine_ngrams(_token_rows(spark, d), N.candidate_ngrams(F.col("tokens"), 3), LATE, "source", 5)
+    return N.mine_ngrams(_gram_rows(spark, d), LATE, "source", 5)
 
 
 def phrase_annotate(spark, d):
-    """Phrases of two or three words, longest first, with all mined ones that reach the support. Each document's own n-grams are joined
-    with these, so no task holds them all."""
-    rows = _token_rows(spark, d)
-    model = N.mine_ngrams(rows, N.candidate_ngrams(F.col("tokens"), 3), LATE).select("ngram")
-    lemmas = rows.select("doc_id", F.transform("tokens", lambda t: t["lemma"]).alias("lemmas"))
-    candidates = lemmas.select("doc_id", F.explode(N.plain_ngrams(F.col("lemmas"), 2, 3)).alias("ngram")).distinct()
-    own = candidates.join(model, "ngram").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("ngram", F.lit(True)))).alias("phrases")).withColumnRenamed("doc_id", "of")
-    matched = lemmas.join(own, F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumn("phrases", F.coalesce("phrases", F.create_map().cast("map<string,boolean>")))
-    found = matched.select("doc_id", mask_phrases(F.col("lemmas"), F.col("phrases"), 3).alias("found"))
-    return found.select("doc_id", F.size("found").cast("long").alias("n_phrases"), F.array_join("found", ",").alias("phrases"))
+    """Phrases of two or three words, longest first, with all mined ones that reach the support."""
+    lemmas = _docs(spark, d).select("doc_id", words(F.col("text")).alias("lemmas"))
+    found = N.annotate(lemmas, "doc_id", "lemmas", N.mine_ngrams(_gram_rows(spark, d), LATE), 3)
+    return found.select("doc_id", F.size("ngrams").cast("long").alias("n_phrases"), F.array_join("ngrams", ",").alias("phrases"))
 
 
 def bow(spark, d):
@@ -116,25 +115,27 @@ def prune_low_support(spark, d):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("word").alias("n_words"))
 
 
-def _term_edges(spark, d):
-    lemmas = F.array_distinct(F.transform(F.filter("tokens", interesting), lambda t: K.lemma_key(F.lit("noun"), t["lemma"])))
-    rows = _token_rows(spark, d).select(K.sentence_key(F.col("doc_id"), F.lit(1), F.lit(0)).alias("id"), lemmas.alias("near"))
-    return E.bipartite_edges(rows, F.col("id"), F.col("near"))
+def _terms(rows, *kept):
+    """Distinct interesting words of rows with a column w of all words."""
+    return rows.select(*kept, F.explode(F.array_distinct("w")).alias("word")).filter(is_interesting(F.col("word"))).distinct()
+
+
+def _term_pairs(spark, d):
+    one = _terms(_docs(spark, d).select("doc_id", words(F.col("text")).alias("w")), "doc_id")
+    return one.select(K.sentence_key(F.col("doc_id"), F.lit(1), F.lit(0)).alias("src"), K.lemma_key(F.lit("noun"), F.col("word")).alias("dst"))
 
 
 def bipartite_edges(spark, d):
-    return _term_edges(spark, d)
+    return E.both_directions(_term_pairs(spark, d))
 
 
 def node_degree(spark, d):
-    return E.degrees(_term_edges(spark, d))
+    return E.degrees(bipartite_edges(spark, d))
 
 
 def edge_dedupe(spark, d):
-    one = _sentences(spark, d).select("id", tokens(F.col("sent_text")).alias("tokens"))
-    lemmas = F.transform(F.filter("tokens", interesting), lambda t: K.lemma_key(F.lit("noun"), t["lemma"]))
-    edges = E.bipartite_edges(one, F.col("id"), lemmas, both_ways=False)
-    return edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n_sentences"))
+    one = _terms(_sentences(spark, d).select("doc_id", "sent_idx", words(F.col("sent_text")).alias("w")), "doc_id", "sent_idx")
+    return one.groupBy("word").agg(F.count(F.lit(1)).alias("n_sentences")).select(K.lemma_key(F.lit("noun"), F.col("word")).alias("dst"), "n_sentences")
 
 
 def hub_terms(spark, d):
@@ -143,7 +144,7 @@ def hub_terms(spark, d):
 
 
 def degree_cap(spark, d):
-    return E.cap_degree(_term_edges(spark, d), 50)
+    return E.cap_degree(bipartite_edges(spark, d), 50)
 
 
 def hash_ids(spark, d):
@@ -152,7 +153,7 @@ def hash_ids(spark, d):
 
 def hash_to_name(spark, d):
     named = _docs(spark, d).select(hash64(F.col("text")).alias("hash"), K.sentence_key(F.col("doc_id"), F.lit(1), F.lit(0)).alias("name"))
-    return E.merge_duplicate_keys(named, "hash", "name").select("hash", F.array_join("values", ",").alias("names"))
+    return E.merge_duplicate_keys(named, "hash", "name").select("hash", F.col("chunk"), F.array_join("values", ",").alias("names"))
 
 
 def freq_having(spark, d):
@@ -207,7 +208,7 @@ def page_fields(spark, d):
 
 def tokenizer_corpus(spark, d):
     one = _sentences(spark, d)
-    return G.tokenizer_corpus(one, F.col("id")).select(F.md5(F.col("value").cast("binary")).alias("line_md5"))
+    return G.tokenizer_corpus(one, F.col("doc_id"), F.col("id")).select(F.md5(F.col("value").cast("binary")).alias("line_md5"))
 
 
 def numbered_words(spark, d):
@@ -227,6 +228,56 @@ def document_sentences_window(spark, d):
     return _sentences(spark, d).select("doc_id", "sent_idx", F.sum(F.length("sent_text").cast("long")).over(w).alias("chars_so_far"))
 
 
+def _analysed(spark, d):
+    return hooks.with_entities(_sentences(spark, d), "sent_text")
+
+
+def entity_spans(spark, d):
+    """Entities by rule, with their places among a sentence's tokens, and whether all of their words are stop words."""
+    one = _analysed(spark, d).select("doc_id", "sent_idx", "tokens", F.explode("entities").alias("e"))
+    stops = F.forall(F.slice("tokens", F.col("e.tok_start") + 1, F.col("e.tok_end") - F.col("e.tok_start")), lambda t: t["stop"])
+    return one.select("doc_id", "sent_idx", F.col("e.tok_start").cast("long").alias("tok_start"), F.col("e.tok_end").cast("long").alias("tok_end"), entity_text(F.col("e"), F.col("tokens")).alias("text"), stops.alias("stops"))
+
+
+def full_bow(spark, d):
+    """Lemmas, entities, pairs of neighbouring lemmas and the language as a coded term, of each sentence."""
+    lemmas = F.transform("tokens", lambda t: t["lemma"])
+    bag = N.full_bag(F.col("tokens"), F.col("entities"), ngrams(lemmas, 2), F.array(K.coded_key(F.col("lang"))))
+    return _analysed(spark, d).select("doc_id", "sent_idx", bag.alias("bow")).select("doc_id", "sent_idx", F.size("bow").cast("long").alias("n"), F.md5(F.array_join("bow", " ").cast("binary")).alias("bow_md5"))
+
+
+def _families(spark, d):
+    one = _analysed(spark, d)
+    source = F.col("id")
+    grams = ngrams(F.transform("tokens", lambda t: t["lemma"]), 2)
+    near = {
+        "coded": K.coded_keys(F.array("lang")),
+        "adjacent": K.adjacent_sentence_keys(F.col("doc_id"), F.lit(1), F.col("sent_idx"), F.col("sent_total")),
+        "lemma": K.lemma_keys(F.col("tokens")),
+        "entity": K.entity_keys(F.col("entities"), F.col("tokens")),
+        "ngram": K.ngram_keys(grams),
+    }
+    return E.edge_families({name: E.bipartite_edges(one, source, keys, both_ways=False) for name, keys in near.items()})
+
+
+def edge_families(spark, d):
+    """Edges and distinct targets of each family of the graph."""
+    return _families(spark, d).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("n_dst"))
+
+
+def abstract_text(spark, d):
+    """All text parts of a document as one: a conversation's turns."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))  # a conversation has eight turns at most
+    one = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("parts"))
+    return one.select("conv_id", F.md5(all_text(F.col("parts")).cast("binary")).alias("text_md5"))
+
+
+def first_appearance(spark, d):
+    """Ids of parts in the order in which orders first name them."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return first_appearance_ids(lines, "l_partkey", ["l_orderkey", "l_linenumber", "l_partkey"], 1)
+
+
 _MD5 = "md5({0})"
 _H64 = "CAST((CAST('0x' || substr(md5({0}), 1, 16) AS UBIGINT)::HUGEINT * 2 + CAST('0x' || substr(md5({0}), 17, 16) AS UBIGINT)::HUGEINT) % 9223372036854775807 AS BIGINT)"
 _H32 = "CAST((CAST('0x' || substr(md5({0}), 1, 16) AS UBIGINT)::HUGEINT % 2147483647 * 4 + CAST('0x' || substr(md5({0}), 17, 16) AS UBIGINT)::HUGEINT % 2147483647) % 2147483647 AS BIGINT)"
@@ -246,13 +297,40 @@ QUERIES = {
     "bow": bow, "doc_frequency": doc_frequency, "prune_low_support": prune_low_support, "bipartite_edges": bipartite_edges, "node_degree": node_degree, "edge_dedupe": edge_dedupe, "hub_terms": hub_terms, "degree_cap": degree_cap,
     "hash_ids": hash_ids, "hash_to_name": hash_to_name, "freq_having": freq_having, "regroup_abstract": regroup_abstract, "train_val_split": train_val_split, "batches": numbered_batches, "union_sources": union_sources,
     "ngram_recall_minus_title": ngram_recall, "training_pairs": training_pairs, "page_fields": page_fields, "tokenizer_corpus": tokenizer_corpus, "numbered_words": numbered_words, "stop_share": stop_share, "running_sentence_chars": document_sentences_window,
+    "entity_spans": entity_spans, "full_bow": full_bow, "edge_families": edge_families, "abstract_text": abstract_text, "first_appearance": first_appearance,
 }
 
 _BOW = f"{_TOK}, b AS (SELECT doc_id, w, pos FROM tok WHERE good)"
 _SENT_TOK = f"{_SENT}, st AS (SELECT DISTINCT doc_id, sent_idx, unnest(regexp_extract_all(lower(sent_text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM sent), sg AS (SELECT doc_id, sent_idx, w FROM st WHERE w NOT IN ({_STOP}) AND {_POS} <> 'ADV')"
 _HUBS = f"WITH {_SENT_TOK} SELECT 'l:noun:' || w AS dst, CAST(count(*) AS BIGINT) AS n_sentences FROM sg GROUP BY w"
 
+_CASED = f"""{_SENT}, cw AS (SELECT doc_id, sent_idx, sent_total, lang, regexp_extract_all(sent_text, '[\\p{{L}}\\p{{N}}]+') AS ws FROM sent),
+ct AS (SELECT doc_id, sent_idx, lang, unnest(ws) AS cased, unnest(range(len(ws))) AS pos FROM cw),
+ct2 AS (SELECT *, lower(cased) AS w FROM ct),
+cap AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY pos) AS g FROM ct2 WHERE regexp_matches(cased, '^\\p{{Lu}}')),
+ent AS (SELECT doc_id, sent_idx, CAST(min(pos) AS BIGINT) AS tok_start, CAST(max(pos) + 1 AS BIGINT) AS tok_end, string_agg(w, '_' ORDER BY pos) AS text, bool_and(w IN ({_STOP})) AS stops FROM cap GROUP BY doc_id, sent_idx, g HAVING count(*) > 1)"""
+_GOOD = f"w NOT IN ({_STOP}) AND {_POS} <> 'ADV'"
+
 ORACLES = {
+    "entity_spans": f"WITH {_CASED} SELECT doc_id, sent_idx, tok_start, tok_end, text, stops FROM ent",
+    "full_bow": f"""WITH {_CASED}, a AS (SELECT doc_id, sent_idx, list(w ORDER BY pos) FILTER ({_GOOD}) AS l, list(w ORDER BY pos) AS every FROM ct2 GROUP BY ALL),
+e AS (SELECT doc_id, sent_idx, list(text ORDER BY tok_start) AS t FROM ent WHERE NOT stops GROUP BY ALL),
+b AS (SELECT s.doc_id, s.sent_idx, list_concat(list_concat(coalesce(l, []), coalesce(t, [])), list_concat(list_transform(range(1, coalesce(len(every), 0)), lambda i: every[i] || '_' || every[i + 1]), ['m:' || lang])) AS bow FROM sent s LEFT JOIN a USING (doc_id, sent_idx) LEFT JOIN e USING (doc_id, sent_idx))
+SELECT doc_id, sent_idx, CAST(len(bow) AS BIGINT) AS n, md5(array_to_string(bow, ' ')) AS bow_md5 FROM b""",
+    "edge_families": f"""WITH {_CASED}, f AS (
+SELECT 'coded' AS edge_type, doc_id, sent_idx, 'm:' || lang AS dst FROM sent
+UNION SELECT 'adjacent', doc_id, sent_idx, 's:' || doc_id || ':1:' || (sent_idx - 1) FROM sent WHERE sent_idx > 0
+UNION SELECT 'adjacent', doc_id, sent_idx, 's:' || doc_id || ':1:' || (sent_idx + 1) FROM sent WHERE sent_idx < sent_total - 1
+UNION SELECT 'lemma', doc_id, sent_idx, 'l:noun:' || w FROM ct2 WHERE {_GOOD}
+UNION SELECT 'entity', doc_id, sent_idx, 'e:' || text FROM ent
+UNION SELECT 'ngram', a.doc_id, a.sent_idx, 'n:' || a.w || '_' || b.w FROM ct2 a JOIN ct2 b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.pos = a.pos + 1)
+SELECT edge_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT dst) AS BIGINT) AS n_dst FROM f GROUP BY edge_type""",
+    "abstract_text": "SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id",
+    "first_appearance": "SELECT l_partkey, CAST(row_number() OVER (ORDER BY k, n, l_partkey) AS BIGINT) AS id FROM (SELECT l_partkey, min((l_orderkey, l_linenumber))[1] AS k, min((l_orderkey, l_linenumber))[2] AS n FROM lineitem GROUP BY l_partkey)",
+    "training_pairs": f"""WITH {_SENT}, a AS (SELECT doc_id, list(sent_text ORDER BY sent_idx) AS ss FROM sent WHERE sent_total >= 3 GROUP BY doc_id),
+b AS (SELECT doc_id, array_to_string(ss[({h32("CAST(doc_id AS VARCHAR)")} % len(ss)) + 1:], ' ') AS t FROM a),
+c AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS w FROM b)
+SELECT doc_id, CAST(greatest(len(w) - 1, 0) AS BIGINT) AS n_input, md5(array_to_string(w[1:len(w) - 1], ' ')) AS input_md5, md5(array_to_string(w[2:], ' ')) AS target_md5 FROM c""",
     "doc_language_filter": "SELECT doc_id, lang, source FROM documents WHERE lang = 'en'",
     "sentence_split": f"WITH {_SENT} SELECT doc_id, sent_idx, md5(sent_text) AS sent_md5 FROM sent",
     "sentence_index": f"WITH {_SENT} SELECT doc_id, sent_idx, sent_total, CAST(length(sent_text) AS BIGINT) AS n_chars FROM sent",
@@ -271,7 +349,7 @@ ORACLES = {
     "hub_terms": f"{_HUBS} ORDER BY n_sentences DESC, dst LIMIT 20",
     "degree_cap": f"WITH {_TOK}, {_EDGES}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {h64("src || '|' || dst || '|'")}, dst) AS k FROM edges) SELECT src, dst FROM r WHERE k <= 50",
     "hash_ids": f"SELECT doc_id, {h64('text')} AS hash64, {h32('text')} AS hash32 FROM documents",
-    "hash_to_name": f"SELECT hash, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT {h64('text')} AS hash, 's:' || doc_id || ':1:0' AS name FROM documents) GROUP BY hash",
+    "hash_to_name": f"SELECT hash, 0::BIGINT AS chunk, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT {h64('text')} AS hash, 's:' || doc_id || ':1:0' AS name FROM documents) GROUP BY hash",
     "freq_having": "SELECT lang || ':' || source AS item, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1 HAVING count(*) >= 10",
     "regroup_abstract": f"WITH {_SENT} SELECT doc_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(sent_text, chr(10) ORDER BY sent_idx)) AS md5 FROM sent WHERE sent_total >= 3 GROUP BY doc_id",
     "train_val_split": f"SELECT doc_id, {h32("CAST(doc_id AS VARCHAR) || 'validation'")} < {int((2**31 - 1) * 0.2)} AS is_validation FROM documents",
@@ -283,7 +361,7 @@ t AS (SELECT DISTINCT doc_id, g, list_contains(ws[1:len(ws) // 2], g) AS hit FRO
 s AS (SELECT doc_id, sum(1.0 / log2(n + 1.0)) AS a, sum(CASE WHEN hit THEN 1.0 / log2(n + 1.0) ELSE 0 END) AS f FROM t JOIN c USING (g) GROUP BY doc_id)
 SELECT doc_id, round(CASE WHEN a > 0 THEN f / a ELSE 1.0 END, 6)::DOUBLE AS recall FROM documents LEFT JOIN s USING (doc_id)""",
     "page_fields": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS n_links FROM pages""",
-    "tokenizer_corpus": f"WITH {_SENT} SELECT md5(lower(sent_text)) AS line_md5 FROM sent WHERE {h32("'s:' || doc_id || ':1:' || sent_idx || 'tokenizer'")} < {int((2**31 - 1) * 0.1)}",
+    "tokenizer_corpus": f"WITH {_SENT} SELECT md5(lower(sent_text)) AS line_md5 FROM sent WHERE {h32("CAST(doc_id AS VARCHAR) || 'documents'")} < {int((2**31 - 1) * 0.3)} AND {h32("'s:' || doc_id || ':1:' || sent_idx || 'tokenizer'")} < {int((2**31 - 1) * 0.1)}",
     "numbered_words": f"SELECT word, CAST(row_number() OVER (ORDER BY hex(encode(word))) AS BIGINT) AS id FROM (SELECT DISTINCT unnest({_WORDS}) AS word FROM documents)",
     "stop_share": f"SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(w IN ({_STOP}) AS INT)) AS BIGINT) AS n_stop FROM (SELECT lang, unnest({_WORDS}) AS w FROM documents) GROUP BY lang",
     "running_sentence_chars": f"WITH {_SENT} SELECT doc_id, sent_idx, CAST(sum(length(sent_text)) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_so_far FROM sent",

@@ -26,6 +26,27 @@ def filtered_keys(kv: DataFrame, keep: Column) -> DataFrame:
     return kv.filter(keep)
 
 
+def key_view(kv: DataFrame) -> DataFrame:
+    return kv.select("key")
+
+
+def value_view(kv: DataFrame) -> DataFrame:
+    return kv.select("value")
+
+
+def loaded(df: DataFrame) -> DataFrame:
+    """df, computed now and kept by the executors, on their disks where memory doesn't do."""
+    df = df.persist()
+    df.count()
+    return df
+
+
+def with_zero_vectors(names: DataFrame, vectors: DataFrame, dimensions: int, column: str = "name") -> DataFrame:
+    """Each name with its vector, or zeros where it has none, as predicates have."""
+    joined = names.join(vectors.withColumnRenamed("name", column), column, "left")
+    return joined.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dimensions)))
+
+
 def with_vectors(names: DataFrame, vectors: DataFrame, column: str = "name") -> DataFrame:
     """Each name with its vector; a name without one is an error when its row is read."""
     joined = names.join(vectors.withColumnRenamed("name", column), column, "left")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import sqlite3
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_space
+from ..plans.stage import scratch
 from .schemas import ATOM_COLUMNS, FULL_TEXT, PREDICATION_COLUMNS
 
 
@@ -50,16 +52,20 @@ def read_kv_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key STRING, value STRING").json(path)
 
 
-def read_kv_sqlite(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """A local SQLite table of keys and JSON values, under any of the usual names of table and columns."""
+def read_kv_sqlite(spark: SparkSession, path: str, table: str | None = None, rows: int = 100_000) -> DataFrame:
+    """A local SQLite table of keys and JSON values, under any of the usual names of table and columns. It is read on the driver, as its file
+    lies there, and goes to the shared folder in parts of `rows` rows."""
+    parts = []
     with sqlite3.connect(f"file:{os.fspath(path)}?mode=ro", uri=True) as db:
         names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
         name = table or next(n for n in ("lookup_table", "graph", "sentences", *names) if n in names)
         columns = [r[1] for r in db.execute(f'PRAGMA table_info("{name}")')]
         key = next(c for c in ("key", "node", "id", columns[0]) if c in columns)
         value = next(c for c in ("value", "neighbors", "bow", columns[-1]) if c in columns)
-        rows = db.execute(f'SELECT "{key}", "{value}" FROM "{name}"').fetchall()
-    return spark.createDataFrame(rows, "key STRING, value STRING")
+        cursor = db.execute(f'SELECT "{key}", "{value}" FROM "{name}"')
+        while part := cursor.fetchmany(rows):
+            parts.append(scratch(spark.createDataFrame(part, "key STRING, value STRING")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "key STRING, value STRING")
 
 
 def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
@@ -102,3 +108,11 @@ def extractor_lines(rows: DataFrame, key: Column, text: Column) -> DataFrame:
     clean = F.trim(F.regexp_replace(ascii_fold(normal_space(text)), "['\"]", ""))
     checked = F.when(key.contains("|"), F.raise_error(F.lit("an id holds a pipe"))).otherwise(key)
     return rows.select(F.concat_ws("|", checked, clean).alias("value"), clean.alias("_c")).filter("_c <> ''").select("value")
+
+
+def last_files(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The last n files of a folder by name, as paths to read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    names = sorted(s.getPath().toString() for s in found if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+    return names[-n:] if n > 0 else []

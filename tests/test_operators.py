@@ -74,8 +74,9 @@ def test_paths(spark):
     assert dict(rows(paths.hop_distances(graph, "a", 5))) == {"a": 0, "b": 1, "x": 1, "c": 2, "d": 2}
     assert paths.shortest_path(graph, "a", "d") == ["a", "x", "d"]
     assert paths.shortest_path(graph, "a", "q") is None
-    links = {"a": [("b", 1.0), ("x", 5.0)], "b": [("c", 1.0)], "c": [("d", 1.0)], "x": [("d", 1.0)]}
-    assert paths.weighted_path(lambda nodes: links, "a", "d") == (3.0, ["a", "b", "c", "d"])
+    given = [("a", "b", 1.0), ("a", "x", 5.0), ("b", "c", 1.0), ("c", "d", 1.0), ("x", "d", 1.0)]
+    weighted = spark.createDataFrame(given, "src string, dst string, weight double")
+    assert paths.weighted_path(weighted, "a", "d") == (3.0, ["a", "b", "c", "d"]) and paths.weighted_path(weighted, "d", "a") is None
     assert {r[2] for r in rows(paths.edge_weights(graph))} == {math.log2(3)}
 
 
