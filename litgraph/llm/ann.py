@@ -5,7 +5,9 @@ length, the signs of the randomly rotated residual as packed bits, and the inner
 rotated and quantised to four bits, an inner product is estimated by popcounts, with a bound on its error. In each block of a cell, a
 query reranks by exact double-precision products all vectors whose upper bound reaches the k-th best lower bound.
 
-A query probes the cells of the largest products with its centroid until they hold the share `probe` of all vectors. Equal vectors are
+A query probes the cells of the largest products with its centroid until they hold the share `probe` of all vectors. Unless it is given,
+that share is learnt: the true neighbours of PILOT queries are found by going through all vectors, and the share is the one that reaches
+RECALL of them, so vectors that cluster cost few cells, and others are not lost. Equal vectors are
 indexed once with their k + 1 smallest ids (ties go to smaller ids, so no other id of the group can be among the nearest k), equal
 queries search once, and cells and query lists are cut into blocks of BLOCK rows; so neither a vector that a third of the rows share
 nor a large cell comes to one task.
@@ -22,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table, written
+from .common import bounded_sample, drop, table, written
 
 BLOCK = 8192
 SAMPLE = 20_000
 MAX_CELLS = 4096
-PROBE = 0.85
+PILOT = 64
+RECALL = 0.98
 EPSILON = 2.4
 QUERY_BITS = 4
 
@@ -112,20 +115,43 @@ def valid(rows: DataFrame) -> DataFrame:
     return rows.filter(F.size("embedding") == (sizes[0][1] if sizes else 0))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, probe: float = PROBE) -> DataFrame:
-    """query_id, rank, vec_id, score for rows and queries of (vec_id, embedding)."""
+def learnt_probe(coded: DataFrame, queries: DataFrame, centers: np.ndarray, sizes: np.ndarray, k: int) -> float:
+    """The share of all vectors that a query's cells must hold, best cells first, for RECALL of the pilot queries' true neighbours."""
+    pilot = np.array([r[0] for r in queries.orderBy(F.xxhash64("embedding"), "qid").limit(PILOT).select("embedding").collect()], np.float64)
+    shared = coded.sparkSession.sparkContext.broadcast(pilot)
+
+    def run(batches):
+        q = shared.value
+        for b in batches:
+            if len(b):
+                score = q @ np.stack(b["embedding"].to_numpy()).astype(np.float64).T
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"q": np.repeat(np.arange(len(q)), best.shape[1]), "score": np.take_along_axis(score, best, 1).ravel(), "cell": b["cell"].to_numpy()[best.ravel()]})
+
+    near = coded.select("cell", "embedding").mapInPandas(run, "q long, score double, cell long")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("n") <= k).select("q", "cell").collect()
+    order = np.argsort(-(pilot @ centers.T), axis=1, kind="stable")
+    held = np.cumsum(sizes[order], axis=1) / sizes.sum()
+    place = np.argsort(order, axis=1)
+    return float(np.quantile([held[q, place[q, c]] for q, c in near], RECALL, method="higher"))
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, probe: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for rows and queries of (vec_id, embedding). Vectors keep their type, floats or doubles."""
     spark = rows.sparkSession
-    rows, queries = (d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")) for d in (rows, queries))
+    single = all(d.schema["embedding"].dataType.simpleString() == "array<float>" for d in (rows, queries))
+    vector = "array<float>" if single else "array<double>"
+    rows, queries = (d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(vector).alias("embedding")) for d in (rows, queries))
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     own = valid(rows).dropDuplicates(["vec_id", "embedding"]).withColumn("n", first).filter(F.col("n") <= k + 1)
     index = written(own.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-vectors")
     total = index.count()
-    sample = np.array([r[0] for r in bounded_sample(index, "embedding", SAMPLE, total).select("embedding").collect()], np.float32)
+    sample = np.array([r[0] for r in bounded_sample(index, "embedding", SAMPLE, total).select("embedding").collect()], np.float64)
     asked = valid(queries).dropDuplicates(["vec_id", "embedding"])
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_cells = 1 if total <= BLOCK else min(MAX_CELLS, len(sample), max(1, round(np.sqrt(total) / 2)))
-    centers = kmeans(sample, n_cells).astype(np.float64)
+    centers = kmeans(sample, n_cells)
     p = rotation(sample.shape[1])
     shared = spark.sparkContext.broadcast((centers, p))
 
@@ -133,12 +159,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, probe: float = PROB
         c, turn = shared.value
         for b in batches:
             if len(b):
-                x = np.stack(b["embedding"].to_numpy()).astype(np.float32)
-                cells = nearest_center(x.astype(np.float64), c)
+                x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+                cells = nearest_center(x, c)
                 codes, length, agree = encode(x, c, cells, turn)
                 yield pd.DataFrame({"cell": cells, "ids": b["ids"], "embedding": b["embedding"], "code": [r.tobytes() for r in codes], "length": length, "agree": agree})
 
-    coded = written(index.mapInPandas(build, "cell long, ids array<long>, embedding array<float>, code binary, length double, agree double"), "ann-codes")
+    coded = written(index.mapInPandas(build, f"cell long, ids array<long>, embedding {vector}, code binary, length double, agree double"), "ann-codes")
+    drop(index)
     sizes = np.zeros(n_cells, np.int64)
     for r in coded.groupBy("cell").count().collect():
         sizes[r[0]] = r[1]
@@ -150,14 +177,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, probe: float = PROB
             if len(b):
                 q = np.stack(b["embedding"].to_numpy()).astype(np.float64)
                 order = np.argsort(-(q @ c.T), axis=1, kind="stable")
-                enough = np.cumsum(sizes[order], axis=1) >= probe * total
+                enough = np.cumsum(sizes[order], axis=1) >= probe * total - 0.5
                 n = np.minimum(enough.argmax(1) + 1, n_cells)
                 who = np.repeat(np.arange(len(b)), n)
                 cell = np.concatenate([o[:m] for o, m in zip(order, n, strict=True)])
                 yield pd.DataFrame({"cell": cell, "qid": b["qid"].to_numpy()[who], "embedding": b["embedding"].to_numpy()[who]}).loc[sizes[cell] > 0]
 
     distinct = written(asked.groupBy("embedding").agg(F.min("vec_id").alias("qid")), "ann-queries")
-    routed = distinct.mapInPandas(probes, "cell long, qid long, embedding array<float>")
+    if probe is None and n_cells > 1 and not distinct.isEmpty():
+        probe = learnt_probe(coded, distinct, centers, sizes, k)
+    probe = 1.0 if probe is None else probe
+    routed = written(distinct.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(probes, f"cell long, qid long, embedding {vector}"), "ann-routed")
     asked_of = {r[0]: r[1] for r in routed.groupBy("cell").count().collect()}
     q_blocks = np.array([max(1, -(-asked_of.get(c, 0) // BLOCK)) for c in range(n_cells)])
     blocks = spark.createDataFrame(pd.DataFrame({"cell": np.arange(n_cells), "vb": v_blocks, "qb": q_blocks}), "cell long, vb long, qb long")

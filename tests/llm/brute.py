@@ -84,3 +84,25 @@ def personal(text):
             out.append((2, *m.span()))
     out += [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
     return out
+
+
+def log10_of_model(gru, ids):
+    """A document's log10 probability, a token at a time, straight from the formulas."""
+    p = {k: a.astype(np.float64) for k, a in gru.p.items()}
+    n, told = gru.hidden, len(gru.p["wb"])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    h, last, total = np.zeros(n), int(gru.rank[1]), 0.0
+    for t in gru.rank[np.asarray(ids)].tolist():
+        x, u = p["x"][last], h @ p["u"]
+        z, r = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+        h = (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :]) + z * h
+        k = gru.class_of[t]
+        a, b = gru.bounds[k], gru.bounds[k + 1]
+        total += np.log10(softmax(h @ p["c"] + p["cb"])[k])
+        if b <= told:
+            total += np.log10(softmax(h @ p["w"][:, a:b] + p["wb"][a:b])[t - a])
+        else:
+            total += float(gru.share[t - told]) / np.log(10)
+        last = t
+    return total
