@@ -94,7 +94,7 @@ class Lanes:
         loads = np.array([int(lengths[m].sum()) for m in members])
         order = np.argsort(-loads, kind="stable")
         self.steps, self.width = int(loads.max(initial=0)), len(order)
-        self.row, self.col = np.empty(offsets[-1], np.int64), np.empty(offsets[-1], np.int64)
+        self.row, self.col = np.empty(offsets[-1], np.int32), np.empty(offsets[-1], np.int32)
         self.starts = np.zeros((self.steps, self.width), bool)
         for c, k in enumerate(order.tolist()):
             at = 0

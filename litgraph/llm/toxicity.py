@@ -15,9 +15,11 @@ document of one of the classes nothing can be learnt and every score is 1 or 0,
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,14 +119,18 @@ class ToxicField:
             out += (cell / cell.sum(0)).sum(1).reshape(2, 2)
         return out
 
-    def fit(self, sequences: list[list[bytes]], tags: list[np.ndarray], rounds: int = 40, rate: float = 0.5, ridge: float = 1e-4) -> None:
-        """AdaGrad on the mean log-likelihood of all sequences."""
-        vocabulary: dict[bytes, int] = {}
-        flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sequences for w in s], np.int64)
-        ids = [feature_ids(w) for w in vocabulary]
-        word_of = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-        feature = np.array([f for i in ids for f in i], np.int64)
-        lengths, y = np.array([len(s) for s in sequences]), np.concatenate(tags).astype(float)
+    def fit(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.5, ridge: float = 1e-4) -> None:
+        """AdaGrad on the mean log-likelihood of all sequences: `flat` are places in `words`, y their tags, and lengths those of the sequences."""
+        n = np.zeros(len(words), np.int32)
+
+        def all_features():
+            for i, w in enumerate(words):
+                found = feature_ids(w)
+                n[i] = len(found)
+                yield from found
+
+        feature = np.fromiter(all_features(), np.int32)
+        word_of, ids, y = np.repeat(np.arange(len(words), dtype=np.int32), n), words, y.astype(float)
         scale = max(1.0, y.sum())
         seen = np.zeros((2, 2))
         inner = np.ones(len(y), bool)
@@ -203,30 +209,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
 
 
 def train_field(rows: DataFrame, text: str = "text", label: str = "toxic") -> ToxicField:
-    """From rows of text and label, which must be a bounded sample: the driver collects them. Equal texts train once."""
-    sample = {bytes(r[0]): r[1] for r in rows.filter(F.length(F.trim(text)) > 0).select(F.col(text).cast("binary"), F.col(label)).collect()}
+    """From rows of text and label, which must be a bounded sample: one task reads them all and returns the model, so the driver's memory
+    holds nothing but that, and a lost executor costs one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = {t: y for b in batches for t, y in zip(byte_list(b, text), b.column(label).to_pylist(), strict=True)}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(sample))], pa.binary())], ["model"])
+        release()
+
+    own = rows.filter(F.length(F.trim(text)) > 0).select(text, F.col(label).cast("int").alias(label)).repartition(1)
+    found = own.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fitted({})
+
+
+def fitted(sample: dict[bytes, int]) -> ToxicField:
+    """The field of labelled texts. Equal texts train once."""
     field = ToxicField()
     if len(set(sample.values())) < 2:
         field.calibration = np.array([0.0, 0.0, 20.0 if 1 in sample.values() else -20.0])
         return field
-    documents = [(words_of(t), y) for t, y in sorted(sample.items())]
-    signals = signal_features(documents)
-    marked: dict[bytes, bool] = {}
-    sequences, tags = [], []
-    for words, y in documents:
-        tag = np.zeros(len(words), np.int8)
-        if y:
-            for i, w in enumerate(words):
-                if w not in marked:
-                    marked[w] = any(f in signals for f in feature_names(w))
-                tag[i] = marked[w]
-        for i in range(0, len(words), 400):  # all of a text in segments; scoring runs over whole texts
-            sequences.append(words[i : i + 400])
-            tags.append(tag[i : i + 400])
-    field.fit(sequences, tags)
+    # Words are numbers from here on, and a word's bytes are held once.
+    vocabulary: dict[bytes, int] = {}
+    texts, documents = sorted(sample), []
+    for t in texts:
+        documents.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32))
+    words, toxic = list(vocabulary), [sample[t] for t in texts]
+    del vocabulary
+    signals = signal_features([([words[i] for i in np.unique(d).tolist()], y) for d, y in zip(documents, toxic, strict=True)])
+    marked = np.array([any(f in signals for f in feature_names(w)) for w in words], bool)
+    lengths = [n for d in documents for n in [*[400] * (len(d) // 400), len(d) % 400] if n]  # all of a text in segments; scoring runs over whole texts
+    tags = np.concatenate([marked[d] & bool(y) for d, y in zip(documents, toxic, strict=True)])
+    field.fit(words, np.concatenate(documents), np.array(lengths), tags)
+    del words, marked, tags, documents
     cache: dict[bytes, float] = {}
-    x, _ = field.evidence([field.emissions(t, cache) for t in sorted(sample)])
-    field.calibrate(x, np.array([y for _, y in documents], float))
+    x, _ = field.evidence([field.emissions(t, cache) for t in texts])
+    field.calibrate(x, np.array(toxic, float))
     return field
 
 
