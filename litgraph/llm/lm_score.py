@@ -349,7 +349,7 @@ def average_pass(train: DataFrame, text: str, scorer: Scorer, total: int, rate:
                     yield ids
 
         adam = Adam(gru.p)
-        for grad in gru.gradients(sequences(), min(4096, max(64, len(gru.class_of) // 16))):
+        for grad in gru.gradients(sequences(), min(4096, max(64, len(gru.class_of) // 32))):
             adam.update(gru.p, grad, rate)
         after, gru.p = gru.p, before  # another task of this worker starts from the same weights
         if seen[0]:

@@ -68,25 +68,33 @@ class WordTokenizer:
         self.plain = split_words and (rules["normalizer"], rules["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER) and not rules["model"].get("dropout")
 
     def _of_piece(self, piece: str) -> bytes:
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
         ids = [t.id for t in self.tokenize(piece if piece.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode())))]
         found = self.pieces[piece] = struct.pack(f"<{len(ids)}{self.code}", *ids)
         return found
 
     def _of_words(self, words: list[bytes]) -> None:
         odd = []
-        known = self.pieces.get
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        known, cache = self.pieces.get, self.cache
         for w in words:
+            if self.plain and w.isalpha():  # ASCII letters are one piece, and so is a single sign after them
+                p = w.lower().decode()
+                cache[w] = known(p) or self._of_piece(p)
+                continue
+            if self.plain and w[-1:] in _SIGNS and w[:-1].isalpha():
+                p, sign = w[:-1].lower().decode(), w[-1:].decode()
+                cache[w] = (known(p) or self._of_piece(p)) + (known(sign) or self._of_piece(sign))
+                continue
             text = w.decode()
             if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
-                self.cache[w] = b"".join([known(p) or self._of_piece(p) for p in _PIECE.findall(text.lower())])
+                cache[w] = b"".join([known(p) or self._of_piece(p) for p in _PIECE.findall(text.lower())])
             else:
                 odd.append((w, text))
         for k in range(0, len(odd), 10_000):
             part = odd[k : k + 10_000]
             for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, self.dtype).tobytes()
+                cache[w] = np.array(e.ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         out = []
@@ -113,6 +121,7 @@ _PRE_TOKENIZER = {
     ],
 }
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_SIGNS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Byte-level models write printable bytes of Latin-1 as themselves and the others as characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -164,7 +173,8 @@ class Bm25Index:
         own = own[np.argsort(-self.idf[own], kind="stable")][:terms]
         if not len(own):
             return own
-        at = np.concatenate([np.arange(self.begin[t], self.end[t]) for t in own.tolist()])
+        begin, n = self.begin[own], self.end[own] - self.begin[own]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
         score = np.bincount(self.docs[at], self.weights[at], self.n)
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]
@@ -266,15 +276,14 @@ def learned_deal(rows: DataFrame, n_rows: int, statistics: Statistics, shards: i
         return deal
 
     def sampled(target: int, column: str, kind: str, of) -> list:
-        least = np.uint64(min(1.0, target / n_rows) * (2**64 - 2**12))
-        held = context.broadcast(deal)
+        held, share = context.broadcast(deal), int((1 << 31) * min(1.0, target / n_rows))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                b = b.filter(pa.array(row_hash(b.column("row").to_numpy()) * np.uint64(0xD6E8FEB86659FD93) <= least))
                 yield pa.RecordBatch.from_arrays([pa.array(of(held.value, tails_of(b), b.column("row").to_numpy()))], [column])
 
-        return [r[0] for r in rows.select("row", "tail", "width").mapInArrow(run, f"{column} {kind}").collect()]
+        picked = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 31)) < share).select("row", "tail", "width")
+        return [r[0] for r in picked.mapInArrow(run, f"{column} {kind}").collect()]
 
     vectors = sampled(CELL_SAMPLE, "vector", "binary", lambda d, tails, _: [v.tobytes() for v in d.vectors(tails)])
     if vectors:
