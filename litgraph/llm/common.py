@@ -5,8 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
+import pickle
 import re
 import tempfile
+import traceback
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -98,6 +101,27 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def in_child(work, *args):
+    """work(*args), done by a forked process, so that the memory it takes goes with it. The result must pickle."""
+    out, into = os.pipe()
+    pid = os.fork()
+    if not pid:
+        try:
+            os.close(out)
+            with os.fdopen(into, "wb") as f:
+                pickle.dump(work(*args), f)
+            os._exit(0)
+        except BaseException:  # the parent reports it
+            traceback.print_exc()
+        os._exit(1)
+    os.close(into)
+    with os.fdopen(out, "rb") as f:
+        data = f.read()
+    if os.waitpid(pid, 0)[1]:
+        raise RuntimeError(f"{work.__name__} failed in a child process")
+    return pickle.loads(data)
+
+
 _SPACE = re.compile(rb"\s")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_list, crc_mod, release, slices, table, text_parts, words_of
+from .common import byte_list, crc_mod, in_child, release, slices, table, text_parts, words_of
 from .lanes import Lanes
 
 PER_CLASS = 1500
@@ -214,8 +214,7 @@ def train_field(rows: DataFrame, text: str = "text", label: str = "toxic") -> To
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = {t: y for b in batches for t, y in zip(byte_list(b, text), b.column(label).to_pylist(), strict=True)}
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(sample))], pa.binary())], ["model"])
-        release()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(in_child(fitted, sample))], pa.binary())], ["model"])
 
     own = rows.filter(F.length(F.trim(text)) > 0).select(text, F.col(label).cast("int").alias(label)).repartition(1)
     found = own.mapInArrow(run, "model binary").collect()

@@ -303,3 +303,9 @@ def test_stages_take_edge_cases(spark, tables, k):
 
 def test_packing_stage_takes_no_rows(spark, tables):
     assert P.pack_sequences(spark, spark.createDataFrame([], DOCS), tables[0]).count() == 0
+
+
+def test_work_in_a_child():
+    assert common.in_child(sorted, [3, 1, 2]) == [1, 2, 3]
+    with pytest.raises(RuntimeError):
+        common.in_child(int, "x")
