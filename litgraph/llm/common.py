@@ -25,7 +25,19 @@ from pyspark.sql import functions as F
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+#: Rows that go to a Python worker at once, unless the session says otherwise. Whole texts are long: the default of 10,000 takes tens of
+#: megabytes for each task, twice in the JVM and again in the worker.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +59,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, cut from its lineage by a Parquet table in the shared folder. `.path_` of the result names it for `drop`."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
