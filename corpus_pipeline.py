@@ -4,10 +4,12 @@ documents. Between stages `run` writes Parquet to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgraph.llm.common import drop, table, written
+from litgraph.llm.common import drop, small_batches, table, written
 from litgraph.llm.decontaminate import cut_spans, match_benchmark
 from litgraph.llm.jaccard_join import link_documents
 from litgraph.llm.packing import default_tokenizer, pack
@@ -75,6 +77,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _small(stage):
+    """Any stage's texts go to Python workers in small batches."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _small(stage)) for name, stage in STAGES]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
