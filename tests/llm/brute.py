@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import re
 
 import numpy as np
@@ -106,3 +108,62 @@ def log10_of_model(gru, ids):
             total += float(gru.share[t - told]) / np.log(10)
         last = t
     return total
+
+
+def vector_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """{row number: (code, error)} and the final codebooks, for usable (id, vector, label) rows in order of their ids; plain loops."""
+    x = [[math.floor(scale * c) for c in v] for _, v, _ in rows]
+    edges = [p * len(x[0]) // parts for p in range(parts + 1)]
+    books, found = [], [("", 0)] * len(x)
+    for a, b in zip(edges, edges[1:]):
+        own = [v[a:b] for v in x]
+        book = own[:entries]
+
+        def nearest(v, book):
+            return min((sum((p - q) ** 2 for p, q in zip(v, c, strict=True)), e) for e, c in enumerate(book))
+
+        for _ in range(rounds):
+            groups = collections.defaultdict(list)
+            for v in own:
+                groups[nearest(v, book)[1]].append(v)
+            book = [[sum(c) // len(c) for c in zip(*groups[e], strict=True)] if e in groups else old for e, old in enumerate(book)]
+        for i, v in enumerate(own):
+            d, e = nearest(v, book)
+            found[i] = (found[i][0] + f"{e:02x}", found[i][1] + d)
+        books.append(book)
+    return found, books
+
+
+def shingles(text, words=5):
+    w = tokens(text)
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def audited(docs, marks):
+    """{(part, order, step): (kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)} by going through every order.
+    docs: (id, text, lang); marks: {id: (quality, toxic)}."""
+    least = {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    seen = []
+    for i, t, lang in docs:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and i > least[t]}
+        seen.append((lang or "", {k for k, v in fails.items() if v}, marks.get(i, (0, 0))))
+    out = {}
+    for part in {p for p, _, _ in seen}:
+        share = collections.Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = gone = [d for d in seen if d[0] == part]
+            gone = []
+            for step, k in enumerate(order, 1):
+                away, left = [d for d in left if k in d[1]], [d for d in left if k not in d[1]]
+                share[k] += len(away)
+                out[part, "".join(order), step] = [len(left), len(away), sum(k in d[1] for d in gone), sum(d[0] == part and d[1] == {k} for d in seen), sum(d[2][0] == 1 for d in away), sum(d[2][1] == 1 for d in away)]
+                gone += away
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(share[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
