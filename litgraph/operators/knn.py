@@ -1,26 +1,56 @@
-"""Nearest neighbours: exact in blocks, and by cells with product-quantised codes."""
+"""Nearest neighbours: exact in blocks, and cells and codes by given centres as column expressions. `vector_index` has the index that
+scales."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import squared_distance
 from .ordering import top_per_group
 
-BLOCKS = 16
-
-
-def exact_knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, blocks: int = BLOCKS) -> DataFrame:
-    """src, dst, dist (squared) and rank of the k nearest other rows of each query. Rows are dealt to blocks and queries go to each;
-    a block keeps its k best of a query before anything is exchanged."""
-    q = queries.select(F.col(key).alias("src"), F.col(vector).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    x = rows.select(F.col(key).alias("dst"), F.col(vector).alias("_x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    pairs = q.join(x, "_b").filter("src <> dst").select("src", "dst", F.round(squared_distance(F.col("_q"), F.col("_x")), 9).alias("dist"))
-    return top_per_group(pairs, ["src"], [F.col("dist"), F.col("dst")], k)
+#: Rows and queries of a task of the exact search.
+ROWS, QUERIES = 16_384, 2048
+
+
+def exact_knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, most_rows: int = ROWS, most_queries: int = QUERIES) -> DataFrame:
+    """src, dst, dist (squared) and rank of the k nearest other rows of each query, for vectors that aren't null. Rows and queries are dealt to
+    blocks whose number follows theirs; a pair of blocks is a task's piece of work, which multiplies matrices to find what may be among the
+    k nearest, measures that exactly and passes on k rows for each query."""
+    kind = rows.schema[key].dataType.simpleString()
+    asked, held = (df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")) for df in (queries, rows))
+    vb, qb = max(1, -(-held.count() // most_rows)), max(1, -(-asked.count() // most_queries))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.withColumn("v", deal(vb)).withColumn("q", spread(qb))
+    right = asked.withColumn("q", deal(qb)).withColumn("v", spread(vb))
+
+    def scan(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        src, dst, dist = [], [], []
+        if len(block) and len(wanted):
+            block = block.sort_values("id", kind="stable")
+            ids, x = block["id"].to_numpy(dtype=object), np.stack(block["x"].to_numpy())
+            own = (x**2).sum(axis=1)
+            for at in range(0, len(wanted), 64):
+                names, q = wanted["id"].to_numpy(dtype=object)[at : at + 64], np.stack(wanted["x"].to_numpy()[at : at + 64])
+                rough = own + (q**2).sum(axis=1)[:, None] - 2 * q @ x.T
+                for name, v, r in zip(names, q, rough):
+                    bound = np.partition(r, k)[k] if len(r) > k + 1 else np.inf
+                    near = np.flatnonzero(r <= bound + 1e-6 * (1 + abs(bound)))
+                    near = near[ids[near] != name]
+                    d = ((x[near] - v) ** 2).sum(axis=1).round(9)
+                    best = np.argsort(d, kind="stable")[:k]
+                    src += [name] * len(best)
+                    dst += ids[near[best]].tolist()
+                    dist += d[best].tolist()
+        return pd.DataFrame({"src": pd.Series(src, dtype=object), "dst": pd.Series(dst, dtype=object), "dist": pd.Series(dist, dtype=float)})
+
+    found = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(scan, f"src {kind}, dst {kind}, dist double")
+    return top_per_group(found, ["src"], [F.col("dist"), F.col("dst")], k)
 
 
 def nearest(vector: Column, centers: np.ndarray) -> Column:
@@ -34,10 +64,10 @@ def lloyd(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.nda
     rng = np.random.default_rng(seed)
     centers = sample[np.sort(rng.choice(len(sample), min(k, len(sample)), replace=False))].astype(np.float64)
     for _ in range(rounds):
-        near = ((centers**2).sum(1) - 2 * sample @ centers.T).argmin(1)
-        for j in range(len(centers)):
-            if (near == j).any():
-                centers[j] = sample[near == j].mean(0)
+        near = np.concatenate([((centers**2).sum(1) - 2 * sample[at : at + 4096] @ centers.T).argmin(1) for at in range(0, len(sample), 4096)])
+        count, total = np.bincount(near, minlength=len(centers)), np.zeros_like(centers)
+        np.add.at(total, near, sample)
+        centers = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centers)
     return centers
 
 
@@ -64,25 +94,6 @@ class IvfPq:
         """Parts of one index, encoded apart, as one."""
         return reduce(DataFrame.unionByName, indexes)
 
-    def search(self, index: DataFrame, queries: DataFrame, key: str, vector: str, k: int, probes: int, blocks: int = BLOCKS) -> DataFrame:
-        """src, dst, dist, rank by table look-ups over the probed cells. A cell's rows are dealt to blocks, to each of which a query goes."""
-        options = F.array(*(F.struct(squared_distance(F.col(vector), F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.coarse.tolist())))
-        part = lambda i: F.slice(F.col(vector), i * self.width + 1, self.width)
-        tables = F.array(*(F.array(*(squared_distance(part(i), F.array(*map(F.lit, c))) for c in b.tolist())) for i, b in enumerate(self.books)))
-        q = queries.select(F.col(key).alias("src"), tables.alias("_t"), F.explode(F.transform(F.slice(F.sort_array(options), 1, probes), lambda o: o["i"])).alias("cell"))
-        q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-        x = index.withColumnRenamed(key, "dst").withColumn("_b", F.pmod(F.xxhash64("dst"), F.lit(blocks)).cast("int"))
-        pairs = q.join(x, ["cell", "_b"]).filter("src <> dst")
-        total = F.aggregate(F.zip_with("_t", "codes", lambda t, c: F.get(t, c.cast("int"))), F.lit(0.0), lambda s, d: s + d)
-        return top_per_group(pairs.select("src", "dst", total.alias("dist")), ["src"], [F.col("dist"), F.col("dst")], k)
-
-
-def rerank(candidates: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """src, dst, dist (squared, exact) and rank of the k nearest of the candidates (src, dst)."""
-    q, x = (rows.select(F.col(key).alias(end), F.col(vector).alias(f"_{end}")) for end in ("src", "dst"))
-    pairs = candidates.select("src", "dst").join(q, "src").join(x, "dst")
-    return top_per_group(pairs.select("src", "dst", F.round(squared_distance(F.col("_src"), F.col("_dst")), 9).alias("dist")), ["src"], [F.col("dist"), F.col("dst")], k)
-
 
 def named(neighbours: DataFrame, names: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """src and dst as names, from neighbours by hash and names (hash, name); a hash may have several names. Hashes without a name go, and so

@@ -105,16 +105,19 @@ def split_rows(rows: DataFrame, key: Column, rate: float, seed: str = "validatio
     return rows.withColumn("is_validation", sample_by_hash(key, rate, seed))
 
 
-def negative_pairs(positives: DataFrame, terms: DataFrame, rate: int, seed: str = "swap") -> DataFrame:
-    """For each (subj, obj), `rate` pairs of terms picked by hash; those that are positives go."""
-    numbered = dense_ids(terms, "term")
-    n = numbered.count()
+def negative_pairs(positives: DataFrame, terms: DataFrame, rate: int, seed: str = "swap", objects: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """For each (subj, obj), `rate` pairs of terms picked by hash; those that are positives (or among `known`, if given) go. With `objects`,
+    only subjects are picked from `terms`."""
+    subj_ids = dense_ids(terms, "term")
+    obj_ids = subj_ids if objects is None else dense_ids(objects, "term")
+    sizes = {"s": subj_ids.count(), "o": obj_ids.count()}
     draws = positives.select("subj", "obj", F.explode(F.sequence(F.lit(1), F.lit(rate))).alias("draw"))
-    pick = lambda end: hash64(F.concat_ws("|", "subj", "obj", F.col("draw").cast("string"), F.lit(seed + end))) % n
+    pick = lambda end: hash64(F.concat_ws("|", "subj", "obj", F.col("draw").cast("string"), F.lit(seed + end))) % max(sizes[end], 1)
     drawn = draws.select("subj", "obj", "draw", pick("s").alias("i"), pick("o").alias("j"))
-    a, b = numbered.select(F.col("id").alias("i"), F.col("term").alias("neg_subj")), numbered.select(F.col("id").alias("j"), F.col("term").alias("neg_obj"))
+    a, b = subj_ids.select(F.col("id").alias("i"), F.col("term").alias("neg_subj")), obj_ids.select(F.col("id").alias("j"), F.col("term").alias("neg_obj"))
     out = drawn.join(a, "i").join(b, "j").select("subj", "obj", "draw", "neg_subj", "neg_obj")
-    return out.join(positives.select(F.col("subj").alias("neg_subj"), F.col("obj").alias("neg_obj")).distinct(), ["neg_subj", "neg_obj"], "left_anti")
+    known = positives if known is None else known
+    return out.join(known.select(F.col("subj").alias("neg_subj"), F.col("obj").alias("neg_obj")).distinct(), ["neg_subj", "neg_obj"], "left_anti")
 
 
 def scrambled_neighbourhoods(positives: DataFrame, predicates: DataFrame, rate: int, n: int, seed: str = "scramble") -> DataFrame:

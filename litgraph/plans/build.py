@@ -10,12 +10,12 @@ from ..functions.hashing import hash64, hash_bucket, sample_by_hash
 from ..operators import edges as E
 from ..operators import hooks, knn, ngrams, predicates, sentences
 from ..operators.kv import to_kv
+from ..operators.vector_index import VectorIndex
 from .config import BuildConfig
 from .stage import StageStore
 
 #: Parts among which an n-gram's local support is asked for.
 PARTS = 16
-DIMENSIONS = 64
 
 
 def build(spark: SparkSession, config: BuildConfig, documents: DataFrame, predications: DataFrame | None = None) -> StageStore:
@@ -47,17 +47,14 @@ def build(spark: SparkSession, config: BuildConfig, documents: DataFrame, predic
     phrases = stage("phrases", lambda: ngrams.annotate(lemmas, "id", "lemmas", model, config.phrases.longest))
     stage("ngram_edges", lambda: E.bipartite_edges(phrases, key, K.ngram_keys(F.col("ngrams")), disjoint=True))
     bags = stage("bow", lambda: parsed.join(phrases, "id").select("id", "sent_text", ngrams.full_bag(tokens, entities, F.col("ngrams"), F.col("mesh_headings")).alias("bow")))
-    vectors = stage("embeddings", lambda: hooks.embed(bags, "id", "bow", DIMENSIONS).withColumn("hash", hash64(key)))
+    vectors = stage("embeddings", lambda: hooks.embed(bags, "id", "bow", config.vectors.dimensions).withColumn("hash", hash64(key)))
     names = stage("names", lambda: E.gathered(vectors.select("hash", F.col("id").alias("name")), "hash", "name"))
 
     def neighbours() -> DataFrame:
-        v = config.vectors
-        _, sample = knn.to_matrix(vectors.filter(sample_by_hash(key, v.train_rate, "index")), "hash", "embedding")  # a bounded share trains; every vector is indexed
-        if not len(sample):
-            _, sample = knn.to_matrix(vectors.limit(1000), "hash", "embedding")
-        index = knn.IvfPq.train(sample.astype("float64"), min(v.cells, max(1, len(sample) // 8)), min(v.parts, DIMENSIONS // 4), 1 << min(v.bits, 4))
-        found = index.search(index.encode(vectors, "hash", "embedding"), vectors, "hash", "embedding", 4 * v.neighbours, v.probes)
-        return knn.rerank(found, vectors.dropDuplicates(["hash"]), "hash", "embedding", v.neighbours)
+        v, own = config.vectors, vectors.dropDuplicates(["hash"])
+        index = VectorIndex.train(own, "hash", "embedding", v.cells, v.parts, v.bits, rate=v.train_rate)
+        coded = stage("codes", lambda: index.encode(own, "hash", "embedding").repartitionByRange("cell"))
+        return index.search(coded, own, "hash", "embedding", v.neighbours, v.probes)
 
     near = stage("neighbours", neighbours)
     stage("knn_edges", lambda: E.both_directions(knn.named(near, names.select("hash", F.explode("values").alias("name")))).distinct())

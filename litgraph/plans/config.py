@@ -25,6 +25,9 @@ class PhraseConfig:
 
 @dataclasses.dataclass
 class VectorConfig:
+    """cells: 0 follows the number of vectors, as its root. `parts` must divide `dimensions`."""
+
+    dimensions: int = 768
     neighbours: int = 100
     cells: int = 2048
     probes: int = 16

@@ -10,17 +10,18 @@ from ..functions.arrays import weighted_jaccard
 from ..functions.dates import UNKNOWN, clean_date, earliest_date, padded_date
 from ..functions.hashing import hash64
 from ..functions.text import ascii_fold, words
-from ..operators import concepts, kv, paths, predicates, ranking
+from ..operators import concepts, kv, pair_scorer, paths, predicates, ranking
 from ..operators import edges as E
 from ..operators import knn as V
 from ..operators.ordering import top_per_group
+from ..operators.pair_scorer import ScorerSettings
 from ..operators.topics import fit_topics, node_name, plaintext, topic_network
+from ..operators.vector_index import VectorIndex
 from ..streaming.arrivals import daily_counts, windowed_counts
+from .stage import scratch
 from .text_queries import _EDGES, _TOK, _bows, bipartite_edges, h64, table
 
 PARTS = 8
-PROBES = 7
-CANDIDATES = 1000
 CUT = "1997-01-01"
 KEY = "l:noun:tion"
 
@@ -115,7 +116,7 @@ def numbered_edges(spark, d):
 
 
 def hop_distance(spark, d):
-    return paths.hop_distances(_graph(spark, d), "e:c1", 6).select("node", F.col("d").cast("long").alias("d"))
+    return paths.hop_distances(_graph(spark, d), "e:c1").select("node", F.col("d").cast("long").alias("d"))
 
 
 def shortest_path(spark, d):
@@ -129,19 +130,25 @@ def nearby_nodes(spark, d):
 
 
 def weighted_distance(spark, d):
-    """By paths of at most three edges."""
-    found = paths.weighted_distances(paths.edge_weights(_graph(spark, d)), "e:c1", rounds=3)
+    found = paths.weighted_distances(paths.edge_weights(_graph(spark, d)), "e:c1")
     return found.select("node", F.round("d", 6).alias("d"))
 
 
+def weighted_path(spark, d):
+    """All edges on paths of the least sum of weights between two customers."""
+    found = paths.shortest_paths(paths.edge_weights(_graph(spark, d)), "e:c1", "e:c2")
+    edges = found.edges if found else spark.createDataFrame([], "src string, dst string, d double")
+    return edges.select("src", "dst", F.round("d", 6).alias("d"), F.lit(round(found.distance, 6) if found else None).cast("double").alias("total"))
+
+
 def nearby_by_weight(spark, d):
-    """The 50 customers nearest to one, by paths of at most two edges: a top-k search."""
-    return paths.nearby_by_weight(paths.edge_weights(_graph(spark, d)), "e:c1", "e", 50, rounds=2).select("node", F.round("d", 6).alias("d"))
+    """The 50 customers nearest to one: a top-k search."""
+    return paths.nearby_by_weight(paths.edge_weights(_graph(spark, d)), "e:c1", "e", 50).select("node", F.round("d", 6).alias("d"))
 
 
 def path_sentences(spark, d):
-    """The union of what is near the nodes of a path."""
-    return paths.near_path(_graph(spark, d), ["e:c1", "e:c2"], "l", 30, hops=1)
+    """The union of the 30 parts nearest to each node of a path: a top-k search from many sources."""
+    return paths.near_path(_graph(spark, d), ["e:c1", "e:c2"], "l", 30)
 
 
 def path_weights(spark, d):
@@ -187,6 +194,25 @@ def predict_pairs(spark, d):
     return ranking.predict_pairs(pairs, _graph(spark, d)).select("ord", "subj", "obj", F.round("score", 6).alias("score"))
 
 
+SCORER = ScorerSettings(neighbours=8, swaps=2, scrambles=1, rounds=6, hidden=16, pairs=2000, kind=None)
+
+
+def pair_members(spark, d):
+    """The sets that the trained scorer looks at: two terms and what only one of them has."""
+    return pair_scorer.members(_pairs(spark, d), _graph(spark, d), SCORER).select("subj", "obj", F.col("place").cast("long").alias("place"), "name")
+
+
+def rank_pairs(spark, d):
+    """Each customer with a part of its number, by a scorer trained on what customers bought; vectors are those of the embeddings."""
+    bought = _customer_parts(spark, d).select(F.col("c").alias("subj"), F.col("p").alias("obj"))
+    vectors = table(spark, d, "embeddings").select(F.explode(F.array(F.concat(F.lit("e:c"), "vec_id"), F.concat(F.lit("l:p"), "vec_id"))).alias("name"), "embedding")
+    known = ranking.in_vocabulary(bought, vectors.select(F.col("name").alias("node")))
+    graph = _graph(spark, d)
+    scorer = pair_scorer.fit_pair_scorer(pair_scorer.training_groups(known, graph, vectors, SCORER), SCORER)
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("e:c"), "c_custkey").alias("subj"), F.concat(F.lit("l:p"), "c_custkey").alias("obj"))
+    return scorer.rank_pairs(asked, graph, vectors)
+
+
 def weighted_jaccard_nations(spark, d):
     """Each nation's customers and suppliers as two vectors of balances by sign and size."""
     bucket = lambda c: F.array(*(F.sum(F.when(c.between(lo, lo + 1999.99), F.lit(1.0)).otherwise(0.0)) for lo in range(0, 10_000, 2000)))
@@ -291,12 +317,6 @@ def knn_edges(spark, d):
     return V.knn_edges(knn_exact(spark, d))
 
 
-def _index(spark, d, parts):
-    x = table(spark, d, "embeddings").select("vec_id", "embedding")
-    sample = np.array([r[0] for r in x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000).select("embedding").collect()], np.float64)  # training only; every row is indexed
-    return V.IvfPq.train(sample, 8, parts, 16), x
-
-
 def ivf_assign(spark, d):
     """Cells by fixed centres, the first vector of each label, so that SQL can follow."""
     x = table(spark, d, "embeddings")
@@ -321,9 +341,11 @@ def pq_encode(spark, d):
 
 
 def ivf_search(spark, d):
-    index, x = _index(spark, d, 16)
-    found = index.search(index.encode(x, "vec_id", "embedding"), x.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", CANDIDATES, PROBES)
-    found = V.rerank(found, x, "vec_id", "embedding", 10)
+    """By an index with as many cells as the root of the rows and 16 parts of 8 bits; probes are learnt from true neighbours."""
+    x = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex.train(x, "vec_id", "embedding", parts=16, bits=8)
+    coded = scratch(index.encode(x, "vec_id", "embedding"))
+    found = index.search(coded, x.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10, index.learn_probes(coded, "vec_id", 10))
     return found.select("src", "dst", F.col("rank").cast("long").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
@@ -470,9 +492,10 @@ QUERIES = {f.__name__: f for f in (
     code_texts, codes_by_regex, closest_text, knn_exact, knn_edges, ivf_assign, pq_encode, ivf_search, negative_pairs, pair_vocab_filter, roc_auc, pr_auc, rank_by_score, reciprocal_rank, precision_at_k, ap_at_k, class_balance, percent_positive,
     masked_accuracy, min_year, event_daily_increment, top_customers, lda_topics, topic_links, key_plaintext, weighted_distance, nearby_by_weight, path_sentences, sampled_neighbourhoods, predicate_neighbourhoods, missing_pairs,
     event_windows, pair_features, knn_names, scrambled_neighbourhoods, batch_means, relation_list, edge2vec, predicate_set, kv_get_many, predication_dates,
+    pair_members, rank_pairs, weighted_path,
 )} | {"weighted_jaccard": weighted_jaccard_nations}
 
-_HOPS = f"""WITH RECURSIVE {_G}, r(node, d) AS (SELECT 'e:c1', 0 UNION SELECT dst, d + 1 FROM r JOIN g ON src = node WHERE d < 6), h AS (SELECT node, CAST(min(d) AS BIGINT) AS d FROM r GROUP BY node)"""
+_HOPS = f"""WITH RECURSIVE {_G}, h(node, d) USING KEY (node) AS (SELECT 'e:c1', 0::BIGINT UNION (SELECT dst, min(h.d + 1) FROM h JOIN g ON src = h.node LEFT JOIN recurring.h k ON k.node = dst WHERE k.node IS NULL GROUP BY dst))"""
 _PRED = "pd AS (SELECT CAST(s_suppkey AS VARCHAR) AS pmid, unnest(['C' || s_suppkey, 'D' || s_suppkey]) AS subj_ids, unnest([s_name, 'other']) AS subj_names, s_name AS subj_text, 'N' || n_nationkey AS obj_ids, n_name AS obj_names, n_name AS obj_text FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 _PKEY = "lower('p:' || subj_ids || ':SUPPLIES:' || obj_ids)"
 _SC = "sc AS (SELECT doc_id, source, n_chars AS score, quality AS label FROM labels JOIN documents USING (doc_id)), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, label DESC, doc_id) AS rank FROM sc)"
@@ -487,7 +510,9 @@ def _buckets(column: str) -> str:
 
 
 _W = f"{_G}, dg AS (SELECT src AS k, count(*) AS n FROM g GROUP BY src), w AS (SELECT src, dst, log2(1.0::DOUBLE + least(a.n, b.n)) AS weight FROM g JOIN dg a ON src = a.k JOIN dg b ON dst = b.k)"
-_RELAX = "d{1} AS (SELECT node, min(d) AS d FROM (SELECT node, d FROM d{0} UNION ALL SELECT dst, round(d + weight, 9) FROM d{0} JOIN w ON src = node) GROUP BY node)"
+_NANO = "u AS (SELECT src, dst, CAST(round(weight * 1e9) AS BIGINT) AS w FROM w)"
+_LEAST = "{0}(node, d) USING KEY (node) AS (SELECT '{1}', 0::BIGINT UNION (SELECT dst, min({0}.d + w) FROM {0} JOIN u ON src = {0}.node LEFT JOIN recurring.{0} k ON k.node = dst WHERE k.node IS NULL OR {0}.d + w < k.d GROUP BY dst))"
+_ONE = f"WITH RECURSIVE {_W}, {_NANO}, {_LEAST.format('h', 'e:c1')}"
 _NEAR = "nb AS (SELECT subj, obj, n, max(s) AS s, max(o) AS o FROM (SELECT subj, obj, dst AS n, 1 AS s, 0 AS o FROM pr JOIN g ON src = subj UNION ALL SELECT subj, obj, dst, 0, 1 FROM pr JOIN g ON src = obj) GROUP BY ALL), known AS (SELECT DISTINCT src FROM g), own AS (SELECT DISTINCT subj, obj FROM pr WHERE subj IN (SELECT src FROM known) AND obj IN (SELECT src FROM known))"
 _TEXT_KEY = "CASE WHEN contains(t, '_') THEN 'n:' || t ELSE 'l:noun:' || t END"
 
@@ -523,9 +548,13 @@ own AS (SELECT subj, obj FROM pr WHERE subj IN (SELECT t FROM e) AND obj IN (SEL
 nb AS (SELECT subj, obj, p, max(s) AS s, max(o) AS o FROM (SELECT subj, obj, p, 1 AS s, 0 AS o FROM own JOIN e ON t = subj UNION ALL SELECT subj, obj, p, 0, 1 FROM own JOIN e ON t = obj) GROUP BY ALL)
 SELECT subj, obj, CAST(count(*) FILTER (s > o) AS BIGINT) AS n_subj, CAST(count(*) FILTER (o > s) AS BIGINT) AS n_obj, CAST(count(*) FILTER (s = o) AS BIGINT) AS n_both, CAST(count(*) AS BIGINT) AS n_any FROM nb GROUP BY subj, obj""",
     "sampled_neighbourhoods": f"WITH {_G}, {_PAIRS}, {_NEAR}, x AS (SELECT subj, obj, CASE WHEN s > o THEN 'subj' ELSE 'obj' END AS side, n, {h64("n || 's'")} AS h FROM nb WHERE s <> o), k AS (SELECT *, row_number() OVER (PARTITION BY subj, obj, side ORDER BY h, n) AS k FROM x) SELECT subj, obj, side, string_agg(n, ',' ORDER BY k) AS neighbours FROM k WHERE k <= 15 GROUP BY subj, obj, side",
-    "path_sentences": f"WITH {_CP}, r AS (SELECT c, p, row_number() OVER (PARTITION BY c ORDER BY p) AS k FROM cp WHERE c IN ('e:c1', 'e:c2')) SELECT DISTINCT p AS node FROM r WHERE k <= 30",
-    "nearby_by_weight": f"WITH {_W}, d0 AS (SELECT 'e:c1' AS node, 0.0::DOUBLE AS d), {_RELAX.format(0, 1)}, {_RELAX.format(1, 2)} SELECT node, round(d, 6) AS d FROM (SELECT node, d FROM d2 WHERE substr(node, 1, 1) = 'e' AND node <> 'e:c1' ORDER BY d, node LIMIT 50)",
-    "weighted_distance": f"WITH {_W}, d0 AS (SELECT 'e:c1' AS node, 0.0::DOUBLE AS d), {_RELAX.format(0, 1)}, {_RELAX.format(1, 2)}, {_RELAX.format(2, 3)} SELECT node, round(d, 6) AS d FROM d3",
+    "pair_members": f"WITH {_G}, {_PAIRS}, {_NEAR}, x AS (SELECT subj, obj, CASE WHEN s > o THEN 2 ELSE 10 END AS first, n, {h64("n || 'scorer'")} AS h FROM nb WHERE s <> o), k AS (SELECT *, row_number() OVER (PARTITION BY subj, obj, first ORDER BY h, n) AS k FROM x) SELECT subj, obj, CAST(first + k - 1 AS BIGINT) AS place, n AS name FROM k WHERE k <= 8 UNION ALL SELECT subj, obj, 0, subj FROM pr UNION ALL SELECT subj, obj, 1, obj FROM pr",
+    "path_sentences": f"""WITH RECURSIVE {_G}, h(source, node, d) USING KEY (source, node) AS (SELECT unnest(['e:c1', 'e:c2']) AS s, s, 0::BIGINT UNION (SELECT h.source, dst, min(h.d + 1) FROM h JOIN g ON src = h.node LEFT JOIN recurring.h k ON k.node = dst AND k.source = h.source WHERE k.node IS NULL GROUP BY h.source, dst)),
+r AS (SELECT node, row_number() OVER (PARTITION BY source ORDER BY d, node) AS k FROM h WHERE substr(node, 1, 1) = 'l') SELECT DISTINCT node FROM r WHERE k <= 30""",
+    "nearby_by_weight": f"{_ONE} SELECT node, round(d / 1e9, 6) AS d FROM (SELECT node, d FROM h WHERE substr(node, 1, 1) = 'e' AND node <> 'e:c1' ORDER BY d, node LIMIT 50)",
+    "weighted_distance": f"{_ONE} SELECT node, round(d / 1e9, 6) AS d FROM h",
+    "weighted_path": f"""WITH RECURSIVE {_W}, {_NANO}, {_LEAST.format('x', 'e:c1')}, {_LEAST.format('y', 'e:c2')}, t AS (SELECT d FROM x WHERE node = 'e:c2')
+SELECT src, dst, round(x.d / 1e9, 6) AS d, round(t.d / 1e9, 6) AS total FROM u JOIN x ON src = x.node JOIN y ON dst = y.node JOIN t ON x.d + w + y.d = t.d""",
     "shortest_path": f"""WITH {_CP}, p1 AS (SELECT p FROM cp WHERE c = 'e:c1'), p2 AS (SELECT p FROM cp WHERE c = 'e:c2'), com AS (SELECT min(p) AS p FROM p1 WHERE p IN (SELECT p FROM p2)),
 mid AS (SELECT min(c) AS m FROM cp WHERE p IN (SELECT p FROM p1) AND c NOT IN ('e:c1', 'e:c2') AND c IN (SELECT c FROM cp WHERE p IN (SELECT p FROM p2))),
 a AS (SELECT min(p) AS p FROM cp WHERE c = (SELECT m FROM mid) AND p IN (SELECT p FROM p1)), b AS (SELECT min(p) AS p FROM cp WHERE c = (SELECT m FROM mid) AND p IN (SELECT p FROM p2)),

@@ -12,8 +12,10 @@ from ..operators import edges as E
 from ..operators import generator as G
 from ..operators import ngrams as N
 from ..operators import hooks
+from ..operators import sentence_model as M
 from ..operators import sentences as S
 from ..operators.ordering import batches, first_appearance_ids, global_row_number
+from .stage import scratch
 
 LATE = 20
 
@@ -51,6 +53,31 @@ def doc_language_filter(spark, d):
     return S.language_filter(_docs(spark, d), "en", "lang").select("doc_id", "lang", "source")
 
 
+def _type_counts(spark, d):
+    return M.type_counts(M.neighbour_counts(_docs(spark, d), "text"))
+
+
+def sentence_type_counts(spark, d):
+    """How often each type of token ends with a full stop, and how often not."""
+    return _type_counts(spark, d)
+
+
+def sentence_abbreviations(spark, d):
+    return M.abbreviations(_type_counts(spark, d)).select("type", F.round("score", 6).alias("score"))
+
+
+def sentence_starters(spark, d):
+    pairs = scratch(M.neighbour_counts(_docs(spark, d), "text"))
+    return M.sentence_starters(M.marked(pairs, M.abbreviations(M.type_counts(pairs)))).select("type", F.round("score", 4).alias("score"))
+
+
+def sentence_split_trained(spark, d):
+    """Sentences by a model learnt from all texts."""
+    docs = _docs(spark, d)
+    model = M.train_sentence_model(docs)
+    return M.explode_trained(docs, "text", model).select("doc_id", "sent_idx", "sent_total", F.md5(F.col("sent_text").cast("binary")).alias("sent_md5"))
+
+
 def sentence_split(spark, d):
     return _sentences(spark, d).select("doc_id", "sent_idx", F.md5(F.col("sent_text").cast("binary")).alias("sent_md5"))
 
@@ -298,6 +325,7 @@ QUERIES = {
     "hash_ids": hash_ids, "hash_to_name": hash_to_name, "freq_having": freq_having, "regroup_abstract": regroup_abstract, "train_val_split": train_val_split, "batches": numbered_batches, "union_sources": union_sources,
     "ngram_recall_minus_title": ngram_recall, "training_pairs": training_pairs, "page_fields": page_fields, "tokenizer_corpus": tokenizer_corpus, "numbered_words": numbered_words, "stop_share": stop_share, "running_sentence_chars": document_sentences_window,
     "entity_spans": entity_spans, "full_bow": full_bow, "edge_families": edge_families, "abstract_text": abstract_text, "first_appearance": first_appearance,
+    "sentence_type_counts": sentence_type_counts, "sentence_abbreviations": sentence_abbreviations, "sentence_starters": sentence_starters, "sentence_split_trained": sentence_split_trained,
 }
 
 _BOW = f"{_TOK}, b AS (SELECT doc_id, w, pos FROM tok WHERE good)"
@@ -310,8 +338,26 @@ ct2 AS (SELECT *, lower(cased) AS w FROM ct),
 cap AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY pos) AS g FROM ct2 WHERE regexp_matches(cased, '^\\p{{Lu}}')),
 ent AS (SELECT doc_id, sent_idx, CAST(min(pos) AS BIGINT) AS tok_start, CAST(max(pos) + 1 AS BIGINT) AS tok_end, string_agg(w, '_' ORDER BY pos) AS text, bool_and(w IN ({_STOP})) AS stops FROM cap GROUP BY doc_id, sent_idx, g HAVING count(*) > 1)"""
 _GOOD = f"w NOT IN ({_STOP}) AND {_POS} <> 'ADV'"
+_TYPES = r"""tk AS (SELECT doc_id, unnest(ts) AS b, unnest(range(len(ts))) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') AS ts FROM documents)),
+tw AS (SELECT doc_id, i, b, regexp_replace(regexp_replace(b, '^["''“”‘’«»(\[{]+', ''), '["''“”‘’«»)\]},;:!?]+$', '') AS cb FROM tk WHERE b <> ''),
+ty AS (SELECT *, CASE WHEN regexp_matches(bare, '^-?[.,]?[0-9][0-9.,-]*$') THEN '##number##' ELSE bare END AS type, ends_with(cb, '.') AS stop FROM (SELECT *, lower(regexp_replace(cb, '\.$', '')) AS bare FROM tw)),
+tc AS (SELECT type, CAST(count(*) FILTER (stop) AS BIGINT) AS with_stop, CAST(count(*) FILTER (NOT stop) AS BIGINT) AS without FROM ty GROUP BY type),
+tp AS (SELECT sum(with_stop)::DOUBLE / sum(with_stop + without) AS p FROM tc),
+tz AS (SELECT *, length(type) - length(replace(type, '.', '')) AS inn FROM tc),
+ab AS (SELECT * FROM (SELECT type, -2 * (with_stop * ln(p) + without * ln(1 - p) - with_stop * ln(0.99::DOUBLE) - without * ln(1 - 0.99::DOUBLE)) * exp(-greatest(length(type) - inn, 1)::DOUBLE) * (inn + 1) * pow(greatest(length(type) - inn, 1)::DOUBLE, -without::DOUBLE) AS score
+FROM tz, tp WHERE with_stop > 0 AND type <> '##number##' AND regexp_matches(type, '\p{L}')) WHERE score >= 0.3)"""
+_STARTS = r"""ne AS (SELECT *, lag(b) OVER w AS pb, lag(type) OVER w AS pt, lag(stop) OVER w AS ps FROM ty WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+pl AS (SELECT *, CASE WHEN pb IS NULL THEN '^' WHEN ps AND (pt IN (SELECT type FROM ab) OR regexp_matches(pt, '^\.*$')) THEN '?' WHEN ps OR regexp_matches(pb, '[!?]["''“”‘’«»)\]}]*$') THEN 'b' ELSE 'm' END AS place FROM ne),
+nn AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (place = 'b'))::DOUBLE AS a FROM pl),
+sc AS (SELECT type, count(*)::DOUBLE AS b, (count(*) FILTER (place = 'b' AND NOT (ps AND (pt = '##number##' OR regexp_matches(pt, '^\p{L}$')))))::DOUBLE AS k FROM pl GROUP BY type),
+sp AS (SELECT type, a, b, k, n, b / n AS p, k / a AS p1, (b - k) / (n - a) AS p2 FROM sc, nn WHERE k > 0 AND regexp_matches(type, '^\p{L}+$')),
+sl AS (SELECT *, -2 * (k * ln(p) + (a - k) * ln(1 - p) + (b - k) * ln(p) + (n - a - b + k) * ln(1 - p)
+- CASE WHEN p1 > 0 AND p1 < 1 THEN k * ln(p1) + (a - k) * ln(1 - p1) ELSE 0 END - CASE WHEN p2 > 0 AND p2 < 1 THEN (b - k) * ln(p2) + (n - a - b + k) * ln(1 - p2) ELSE 0 END) AS score FROM sp)"""
 
 ORACLES = {
+    "sentence_type_counts": f"WITH {_TYPES} SELECT type, with_stop, without FROM tc",
+    "sentence_abbreviations": f"WITH {_TYPES} SELECT type, round(score, 6) AS score FROM ab",
+    "sentence_starters": f"WITH {_TYPES}, {_STARTS} SELECT type, round(score, 4) AS score FROM sl WHERE score >= 30 AND n / a > b / k",
     "entity_spans": f"WITH {_CASED} SELECT doc_id, sent_idx, tok_start, tok_end, text, stops FROM ent",
     "full_bow": f"""WITH {_CASED}, a AS (SELECT doc_id, sent_idx, list(w ORDER BY pos) FILTER ({_GOOD}) AS l, list(w ORDER BY pos) AS every FROM ct2 GROUP BY ALL),
 e AS (SELECT doc_id, sent_idx, list(text ORDER BY tok_start) AS t FROM ent WHERE NOT stops GROUP BY ALL),

@@ -164,9 +164,6 @@ def test_index_parts_merge_and_names(spark):
     assert rows(knn.IvfPq.merge(*halves)) == rows(index.encode(df, "id", "embedding"))
     ids, matrix = knn.to_matrix(df.orderBy("id"), "id", "embedding")
     assert ids.tolist() == list(range(80)) and np.array_equal(matrix, x)
-    found = index.search(knn.IvfPq.merge(*halves), df.filter("id < 10"), "id", "embedding", 40, 4)
-    exact = knn.exact_knn(df.filter("id < 10"), df, "id", "embedding", 5)
-    assert knn.recall(knn.rerank(found, df, "id", "embedding", 5), exact).first()[0] >= 0.9
     names = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a")], "hash long, name string")
     assert rows(knn.named(spark.createDataFrame([(1, 2), (2, 9)], "src long, dst long"), names)) == [("a", "b")]
 
@@ -340,13 +337,15 @@ def test_build_and_topic_query(spark, tmp_path):
         text = [{"text": f"{say(i % 2)} The Acme Institute found {say(i % 2)}", "type": "title"}, {"text": say((i + (i % 5 == 0)) % 2), "type": "abstract"}]
         docs.append((f"D{i}", "1", f"2015-01-{i + 1:02}", "eng", "x", text, [], [f"C{i % 2}"], [], []))
     documents = spark.createDataFrame(docs, DOCUMENT)
-    config = BuildConfig(root=f"file://{tmp_path}/store", phrases=PhraseConfig(longest=3, support=4, part_support=1), vectors=VectorConfig(neighbours=3, cells=4, probes=4, parts=8, bits=4, train_rate=1.0), topics=TopicConfig(topics=2, rounds=5, nearby=30, least_df=2))
+    config = BuildConfig(root=f"file://{tmp_path}/store", phrases=PhraseConfig(longest=3, support=4, part_support=1), vectors=VectorConfig(dimensions=64, neighbours=3, cells=4, probes=4, parts=8, bits=4, train_rate=1.0), topics=TopicConfig(topics=2, rounds=5, nearby=30, least_df=2))
     store = build(spark, config, documents)
     done = store.names()
     assert {"adjacent_edges", "bow", "coded_edges", "entity_edges", "graph", "knn_edges", "lemma_edges", "ngram_edges", "sentence_store"} <= set(done)
     graph, bags = store.stage("graph", lambda: None), store.stage("bow", lambda: None)
     assert graph.filter("src = 'm:c0'").count() > 0 and graph.filter("dst LIKE 'e:the_acme_institute'").count() > 0 and bags.filter("array_contains(bow, 'bridge_term')").count() > 0
     assert build(spark, config, documents.limit(0)).names() == done and store.stage("graph", lambda: None).count() == graph.count()  # nothing is computed again
+    vectors = store.stage("embeddings", lambda: None)
+    assert knn.recall(store.stage("neighbours", lambda: None), knn.exact_knn(vectors, vectors, "hash", "embedding", 3)).first()[0] >= 0.9
     halted = BuildConfig(root=f"file://{tmp_path}/halted", halt_after="parsed_sentences", cut_date="2015-01-03")
     with pytest.raises(StopIteration):
         build(spark, halted, documents)
