@@ -10,7 +10,7 @@ from ..functions.arrays import weighted_jaccard
 from ..functions.dates import UNKNOWN, clean_date, earliest_date, padded_date
 from ..functions.hashing import hash64
 from ..functions.text import ascii_fold, words
-from ..operators import concepts, kv, pair_scorer, paths, predicates, ranking
+from ..operators import concepts, edit_join, kv, pair_scorer, paths, predicates, ranking
 from ..operators import edges as E
 from ..operators import knn as V
 from ..operators.ordering import top_per_group
@@ -308,6 +308,14 @@ def closest_text(spark, d):
     return concepts.closest_texts(atoms, ["blue steel", "green copper", "part 17"])
 
 
+def closest_names(spark, d):
+    """Part names with something missing or added, and all names at the least edit distance from them."""
+    parts = table(spark, d, "part")
+    name, k = F.lower("p_name"), F.col("p_partkey") % 3
+    queries = parts.select(F.when(k == 0, F.substring(name, 2, 1000)).when(k == 1, F.concat(name, F.lit("xyz"))).otherwise(F.substring(name, 4, 1000)).alias("query"))
+    return edit_join.closest_pairs(queries, parts.select(name.alias("text")))
+
+
 def knn_exact(spark, d):
     x = table(spark, d, "embeddings").select("vec_id", "embedding")
     return V.exact_knn(x.filter(F.col("vec_id") % 100 == 0), x, "vec_id", "embedding", 10).select("src", "dst", F.col("rank").cast("long").alias("rank"), F.round("dist", 6).alias("dist"))
@@ -492,7 +500,7 @@ QUERIES = {f.__name__: f for f in (
     code_texts, codes_by_regex, closest_text, knn_exact, knn_edges, ivf_assign, pq_encode, ivf_search, negative_pairs, pair_vocab_filter, roc_auc, pr_auc, rank_by_score, reciprocal_rank, precision_at_k, ap_at_k, class_balance, percent_positive,
     masked_accuracy, min_year, event_daily_increment, top_customers, lda_topics, topic_links, key_plaintext, weighted_distance, nearby_by_weight, path_sentences, sampled_neighbourhoods, predicate_neighbourhoods, missing_pairs,
     event_windows, pair_features, knn_names, scrambled_neighbourhoods, batch_means, relation_list, edge2vec, predicate_set, kv_get_many, predication_dates,
-    pair_members, rank_pairs, weighted_path,
+    pair_members, rank_pairs, weighted_path, closest_names,
 )} | {"weighted_jaccard": weighted_jaccard_nations}
 
 _HOPS = f"""WITH RECURSIVE {_G}, h(node, d) USING KEY (node) AS (SELECT 'e:c1', 0::BIGINT UNION (SELECT dst, min(h.d + 1) FROM h JOIN g ON src = h.node LEFT JOIN recurring.h k ON k.node = dst WHERE k.node IS NULL GROUP BY dst))"""
@@ -594,6 +602,7 @@ SELECT CAST(unnest(range(len(n))) AS INT) AS step, unnest(n) AS node FROM w""",
     "code_texts": f"WITH {_ATOM}, u AS (SELECT DISTINCT cui, lower(str) AS t FROM atoms) SELECT 'code' AS kind, cui AS key, string_agg(t, '|' ORDER BY t) AS vals FROM u GROUP BY cui UNION ALL SELECT 'text', t, string_agg(cui, '|' ORDER BY cui) FROM u GROUP BY t",
     "codes_by_regex": f"WITH {_ATOM} SELECT DISTINCT cui FROM atoms WHERE regexp_matches(lower(str), '^(?:[a-m].*(e|o) )')",
     "closest_text": f"WITH {_ATOM}, t AS (SELECT DISTINCT lower(str) AS text FROM atoms), q AS (SELECT unnest(['blue steel', 'green copper', 'part 17']) AS query), p AS (SELECT query, text, CAST(levenshtein(query, text) AS BIGINT) AS distance FROM q CROSS JOIN t) SELECT query, text, distance FROM p QUALIFY distance = min(distance) OVER (PARTITION BY query)",
+    "closest_names": "WITH t AS (SELECT DISTINCT lower(p_name) AS text FROM part), q AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN substr(lower(p_name), 2) WHEN 1 THEN lower(p_name) || 'xyz' ELSE substr(lower(p_name), 4) END AS query FROM part), p AS (SELECT query, text, CAST(levenshtein(query, text) AS BIGINT) AS distance FROM q CROSS JOIN t) SELECT query, text, distance FROM p QUALIFY distance = min(distance) OVER (PARTITION BY query)",
     "knn_exact": f"WITH {_KNN} SELECT src, dst, CAST(rank AS BIGINT) AS rank, round(dist, 6) AS dist FROM kr WHERE rank <= 10",
     "knn_edges": f"WITH {_KNN}, k AS (SELECT 's:' || src AS a, 's:' || dst AS b FROM kr WHERE rank <= 10) SELECT a AS src, b AS dst FROM k UNION SELECT b, a FROM k",
     "ivf_assign": f"WITH c AS (SELECT label, min_by(embedding, vec_id) AS e, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS cell FROM embeddings GROUP BY label), x AS (SELECT vec_id, cell, round({_DIST.format(a='embedding', b='e')}, 9) AS dist FROM embeddings CROSS JOIN c) SELECT vec_id, cell FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cell) = 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -39,6 +40,48 @@ class StageStore:
             raise StopIteration(f"halted after stage {name}")
         return self.spark.read.parquet(self.path(name))
 
+    def stage_by_files(self, name: str, rows: DataFrame, compute: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+        """A stage that resumes within itself. The files behind `rows`, a Parquet table, make `parts` parts, which are computed and committed
+        one by one; `compute` must do each row's work alone (or each file's), as it sees one part at a time. A manifest, written first, fixes
+        which files make which part; a part whose files or their sizes have changed since is computed again. The stage's own marker comes last."""
+        if not self.enabled:
+            return compute(rows)
+        if not self.done(name):
+            schema, manifest = rows.schema, self._manifest(name, rows.inputFiles(), parts)
+            for k, files in enumerate(manifest):
+                if files and not self.done(f"{name}/resume_part={k}"):
+                    compute(self.spark.read.schema(schema).parquet(*files)).write.mode("overwrite").parquet(self.path(f"{name}/resume_part={k}"))
+            fs, marker = self._at(name, "_SUCCESS")
+            fs.create(marker).close()
+        if name == self.halt_after:
+            raise StopIteration(f"halted after stage {name}")
+        return self.spark.read.parquet(self.path(name)).drop("resume_part")
+
+    def _manifest(self, name: str, files: list[str], parts: int) -> list[list[str]]:
+        """Files of each part, by size; parts that the stored manifest says otherwise of are deleted."""
+        sizes = {}
+        for f in files:
+            at = self._path(f)
+            sizes[f] = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+        fs, path = self._at(name, "_manifest")
+        old = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(path), "UTF-8")) if fs.exists(path) else None
+        if old is not None and len(old) == parts and sorted(f for p in old for f, _ in p) == sorted(sizes):
+            new = [[[f, sizes[f]] for f, _ in p] for p in old]
+        else:
+            new, load = [[] for _ in range(parts)], [0] * parts
+            for f in sorted(sizes, key=lambda f: (-sizes[f], f)):
+                k = load.index(min(load))
+                new[k].append([f, sizes[f]])
+                load[k] += sizes[f]
+        for k in range(max(parts, len(old or ()))):
+            if (new[k] if k < parts else None) != (old[k] if old and k < len(old) else None):
+                self.clear(f"{name}/resume_part={k}")
+        if new != old:
+            out = fs.create(path, True)
+            out.write(bytearray(json.dumps(new).encode()))
+            out.close()
+        return [[f for f, _ in p] for p in new]
+
     def clear(self, name: str | None = None) -> None:
         fs, path = self._at(name or "")
         fs.delete(path, True)

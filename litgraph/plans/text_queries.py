@@ -15,6 +15,7 @@ from ..operators import hooks
 from ..operators import sentence_model as M
 from ..operators import sentences as S
 from ..operators.ordering import batches, first_appearance_ids, global_row_number
+from ..operators.phrases import mined_and_annotated
 from .stage import scratch
 
 LATE = 20
@@ -120,7 +121,7 @@ def ngram_partial_support(spark, d):
 def phrase_annotate(spark, d):
     """Phrases of two or three words, longest first, with all mined ones that reach the support."""
     lemmas = _docs(spark, d).select("doc_id", words(F.col("text")).alias("lemmas"))
-    found = N.annotate(lemmas, "doc_id", "lemmas", N.mine_ngrams(_gram_rows(spark, d), LATE), 3)
+    found = mined_and_annotated(lemmas, "doc_id", "lemmas", LATE)
     return found.select("doc_id", F.size("ngrams").cast("long").alias("n_phrases"), F.array_join("ngrams", ",").alias("phrases"))
 
 
