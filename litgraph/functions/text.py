@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,10 +135,21 @@ def greek_names(text: Column) -> Column:
     return F.replace(text, F.lit("ς"), F.lit("sigma"))
 
 
+def _base_letters() -> tuple[str, str]:
+    """All letters beyond ASCII that Unicode decomposes to an ASCII letter with marks, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0x80, 0x2200)]
+    pairs = [(c, d[0]) for c, d in pairs if d[0].isascii() and d[0].isalpha() and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+ACCENTED, BASE = _base_letters()
+
+
 def ascii_fold(text: Column) -> Column:
-    """Greek letters become names, accents of common Latin letters go, then everything beyond ASCII."""
+    """Greek letters become names, letters with marks lose them, then everything beyond ASCII goes."""
     text = F.when(text.rlike(r"\p{InGreek}"), greek_names(text)).otherwise(text)
-    return F.regexp_replace(F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÉÈÊËÍÎÏÓÔÖÚÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncAAAAEEEEIIIOOOUUUNC"), r"[^\x00-\x7F]", "")
+    folded = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ACCENTED, BASE)).otherwise(text)
+    return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
 
 
 def normal_space(text: Column) -> Column:

@@ -40,7 +40,7 @@ GATHERED = 100_000
 def gathered(rows: DataFrame, key: str, value: str, most: int = GATHERED) -> DataFrame:
     """key, chunk and values: the key's distinct values, sorted. A key with more than about `most` of them has several rows, numbered
     by chunk, among which its values are dealt by hash; all others have chunk 0."""
-    one = rows.select(key, value).distinct()
+    one = scratch(rows.select(key, value).distinct())  # counted, then gathered
     hot = scratch(one.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("_n")).filter("_n > 1"))
     chunk = F.lit(0).cast("long")
     if not hot.isEmpty():

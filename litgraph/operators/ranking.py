@@ -181,9 +181,15 @@ def reciprocal_rank(rows: DataFrame, label: str) -> DataFrame:
 
 
 def balanced(rows: DataFrame, label: str, order: list[Column]) -> DataFrame:
-    """As many rows of each label as the rarer one has, first ones first."""
-    least = min((r[1] for r in rows.groupBy(label).count().collect()), default=0)
-    return top_per_group(rows, [label], order, least)
+    """As many rows of each label as the rarest one has, first ones first. Rows are numbered along one order by ranges, so a label of most rows
+    is many tasks."""
+    numbered = global_row_number(rows, [F.col(label), *order], "_k")
+    first = numbered.groupBy(label).agg(F.min("_k").alias("_first"), F.count(F.lit(1)).alias("_n")).collect()  # one row for each label
+    if not first:
+        return rows
+    least, own = min(r["_n"] for r in first), rows.sparkSession.createDataFrame([(r[label], r["_first"]) for r in first], rows.select(label).schema.add("_first", "long"))
+    own = own.withColumnRenamed(label, "_label")
+    return numbered.join(F.broadcast(own), F.col(label).eqNullSafe(F.col("_label"))).filter(F.col("_k") < F.col("_first") + least).drop("_k", "_first", "_label")
 
 
 def percent_positive(rows: DataFrame, group: str, label: str) -> DataFrame:

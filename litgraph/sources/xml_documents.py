@@ -36,7 +36,8 @@ def citation(article) -> dict:
         text = re.sub(r"\s", " ", "".join(a.itertext()))
         if text:
             parts.append({"text": text, "type": f"abstract:{(a.get('NlmCategory') or 'raw').lower()}"})
-    authors = [f"{_text(a, 'Initials')[0]}. {_text(a, 'LastName')}" for a in body.iterfind("AuthorList/Author") if _text(a, "Initials") and _text(a, "LastName")]
+    names = [((_text(a, "Initials") or "").strip(), _text(a, "LastName")) for a in body.iterfind("AuthorList/Author")]
+    authors = [f"{initials}. {last.strip()}" if initials else last.strip() for initials, last in names if last is not None]
     banks = [{"name": _text(b, "DataBankName"), "id": "".join(x.itertext())} for b in body.iterfind("DataBankList/DataBank") for x in b.iterfind("AccessionNumberList/AccessionNumber")]
     codes = [x.get("UI") for x in [*medline.iterfind("ChemicalList/Chemical/NameOfSubstance"), *medline.iterfind("MeshHeadingList/MeshHeading/DescriptorName")]]
     dates = [d for d in (_date(x) for x in article.iterfind("PubmedData/History/PubMedPubDate")) if d != "0000-00-00"]

@@ -231,6 +231,7 @@ def test_extractor_lines(spark):
     df = spark.createDataFrame([("s:1", "the α-\nß 'cell' é"), ("s:2", "漢")], "id string, text string")
     assert rows(readers.extractor_lines(df, F.col("id"), F.col("text"))) == [("s:1|the alpha-  cell e",)]
     assert spark.range(1).select(ascii_fold(F.lit("Ωmega Δ")), normal_space(F.lit("a b\tc"))).first() == ("Omegamega Delta", "a b c")
+    assert spark.range(1).select(ascii_fold(F.lit("Čapek, Łódź, Nguyễn, São e\u0301 ½ 中"))).first()[0] == "Capek, odz, Nguyen, Sao e  "
     with pytest.raises(Exception, match="pipe"):
         readers.extractor_lines(df, F.lit("a|b"), F.col("text")).collect()
 

@@ -7,7 +7,7 @@ from litgraph.sources.xml_documents import read_citations, read_extractions
 from litgraph.streaming.arrivals import ingest_new
 
 CITATION = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation Status="MEDLINE"><PMID Version="2">77</PMID><Article><Language>eng</Language><ArticleTitle>On <i>lung</i> cells</ArticleTitle>
-<Abstract><AbstractText NlmCategory="METHODS">We\tlooked.</AbstractText><AbstractText>Found.</AbstractText></Abstract><AuthorList><Author><Initials>AB</Initials><LastName>Doe</LastName></Author></AuthorList>
+<Abstract><AbstractText NlmCategory="METHODS">We\tlooked.</AbstractText><AbstractText>Found.</AbstractText></Abstract><AuthorList><Author><Initials>AB</Initials><LastName>Doe</LastName></Author><Author><LastName>Alone</LastName></Author><Author><Initials> </Initials><LastName>Blank</LastName></Author><Author><Initials>X</Initials></Author></AuthorList>
 <PublicationTypeList><PublicationType>Journal Article</PublicationType></PublicationTypeList><DataBankList><DataBank><DataBankName>GENBANK</DataBankName><AccessionNumberList><AccessionNumber>X1</AccessionNumber></AccessionNumberList></DataBank></DataBankList></Article>
 <ChemicalList><Chemical><NameOfSubstance UI="D01">c</NameOfSubstance></Chemical></ChemicalList><MeshHeadingList><MeshHeading><DescriptorName UI="D02">m</DescriptorName></MeshHeading></MeshHeadingList></MedlineCitation>
 <PubmedData><History><PubMedPubDate><Year>2015</Year><Month>3</Month><Day>0</Day></PubMedPubDate><PubMedPubDate><Year>0</Year></PubMedPubDate></History></PubmedData></PubmedArticle></PubmedArticleSet>"""
@@ -21,7 +21,7 @@ def test_citations(spark, tmp_path):
     r = read_citations(spark, str(tmp_path)).first()
     assert (r.pmid, r.version, r.date, r.language) == ("77", "2", "2015-03-00", "eng")
     assert [(t.text, t.type) for t in r.text_data] == [("On lung cells", "title"), ("We looked.", "abstract:methods"), ("Found.", "abstract:raw")]
-    assert (r.mesh_headings, r.authors, [tuple(b) for b in r.data_banks]) == (["D01", "D02"], ["A. Doe"], [("GENBANK", "X1")])
+    assert (r.mesh_headings, r.authors, [tuple(b) for b in r.data_banks]) == (["D01", "D02"], ["AB. Doe", "Alone", "Blank"], [("GENBANK", "X1")])
 
 
 def test_extractions(spark, tmp_path):
