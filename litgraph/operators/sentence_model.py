@@ -20,30 +20,33 @@ from ..plans.stage import drop, scratch
 #: Fixed values of the published method: the least scores of an abbreviation, a collocation and a sentence starter.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 NUMBER = "##number##"
-OPENERS, CLOSERS = "\"'“”‘’«»([{", "\"'“”‘’«»)\\]},;:!?"
-_LEAD, _TRAIL = f"^[{OPENERS.replace('[', chr(92) + '[')}]+", f"[{CLOSERS}]+$"
+#: What is no part of a token's type before and after it.
+OPENERS, CLOSERS = "\"'“”‘’«»([{", "\"'“”‘’«»)]},;:!?"
 _DIGITS = r"^-?[.,]?[0-9][0-9.,-]*$"
+_FIRST = "0123456789-.,"
 #: A mark that may end a sentence, what may close after it, and the space before the next one.
 _CANDIDATE = re.compile(r"[.!?][\"'“”‘’«»)\]}]*\s+(?=\S)")
 
 
 def token_type(core: Column) -> Column:
     """The type of a token without its final full stop: in lower case, all numbers as one."""
-    bare = F.lower(F.regexp_replace(core, r"\.$", ""))
-    return F.when(bare.rlike(_DIGITS), NUMBER).otherwise(bare)
+    bare = F.lower(F.when(core.endswith("."), F.substring(core, F.lit(1), F.length(core) - 1)).otherwise(core))
+    return F.when(F.substring(bare, 1, 1).isin(*_FIRST) & bare.rlike(_DIGITS), NUMBER).otherwise(bare)
 
 
 def neighbour_counts(texts: DataFrame, text: str) -> DataFrame:
     """before, before_type, type, stop, letter and n. before: how the token before ends ('.', '!' for exclamation and question marks, '-' for
     anything else, '^' at a text's beginning); before_type: its type where that is a full stop; stop: whether the token ends with one; letter:
     the case of its first letter, 'u', 'l' or '-'."""
-    core = lambda t: F.regexp_replace(F.regexp_replace(t, _LEAD, ""), _TRAIL, "")
+    core = lambda t: F.rtrim(F.ltrim(t, F.lit(OPENERS)), F.lit(CLOSERS))
     rows = texts.select(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " ").alias("t"))
     rows = rows.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("t")).alias("a"), F.col("t").alias("b"))).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     rows = rows.filter("b IS NOT NULL AND b <> ''").select("a", core(F.col("a")).alias("ca"), core(F.col("b")).alias("cb"))
-    before = F.when(F.col("a").isNull(), "^").when(F.col("ca").endswith("."), ".").when(F.col("a").rlike(r"[!?][\"'“”‘’«»)\]}]*$"), "!").otherwise("-")
+    asked = F.rtrim("a", F.lit("\"'“”‘’«»)]}"))
+    before = F.when(F.col("a").isNull(), "^").when(F.col("ca").endswith("."), ".").when(asked.endswith("!") | asked.endswith("?"), "!").otherwise("-")
     rows = rows.withColumn("before", before).withColumn("before_type", F.when(F.col("before") == ".", token_type(F.col("ca"))))
-    letter = F.when(F.col("cb").rlike(r"^\p{Lu}"), "u").when(F.col("cb").rlike(r"^\p{Ll}"), "l").otherwise("-")
+    first = F.substring("cb", 1, 1)
+    letter = F.when(F.lower(first) != first, "u").when(F.upper(first) != first, "l").otherwise("-")
     return rows.select("before", "before_type", token_type(F.col("cb")).alias("type"), F.col("cb").endswith(".").alias("stop"), letter.alias("letter")).groupBy("before", "before_type", "type", "stop", "letter").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -116,7 +119,7 @@ def collocations(places: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.withColumn("score", score).filter(keep).select("before_type", "type", "score")
 
 
-_WORD = re.compile(r"\S+")
+_WORD, _NUMBER = re.compile(r"\S+"), re.compile(_DIGITS)
 
 
 def _word_start(text: str, begin: int, at: int) -> int:
@@ -142,9 +145,9 @@ class SentenceModel:
     @staticmethod
     def type_of(token: str) -> tuple[str, str]:
         """A token without quotes and brackets, and its type."""
-        core = re.sub(_TRAIL, "", re.sub(_LEAD, "", token))
-        bare = (core.removesuffix(".")).lower()
-        return core, NUMBER if re.match(_DIGITS, bare) else bare
+        core = token.lstrip(OPENERS).rstrip(CLOSERS)
+        bare = core.removesuffix(".").lower()
+        return core, NUMBER if bare[:1] in _FIRST and _NUMBER.match(bare) else bare
 
     def ends(self, token: str, following: str) -> bool:
         """Whether a sentence ends between two tokens, of which the first ends with a mark."""
