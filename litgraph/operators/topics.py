@@ -1,28 +1,13 @@
-"""Topic models of a corpus of bags, and the network between topics."""
+"""The network between topics (`topic_model` fits them), and what a graph key is about."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .paths import nearby_nodes
 
 
-def fit_topics(docs: DataFrame, bow: str, k: int = 20, rounds: int = 50, seed: int = 7, vocabulary: int = (1 << 31) - 1, least_df: int = 2):
-    """The document mixes (column topics: array of k weights) and the topics (topic, word, weight; the ten heaviest words)."""
-    vector = CountVectorizer(inputCol=bow, outputCol="_v", vocabSize=vocabulary, minDF=least_df).fit(docs)
-    counted = vector.transform(docs)
-    model = LDA(k=k, maxIter=rounds, seed=seed, featuresCol="_v", topicDistributionCol="_t").fit(counted)
-    from pyspark.ml.functions import vector_to_array
-
-    mixes = model.transform(counted).withColumn("topics", vector_to_array("_t")).drop("_v", "_t")
-    words = vector.vocabulary
-    heaviest = [(r.topic, words[i], float(w)) for r in model.describeTopics(10).collect() for i, w in zip(r.termIndices, r.termWeights, strict=True)]  # ten for each topic
-    return mixes, docs.sparkSession.createDataFrame(heaviest, "topic int, word string, weight double")
-
-
 def topic_network(terms: DataFrame, source: str, target: str) -> DataFrame:
     """a, b, similarity (sum of lesser over sum of greater weights) in both directions where it is above 0. Topics are 0, 1, ...; the
     source is -1 and the target -2, each a single word of weight 1. Topics that share no word have nothing in common, so only those that

@@ -15,7 +15,8 @@ from ..operators import edges as E
 from ..operators import knn as V
 from ..operators.ordering import top_per_group
 from ..operators.pair_scorer import ScorerSettings
-from ..operators.topics import fit_topics, node_name, plaintext, topic_network
+from ..operators.topic_model import fit_topics
+from ..operators.topics import node_name, plaintext, topic_network
 from ..operators.vector_index import VectorIndex
 from ..streaming.arrivals import daily_counts, windowed_counts
 from .stage import scratch

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ngrams, paths
 from ..operators.edges import cap_degree
-from ..operators.topics import fit_topics, node_name, plaintext, topic_network
+from ..operators.topic_model import fit_topics
+from ..operators.topics import node_name, plaintext, topic_network
 from .config import TopicConfig
 from .stage import scratch
 

@@ -58,16 +58,6 @@ def test_all_frequent_phrases_annotate(spark, tmp_path, monkeypatch):
     assert len(got) == 601 and all(got[k].phrases == f"alpha{k}_beta{k}" and got[k].n_phrases == 1 for k in range(600))
 
 
-def test_topics_take_the_whole_vocabulary(spark):
-    import inspect
-
-    from litgraph.operators.topics import fit_topics
-
-    assert inspect.signature(fit_topics).parameters["vocabulary"].default > 1 << 24
-    mixes, terms = fit_topics(spark.createDataFrame([(["a", "b"],), (["b", "a"],), (["a", "c"],)], "bow array<string>"), "bow", 2, 2)
-    assert mixes.count() == 3 and {r.word for r in terms.collect()} == {"a", "b"} and terms.schema.simpleString() == "struct<topic:int,word:string,weight:double>"
-
-
 def test_paths(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "d")]
     graph = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src string, dst string")
