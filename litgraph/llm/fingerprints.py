@@ -6,8 +6,8 @@ lends its value (optimal densification: lenders are independent of each other, s
 kept and packed. Two different minima agree in b bits with probability 2**-b, so with a share m of equal bins the estimated similarity is
 (m - 2**-b) / (1 - 2**-b), not below 0.
 
-The edited text needs the beginning of the next document in descending order of ids. Texts are dealt by range and sorted, so they move once,
-and a task streams its range with one document pending. What crosses a range is settled from the first and last text of each, which the
+The edited text needs the beginning of the next document in descending order of ids. Texts are compressed, dealt by range and sorted, so they
+move once, and a task streams its range with one document pending. What crosses a range is settled from the first and last text of each, which the
 first pass writes beside its results; these meet by range number, and only range numbers come to the driver.
 
 Edge cases: null texts are empty. A text of fewer words than a shingle is one shingle, a text without words has none: its fingerprint is
@@ -25,11 +25,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, table, token_lists, written
+from .common import byte_list, mix, slices, table, token_lists, written
 
 WORDS, BINS, LOW_BITS = 5, 512, 4
 U = np.uint64
@@ -138,11 +139,19 @@ def fingerprint_documents(documents: DataFrame, words: int = WORDS, bins: int =
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     order = [F.desc_nulls_last("doc_id"), F.col("tie")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+
+    def pack(batches):
+        zstd = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for piece in slices(batches, "text"):
+            data = pa.array([zstd.compress(t) for t in byte_list(piece, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), data], ["doc_id", "tie", "text"])
+
+    packed = rows.select("doc_id", "tie", "text").mapInArrow(pack, f"doc_id {kind}, tie long, text binary")
+    dealt = packed.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     schema = RESULT.format(id=kind) + ", range int, first_text string, last_text string"
 
     def stream(batches):
-        make, number = Fingerprinter(words, bins, low_bits), TaskContext.get().partitionId()
+        make, number, zstd = Fingerprinter(words, bins, low_bits), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         first = pending = None
 
         def batch(ids, found, range_=None, head=None, tail=None):
@@ -154,8 +163,8 @@ def fingerprint_documents(documents: DataFrame, words: int = WORDS, bins: int =
             ids, found, at = piece.column(0), [], 0
             waiting = pending[0] if pending else ids.slice(0, 0)
             for text in piece.column(1):
-                text = text.as_py()
-                own = make(text.encode())
+                data = zstd.decompress(text.as_py())
+                text, own = data.decode(), make(data)
                 if pending:
                     found.append(_compared(make, *pending[1:], text, own))
                 else:
