@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +38,8 @@ class StageStore:
         if not self.enabled:
             return build()
         if not self.done(name):
-            build().write.mode("overwrite").parquet(self.path(name))
+            with scope():
+                build().write.mode("overwrite").parquet(self.path(name))
         if name == self.halt_after:
             raise StopIteration(f"halted after stage {name}")
         return self.spark.read.parquet(self.path(name))
@@ -50,7 +54,8 @@ class StageStore:
             schema, manifest = rows.schema, self._manifest(name, rows.inputFiles(), parts)
             for k, files in enumerate(manifest):
                 if files and not self.done(f"{name}/resume_part={k}"):
-                    compute(self.spark.read.schema(schema).parquet(*files)).write.mode("overwrite").parquet(self.path(f"{name}/resume_part={k}"))
+                    with scope():
+                        compute(self.spark.read.schema(schema).parquet(*files)).write.mode("overwrite").parquet(self.path(f"{name}/resume_part={k}"))
             fs, marker = self._at(name, "_SUCCESS")
             fs.create(marker).close()
         if name == self.halt_after:
@@ -98,23 +103,45 @@ class StageStore:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a temporary one, which
+    the library remembers; the session's settings stay as they are."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="litgraph-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not getattr(context, "_litgraph_shared", None):
+        context._litgraph_shared = "file://" + tempfile.mkdtemp(prefix="litgraph-")
+    return context._litgraph_shared
+
+
+#: The tables of the innermost scope.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scope():
+    """Tables that `scratch` makes inside are deleted at its end, when what is made of them has been written. Those taken off the list stay."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        drop(*made)
 
 
 def scratch(df: DataFrame) -> DataFrame:
-    """df, read back from a table in the shared folder, so that later reads see the same rows and partitions. `drop` deletes it."""
+    """df, read back from a table in the shared folder, so that later reads see the same rows and partitions. `drop` deletes it, or the end of
+    the `scope` that it is made in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.path_ = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 

@@ -10,14 +10,22 @@ from ..operators.edges import cap_degree
 from ..operators.topic_model import fit_topics
 from ..operators.topics import node_name, plaintext, topic_network
 from .config import TopicConfig
-from .stage import scratch
+from .stage import scope, scratch
 
 
 def topic_query(graph: DataFrame, bags: DataFrame, source: str, target: str, config: TopicConfig, by_weight: bool = True) -> DataFrame:
     """One row: source, target, path, documents (id, topics), topics (topic, word, weight) and network (a, b, similarity, by names). All of
     them are bounded by the settings: nodes of the path, `nearby` sentences for each, ten words for each topic.
 
-    `graph` has src and dst, `bags` id and bow. Keys that the graph lacks, and keys that no path connects, are errors."""
+    `graph` has src and dst, `bags` id and bow. Keys that the graph lacks, and keys that no path connects, are errors. The row is a table; all
+    others that the query makes are gone when it returns."""
+    with scope() as made:
+        out = scratch(_topic_query(graph, bags, source, target, config, by_weight))
+        made.remove(out)
+    return out
+
+
+def _topic_query(graph: DataFrame, bags: DataFrame, source: str, target: str, config: TopicConfig, by_weight: bool) -> DataFrame:
     nodes = graph.select(F.col("src").alias("node")).distinct()
     for key in (source, target):
         if nodes.filter(F.col("node") == key).isEmpty():
