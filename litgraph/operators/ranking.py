@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import dot
 from ..functions.hashing import hash64, sample_by_hash
 from ..functions.keys import is_type
+from ..plans.stage import scratch
 from .ordering import dense_ids, global_row_number, top_per_group
 
 
@@ -24,6 +25,8 @@ def neighbour_rows(pairs: DataFrame, edges: DataFrame, kind: str | None = "predi
 def disjoint_neighbourhoods(pairs: DataFrame, edges: DataFrame, kind: str | None = "predicate") -> DataFrame:
     """subj, obj, and how many neighbours only the subject has, only the object has, both have, and either has; for pairs whose terms both
     are in the graph. `missing_pairs` reports the others."""
+    ends = pairs.select(F.explode(F.array("subj", "obj")).alias("src")).distinct()
+    edges = scratch(edges.select("src", "dst").join(ends, "src", "left_semi"))  # read once for the vocabulary and once for each side
     own = in_vocabulary(pairs.select("subj", "obj").distinct(), edges.select(F.col("src").alias("node")).distinct())
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias
     s, o = F.col("s") == 1, F.col("o") == 1
@@ -150,8 +153,6 @@ def roc_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Running sums along a global order, by ranges: each range's own sums, plus what all ranges before it hold."""
-    from ..plans.stage import scratch
-
     dealt = scratch(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     before = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for c, n in sums.items()))
     w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
