@@ -138,7 +138,8 @@ class SentenceModel:
     abbreviations: set[str] = field(default_factory=set)
     starters: set[str] = field(default_factory=set)
     collocations: set[tuple[str, str]] = field(default_factory=set)
-    #: Types that begin sentences when they have a capital: seen in lower case and never with a capital inside; and those seen in lower case.
+    #: Of types seen with a capital where a full stop leaves doubt: those that begin sentences then, as they are seen in lower case and never
+    #: with a capital inside; and all that are seen in lower case.
     capital_starts: set[str] = field(default_factory=set)
     lower: set[str] = field(default_factory=set)
 
@@ -184,16 +185,19 @@ def train_sentence_model(texts: DataFrame, text: str = "text", most: int = 1 <<
     counts = scratch(type_counts(pairs))
     short = scratch(abbreviations(counts))
     places = scratch(marked(pairs, short))
-    largest = lambda df, order: df.orderBy(F.desc(order), "type").limit(most)
-    seen = contexts(places)
-    follows = seen.join(places.filter("before = '.'").select("type").distinct(), "type", "left_semi")  # other contexts are never asked for
+    largest = lambda df, order, *columns: df.orderBy(F.desc(order), *columns).limit(most).select(*columns).toArrow().to_pydict()
+    unsure = (F.col("place") == "?") | (F.col("before_type") == NUMBER) | F.col("before_type").rlike(_INITIAL)
+    asked = places.filter((F.col("before") == ".") & (F.col("letter") == "u") & unsure).select("type").distinct()  # other contexts are never asked for
+    follows = scratch(contexts(places).join(asked, "type", "left_semi").filter("lower"))
+    tied = largest(collocations(places, counts), "score", "before_type", "type")
     model = SentenceModel(
-        {r.type for r in largest(short, "score").select("type").collect()},
-        {r.type for r in largest(sentence_starters(places), "score").select("type").collect()},
-        {(r.before_type, r.type) for r in collocations(places, counts).orderBy(F.desc("score"), "before_type", "type").limit(most).collect()},
-        {r.type for r in largest(follows.filter("lower AND NOT upper_inside"), "n").select("type").collect()},
-        {r.type for r in largest(follows.filter("lower"), "n").select("type").collect()},
+        set(largest(short, "score", "type")["type"]),
+        set(largest(sentence_starters(places), "score", "type")["type"]),
+        set(zip(tied["before_type"], tied["type"])),
+        set(largest(follows.filter("NOT upper_inside"), "n", "type")["type"]),
+        set(largest(follows, "n", "type")["type"]),
     )
+    drop(follows)
     drop(pairs, counts, short, places)
     return model
 
