@@ -9,12 +9,13 @@ without shingles says nothing, so there are a few blocks to spare, about as many
 with another seed, and only the last deal lists empty blocks.
 The boundary between light and heavy is the one of least cost on a sample: subsets and list entries to write, and sets to verify.
 
-Lists hold candidates. First every member is compared with the smallest id of its list. Lists whose members aren't in one component then
-make groups of documents that lists connect; a group is cut into blocks of about BLOCK sets of similar size, and each pair of blocks whose
-sizes allow links is one task's piece of work. There, common shingles of all sets that aren't in the block's largest component with all
-others are counted at once, as a product of incidence matrices. Before texts move, sketches of 256 bytes (counts of shingles by hash,
-whose difference is never more than that of the sets) rule out most pairs. All counts are exact, and no pair of documents is ever a row, so a group
-of thousands of near copies costs its members once for each block beside theirs, and no link between components is lost.
+Lists hold candidates. First every member is compared with the smallest id of its list. Of lists whose members aren't in one component
+then, those with the same smallest id make a group: two sets that link share a list, so they share a group. A group of more than two blocks
+of BLOCK sets is cut into blocks of similar size, and each pair of blocks whose sizes allow links is one task's piece of work. There,
+common shingles of all sets that aren't in the block's largest component with all others are counted at once, as a product of incidence
+matrices. Before texts move, sketches of 256 bytes (counts of shingles by hash, whose difference is never more than that of the sets) rule
+out most pairs. All counts are exact, and no pair of documents is ever a row, so a group of thousands of near copies costs its members
+once for each block beside theirs, and no link between components is lost.
 
 Edge cases: null texts and texts without words have no set, link with nothing and are their own component; a text of fewer words than
 a shingle has its whole sequence as the one shingle; rows that repeat an id are one document's and share a component; null ids get a
@@ -264,11 +265,19 @@ def entries_of(known: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def block_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, component, work (a number for each pair of blocks that the row takes part in), n1 and sketch. A block holds sets within a
-    twentieth of each other in size; blocks of a group that is all one component make no pair."""
-    level = F.floor(F.log(F.col("set.n0").cast("double")) / F.log(F.lit(1.05))).cast("int")
-    rows = rest.select("gid", "doc_id", "component", level.alias("level"), F.col("set.n1").alias("n1"), F.col("set.n0").alias("n0"), "set.sketch")
+    """A written table: doc_id, component, work, n1 and sketch; a work is what one comparison takes. A group of at most two blocks is one work. A larger
+    one is cut into blocks of sets within a twentieth of each other in size, and each pair of blocks whose sizes allow links is a work."""
+    rows = rest.select("gid", "doc_id", "component", F.col("set.n1").alias("n1"), F.col("set.n0").alias("n0"), "set.sketch")
+    large = written(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 2 * BLOCK).select("gid"), "jaccard-large")
+    out = rows.join(large, "gid", "left_anti").select("doc_id", "component", F.col("gid").alias("work"), "n1", "sketch")
+    if large.isEmpty():
+        out = written(out, "jaccard-blocks")
+        drop(large)
+        return out
+    level = F.floor(F.log(F.col("n0").cast("double")) / F.log(F.lit(1.05))).cast("int")
+    rows = rows.join(large, "gid", "left_semi").withColumn("level", level)
     blocks = rows.groupBy("gid", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("count"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    blocks = written(blocks, "jaccard-levels")
     dealt = rows.join(blocks.select("gid", "level", "count"), ["gid", "level"]).withColumn("b", F.pmod(F.xxhash64("doc_id"), "count")).select("gid", "doc_id", "component", "level", "b", "n1", "sketch")
     each = blocks.select("gid", "level", "n0", "n1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("b"))
     x, y = each.alias("x"), each.alias("y")
@@ -277,7 +286,10 @@ def block_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
     work = F.xxhash64("x.gid", "x.level", "x.b", "y.level", "y.b").alias("work")
     sides = F.array_distinct(F.array(F.struct(F.col("x.level").alias("level"), F.col("x.b").alias("b")), F.struct(F.col("y.level").alias("level"), F.col("y.b").alias("b"))))
     parts = pairs.select(F.col("x.gid").alias("gid"), work, F.explode(sides).alias("s")).select("gid", "work", "s.level", "s.b")
-    return dealt.join(parts, ["gid", "level", "b"]).select("doc_id", "component", "work", "n1", "sketch")
+    out = written(out.unionByName(dealt.join(parts, ["gid", "level", "b"]).select("doc_id", "component", "work", "n1", "sketch")), "jaccard-blocks")
+    for used in (large, blocks):
+        drop(used)
+    return out
 
 
 def links_in_block(sets: list[np.ndarray], component: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -350,8 +362,8 @@ def possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def sifted(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, component, work) of `block_pairs` whose sketch leaves a link to another component of the same work possible."""
-    rows = written(rows, "jaccard-blocks")
+    """Rows (doc_id, component, work) of `block_pairs`, a written table, whose sketch leaves a link to another component of the same work
+    possible."""
     bins = max(1, rows.count() // (4 * BLOCK))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -436,8 +448,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for used in (texts, long, named, mixed):
         drop(used)
     if not members.isEmpty():
-        groups = connected(members.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"node": "doc_id", "component": "gid"})
-        rest = written(members.select("doc_id", "component").distinct().join(groups, "doc_id").join(of("doc_id"), "doc_id").withColumnRenamed("doc_id_set", "set"), "jaccard-rest")
+        rest = written(members.withColumnRenamed("hub", "gid").join(of("doc_id"), "doc_id").withColumnRenamed("doc_id_set", "set"), "jaccard-rest")
         work = sifted(block_pairs(rest, num, den), num, den)
         drop(rest)
         texts = written(only_ids(docs, work.select("doc_id")), "jaccard-texts")
