@@ -39,6 +39,13 @@ def test_stages_take_effect(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(texts)
 
 
+def test_rows_that_repeat_stay_once(spark):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, None), (2, None), (3, "one two three four five six"), (4, "other words"), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.drop_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 0, 1, 2, 4]
+
+
 def test_names_of_queries_and_stages():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len(P.STAGES) == 5
