@@ -34,15 +34,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: that with the smallest id. Rows are told apart by a hash of id and text, so rows that share an id go
-    only if their texts link or are equal. Null and empty texts link with nothing, so of them only repeated rows go. Rows with a null id
-    are no one's duplicate and stay. Ids and hashes settle what stays; a text moves once."""
+    """One row of each group stays: that with the smallest id. Where an id has several texts, told apart by 128 bits, each text is a
+    document of its own, so rows that share an id go only if their texts link or are equal. Null and empty texts link with nothing, so of
+    them only repeated rows go. Rows with a null id are no one's duplicate and stay. Ids and hashes settle what stays; a text moves once,
+    and once more where ids have several texts."""
     docs = docs.select(COLUMNS)
-    rows = docs.filter("doc_id is not null").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    groups = link_documents(rows, "row_key", **NEAR).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
-    ids = rows.select("row_key", "doc_id").distinct().join(groups, "row_key")
-    first = written(ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("one")).select("one.row_key"), "pipeline-first")
-    kept = rows.join(first, "row_key", "left_semi").dropDuplicates(["row_key"])
+    rows = docs.filter("doc_id is not null").withColumns({f"h{k}": F.xxhash64(F.lit(k), "text") for k in (1, 2)})
+    seen = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *(f(h).alias(f"{f.__name__}_{h}") for f in (F.min, F.max) for h in ("h1", "h2")))
+    repeated = written(seen.filter("n > 1").select((F.expr("min_h1 <> max_h1 OR min_h2 <> max_h2")).alias("several")), "pipeline-repeated")
+    if repeated.filter("several").isEmpty():
+        groups = link_documents(rows, **NEAR)
+        kept = rows.join(groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+        kept = kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    else:
+        told = ["doc_id", "h1", "h2"]
+        nodes = written(rows.select(told).distinct().withColumn("node", F.monotonically_increasing_id()), "pipeline-nodes")
+        rows = written(rows.join(nodes, told).dropDuplicates(["node"]), "pipeline-rows")
+        groups = link_documents(rows, "node", **NEAR).select(F.col("doc_id").alias("node"), "component_id")
+        ids = nodes.select("node", "doc_id").join(groups, "node")
+        first = written(ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("one")).select("one.node"), "pipeline-first")
+        kept = rows.join(first, "node", "left_semi")
+    drop(repeated)
     return kept.select(COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
