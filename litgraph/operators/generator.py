@@ -66,7 +66,9 @@ def recall_minus_title(rows: DataFrame, key: str, generated: Column, target: Col
     `frequency` (ngram, n) lacks. A target without such n-grams scores 1."""
     frequency = scratch(frequency)  # a table, so that the join can split an n-gram of every row
     wanted = rows.select(key, F.array_except(target, title).alias("_t"), F.array_except(F.array_intersect(generated, target), title).alias("_g"))
-    grams = wanted.select(key, "_g", F.explode_outer("_t").alias("ngram")).join(frequency, "ngram", "left")
+    marked = lambda items, found: F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.struct(x.alias("ngram"), F.lit(found).alias("found")))
+    hit = F.coalesce("_g", F.array().cast("array<string>"))  # each n-gram travels with a mark, not with the row's list
+    grams = wanted.select(key, F.explode_outer(F.concat(marked(F.col("_g"), True), marked(F.array_except("_t", hit), False))).alias("_x")).select(key, "_x.ngram", "_x.found")
     weight = F.when(F.col("ngram").isNull(), 0.0).otherwise(F.coalesce(1.0 / F.log2(F.col("n") + 1.0), F.lit(1.0)))
-    sums = grams.groupBy(key).agg(F.sum(weight).alias("all"), F.sum(F.when(F.array_contains("_g", F.col("ngram")), weight).otherwise(0.0)).alias("found"))
+    sums = grams.join(frequency, "ngram", "left").groupBy(key).agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("found"), weight).otherwise(0.0)).alias("found"))
     return sums.select(key, F.when(F.col("all") > 0, F.col("found") / F.col("all")).otherwise(1.0).alias("recall"))
