@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from litgraph.operators import generator
+from litgraph.functions.text import is_interesting
+from litgraph.operators import edges, generator
 
 
 def rows(df):
@@ -16,3 +17,15 @@ def test_recall_moves_ngrams_without_their_row(spark):
     assert [(k, round(r, 6)) for k, r in rows(found)] == [(1, 0.2), (2, 0.0), (3, 1.0), (4, 1.0)]
     joined = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" not in joined  # the list would have to travel with each of its n-grams
+
+
+def test_families_in_one_pass_shuffle_only_edges_of_shared_sources(spark):
+    once = [("a", ["x", "the", "x", None], ["p"]), ("b", ["x"], None), (None, [], ["p"])]
+    twice = once + [("a", ["x", "zz"], ["p", "q"]), (None, ["z"], ["p"])]
+    for data, shuffled in ((once, False), (twice, True)):
+        df = spark.createDataFrame(data, "id string, w array<string>, e array<string>")
+        found = edges.typed_edges(df, F.col("id"), {"word": (F.col("w"), lambda w: F.concat(F.lit("l:"), w), is_interesting), "entity": (F.col("e"), lambda e: e, None)})
+        want = {(i, f"l:{w}", "word") for i, ws, _ in data for w in ws or [] if w not in (None, "the")} | {(i, e, "entity") for i, _, es in data for e in es or []}
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert ("Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()) == shuffled
