@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from litgraph.functions.text import is_interesting
-from litgraph.operators import edges, generator
+from litgraph.operators import edges, generator, paths
 
 
 def rows(df):
@@ -29,3 +29,13 @@ def test_families_in_one_pass_shuffle_only_edges_of_shared_sources(spark):
         got = [tuple(r) for r in found.collect()]
         assert len(got) == len(want) and set(got) == want
         assert ("Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()) == shuffled
+
+
+def test_pairs_weigh_as_the_edges_between_them(spark):
+    pairs = spark.createDataFrame([(1, 7), (1, 8), (1, 9), (2, 7), (3, 9), (None, 9)], "c long, p long")
+    named = pairs.select(F.concat(F.lit("c"), "c").alias("src"), F.concat(F.lit("p"), "p").alias("dst"))
+    one = paths.pair_weights(pairs, "c", "p")
+    assert "concat" not in one._jdf.queryExecution().optimizedPlan().toString() and one.schema["c"].dataType.simpleString() == "bigint"
+    got = edges.both_directions(one.select(F.concat(F.lit("c"), "c").alias("src"), F.concat(F.lit("p"), "p").alias("dst"), "weight"))
+    want = paths.edge_weights(edges.both_directions(named))
+    assert rows(got) == rows(want) and got.count() == 10
