@@ -39,3 +39,9 @@ def test_pairs_weigh_as_the_edges_between_them(spark):
     got = edges.both_directions(one.select(F.concat(F.lit("c"), "c").alias("src"), F.concat(F.lit("p"), "p").alias("dst"), "weight"))
     want = paths.edge_weights(edges.both_directions(named))
     assert rows(got) == rows(want) and got.count() == 10
+
+
+def test_ids_of_both_directions(spark):
+    pairs = spark.createDataFrame([("a", "p"), ("b", "p"), ("a", "q"), ("c", None)], "src string, dst string")
+    assert rows(edges.edge_list_ids_both(pairs)) == rows(edges.edge_list_ids(edges.both_directions(pairs)))
+    assert edges.edge_list_ids_both(pairs).count() == 6
