@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from litgraph.functions.text import is_interesting
 from litgraph.operators import edges, generator, paths
+from litgraph.plans import graph_queries
 
 
 def rows(df):
@@ -45,3 +46,10 @@ def test_ids_of_both_directions(spark):
     pairs = spark.createDataFrame([("a", "p"), ("b", "p"), ("a", "q"), ("c", None)], "src string, dst string")
     assert rows(edges.edge_list_ids_both(pairs)) == rows(edges.edge_list_ids(edges.both_directions(pairs)))
     assert edges.edge_list_ids_both(pairs).count() == 6
+
+
+def test_shared_pairs_are_joined_once(spark, tmp_path):
+    spark.createDataFrame([(i, i % 5) for i in range(30)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i % 30, i % 7) for i in range(90)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for query in (graph_queries.edge_list_ids, graph_queries.relation_list, graph_queries.negative_pairs):
+        assert "lineitem" not in query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
