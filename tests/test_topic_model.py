@@ -97,3 +97,18 @@ def test_no_documents_or_no_words(spark):
     for rows in ([], [(1, "a", None), (2, "b", ["x"])]):
         mixes, terms = T.fit_topics(spark.createDataFrame(rows, "id long, name string, bow array<string>"), "bow", 2, 2)
         assert mixes.count() == len(rows) and terms.count() == 0
+
+
+def test_rounds_move_numbers_only(frame):
+    """Bags are packed once; a block's row has no text, and neither has what the rounds join."""
+    _, packed = T.dealt(frame, "bow", 3)
+    blocks = T.train_topics(frame, "bow", 3, 1)[2]
+    assert not [t for _, t in blocks.needs.dtypes if "string" in t]
+    bags = {tuple(sorted(b)) for (b,) in frame.select("bow").collect() if b}
+    seen = set()
+    for row in packed.toArrow().to_batches():
+        for i in range(row.num_rows):
+            one = T.pa.Table.from_batches([row.slice(i, 1)])
+            words, (rows, doc, place, n) = one.column("words")[0].as_py(), T.unpack(one)
+            seen |= {tuple(sorted(w for d, p, c in zip(doc, place, n) if d == x for w in [words[p]] * int(c))) for x in range(len(rows))} - {()}
+    assert seen == bags
