@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .paths import nearby_nodes
@@ -25,9 +25,9 @@ def node_name(topic, source: str, target: str):
     return F.when(topic == -1, F.lit(f"Source: {source}")).when(topic == -2, F.lit(f"Target: {target}")).otherwise(F.concat(F.lit("Topic "), topic.cast("string")))
 
 
-def plaintext(bags: DataFrame, key: str, bow: str, edges: DataFrame, node: str, most: int = 100, kind: str = "s") -> DataFrame:
+def plaintext(bags: DataFrame, key: str, bow: str | Column, edges: DataFrame, node: str, most: int = 100, kind: str = "s") -> DataFrame:
     """The most frequent word of the `most` sentences nearest to a graph key (word, n), the first seen among equals. `bags` have a sentence
-    key and its words; the walk over the edges widens until it has the sentences."""
+    key and its words (or what `bow` makes words of, once the sentences are found); the walk over the edges widens until it has the sentences."""
     near = nearby_nodes(edges, node, kind, most).withColumn("_place", F.row_number().over(Window.orderBy("d", "node")))  # `most` rows
     words = bags.join(F.broadcast(near.select(F.col("node").alias(key), "_place")), key).select(F.posexplode(bow).alias("_i", "word"), "_place")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_place", "_i")).alias("first"))
