@@ -2,8 +2,9 @@
 sentences, and pairs that a full stop doesn't part, all found by log-likelihood ratios over counts of word types.
 
 One pass over the texts counts pairs of neighbouring tokens; what precedes a token is kept by name only where it ends with a full stop, so
-the table is about as long as the vocabulary. Types, abbreviations, contexts, starters and collocations are aggregates and joins of it. The
-model that goes to the tasks is sets of types, of at most `most` types each, the most frequent ones.
+the table is about as long as the vocabulary. Types, abbreviations, contexts, starters and collocations are aggregates and joins of it. Where
+only types are asked for, tokens alone are counted. The model that goes to the tasks is sets of types, of at most `most` types each, the most
+frequent ones; the two that grow with the vocabulary are packed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +36,27 @@ def token_type(core: Column) -> Column:
     return F.when(F.substring(bare, 1, 1).isin(*_FIRST) & bare.rlike(_DIGITS), NUMBER).otherwise(bare)
 
 
+def _core(token: Column) -> Column:
+    return F.rtrim(F.ltrim(token, F.lit(OPENERS)), F.lit(CLOSERS))
+
+
+def _split(text: str) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " ")
+
+
+def token_counts(texts: DataFrame, text: str) -> DataFrame:
+    """type, stop and n of `neighbour_counts`, without what stands before: equal tokens are counted before their types are made."""
+    rows = texts.select(F.explode(_split(text)).alias("b")).filter("b <> ''").groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("cb", _core(F.col("b")))
+    return rows.select(token_type(F.col("cb")).alias("type"), F.col("cb").endswith(".").alias("stop"), "n")
+
+
 def neighbour_counts(texts: DataFrame, text: str) -> DataFrame:
     """before, before_type, type, stop, letter and n. before: how the token before ends ('.', '!' for exclamation and question marks, '-' for
     anything else, '^' at a text's beginning); before_type: its type where that is a full stop; stop: whether the token ends with one; letter:
     the case of its first letter, 'u', 'l' or '-'."""
-    core = lambda t: F.rtrim(F.ltrim(t, F.lit(OPENERS)), F.lit(CLOSERS))
-    rows = texts.select(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " ").alias("t"))
+    rows = texts.select(_split(text).alias("t"))
     rows = rows.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("t")).alias("a"), F.col("t").alias("b"))).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    rows = rows.filter("b IS NOT NULL AND b <> ''").select("a", core(F.col("a")).alias("ca"), core(F.col("b")).alias("cb"))
+    rows = rows.filter("b IS NOT NULL AND b <> ''").select("a", _core(F.col("a")).alias("ca"), _core(F.col("b")).alias("cb"))
     asked = F.rtrim("a", F.lit("\"'“”‘’«»)]}"))
     before = F.when(F.col("a").isNull(), "^").when(F.col("ca").endswith("."), ".").when(asked.endswith("!") | asked.endswith("?"), "!").otherwise("-")
     rows = rows.withColumn("before", before).withColumn("before_type", F.when(F.col("before") == ".", token_type(F.col("ca"))))
@@ -133,6 +148,33 @@ def _word_start(text: str, begin: int, at: int) -> int:
         width *= 8
 
 
+class Types:
+    """A set of types as one sorted string of bytes, some tenth of a set's memory; every worker process holds it."""
+
+    def __init__(self, types=()) -> None:
+        held = sorted({t.encode() for t in types})
+        self.text, self.ends = b"".join(held), np.cumsum([0, *map(len, held)])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def _at(self, i: int) -> bytes:
+        return self.text[self.ends[i] : self.ends[i + 1]]
+
+    def __contains__(self, one: str) -> bool:
+        key, low, high = one.encode(), 0, len(self)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if self._at(mid) < key else (low, mid)
+        return low < len(self) and self._at(low) == key
+
+    def __iter__(self):
+        return (self._at(i).decode() for i in range(len(self)))
+
+    def __eq__(self, other) -> bool:
+        return set(self) == set(other)
+
+
 @dataclass
 class SentenceModel:
     abbreviations: set[str] = field(default_factory=set)
@@ -140,8 +182,8 @@ class SentenceModel:
     collocations: set[tuple[str, str]] = field(default_factory=set)
     #: Of types seen with a capital where a full stop leaves doubt: those that begin sentences then, as they are seen in lower case and never
     #: with a capital inside; and all that are seen in lower case.
-    capital_starts: set[str] = field(default_factory=set)
-    lower: set[str] = field(default_factory=set)
+    capital_starts: Types = field(default_factory=Types)
+    lower: Types = field(default_factory=Types)
 
     @staticmethod
     def type_of(token: str) -> tuple[str, str]:
@@ -160,10 +202,11 @@ class SentenceModel:
         initial, dots = len(kind) == 1 and kind.isalpha(), not kind.strip(".")
         if (kind, next_kind) in self.collocations:
             return False
-        begins = True if capital and next_kind in self.capital_starts else False if small else None
-        if (kind in self.abbreviations or dots) and not initial:
-            return bool(begins or (capital and next_kind in self.starters))
-        if initial or kind == NUMBER:
+        short = (kind in self.abbreviations or dots) and not initial
+        if short or initial or kind == NUMBER:
+            begins = True if capital and next_kind in self.capital_starts else False if small else None
+            if short:
+                return bool(begins or (capital and next_kind in self.starters))
             if begins is False or (begins is None and initial and capital and next_kind not in self.lower):
                 return False
         return not small or kind not in self.abbreviations
@@ -194,8 +237,8 @@ def train_sentence_model(texts: DataFrame, text: str = "text", most: int = 1 <<
         set(largest(short, "score", "type")["type"]),
         set(largest(sentence_starters(places), "score", "type")["type"]),
         set(zip(tied["before_type"], tied["type"])),
-        set(largest(follows.filter("NOT upper_inside"), "n", "type")["type"]),
-        set(largest(follows, "n", "type")["type"]),
+        Types(largest(follows.filter("NOT upper_inside"), "n", "type")["type"]),
+        Types(largest(follows, "n", "type")["type"]),
     )
     drop(follows)
     drop(pairs, counts, short, places)

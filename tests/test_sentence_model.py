@@ -150,3 +150,20 @@ def test_texts_without_anything_to_learn(spark):
 def test_a_long_text_without_ends(model):
     text = "e.g. " * 200_000
     assert model.split(text) == [text]
+
+
+def test_tokens_alone_give_the_same_types(frame):
+    """Types are made of distinct tokens, after these have been counted."""
+    key = lambda df: sorted(map(tuple, df.collect()))
+    alone = M.token_counts(frame, "text")
+    assert key(M.type_counts(alone)) == key(M.type_counts(M.neighbour_counts(frame, "text")))
+    assert alone.count() < sum(len((t or "").split()) for (t,) in frame.select("text").collect()) / 10
+
+
+def test_packed_types(model):
+    words = {"valve", "e.g", "ärzte", "été", "", "zz", "a" * 300}
+    packed = M.Types(words)
+    assert set(packed) == words and len(packed) == len(words) and all(w in packed for w in words)
+    assert not {"valv", "valves", "A", "zzz"} & {w for w in ("valv", "valves", "A", "zzz") if w in packed} and "a" not in M.Types()
+    many = [f"type{i}" for i in range(10_000)]
+    assert sum(len(getattr(M.Types(many), c)) for c in ("text",)) < 10_000 * 12 and isinstance(model.lower, M.Types)
