@@ -94,11 +94,13 @@ def log_ratio(a: Column, b: Column, both: Column, n: Column) -> Column:
 
 
 def marked(pairs: DataFrame, short: DataFrame) -> DataFrame:
-    """The pairs with `place`: 'b' after what ends a sentence at first sight, '?' after an abbreviation or dots, 'm' within a sentence."""
+    """The pairs with `place`: 'b' after what ends a sentence at first sight, '?' after an abbreviation or dots, 'm' within a sentence. Only
+    pairs with a full stop before have a type there; the others, most of them, would all meet in one task of the join."""
     known = short.select(F.col("type").alias("before_type"), F.lit(True).alias("short"))
     unsure = F.col("short").isNotNull() | (F.col("before_type").rlike(r"^\.*$"))
     place = F.when(F.col("before").isin("^", "!"), "b").when(F.col("before") == "-", "m").when(unsure, "?").otherwise("b")
-    return pairs.join(known, "before_type", "left").withColumn("place", place)
+    named, others = pairs.filter("before_type IS NOT NULL"), pairs.filter("before_type IS NULL").withColumn("short", F.lit(None).cast("boolean"))
+    return named.join(known, "before_type", "left").unionByName(others).withColumn("place", place)
 
 
 def contexts(places: DataFrame) -> DataFrame:
@@ -115,9 +117,11 @@ _INITIAL = r"^\p{L}$"
 def sentence_starters(places: DataFrame) -> DataFrame:
     """type and score of words that follow a sentence's end more often than chance says."""
     ends = (F.col("place") == "b") & (F.col("before") != "^")
-    n, breaks = (int(x or 0) for x in places.agg(F.sum("n"), F.sum(F.when(ends, F.col("n")))).first())
     after = ends & ~F.coalesce((F.col("before_type") == NUMBER) | F.col("before_type").rlike(_INITIAL), F.lit(False))
-    found = places.groupBy("type").agg(F.sum("n").alias("all"), F.sum(F.when(after, F.col("n"))).alias("here")).filter(F.col("type").rlike(r"^\p{L}+$") & (F.col("here") > 0))
+    sums = {"all": F.lit(True), "here": after, "breaks": ends}
+    types = scratch(places.groupBy("type").agg(*(F.sum(F.when(c, F.col("n"))).alias(k) for k, c in sums.items())))
+    n, breaks = (int(x or 0) for x in types.agg(F.sum("all"), F.sum("breaks")).first())
+    found = types.filter(F.col("type").rlike(r"^\p{L}+$") & (F.col("here") > 0))
     score = log_ratio(F.lit(float(breaks)), F.col("all").cast("double"), F.col("here").cast("double"), F.lit(float(n)))
     return found.withColumn("score", score).filter((F.col("score") >= STARTER) & (F.lit(n) / max(breaks, 1) > F.col("all") / F.col("here"))).select("type", "score")
 
