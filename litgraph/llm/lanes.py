@@ -43,29 +43,37 @@ def windows(sequences: Iterator[tuple], width: int, steps: int, begin: int) -> I
         if not lanes:
             return
         n = len(lanes)
-        target, held, starts = np.zeros((n, steps), np.int32), np.zeros((n, steps), bool), np.zeros((n, steps), bool)
-        inputs, parts, first, going, rest = np.empty((n, steps), np.int32), [], [], [], []
+        pieces, inputs, held, starts = [], np.empty((n, steps), np.int32), np.ones((n, steps), bool), np.zeros((n, steps), bool)
+        before, parts, first, begun, going, rest = [], [], [], [], [], []
         for k, lane in enumerate(lanes):
-            at = 0
-            inputs[k, 0] = lane[1][lane[2] - 1] if lane[2] else begin
-            while at < steps and lane is not None:
-                tag, ids, pos = lane
-                m = min(steps - at, len(ids) - pos)
-                target[k, at : at + m] = ids[pos : pos + m]
+            tag, ids, pos = lane
+            before.append(ids[pos - 1] if pos else begin)
+            at, end = k * steps, (k + 1) * steps
+            while True:
+                piece = ids[pos : pos + end - at]
+                pieces.append(piece)
                 if not pos:
-                    starts[k, at] = True
-                ends = pos + m == len(ids)
+                    begun.append(at)
+                first.append(at)
+                pos += len(piece)
+                at += len(piece)
+                ends = pos == len(ids)
                 parts.append((tag, ends))
-                first.append(k * steps + at)
-                at += m
-                lane = (tag, ids, pos + m)
                 if ends:
                     new = next(waiting, None)
-                    lane = None if new is None else (*new, 0)
-            held[k, :at] = True
-            if lane is not None:
-                going.append(k)
-                rest.append(lane)
+                    if new is None:
+                        if at < end:
+                            held[k, at - end :] = False
+                            pieces.append(np.zeros(end - at, np.int32))
+                        break
+                    (tag, ids), pos = new, 0
+                if at == end:
+                    going.append(k)
+                    rest.append((tag, ids, pos))
+                    break
+        target = np.concatenate(pieces, dtype=np.int32, casting="unsafe").reshape(n, steps)
+        inputs[:, 0] = before
+        starts.ravel()[begun] = True
         inputs[:, 1:] = target[:, :-1]
         inputs[starts] = begin
         yield Window(*(np.ascontiguousarray(a.T) for a in (target, inputs, starts, held)), parts, np.array(first), kept)

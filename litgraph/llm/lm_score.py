@@ -8,7 +8,8 @@ Training is truncated backpropagation: windows of TIME steps, the state carried
 the weights to start from; then each partition of the training rows makes a gradient pass over all of its documents, and the weights are
 the mean of the partitions' weights by their tokens. Scoring carries the state through a document of any length, so its log-likelihood is
 that of the complete text. Both run documents through a fixed number of lanes, a window of steps at a time (`lanes.windows`): memory has a
-bound whatever the lengths, and a lane whose document ends takes the next one at once.
+bound whatever the lengths, and a lane whose document ends takes the next one at once. Texts become the network's numbers once, in a
+table that training and scoring read.
 
 Counts of frequent tokens (at most HEAD of them, by a threshold on their counts) are broadcast. Rarer tokens are joined with the count
 table; none of them is frequent, in training rows or elsewhere, so this join has no hot key.
@@ -51,6 +52,8 @@ TOLD_APART = 4096
 #: Rare tokens with their counts that a row of the table of scores holds at most.
 TAIL = 20_000
 END = b""
+#: The network's numbers as they are written; there are at most HEAD.
+ID = np.dtype("<u2")
 
 
 class Gru:
@@ -83,86 +86,104 @@ class Gru:
         self.share = np.log(f / in_class[of]).astype(np.float32)[told:]
         self.p["w"], self.p["wb"] = np.ascontiguousarray(self.p["w"][:, :told]), self.p["wb"][:told]
 
+    def _by_gate(self) -> np.ndarray:
+        """The weights of the states by z, r and the fresh state: (3, hidden, hidden)."""
+        return np.ascontiguousarray(self.p["u"].reshape(self.hidden, 3, self.hidden).transpose(1, 0, 2))
+
     def run(self, w: Window, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, ...]:
         """States after each step (steps, lanes, hidden) of a window, from the lanes' states before it. With `keep`, what training needs
-        of each step, too: the state before, the gates, the fresh state, and the state's own part of what goes into it."""
-        n, x, u_all = self.hidden, self.p["x"], self.p["u"]
+        of each step, too: the state before, both gates, the fresh state, and the state's own part of what goes into it. Gates lie one
+        after another, each in one piece."""
+        n, x, u_all = self.hidden, self.p["x"], self._by_gate()
+        u_all[:2] *= -1  # what goes into the gates is wanted with the other sign
         steps, lanes = w.target.shape
-        out = np.empty((steps, lanes, n), np.float32)
-        before, all_gates, all_fresh, all_u = (np.empty((steps if keep else 1, lanes, k * n), np.float32) for k in (1, 2, 1, 3))
+        out, u = np.empty((steps, lanes, n), np.float32), np.empty((3, lanes, n), np.float32)
+        before, all_fresh, all_u = (np.empty((steps if keep else 1, lanes, n), np.float32) for _ in range(3))
+        all_gates = np.empty((2, len(before), lanes, n), np.float32)
         begins = w.starts.any(1)
         with np.errstate(over="ignore"):
             for t in range(steps):
                 if begins[t]:
                     h = np.where(w.starts[t, :, None], np.float32(0), h)
                 k = t if keep else 0
-                gates, fresh, u = all_gates[k], all_fresh[k], all_u[k]
+                gates, fresh = all_gates[:, k], all_fresh[k]
+                a = x.take(w.inputs[t], axis=0).reshape(lanes, 3, n)
+                np.matmul(h, u_all, out=u)
                 if keep:
                     before[k] = h
-                a = x.take(w.inputs[t], axis=0)
-                np.matmul(h, u_all, out=u)
-                np.add(a[:, : 2 * n], u[:, : 2 * n], out=gates)
-                np.negative(gates, out=gates)
+                    all_u[k] = u[2]
+                np.subtract(u[:2], a[:, :2].transpose(1, 0, 2), out=gates)
                 np.exp(gates, out=gates)
                 gates += 1
                 np.reciprocal(gates, out=gates)
-                np.multiply(gates[:, n:], u[:, 2 * n :], out=fresh)
-                fresh += a[:, 2 * n :]
+                np.multiply(gates[1], u[2], out=fresh)
+                fresh += a[:, 2]
                 np.tanh(fresh, out=fresh)
                 np.subtract(h, fresh, out=out[t])
-                out[t] *= gates[:, :n]
+                out[t] *= gates[0]
                 out[t] += fresh
                 h = out[t]
         return (out, before, all_gates, all_fresh, all_u) if keep else (out,)
 
     @staticmethod
-    def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits, their exponentials and the sums of these. States lie between -1 and 1, so small weights can't overflow."""
+    def _exponentials(h: np.ndarray, weights: np.ndarray, steep: bool, own: tuple | None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """The targets' logits, if `own` are their places, the exponentials of all logits and the sums of these."""
         z = h @ weights
-        z += bias
-        if (np.abs(weights).sum(0) + np.abs(bias)).max() > 60:
+        if steep:
             z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        return z, e, e @ np.ones(e.shape[1], np.float32)
+        found, e = None if own is None else z[own], np.exp(z, out=z)
+        return found, e, e @ np.ones(e.shape[1], np.float32)
 
     @staticmethod
     def _back(h: np.ndarray, e: np.ndarray, total: np.ndarray, own: tuple, scale: np.ndarray, weights: np.ndarray, d_weights: np.ndarray, d_bias: np.ndarray) -> np.ndarray:
-        """Adds to the gradients of weights and bias; the states' gradient. `own` are the targets' places in e."""
-        e *= (-scale / total)[:, None]
-        e[own] += scale
-        d_weights += h.T @ e
-        d_bias += np.ones(len(e), np.float32) @ e
-        return e @ weights.T
+        """Adds to the gradients of weights (transposed) and bias; the states' gradient."""
+        e[own] -= total
+        by = -scale / total
+        d_weights += e.T @ (h * by[:, None])
+        d_bias += by @ e
+        d = e @ weights.T
+        d *= by[:, None]
+        return d
 
     def log_p(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None, scale: float | np.ndarray = 1.0):
-        """Natural log-probability of each target after its state; with `grad`, adds gradients and returns that of the states, too."""
+        """Natural log-probability of each target after its state; with `grad`, adds gradients and returns that of the states instead."""
         cls, rows = self.class_of[target], np.arange(len(h))
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        h, target, cls = h[order], target[order], cls[order]
+        n, h, target, cls = self.hidden, h.take(order, axis=0), target[order], cls[order]
         scale = np.broadcast_to(np.asarray(scale, np.float32), len(h))[order]
         out, d_h = np.empty(len(h), np.float32), None if grad is None else np.empty_like(h)
+        # The biases are the weights' last row, for a last column of ones.
+        states = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+        both = {k: np.concatenate([self.p[k], self.p[k + "b"][None]]) for k in "cw"}
+        d_both = {} if grad is None else {k: np.zeros(a.T.shape, np.float32) for k, a in self.p.items() if k in both}
+        # States lie between -1 and 1, so small weights can't overflow.
+        steep = {k: bool(np.abs(a).sum(0).max(initial=0) > 60) for k, a in both.items()}
         for i in range(0, len(h), ROWS):  # few enough for the logits to stay in a cache
-            own, hk = (rows[: len(h) - i][:ROWS], cls[i : i + ROWS]), h[i : i + ROWS]
-            z, e, total = self._softmax(hk, self.p["c"], self.p["cb"])
-            out[i : i + ROWS] = z[own] - np.log(total)
-            if grad is not None:
-                d_h[i : i + ROWS] = self._back(hk, e, total, own, scale[i : i + ROWS], self.p["c"], grad["c"], grad["cb"])
+            own, j = (rows[: len(h) - i][:ROWS], cls[i : i + ROWS]), i + ROWS
+            z, e, total = self._exponentials(states[i:j], both["c"], steep["c"], own if grad is None else None)
+            if grad is None:
+                out[i:j] = z - np.log(total)
+            else:
+                d_h[i:j] = self._back(h[i:j], e, total, own, scale[i:j], self.p["c"], d_both["c"], grad["cb"])
         cuts = np.searchsorted(cls, np.arange(len(self.bounds)))
         told = len(self.p["wb"])
-        if self.learnt < len(cuts):
+        if grad is None and self.learnt < len(cuts):
             out[cuts[self.learnt] :] += self.share[target[cuts[self.learnt] :] - told]
         for k in np.flatnonzero(np.diff(cuts[: self.learnt + 1])).tolist():
             i, j, a, b = cuts[k], cuts[k + 1], self.bounds[k], self.bounds[k + 1]
             if b - a == 1:
                 continue
-            w, bias, own, hk = self.p["w"][:, a:b], self.p["wb"][a:b], (rows[: j - i], target[i:j] - a), h[i:j]
-            z, e, total = self._softmax(hk, w, bias)
-            out[i:j] += z[own] - np.log(total)
-            if grad is not None:
-                d_h[i:j] += self._back(hk, e, total, own, scale[i:j], w, grad["w"][:, a:b], grad["wb"][a:b])
+            own = (rows[: j - i], target[i:j] - a)
+            z, e, total = self._exponentials(states[i:j], both["w"][:, a:b], steep["w"], own if grad is None else None)
+            if grad is None:
+                out[i:j] += z - np.log(total)
+            else:
+                d_h[i:j] += self._back(h[i:j], e, total, own, scale[i:j], self.p["w"][:, a:b], d_both["w"][a:b], grad["wb"][a:b])
+        for k, d in d_both.items():
+            grad[k] += d.T
         back = np.empty_like(order)
         back[order] = rows
-        return out[back] if grad is None else (out[back], d_h[back])
+        return out[back] if grad is None else d_h.take(back, axis=0)
 
     def train(self, ids: np.ndarray, lengths: np.ndarray, epochs: int = 4, width: int = 64, rate: float = 0.003) -> None:
         """Adam with a falling rate over windows of TIME steps; the gradient stops at a window's edge, the state doesn't."""
@@ -175,40 +196,43 @@ class Gru:
     def gradients(self, sequences: Iterator[np.ndarray], width: int) -> Iterator[dict]:
         """Of each window in turn, at the weights as they are then; windows of few lanes, when sequences run out, are put together. `x`
         comes as rows and their gradients."""
-        n, u_all, h = self.hidden, self.p["u"], np.zeros((0, self.hidden), np.float32)
+        n, h = self.hidden, np.zeros((0, self.hidden), np.float32)
         grad, seen = None, 0.0
         for w in windows(((k, self.rank[s]) for k, s in enumerate(sequences)), width, TIME, int(self.rank[1])):
             states, before, gates, fresh, u = self.run(w, w.resumed(h), keep=True)
             grad = grad or {k: [] if k == "x" else np.zeros_like(a) for k, a in self.p.items()}
-            _, d_out = self.log_p(states.reshape(-1, n), w.target.ravel(), grad, w.held.ravel())
+            d_out = self.log_p(states.reshape(-1, n), w.target.ravel(), grad, w.held.ravel())
             d_out = d_out.reshape(states.shape)
-            # What doesn't depend on the steps after it, for all steps at once.
-            z, r = gates[:, :, :n], gates[:, :, n:]
-            to_fresh = 1 - z
-            to_z = before - fresh
-            to_z *= z
-            to_z *= to_fresh
-            to_r = 1 - r
-            to_r *= r
-            to_r *= u[:, :, 2 * n :]
+            back = np.ascontiguousarray(self._by_gate().transpose(0, 2, 1))
+            # What doesn't depend on the steps after it, for all steps at once: the share of a state's gradient that goes to z, to r, and
+            # through r to the state before.
+            z, r = gates
+            share, to_fresh = np.empty((3, *z.shape), np.float32), 1 - z
+            np.subtract(before, fresh, out=share[0])
+            share[0] *= z
+            share[0] *= to_fresh
             fresh *= fresh
             to_fresh *= np.subtract(1, fresh, out=fresh)
-            d_in, back = np.empty((*w.target.shape, 3 * n), np.float32), np.ascontiguousarray(u_all.T)
+            np.multiply(to_fresh, r, out=share[2])
+            np.subtract(1, r, out=share[1])
+            share[1] *= share[2]
+            share[1] *= u
             carried, begins = np.zeros_like(d_out[0]), w.starts.any(1)
-            for t in range(len(d_in) - 1, -1, -1):
-                d, own = d_out[t], d_in[t]
+            through = np.empty((3, *carried.shape), np.float32)
+            for t in range(len(z) - 1, -1, -1):
+                d, own = d_out[t], share[:, t]
                 d += carried
-                np.multiply(d, to_z[t], out=own[:, :n])
-                np.multiply(d, to_fresh[t], out=own[:, 2 * n :])
-                np.multiply(own[:, 2 * n :], to_r[t], out=own[:, n : 2 * n])
+                own *= d
                 np.multiply(d, z[t], out=carried)
-                carried += own[:, : 2 * n] @ back[: 2 * n]
-                carried += (own[:, 2 * n :] * r[t]) @ back[2 * n :]
+                np.matmul(own, back, out=through)
+                for part in through:
+                    carried += part
                 if begins[t]:
                     carried[w.starts[t]] = 0
-            flat, before = d_in.reshape(-1, 3 * n), before.reshape(-1, n)
-            grad["u"] += np.concatenate([before.T @ flat[:, : 2 * n], before.T @ (flat[:, 2 * n :] * r.reshape(-1, n))], 1)
-            grad["x"].append((w.inputs.ravel(), flat))
+            before = before.reshape(-1, n)
+            grad["u"] += np.concatenate([before.T @ own.reshape(-1, n) for own in share], 1)
+            np.multiply(d_out, to_fresh, out=share[2])
+            grad["x"].append((w.inputs.ravel(), share.reshape(3, -1, n)))
             seen += float(w.held.sum())
             h = states[-1]
             if seen >= 0.75 * width * TIME:
@@ -218,14 +242,16 @@ class Gru:
             yield self._mean(grad, seen)
 
     def _mean(self, grad: dict, seen: float) -> dict:
-        rows, flat = (np.concatenate(a) if len(grad["x"]) > 1 else a[0] for a in zip(*grad["x"], strict=True))
+        rows, parts = (np.concatenate(a, -1 - k) if len(grad["x"]) > 1 else a[0] for k, a in enumerate(zip(*grad["x"], strict=True)))
         order = np.argsort(rows.astype(np.uint16) if len(self.class_of) <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         out = {k: a for k, a in grad.items() if k != "x"}
         for a in out.values():
             a /= np.float32(seen)
-        return out | {"x": (rows[first], np.add.reduceat(flat.take(order, axis=0), first) / np.float32(seen))}
+        x = np.concatenate([np.add.reduceat(part.take(order, axis=0), first) for part in parts], 1)
+        x /= np.float32(seen)
+        return out | {"x": (rows[first], x)}
 
     def scores(self, sequences: Iterator[tuple], width: int = LANES) -> Iterator[tuple]:
         """(tag, log10-likelihood) of (tag, ids) as sequences end; tags must differ. The state runs through whole sequences, window by window."""
@@ -330,23 +356,24 @@ def vocabulary(total: int) -> int:
     return max(VOCABULARY, min(HEAD, int(total**0.5)))
 
 
-def average_pass(train: DataFrame, text: str, scorer: Scorer, total: int, rate: float = 0.003) -> None:
-    """A gradient pass of each partition over all of its rows, from the scorer's weights, which become the mean over the partitions.
-    Partitions are put together until one's text is some ten times the model, which each of them sends. Weights are summed in parts,
-    so that no task and not the driver holds more than one model beside its own part."""
+def average_pass(train: DataFrame, ids: str, gru: Gru, total: int, rate: float = 0.003) -> None:
+    """A gradient pass of each partition over all of its rows (`ids` as of `Encoded`), from the network's weights, which become the mean
+    over the partitions. Partitions are put together until one's text is some ten times the model, which each of them sends. Weights are
+    summed in parts, so that no task and not the driver holds more than one model beside its own part."""
     spark = train.sparkSession
-    held, size = spark.sparkContext.broadcast(scorer), sum(a.nbytes for a in scorer.gru.p.values())
+    held, size, model = spark.sparkContext.broadcast(gru), sum(a.nbytes for a in gru.p.values()), gru
     parts = max(2 * spark.sparkContext.defaultParallelism, 6 * total // (10 * size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = held.value, [0]
-        gru, before = model.gru, {k: a.copy() for k, a in model.gru.p.items()}
+        gru, seen = held.value, [0]
+        before = {k: a.copy() for k, a in gru.p.items()}
 
         def sequences():
-            for b in slices(batches, text):
-                for data in byte_list(b, text):
-                    seen[0] += len(ids := model.network_ids(data))
-                    yield ids
+            for b in slices(batches, ids):
+                for data in b.column(ids).to_pylist():
+                    sequence = np.frombuffer(data, ID)
+                    seen[0] += len(sequence)
+                    yield sequence
 
         adam = Adam(gru.p)
         for grad in gru.gradients(sequences(), min(4096, max(64, len(gru.class_of) // 32))):
@@ -364,9 +391,9 @@ def average_pass(train: DataFrame, text: str, scorer: Scorer, total: int, rate:
             total += np.frombuffer(m, np.float32)
         return pd.DataFrame({"name": group["name"].iloc[:1], "at": group["at"].iloc[:1], "moved": [(total / group["seen"].sum()).astype(np.float32).tobytes()]})
 
-    moved = train.select(text).coalesce(parts).mapInArrow(run, "name string, at long, seen long, moved binary").groupBy("name", "at").applyInPandas(add, "name string, at long, moved binary")
+    moved = train.select(ids).coalesce(parts).mapInArrow(run, "name string, at long, seen long, moved binary").groupBy("name", "at").applyInPandas(add, "name string, at long, moved binary")
     for name, at, m in moved.collect():
-        own = scorer.gru.p[name].reshape(-1)
+        own = model.p[name].reshape(-1)
         own[at : at + PART] += np.frombuffer(bytes(m), np.float32)
 
 
@@ -433,6 +460,30 @@ def pieces_of(tail: Counter) -> list[list[tuple]]:
     return [items[k : k + TAIL] for k in range(0, len(items), TAIL)]
 
 
+def encoded(docs: DataFrame, key: str, text: str, scorer: Scorer) -> DataFrame:
+    """For each row a uid, row_key, n_tokens, n_known, base, rest (what its score has besides the network's and its tails' part) and ids;
+    and rows with its uid, no ids and one tail each."""
+    held, key_field = docs.sparkSession.sparkContext.broadcast(scorer), docs.schema[key].dataType
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.map_(pa.binary(), pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, uid, key_type = held.value, TaskContext.get().partitionId() << 33, to_arrow_type(key_field)
+        for b in slices(batches, text):
+            uids, keys, rows = [], [], []
+            for k, data in zip(b.column(key), byte_list(b, text), strict=True):
+                f = model.encode(data)
+                rest = f.lost - int((f.ids == 0).sum()) * model.unknown_log
+                rows.append((len(f.ids), f.known, f.base, rest, f.ids.astype(ID).tobytes(), None))
+                rows += [(*[None] * 5, part) for part in f.tails]
+                uids += [uid] * (1 + len(f.tails))
+                keys += [k.as_py(), *[None] * len(f.tails)]
+                uid += 1
+            columns = [pa.array(uids, pa.int64()), pa.array(keys, key_type), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "row_key", "n_tokens", "n_known", "base", "rest", "ids", "tail"])
+
+    return docs.select(key, text).mapInArrow(run, f"uid long, row_key {key_field.simpleString()}, n_tokens long, n_known long, base double, rest double, ids binary, tail map<binary,long>")
+
+
 def score_documents(docs: DataFrame, key: str, text: str = "text", mod: int = 7, held_out_rest: int = 2, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score for each row. Rows with crc32(key) mod `mod` = held_out_rest teach
     nothing. The network's weights start from a sample of about sample_docs training rows and learn from all of them; counts cover every row."""
@@ -441,62 +492,50 @@ def score_documents(docs: DataFrame, key: str, text: str = "text", mod: int = 7,
     total, distinct = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
     head, least = head_tokens(counts)
     scorer = Scorer(head, total, distinct)
-    train = docs.filter(crc_mod(key, mod) != held_out_rest).select(key, text)
-    sample = [bytes(r[0]) if r[0] is not None else None for r in bounded_sample(train, key, sample_docs).select(F.col(text).cast("binary")).collect()]
+    key_field = docs.schema[key].dataType
+    rows = written(encoded(docs, key, text, scorer), "lm-rows")
+    whole_rows = rows.filter("ids IS NOT NULL")
+    sample = bounded_sample(docs.filter(crc_mod(key, mod) != held_out_rest).select(key, text), key, sample_docs)
+    sample = [bytes(r[0]) if r[0] is not None else None for r in sample.select(F.col(text).cast("binary")).collect()]
     if sample:
         ids = [scorer.network_ids(d) for d in sorted(sample, key=lambda d: d or b"")]
         scorer.gru.train(np.concatenate(ids), np.array(list(map(len, ids))))
-        average_pass(train, text, scorer, total)
-    held = spark.sparkContext.broadcast(scorer)
+        average_pass(whole_rows.filter(crc_mod("row_key", mod) != held_out_rest), "ids", scorer.gru, total)
+    held = spark.sparkContext.broadcast(scorer.gru)
+    names = ["uid", "row_key", "n_tokens", "n_known", "base", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in the order in which their documents end, and rows with no key that hold the tails."""
-        model, uid, waiting, done = held.value, TaskContext.get().partitionId() << 33, {}, []
+        """A batch goes on when all of its rows have ended."""
+        waiting: dict = {}
 
         def sequences():
-            nonlocal uid
-            for b in slices(batches, text):
-                for k, data in zip(b.column(key), byte_list(b, text), strict=True):
-                    found = model.encode(data)
-                    waiting[uid] = k, found
-                    uid += 1
-                    yield uid - 1, found.ids
-
-        def flush():
-            rows = [(u, k, len(f.ids), f.known, f.base, lm + f.lost - int((f.ids == 0).sum()) * model.unknown_log, None) for u, k, f, lm in done]
-            rows += [(u, None, None, None, None, None, part) for u, _, f, _ in done for part in f.tails]
-            done.clear()
-            u, k, *rest = zip(*rows, strict=True)
-            columns = [pa.array(u, pa.int64()), pa.array([None if x is None else x.as_py() for x in k], docs_key)]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(rest, _ROW, strict=True))], ["uid", "row_key", "n_tokens", "n_known", "base", "lm", "tail"])
-
-        docs_key, size = to_arrow_type(key_field), 0
-        for u, lm in model.gru.scores(sequences()):
-            done.append((u, *waiting.pop(u), lm))
-            size += len(done[-1][2].ids)
-            if size > 400_000 or len(done) >= 2048:
-                yield flush()
-                size = 0
-        if done:
-            yield flush()
-
-    key_field = docs.schema[key].dataType
-    rows = written(docs.select(key, text).mapInArrow(run, f"uid long, row_key {key_field.simpleString()}, n_tokens long, n_known long, base double, lm double, tail map<binary,long>"), "lm-rows")
+            for k, b in enumerate(slices(batches, "ids")):
+                waiting[k] = b.select(names), np.full(b.num_rows, np.nan)
+                for i, data in enumerate(b.column("ids").to_pylist()):
+                    yield (k, i), np.frombuffer(data, ID)
+
+        left = Counter()
+        for (k, i), found in held.value.scores(sequences()):
+            b, lm = waiting[k]
+            lm[i] = found
+            left[k] += 1
+            if left[k] == b.num_rows:
+                del waiting[k], left[k]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lm)], [*names, "lm"])
+
+    scored = written(whole_rows.select(*names, "ids").mapInArrow(run, f"uid long, row_key {key_field.simpleString()}, n_tokens long, n_known long, base double, rest double, lm double"), "lm-scored")
     rare = counts.filter(F.floor(F.log2("n_all") * 8) < least).select("token", "n_train")
     tails = rows.filter("tail IS NOT NULL").select("uid", F.explode("tail").alias("token", "n")).join(rare, "token")
     more = tails.groupBy("uid").agg(F.sum(F.log10(F.col("n_train") + 1.0) * F.col("n")).alias("more"), F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    out = rows.filter("n_tokens IS NOT NULL").drop("tail").join(more, "uid", "left").fillna(0, ["more", "more_known"])
+    out = scored.join(more, "uid", "left").fillna(0, ["more", "more_known"])
     whole = np.log10(float(total + distinct + 1))
     return out.select(
         F.col("row_key").alias(key), "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("more") - F.col("n_tokens") * F.lit(float(whole))).alias("base_score"),
-        (F.col("lm") + F.col("more")).alias("score"),
+        (F.col("lm") + F.col("rest") + F.col("more")).alias("score"),
     )
 
 
-_ROW = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int64()))
-
-
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_documents(docs, "doc_id")

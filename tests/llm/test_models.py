@@ -66,6 +66,22 @@ def test_language_model_learns_from_all_training_rows(spark):
     assert got[0] > 0.8 * got[1]
 
 
+def test_language_model_reads_the_written_numbers(spark, corpus):
+    docs = spark.createDataFrame(list(enumerate(corpus)), EMPTY).coalesce(1)
+    counts = lm_score.count_tokens(docs, 2, 7, "text", "doc_id")
+    total, distinct = counts.agg(F.sum("n_train"), F.count_if(F.col("n_train") > 0)).first()
+    scorer = lm_score.Scorer(counts.collect(), total, distinct)
+    rows = lm_score.encoded(docs, "doc_id", "text", scorer).filter("ids IS NOT NULL")
+    ids = {r.row_key: np.frombuffer(bytes(r.ids), lm_score.ID) for r in rows.collect()}
+    assert all((ids[i] == scorer.network_ids(None if t is None else t.encode())).all() for i, t in enumerate(corpus))
+    plain = lm_score.Scorer(counts.collect(), total, distinct).gru
+    adam = lm_score.Adam(plain.p)
+    for grad in plain.gradients(iter([ids[i] for i in range(len(corpus))]), 64):
+        adam.update(plain.p, grad, 0.003)
+    lm_score.average_pass(rows, "ids", scorer.gru, total)
+    assert all(np.allclose(scorer.gru.p[k], plain.p[k], atol=1e-4) for k in plain.p)
+
+
 def test_language_model_vocabulary_grows():
     from pyspark.sql import Row
 
