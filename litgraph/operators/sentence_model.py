@@ -3,21 +3,27 @@ sentences, and pairs that a full stop doesn't part, all found by log-likelihood
 
 One pass over the texts counts pairs of neighbouring tokens; what precedes a token is kept by name only where it ends with a full stop, so
 the table is about as long as the vocabulary. Types, abbreviations, contexts, starters and collocations are aggregates and joins of it. Where
-only types are asked for, tokens alone are counted. The model that goes to the tasks is sets of types, of at most `most` types each, the most
-frequent ones; the two that grow with the vocabulary are packed.
+only types are asked for, tokens alone are counted. The model that goes to the tasks is sets of types; the two that grow with the vocabulary are
+packed. Of a set with more than `most` types only the files' names go to the tasks: tasks write it sorted, Spark brings the files to the
+executors, and workers look types up in them without holding them.
 """
 
 from __future__ import annotations
 
+import mmap
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stage import drop, scratch
+from ..plans.stage import drop, kept_lines, scratch
+from ..session import small_batches
 
 #: Fixed values of the published method: the least scores of an abbreviation, a collocation and a sentence starter.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
@@ -179,11 +185,67 @@ class Types:
         return set(self) == set(other)
 
 
+class StoredTypes(Types):
+    """A set of types of any size, as sorted lines of files that every executor has: each worker maps them and looks types up by halves."""
+
+    def __init__(self, files: list[str]) -> None:
+        self.files = files
+
+    def __getstate__(self) -> dict:
+        return {"files": self.files}
+
+    @cached_property
+    def _parts(self) -> tuple[list[bytes], list[mmap.mmap]]:
+        """The files' first lines and their text, in order."""
+        out = []
+        for name in self.files:
+            with open(SparkFiles.get(name), "rb") as f:
+                out.append(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        out.sort(key=lambda m: m[: m.find(b"\n")])
+        return [m[: m.find(b"\n")] for m in out], out
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def __contains__(self, one: str) -> bool:
+        firsts, texts = self._parts
+        key = one.encode()
+        at = bisect_right(firsts, key) - 1
+        if at < 0:
+            return False
+        text, low, high = texts[at], 0, len(texts[at])
+        while low < high:
+            mid = (low + high) // 2
+            begin, end = text.rfind(b"\n", low, mid) + 1 or low, text.find(b"\n", mid)
+            line = text[begin:end]
+            if line == key:
+                return True
+            low, high = (end + 1, high) if line < key else (low, begin)
+        return False
+
+    def __iter__(self):
+        for text in self._parts[1]:
+            begin = 0
+            while (end := text.find(b"\n", begin)) >= 0:
+                yield text[begin:end].decode()
+                begin = end + 1
+
+
+class StoredPairs(StoredTypes):
+    """A set of pairs of types, with a space between them, which no type has."""
+
+    def __contains__(self, pair: tuple[str, str]) -> bool:
+        return super().__contains__(" ".join(pair))
+
+    def __iter__(self):
+        return (tuple(line.split(" ")) for line in super().__iter__())
+
+
 @dataclass
 class SentenceModel:
-    abbreviations: set[str] = field(default_factory=set)
-    starters: set[str] = field(default_factory=set)
-    collocations: set[tuple[str, str]] = field(default_factory=set)
+    abbreviations: set[str] | StoredTypes = field(default_factory=set)
+    starters: set[str] | StoredTypes = field(default_factory=set)
+    collocations: set[tuple[str, str]] | StoredPairs = field(default_factory=set)
     #: Of types seen with a capital where a full stop leaves doubt: those that begin sentences then, as they are seen in lower case and never
     #: with a capital inside; and all that are seen in lower case.
     capital_starts: Types = field(default_factory=Types)
@@ -227,22 +289,31 @@ class SentenceModel:
         return out
 
 
+def _held(rows: DataFrame, most: int, make, *columns: str):
+    """The set of the rows' types, or of their pairs: made in memory of at most `most`, stored if there are more."""
+    few = rows.select(*columns).limit(most + 1).toArrow()  # one more tells whether there are more
+    if len(few) <= most:
+        values = few.to_pydict()
+        return make(values[columns[0]] if len(columns) == 1 else zip(*(values[c] for c in columns)))
+    files = kept_lines(rows.select(F.concat_ws(" ", *columns).alias("line")).orderBy("line"))
+    return (StoredTypes if len(columns) == 1 else StoredPairs)(files)
+
+
 def train_sentence_model(texts: DataFrame, text: str = "text", most: int = 1 << 20) -> SentenceModel:
+    """The model with all types that were learnt. Sets of more than `most` types are stored (`StoredTypes`) as long as the session lasts."""
     pairs = scratch(neighbour_counts(texts, text))
     counts = scratch(type_counts(pairs))
     short = scratch(abbreviations(counts))
     places = scratch(marked(pairs, short))
-    largest = lambda df, order, *columns: df.orderBy(F.desc(order), *columns).limit(most).select(*columns).toArrow().to_pydict()
     unsure = (F.col("place") == "?") | (F.col("before_type") == NUMBER) | F.col("before_type").rlike(_INITIAL)
     asked = places.filter((F.col("before") == ".") & (F.col("letter") == "u") & unsure).select("type").distinct()  # other contexts are never asked for
     follows = scratch(contexts(places).join(asked, "type", "left_semi").filter("lower"))
-    tied = largest(collocations(places, counts), "score", "before_type", "type")
     model = SentenceModel(
-        set(largest(short, "score", "type")["type"]),
-        set(largest(sentence_starters(places), "score", "type")["type"]),
-        set(zip(tied["before_type"], tied["type"])),
-        Types(largest(follows.filter("NOT upper_inside"), "n", "type")["type"]),
-        Types(largest(follows, "n", "type")["type"]),
+        _held(short, most, set, "type"),
+        _held(sentence_starters(places), most, set, "type"),
+        _held(collocations(places, counts), most, set, "before_type", "type"),
+        _held(follows.filter("NOT upper_inside"), most, Types, "type"),
+        _held(follows, most, Types, "type"),
     )
     drop(follows)
     drop(pairs, counts, short, places)
@@ -251,6 +322,7 @@ def train_sentence_model(texts: DataFrame, text: str = "text", most: int = 1 <<
 
 def explode_trained(docs: DataFrame, text: str, model: SentenceModel, min_chars: int = 10, max_chars: int = 1000) -> DataFrame:
     """As `explode_sentences`: columns of docs, sent_idx, sent_total and sent_text, with the model's boundaries."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<string>")
     def sentences(texts: pd.Series) -> pd.Series:

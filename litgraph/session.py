@@ -22,3 +22,14 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(at)
     context._litgraph_shipped = True
+
+
+#: Rows that go to a Python worker at once, unless the session says otherwise: whole texts are long, and 10,000 of them are in memory several
+#: times over.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(BATCH_ROWS))
